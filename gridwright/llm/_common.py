@@ -109,3 +109,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+#: Ids are broadcast up to this many; beyond, the tables are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def checked(ids: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """``ids``, marked for broadcast if a count proves it small. Should be a written table."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
