@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, mixing, ngram_join, packing, quality, sharding, topk_search, warc
+from . import embedding_dedup, language_id, mixing, ngram_join, packing, quality, sharding, suffix_dedup, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.query,
     "op5_ngram_join": ngram_join.query,
     "op6_quality": quality.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_embedding_dedup": embedding_dedup.query,
     "op9_sharding": sharding.query,
     "op10_warc": warc.query,
