@@ -410,7 +410,7 @@ def _repeats(sizes: DataFrame) -> bool:
 
 
 def kept_bytes(data: bytes, starts: list[int] | None, ends: list[int] | None) -> bytes:
-    if not starts:
+    if starts is None or not len(starts):
         return data
     return b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)], strict=True))
 
