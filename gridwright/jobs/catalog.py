@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import metrics, pairs, profiles, quantiles, ranks, rules, scaling, selection, spatial
+from ..operators import descriptors, metrics, mixture, pairs, profiles, quantiles, ranks, rules, scaling, selection, spatial
 from ..sources import roi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -634,3 +634,75 @@ def j4(spark, sf_dir):
 @query("f17_magnitude_words", f"+ {CEN} SELECT subject, habitat, param, CASE WHEN abs(mean) >= 1.5 THEN 'strong' WHEN abs(mean) >= 0.7 THEN 'moderate' ELSE 'mild' END AS word FROM cen")
 def f17(spark, sf_dir):
     return _centroids(spark, sf_dir).select("subject", "habitat", "param", X.magnitude(F.col("mean")).alias("word"))
+
+
+# --- soft assignment and mixtures -----------------------------------------------------------
+
+
+def voxel_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(subject, slice, x, y, habitat, v): robustly scaled tumour cells."""
+    return pairs.vectors(robust_long(spark, sf_dir), ["subject", "slice", "x", "y", "habitat"], PARAMS, "value")
+
+
+def _model(spark, sf_dir) -> list[list[float]]:
+    """Raw habitat means of the scaled cells: three short vectors."""
+    c = pairs.vectors(profiles.centroids(robust_long(spark, sf_dir), ["habitat"]), ["habitat"], PARAMS)
+    return [r["v"] for r in c.orderBy("habitat").collect()]
+
+
+def assigned(spark, sf_dir):
+    return descriptors.assign(voxel_vectors(spark, sf_dir), _model(spark, sf_dir))
+
+
+ASSIGN = f"""{ROB}, vx AS (SELECT subject, slice, x, y, habitat, [coalesce(max(value) FILTER (param = 'T2'), 0), coalesce(max(value) FILTER (param = 'DTI-MD'), 0), coalesce(max(value) FILTER (param = 'T2star'), 0), coalesce(max(value) FILTER (param = 'MTR'), 0)] AS v FROM rob GROUP BY subject, slice, x, y, habitat),
+ hm AS (SELECT habitat, param, avg(value) AS m FROM rob GROUP BY ALL), hv AS (SELECT habitat AS cluster, [max(m) FILTER (param = 'T2'), max(m) FILTER (param = 'DTI-MD'), max(m) FILTER (param = 'T2star'), max(m) FILTER (param = 'MTR')] AS c FROM hm GROUP BY ALL),
+ dist AS (SELECT subject, slice, x, y, v, cluster, {EUC.format('v', 'c')} AS d FROM vx CROSS JOIN hv),
+ ex AS (SELECT *, exp(min(d) OVER (PARTITION BY subject, slice, x, y) - d) AS e FROM dist),
+ po AS (SELECT *, e / sum(e) OVER (PARTITION BY subject, slice, x, y) AS p FROM ex)"""
+
+
+@query("p15_confidence", f"""+ {ASSIGN}, k AS (SELECT *, row_number() OVER (PARTITION BY subject, slice, x, y ORDER BY p DESC) AS rn FROM po)
+ SELECT subject, slice, x, y, {r('max(p)')} AS confidence, max(p) FILTER (rn = 2) > 0.30 AS ambiguous FROM k GROUP BY subject, slice, x, y""")
+def p15(spark, sf_dir):
+    return assigned(spark, sf_dir).select("subject", "slice", "x", "y", "confidence", "ambiguous")
+
+
+@query("a31_descriptors", f"""+ {ASSIGN}, u AS (SELECT subject, cluster, p, d, unnest([1, 2, 3, 4]) AS dim, unnest(v) AS x FROM po),
+ g AS (SELECT subject, cluster, dim, avg(p) AS pi, sum(p * x * x) / sum(p) - (sum(p * x) / sum(p)) ** 2 AS var, sum(p * d) / sum(p) AS res FROM u GROUP BY ALL)
+ SELECT subject, CAST(cluster AS INTEGER) AS cluster, {r('max(pi)')} AS pi, {r('avg(var)')} AS sigma2, {r('max(res)')} AS residual FROM g GROUP BY ALL""")
+def a31(spark, sf_dir):
+    return descriptors.describe(assigned(spark, sf_dir), ["subject"], 3)
+
+
+@query("a37_certainty", f"""+ {ASSIGN}, k AS (SELECT *, row_number() OVER (PARTITION BY subject, slice, x, y ORDER BY p DESC) AS rn FROM po),
+ c AS (SELECT subject, slice, x, y, max(p) AS confidence, max(p) FILTER (rn = 2) > 0.30 AS ambiguous FROM k GROUP BY subject, slice, x, y)
+ SELECT subject, count(*) AS n, count(*) FILTER (confidence >= 0.8) AS n_sure, count(*) FILTER (confidence < 0.5) AS n_unsure, count(*) FILTER (ambiguous) AS n_ambiguous FROM c GROUP BY subject""")
+def a37(spark, sf_dir):
+    return descriptors.certainty(assigned(spark, sf_dir), ["subject"])
+
+
+def _points(spark, sf_dir):
+    return voxel_vectors(spark, sf_dir).withColumn("g", F.col("subject").cast("string"))
+
+
+@query("m2_kmeans")
+def m2(spark, sf_dir):
+    """k-means of each subject: cluster centres and cost."""
+    best = mixture.kmeans(_points(spark, sf_dir).persist(), 3)
+    rows = [(g, i, [float(x) for x in c], cost) for g, (centres, cost) in sorted(best.items()) for i, c in enumerate(centres)]
+    return spark.createDataFrame(rows, "subject string, cluster int, centre array<double>, cost double")
+
+
+@query("m1_gmm_shares")
+def m1(spark, sf_dir):
+    """Gaussian mixture of each subject: count and mean posterior of each component."""
+    points = _points(spark, sf_dir).persist()
+    out = mixture.predict(points, mixture.fit(points, 3, steps=15))
+    return out.groupBy("subject", "label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("proba")).alias("confidence"))
+
+
+@query("m9_choose_k")
+def m9(spark, sf_dir):
+    """Number of components of each subject by the information criterion."""
+    scores = mixture.choose_k(_points(spark, sf_dir).persist(), [2, 3, 4])
+    return selection.best_k(scores.withColumnRenamed("g", "subject"), ["subject"], "bic")
