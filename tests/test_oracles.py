@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gridwright.jobs import catalog
+from gridwright.jobs import catalog, catalog_more  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
