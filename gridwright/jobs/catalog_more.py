@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import contrasts, metrics, pairs, profiles, quantiles, rules, scaling
+from ..operators import contrasts, inference, metrics, pairs, profiles, quantiles, ranks, rules, scaling
 from ..sources import roi
-from .catalog import CEN, COS, KEYS, PARAMS, REF, SHARES, STAT, TUM, VEC, VOTE_SQL, PROFILE_SQL, _centroids, _instances, longs, query, r, robust_long, rule_profiles
+from .catalog import CEN, COS, KEYS, PARAMS, REF, SHARES, STAT, TUM, VEC, VOTE_SQL, PROFILE_SQL, _centroids, _instances, longs, query, r, rule_profiles, voxel_vectors
 
 LABELLED = ("STANDARD", "STANDARD POLISHED", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO")
 RAW = f"{TUM}, raw AS (SELECT subject, habitat, param, avg(value) AS mean FROM t GROUP BY ALL)"
@@ -234,3 +234,41 @@ def j11(spark, sf_dir):
     b = v.select(F.col("subject").alias("with"), (F.col("subject") * 10 + F.col("habitat")).alias("b"), F.col("v").alias("vb"))
     p = a.join(b, "with").select("a", "b", F.round(1 - X.cosine_distance(F.col("va"), F.col("vb")), 9).alias("s"))
     return contrasts.one_to_one(p, "a", "b", "s")
+
+
+# --- resampling: deterministic by seed, without SQL ----------------------------------------
+
+
+def _distances(spark, sf_dir):
+    m = profiles.presence_matrix(roi.cells(spark, sf_dir), [0, 1, 2])
+    c = m.select("subject", F.array("l_0", "l_1", "l_2").alias("v"))
+    return pairs.aitchison(c), c.select("subject", (F.col("subject") % 2).alias("grp"))
+
+
+@query("g6_permutation_p")
+def g6p(spark, sf_dir):
+    return inference.permanova_test(*_distances(spark, sf_dir), n_perm=499)
+
+
+@query("g7_dispersion")
+def g7(spark, sf_dir):
+    return inference.dispersion_test(*_distances(spark, sf_dir), n_perm=499)
+
+
+@query("g11_rank_sum_p")
+def g11p(spark, sf_dir):
+    s = profiles.shares(roi.cells(spark, sf_dir), ["subject"]).withColumn("grp", F.col("subject") % 2)
+    u = ranks.mann_whitney(s, ["habitat"], "share", "grp", 0).withColumn("p", inference.rank_sum_p("u"))
+    return u.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p") * 3))
+
+
+@query("g13_bootstrap_means")
+def g13(spark, sf_dir):
+    points = voxel_vectors(spark, sf_dir).select(F.concat_ws("|", F.col("subject").cast("string"), F.col("habitat").cast("string")).alias("g"), "v")
+    return inference.bootstrap_means(points, n_boot=100)
+
+
+@query("m13_gap_statistic")
+def m13(spark, sf_dir):
+    points = voxel_vectors(spark, sf_dir).select(F.col("subject").cast("string").alias("g"), "v").persist()
+    return inference.gap_statistic(points, [2, 3, 4], refs=3)

@@ -83,3 +83,31 @@ def test_stream_equals_batch(spark, grown, tmp_path):
     assert sorted(map(tuple, spark.table("scored").collect())) == sorted(map(tuple, batch.collect()))
     windows = score.shares_by_window(score.score(cells, ["T2", "DTI-MD"], stats, model), "at")
     assert windows.agg(F.sum("n")).first()[0] == cells.count()
+
+
+def test_permutation_tests_tell_groups_apart(spark):
+    from gridwright.operators import inference
+
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.dirichlet([50, 1, 1, 1]) if i < 15 else rng.dirichlet([1, 1, 1, 50])).tolist()) for i in range(30)]
+    v = spark.createDataFrame(rows, "subject int, v array<double>")
+    d = pairs.aitchison(v)
+    apart = inference.permanova_test(d, v.select("subject", F.when(F.col("subject") < 15, 0).otherwise(1).alias("grp")), 199).first()
+    mixed = inference.permanova_test(d, v.select("subject", (F.col("subject") % 2).alias("grp")), 199).first()
+    exact = pairs.permanova(d, v.select("subject", (F.col("subject") % 2).alias("grp"))).first()
+    assert apart.p <= 0.02 < mixed.p and np.isclose(mixed.f, exact.f)
+    assert 0 <= inference.dispersion_test(d, v.select("subject", (F.col("subject") % 2).alias("grp")), 99).first().p <= 1
+    _, p = inference.kernel_test(rng.normal(size=(30, 3)), rng.normal(size=(30, 3)) + 2, 1.0, spark, 99)
+    assert p <= 0.02
+
+
+def test_bootstrap_and_gap(spark):
+    from gridwright.operators import inference
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.1, (150, 2)), rng.normal(3, 0.1, (150, 2))])
+    points = spark.createDataFrame([("a", r.tolist()) for r in x], "g string, v array<double>").persist()
+    for r in inference.bootstrap_means(points, 100).collect():
+        assert r.lo < r.mean < r.hi and np.isclose(r["mean"], x[:, r.i].mean()) and r.hi - r.lo < 1
+    gap = inference.gap_statistic(points, [1, 2, 3], refs=2)
+    assert selection.gap_rule(gap, ["g"]).first().k == 2
