@@ -19,8 +19,9 @@ Signatures are pre-aggregated in each task, then sorted runs of equal ones give
 links of each set to one hub: as many candidates as members, not as many as
 pairs. Each set is verified against the hub it shares most with. Buckets that
 then still hold different components are compared inside tasks, in blocks, by
-counting segments that differ (an exact necessary condition), and what is left
-is verified on the full sets.
+bitmaps whose difference bounds that of the sets from below (so no link is
+lost); in two rounds each set offers its most likely link only, which merges
+most components, then all that is left is verified on the full sets.
 
 Defined results
 ---------------
@@ -40,7 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import checked, components, materialize, table, text_batches
@@ -50,6 +51,8 @@ K, PERCENT = 4, 85
 BAND_RATIO = 1.3
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
+#: Rounds in which each member of an unsettled bucket offers one link, before all are asked.
+ROUNDS = 2
 #: Pairs of one hub that one task verifies.
 HUB_PAIRS = 1000
 _CHUNK = 1 << 20
@@ -135,12 +138,14 @@ def signatures(s: np.ndarray, band: tuple[int, int, int], percent: int) -> np.nd
     return np.unique(np.concatenate(out))
 
 
-def vector(s: np.ndarray, m: int) -> np.ndarray:
-    """16 bits of the hash of each segment's subset (0: empty)."""
-    _, _, has, _, content = _subsets(s, m)
-    out = np.zeros(m, np.uint16)
-    out[has] = (mix(content) >> np.uint64(48)).astype(np.uint16)
-    return out
+def parity(s: np.ndarray, hi: int) -> np.ndarray:
+    """A bitmap of about 4 bits per element: bit i tells whether an odd number of elements hash to i.
+
+    The number of bits in which two bitmaps differ is at most the number of elements in which the sets differ.
+    """
+    bits = -(-4 * hi // 64) * 64
+    count = np.bincount((mix(s ^ np.uint64(0x3C3C3C3C3C3C3C3C)) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.uint64)
 
 
 def _rows(names: list[str], kinds: list[pa.DataType], *cols) -> pa.RecordBatch:
@@ -251,25 +256,30 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str
     return texts.select("hub", "block", "role", "id", "text").mapInArrow(run, "a long, b long").distinct()
 
 
-def _open_pairs(docs: DataFrame, members: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket that the count of unequal segments leaves possible."""
+def _sketches(docs: DataFrame, members: DataFrame, k: int, name: str) -> DataFrame:
+    """(id, band, n, v): size and parity bitmap of each member."""
     wanted = materialize(members.select("id", "band").distinct(), f"{name}-wanted")
-    edges: list[tuple[int, int]] = []
+    tops = []
     lo = 1
     while lo < 1 << 40:
-        hi = max(lo, int(lo * BAND_RATIO))
-        edges.append((lo, hi))
-        lo = hi + 1
+        tops.append(max(lo, int(lo * BAND_RATIO)))
+        lo = tops[-1] + 1
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands_ = batch.column(1).to_pylist()
             found = sets(batch.column(2), k)
-            v = [vector(s, segments(*edges[x], percent)[0]).tobytes() for s, x in zip(found, bands_, strict=True)]
+            v = [parity(s, tops[x]).tobytes() for s, x in zip(found, batch.column(1).to_pylist(), strict=True)]
             yield _rows(["id", "band", "n", "v"], [_L, pa.int32(), _L, pa.binary()], batch.column(0), batch.column(1), [len(s) for s in found], v)
 
-    sketch = docs.join(checked(wanted), "id").select("id", "band", "text").mapInArrow(vectors, "id long, band int, n long, v binary")
-    sketch = materialize(sketch.dropDuplicates(["id", "band"]), f"{name}-sketch")
+    sketch = docs.join(checked(wanted), "id").select("id", "band", "text").mapInArrow(run, "id long, band int, n long, v binary")
+    return materialize(sketch.dropDuplicates(["id", "band"]), f"{name}-sketch")
+
+
+def _open_pairs(members: DataFrame, sketch: DataFrame, percent: int, one: bool) -> DataFrame:
+    """(sig, a, b): members of a bucket with different labels that size and bitmap leave possible.
+
+    ``one``: of each member's pairs in a block only the most alike.
+    """
     blocks = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = members.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.select("sig", "band", "id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -280,22 +290,26 @@ def _open_pairs(docs: DataFrame, members: DataFrame, k: int, percent: int, name:
         at = None
 
         def flush() -> pa.RecordBatch:
-            m = np.array([(x[0], x[1], x[2], x[3]) for x in held], np.int64)
-            v = np.frombuffer(b"".join(x[4] for x in held), np.uint16).reshape(len(held), -1)
+            m = np.array([x[:4] for x in held], np.int64)
+            v = np.frombuffer(b"".join(x[4] for x in held), np.uint64).reshape(len(held), -1)
             a, b = [], []
             for r in range(len(held) - 1):
-                rest = slice(r + 1, len(held))
-                ok = (m[rest, 1] != m[r, 1]) & (100 * np.minimum(m[rest, 2], m[r, 2]) >= percent * np.maximum(m[rest, 2], m[r, 2]))
+                rest = m[r + 1 :]
+                ok = (rest[:, 1] != m[r, 1]) & (100 * np.minimum(rest[:, 2], m[r, 2]) >= percent * np.maximum(rest[:, 2], m[r, 2]))
                 if at[1] != at[2]:
-                    ok &= m[rest, 3] != m[r, 3]
+                    ok &= rest[:, 3] != m[r, 3]
                 hit = np.flatnonzero(ok) + r + 1
                 if len(hit):
-                    unequal = (v[hit] != v[r]).sum(1)
-                    hit = hit[unequal <= (100 - percent) * (m[hit, 2] + m[r, 2]) // (100 + percent)]
+                    apart = np.bitwise_count(v[hit] ^ v[r]).sum(1, dtype=np.int64)
+                    spare = (100 - percent) * (m[hit, 2] + m[r, 2]) // (100 + percent) - apart
+                    if one:
+                        hit = hit[[int(spare.argmax())]] if spare.max() >= 0 else hit[:0]
+                    else:
+                        hit = hit[spare >= 0]
                     a += [m[r, 0]] * len(hit)
                     b += m[hit, 0].tolist()
             low, high = np.minimum(a, b), np.maximum(a, b)
-            return _rows(["a", "b"], [_L, _L], low.astype(np.int64), high.astype(np.int64))
+            return _rows(["sig", "a", "b"], [_L] * 3, np.full(len(a), at[0]), low.astype(np.int64), high.astype(np.int64))
 
         for batch in batches:
             for sig, i, j, id_, label, n, own, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -308,7 +322,19 @@ def _open_pairs(docs: DataFrame, members: DataFrame, k: int, percent: int, name:
             yield flush()
 
     full = rows.join(sketch, ["id", "band"]).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
-    return full.select("sig", "i", "j", "id", "label", "n", "own", "v").mapInArrow(run, "a long, b long").distinct()
+    return full.select("sig", "i", "j", "id", "label", "n", "own", "v").mapInArrow(run, "sig long, a long, b long")
+
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one label."""
+    open_ = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    return members.join(open_, "sig", "left_semi")
+
+
+def _relabelled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``members`` with labels merged along ``links`` (a, b) between labels."""
+    merged = components(links, name).select(F.col("id").alias("label"), "component")
+    return members.join(merged, "label", "left").select("sig", "band", "id", F.coalesce("component", "label").alias("label"))
 
 
 def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, name: str = "ngram") -> DataFrame:
@@ -335,11 +361,23 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, name: str = "ng
     there = labelled.join(unsettled, "sig", "left_semi")
     members = there.select("sig", "band", F.col("a").alias("id"), F.col("ca").alias("label")).unionByName(there.select("sig", "band", F.col("b").alias("id"), F.col("cb").alias("label"))).distinct()
     members = materialize(members, f"{name}-members")
-    more = materialize(_open_pairs(unique, members, k, percent, name), f"{name}-open")
-    more = _verified(unique, more, k, percent, name)
+    sketch = _sketches(unique, members, k, name)
+    # as in Boruvka's algorithm each member first offers its most likely link; buckets without one are done
+    for round_ in range(ROUNDS + 1):
+        pairs = materialize(_open_pairs(members, sketch, percent, one=round_ < ROUNDS), f"{name}-open")
+        new = materialize(_verified(unique, materialize(pairs.select("a", "b").distinct(), f"{name}-asked"), k, percent, name), f"{name}-new")
+        proven = proven.unionByName(new)
+        if round_ == ROUNDS:
+            break
+        own = members.select("id", "label").distinct()
+        between = new.join(own.withColumnsRenamed({"id": "a", "label": "x"}), "a").join(own.withColumnsRenamed({"id": "b", "label": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        left = members.join(pairs.select("sig").distinct(), "sig", "left_semi")
+        members = materialize(_unsettled(_relabelled(left, materialize(between, f"{name}-between"), f"{name}-round")), f"{name}-members")
+        if not members.head(1):
+            break
     # copies and repeated ids join through their classes
     ids = full.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    all_links = proven.unionByName(more).unionByName(ids)
+    all_links = proven.unionByName(ids)
     groups = materialize(components(all_links, f"{name}-groups"), f"{name}-named")
     out = prints.join(groups.select("id", "component"), "id", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
