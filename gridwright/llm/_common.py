@@ -91,11 +91,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     now = materialize(edges.where("a <> b").select(hi.alias("u"), lo.alias("v")).distinct(), name)
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def unfinished(df: DataFrame) -> bool:
+        """Whether a node has two parents, or has one and is one: else every tree is a star."""
+        ends = df.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("below")), F.struct(F.col("v").alias("id"), F.lit(0).alias("below")))))
+        seen = ends.groupBy("id").agg(F.sum("below").alias("below"), F.min("below").alias("root"))
+        return bool(seen.where("below > 1 or below = 1 and root = 0").head(1))
 
-    at = state(now)
-    while at[0]:
+    while unfinished(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), name)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -103,9 +105,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        was, at = at, state(now)
-        if was == at:
-            break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

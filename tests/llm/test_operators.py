@@ -432,3 +432,26 @@ def test_bundles_are_plain_zstandard(spark, tmp_path):
     with open(path, "rb") as f:
         text = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
     assert text.count(b"WARC/1.1\r\n") == 60 and index.select("frame").distinct().count() > 1
+
+
+# --- components ----------------------------------------------------------------
+
+
+def test_components(spark):
+    from gridwright.llm._common import components
+
+    rng = random.Random(10)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(7, 7), (500, 500), (3, 2)]
+    root = {i: i for e in edges for i in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {i: find(i) for e in edges if e[0] != e[1] for i in e}
+    assert components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
