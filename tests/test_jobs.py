@@ -111,3 +111,17 @@ def test_bootstrap_and_gap(spark):
         assert r.lo < r.mean < r.hi and np.isclose(r["mean"], x[:, r.i].mean()) and r.hi - r.lo < 1
     gap = inference.gap_statistic(points, [1, 2, 3], refs=2)
     assert selection.gap_rule(gap, ["g"]).first().k == 2
+
+
+def test_modes_find_the_two_habitats(spark, grown):
+    from gridwright.jobs import modes
+
+    cfg = modes.Config(ks=(2, 3), restarts=1, steps=15)
+    truth = grown.where("param = 'T2'").select("subject", "slice", "x", "y", "truth")
+    for found in (modes.classic(grown, ["T2", "DTI-MD"], cfg), modes.joint(grown, ["T2", "DTI-MD"], cfg)):
+        both = found.join(truth, ["subject", "slice", "x", "y"])
+        assert both.count() == truth.count()
+        hom = metrics.agreement(metrics.counts(both, "truth", "habitat", ["subject"]), ["subject"]).collect()
+        assert all(r.homogeneity > 0.4 for r in hom)
+    meta = modes.discovery(modes.classic(grown, ["T2", "DTI-MD"], cfg).persist(), cfg)
+    assert meta.select("subject").distinct().count() == 2 and all(0 < r.rate <= 1 for r in meta.collect())
