@@ -1,10 +1,13 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes of ``BITS`` bits are cut into ``SEGMENTS`` segments and indexed by
-(segment, value). A query first looks up its own segment values, then values
-one bit away, two bits away and so on; after radius r every code within
-distance SEGMENTS * (r + 1) - 1 has been met by the pigeonhole principle, so a
-query stops as soon as its kth verified distance is not larger than that.
+Distinct codes are dealt into blocks, and distinct query codes too; a task
+holds one block of each (the stated query set against all rows, in blocks, with
+nothing materialized per pair). In a block, codes are indexed by the value of
+each of ``SEGMENTS`` segments. A query looks up, segment by segment, values
+that are r = 0, 1, 2, ... bits away from its own. After radius r in segments
+0..j and r - 1 in the others, every code within distance SEGMENTS * r + j has
+been met (else the distances would add up to more), so a query stops as soon
+as its last verified neighbour is that near. The blocks' answers are merged.
 
 Skew: the index holds each distinct code once, with its k + 1 smallest ids
 (ids beyond can't be in any answer), and each distinct query code is searched
@@ -20,12 +23,18 @@ Defined results
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, table
 
 BITS, SEGMENTS, K = 64, 4, 10
+#: Codes and query codes that one task compares.
+BLOCK, QUERY_BLOCK = 1 << 14, 1 << 12
 
 
 def sign_code(vector: Column, dims: int = BITS) -> Column:
@@ -38,18 +47,55 @@ def sign_code(vector: Column, dims: int = BITS) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) == dims) & ~bad, code)
 
 
-def _segment(code: Column, j: int) -> Column:
-    width = BITS // SEGMENTS
-    return F.shiftrightunsigned(code, j * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
-
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+@lru_cache
+def masks(radius: int) -> np.ndarray:
+    """All values of a segment with ``radius`` bits set."""
+    v = np.arange(1 << (BITS // SEGMENTS), dtype=np.uint64)
+    return v[np.bitwise_count(v) == radius].astype(np.int64)
+
+
+class BlockIndex:
+    """Multi-index over distinct codes; ``first`` is the smallest id of each."""
+
+    def __init__(self, codes: np.ndarray, first: np.ndarray):
+        self.codes, self.first = codes, first
+        self.tables = []
+        for j in range(SEGMENTS):
+            v = self.segment(codes, j)
+            self.tables.append((np.argsort(v, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(v, minlength=1 << (BITS // SEGMENTS)))))))
+        self.met = np.zeros(len(codes), bool)
+
+    @staticmethod
+    def segment(codes, j: int):
+        return ((codes >> np.uint64(j * (BITS // SEGMENTS))) & np.uint64((1 << (BITS // SEGMENTS)) - 1)).astype(np.int64)
+
+    def nearest(self, code: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, distances) of the n nearest codes by (distance, first)."""
+        n = min(n, len(self.codes))
+        self.met[:] = False
+        found, distances, upto = [], [], np.zeros(BITS + 1, np.int64)
+        for radius in range(BITS // SEGMENTS + 1):
+            for j, (order, start) in enumerate(self.tables):
+                probe = int(self.segment(code, j)) ^ masks(radius)
+                lo, size = start[probe], start[probe + 1] - start[probe]
+                lo, size = lo[size > 0], size[size > 0]
+                # positions lo, lo + 1, ..., lo + size - 1 of every bucket hit
+                at = order[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)]
+                at = at[~self.met[at]]
+                self.met[at] = True
+                d = np.bitwise_count(self.codes[at] ^ code).astype(np.int64)
+                found.append(at)
+                distances.append(d)
+                upto += np.bincount(d, minlength=BITS + 1)
+                if upto[: SEGMENTS * radius + j + 1].sum() >= n:  # all of these are proven
+                    at, d = np.concatenate(found), np.concatenate(distances)
+                    best = np.lexsort((self.first[at], d))[:n]
+                    return at[best], d[best]
+        raise AssertionError("every code is met at the full radius")
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = K, name: str = "topk") -> DataFrame:
     """``base`` and ``queries`` hold (id, code). Returns (query_id, rank, id, distance)."""
-    width = BITS // SEGMENTS
     smallest = Window.partitionBy("code").orderBy("id")
     index = materialize(
         base.where("code is not null and id is not null").select("code", "id").distinct()
@@ -58,36 +104,34 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, name: str = "topk")
         f"{name}-index",
     )  # at most k + 1 ids a code
     queries = queries.where("code is not null and id is not null").select("id", "code").distinct()
-    todo = materialize(queries.select(F.col("code").alias("q")).distinct(), f"{name}-todo")
-    segments = index.select(
-        "code", F.col("ids")[0].alias("first"),
-        F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _segment(F.col("code"), j).alias("v")) for j in range(SEGMENTS)])).alias("s"),
-    ).select("code", "first", F.col("s.j").alias("j"), F.col("s.v").alias("v"))
-    best = Window.partitionBy("q").orderBy("distance", "first", "code")
-    found = done = None
-    n_codes = index.count()
-    for radius in range(width + 1):
-        masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << width) - 1).cast("long")), lambda x: F.bit_count(x) == radius)
-        probes = todo.select(
-            "q", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _segment(F.col("q"), j).alias("own")) for j in range(SEGMENTS)])).alias("s")
-        ).select("q", F.col("s.j").alias("j"), F.explode(F.transform(masks, lambda m: F.col("s.own").bitwiseXOR(m))).alias("v"))
-        met = probes.join(segments, ["j", "v"]).select("q", "code", "first", _distance("q", "code").alias("distance"))
-        if found is not None:
-            met = met.unionByName(found.join(todo, "q", "left_semi"))
-        # a code met in two segments comes once; k + 1 codes by (distance, smallest id) hold the k best rows
-        top = met.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-        found = materialize(top, f"{name}-found")
-        worst = found.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d"))
-        closed = worst.where((F.col("n") >= min(k + 1, n_codes)) & (F.col("d") <= SEGMENTS * (radius + 1) - 1)).select("q")
-        ready = found.join(closed, "q", "left_semi")
-        done = ready if done is None else done.unionByName(ready)
-        todo = materialize(todo.join(closed, "q", "left_anti"), f"{name}-todo")
-        if not todo.head(1):
-            break
-    else:
-        done = done.unionByName(found.join(todo, "q", "left_semi"))  # radius covered all values of a segment
+    asked = materialize(queries.select("code").distinct(), f"{name}-asked")
+    blocks, query_blocks = max(1, -(-index.count() // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
+    both = index.select("code", F.col("ids")[0].alias("first"), dealt(blocks).alias("b"), each(query_blocks).alias("q"), F.lit(True).alias("own")).unionByName(
+        asked.select("code", F.lit(None).cast("long").alias("first"), each(blocks).alias("b"), dealt(query_blocks).alias("q"), F.lit(False).alias("own")))
+
+    def nearest(t: pa.Table) -> pa.Table:
+        own = t.column("own").to_numpy(zero_copy_only=False)
+        codes = t.column("code").to_numpy().view(np.uint64)
+        block = BlockIndex(codes[own], t.column("first").filter(pa.array(own)).to_numpy())
+        q, code, first, distance = [], [], [], []
+        for x in codes[~own] if own.any() else ():
+            at, d = block.nearest(x, k + 1)
+            q.append(np.full(len(at), x))
+            code.append(block.codes[at])
+            first.append(block.first[at])
+            distance.append(d)
+        joined = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind).view(np.int64))
+        return pa.table({"q": joined(q, np.uint64), "code": joined(code, np.uint64), "first": joined(first, np.int64), "distance": joined(distance, np.int64)})
+
+    found = both.groupBy("b", "q").applyInArrow(nearest, "q long, code long, first long, distance long")
+    # the k + 1 codes that come first by (distance, smallest id) hold the k best rows
+    best = Window.partitionBy("q").orderBy("distance", "first")
+    done = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     rows = done.join(index.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("id"))
-    pairs = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(rows, "q").where("id <> query_id")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("r") <= k + 1).drop("r")
+    pairs = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(materialize(rows, f"{name}-rows"), "q").where("id <> query_id")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
