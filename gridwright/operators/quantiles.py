@@ -45,9 +45,9 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float])
     mid = place.where(inside).select(*by, "n", F.col("a.i").alias("i"), F.col("a.h").alias("h"), "v", "c").join(under, [*by, "i"], "left")
     upto = Window.partitionBy(*by, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     mid = mid.withColumn("end", F.coalesce("under", F.lit(0)) + F.sum("c").over(upto))
-    ahead = mid.where("end > floor(h)").groupBy(*by, "n", "i").agg(F.min("v").alias("a"), F.first("h").alias("h"))
-    then = mid.where("end > ceil(h)").groupBy(*by, "i").agg(F.min("v").alias("b"))
-    both = ahead.join(then, [*by, "i"]).withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h")))
+    low, high = (F.min(F.when(F.col("end") > f("h"), F.col("v"))) for f in (F.floor, F.ceil))
+    both = mid.groupBy(*by, "n", "i").agg(low.alias("a"), high.alias("b"), F.first("h").alias("h"))
+    both = both.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h")))
     return both.groupBy(*by, "n").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(names[i]) for i in range(last + 1)])
 
 
