@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import contrasts, inference, metrics, pairs, profiles, quantiles, ranks, rules, scaling
+from ..operators import contrasts, inference, metrics, pairs, profiles, quantiles, ranks, rules, scaling, spectral
 from ..sources import roi
 from .catalog import CEN, COS, KEYS, PARAMS, REF, SHARES, STAT, TUM, VEC, VOTE_SQL, PROFILE_SQL, _centroids, _instances, longs, query, r, rule_profiles, voxel_vectors
 
@@ -272,3 +272,9 @@ def g13(spark, sf_dir):
 def m13(spark, sf_dir):
     points = voxel_vectors(spark, sf_dir).select(F.col("subject").cast("string").alias("g"), "v").persist()
     return inference.gap_statistic(points, [2, 3, 4], refs=3)
+
+
+@query("m3_spectral_sizes")
+def m3(spark, sf_dir):
+    points = voxel_vectors(spark, sf_dir).select("subject", "slice", "x", "y", "v")
+    return spectral.spectral(points, 3).groupBy("subject", "label").agg(F.count(F.lit(1)).alias("n"))

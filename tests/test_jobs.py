@@ -125,3 +125,15 @@ def test_modes_find_the_two_habitats(spark, grown):
         assert all(r.homogeneity > 0.4 for r in hom)
     meta = modes.discovery(modes.classic(grown, ["T2", "DTI-MD"], cfg).persist(), cfg)
     assert meta.select("subject").distinct().count() == 2 and all(0 < r.rate <= 1 for r in meta.collect())
+
+
+def test_spectral_clusters_follow_features_and_places(spark, grown):
+    from gridwright.jobs import modes
+    from gridwright.operators import spectral
+
+    points = modes.scaled_points(grown, ["T2", "DTI-MD"])
+    truth = grown.where("param = 'T2'").select("subject", "slice", "x", "y", "truth")
+    out = spectral.spectral(points, 2, landmarks=200).join(truth, ["subject", "slice", "x", "y"])
+    assert out.count() == truth.count()
+    ari = metrics.agreement(metrics.counts(out, "truth", "label", ["subject"]), ["subject"]).collect()
+    assert all(r.ari > 0.4 for r in ari)
