@@ -48,14 +48,14 @@ from ._common import checked, components, materialize, table, text_batches
 from ._text import mix, shingle_hashes, word_hashes
 
 K, PERCENT = 4, 85
-BAND_RATIO = 1.3
+BAND_RATIO = 1.5
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
 #: Rounds in which each member of an unsettled bucket offers one link, before all are asked.
 ROUNDS = 2
 #: Pairs of one hub that one task verifies.
 HUB_PAIRS = 1000
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -124,17 +124,22 @@ def signatures(s: np.ndarray, band: tuple[int, int, int], percent: int) -> np.nd
     m, spare = segments(lo, hi, percent)
     if m == 1:  # no difference is allowed; equal sets are joined as classes
         return np.zeros(0, np.uint64)
+    # partners have at most ``top`` elements: fewer differences than in the band at large, so the first segments will do
+    top = min(hi, 100 * len(s) // percent)
+    need = (100 - percent) * (len(s) + top) // (100 + percent) + 1 + spare
     mixed, seg, has, start, content = _subsets(s, m)
+    first = has < need
+    if need - int(first.sum()) <= spare:
+        return np.unique(_named(number, 0, has[first], content[first]))
     out = [_named(number, 0, has, content)]
-    if m - len(has) > spare:
-        size = np.diff(np.append(start, len(s)))
-        out.append(_named(number, 1, has, content))
-        with np.errstate(over="ignore"):
-            without = np.repeat(content, size) - mixed
-        many = np.repeat(size, size) > 1
-        out.append(_named(number, 1, seg[many], without[many]))
-        if int((size == 1).sum()) + 2 * int((size > 1).sum()) < m - spare:
-            out.append(_named(number, 2, np.zeros(1), np.zeros(1, np.uint64)))
+    size = np.diff(np.append(start, len(s)))
+    out.append(_named(number, 1, has, content))
+    with np.errstate(over="ignore"):
+        without = np.repeat(content, size) - mixed
+    many = np.repeat(size, size) > 1
+    out.append(_named(number, 1, seg[many], without[many]))
+    if int((size == 1).sum()) + 2 * int((size > 1).sum()) < m - spare:
+        out.append(_named(number, 2, np.zeros(1), np.zeros(1, np.uint64)))
     return np.unique(np.concatenate(out))
 
 
