@@ -60,17 +60,19 @@ def encoder(files: tuple[str, str]):
         import tiktoken
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         with open(files[1], "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoders[files] = Tokenizer.from_file(files[0]), fast
-    slow, fast = _encoders[files]
+        _encoders[files] = fast, []
+    fast, slow = _encoders[files]
 
     def encode(text: str) -> np.ndarray:
         if _PLAIN.search(text) or _SPECIAL in text:
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            if not slow:  # loaded where it is needed only, as it holds much memory
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(files[0]))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
         return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
 
     return encode
