@@ -83,18 +83,14 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, sampled and, at most one a source, cut to its first words, so that sources meet their targets."""
+    """Documents repeated and sampled whole, so that sources meet their targets.
+
+    The document in which a source's target ends is taken if that ends at least as near the target as leaving it.
+    """
     rows = _whole_rows(docs, "doc_id", "source", "text").withColumn("size", mixing.n_words(F.col("text")))
     mixed = mixing.mix(rows)
-    whole = mixed.where("whole > 0 or part >= size and part > 0")
-    times = F.col("whole") + F.when((F.col("part") >= F.col("size")) & (F.col("part") > 0), 1).otherwise(0)
-    whole = whole.select("row", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("row")
-    words = F.regexp_extract_all("text", F.lit(mixing.WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = mixed.where("part > 0 and part < size").withColumn("text", F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), ""))
-    part = part.withColumn("row", F.col("row").withField("text", F.col("text")))
-    if "n_chars" in docs.columns:
-        part = part.withColumn("row", F.col("row").withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return whole.unionByName(part.select("row")).select("row.*")
+    times = F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    return mixed.where(times > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,5 +52,23 @@ def test_empty_corpus(spark, corpus):
         assert docs.count() == 0
 
 
+def test_mixing_keeps_texts_whole(spark):
+    rng = random.Random(21)
+    rows = [(i, prose(rng.randint(1, 40), rng), "en", f"s{i % 5}", 1) for i in range(60)]
+    rows += [(60, prose(5000, rng), "en", "s0", 1), (61, prose(900, rng), "en", "t0", 1), (62, prose(700, rng), "en", "t1", 1), (63, prose(800, rng), "en", "t2", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.mixing_stage(spark, docs, "").toPandas()
+    text = {r[0]: r[1] for r in rows}
+    assert all(text[i] == t for i, t in zip(got.doc_id, got.text, strict=True)) and (got.n_chars == 1).all()
+    assert got.groupby("doc_id").size().max() <= 3
+    sizes = {r[0]: len(_words(r[1])) for r in rows}
+    plan = corpus_pipeline.mixing.mix(spark.createDataFrame([(r[0], r[3], sizes[r[0]]) for r in rows], "doc_id long, source string, size long")).toPandas()
+    assert ((plan.part > 0) & (plan.part < plan["size"])).sum() > 2
+    for source, p in plan.groupby("source"):
+        edge = p[(p.part > 0) & (p.part < p["size"])]["size"].max()
+        taken = sum(sizes[i] for i in got.doc_id[got.source == source])
+        assert abs(taken - round(p.target.iloc[0])) <= (0 if edge != edge else edge / 2)
+
+
 def test_run(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).count() > 50
