@@ -27,7 +27,8 @@ Defined results
 ---------------
 * Null text or no word: an empty set, linked with nothing. Fewer than k words:
   the whole sequence as one shingle. Shingles are hashed to 64 bits.
-* Repeated ids: rows of one id are linked through it. Id null: component null.
+* Repeated ids: rows of one id are linked through it, also if their texts
+  differ; each text meets its own partners. Id null: component null.
 * Ties at the threshold link. Equal sets link whatever their number; they are
   joined once, as a class. An empty table gives an empty result.
 * Other columns are ignored; texts are read whole.
@@ -160,15 +161,19 @@ def _rows(names: list[str], kinds: list[pa.DataType], *cols) -> pa.RecordBatch:
 _L = pa.int64()
 
 
+def _prints_of(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, two hashes) of each set."""
+    n = np.array([len(s) for s in found], np.int64)
+    with np.errstate(over="ignore"):
+        a = np.array([mix(s ^ np.uint64(1)).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
+        b = np.array([mix(s ^ np.uint64(2)).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
+    return n, a, b
+
+
 def _fingerprints(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sets(batch.column(1), k)
-            n = np.array([len(s) for s in found], np.int64)
-            with np.errstate(over="ignore"):
-                a = np.array([mix(s ^ np.uint64(1)).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
-                b = np.array([mix(s ^ np.uint64(2)).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
-            yield _rows(["id", "n", "a", "b"], [_L] * 4, batch.column(0), n, a, b)
+            yield _rows(["id", "n", "a", "b"], [_L] * 4, batch.column(0), *_prints_of(sets(batch.column(1), k)))
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, a long, b long")
 
@@ -342,17 +347,53 @@ def _relabelled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return members.join(merged, "label", "left").select("sig", "band", "id", F.coalesce("component", "label").alias("label"))
 
 
+def _free_ids(classes: DataFrame, taken: DataFrame, name: str) -> DataFrame:
+    """``classes`` (n, a, b) with a node each that no other class and no id of ``taken`` has."""
+    salt = 0
+    while True:
+        free = materialize(classes.select("*", F.xxhash64(F.lit(salt), "n", "a", "b").alias("node")), f"{name}-free")
+        if not free.join(taken.select(F.col("id").alias("node")), "node", "left_semi").head(1) and not free.groupBy("node").count().where("count > 1").head(1):
+            return free
+        salt += 1
+
+
+def _texts_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(id, text): a text of each of ``classes`` (n, a, b, node), under its node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows(["n", "a", "b", "text"], [_L] * 3 + [pa.string()], *_prints_of(sets(batch.column(1), k)), batch.column(1))
+
+    texts = docs.select("id", "text").mapInArrow(run, "n long, a long, b long, text string")
+    return texts.join(checked(classes), ["n", "a", "b"]).groupBy(F.col("node").alias("id")).agg(F.min("text").alias("text"))
+
+
 def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, name: str = "ngram") -> DataFrame:
     """``docs`` (id, text): returns (id, n_shingles, component_id) for each row."""
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("id").cast("long").alias("id"), "text")
     prints = materialize(_fingerprints(docs, k), f"{name}-prints")
     key = ["n", "a", "b"]
-    # rows of one id are one node: its smallest class stands for all of them
-    classes = materialize(prints.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), f"{name}-classes")
-    full = prints.where("n > 0 and id is not null").join(classes.where("rows > 1"), key)
-    copies = materialize(full.where("id <> rep").select("id").distinct(), f"{name}-copies")
-    unique = docs.where("id is not null").join(checked(copies), "id", "left_anti")
+    fit = prints.where("n > 0 and id is not null")
+    # a class is a node, named by the smallest of its ids that have no other class; where there is none, by a number that is no id
+    ends = fit.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in key for f in (F.min, F.max)])
+    several = materialize(ends.where(" or ".join(f"min_{c} <> max_{c}" for c in key)).select("id"), f"{name}-several")
+    mixed = bool(several.head(1))
+    if mixed:
+        fit = fit.join(checked(several.withColumn("several", F.lit(True))), "id", "left")
+    own = F.when(F.col("several").isNull(), F.col("id")) if mixed else F.col("id")
+    classes = materialize(fit.groupBy(*key).agg(F.min(own).alias("node"), F.count(F.lit(1)).alias("rows")), f"{name}-classes")
+    if mixed:
+        free = _free_ids(classes.where("node is null").select(*key), prints, name)
+        classes = classes.where("node is not null").select(*key, "node").unionByName(free)
+    else:
+        classes = classes.where("rows > 1").select(*key, "node")
+    copies = materialize(fit.join(classes, key).where("id <> node").select("id", "node").distinct(), f"{name}-copies")
+    # an id's rows without a word must not stand for those with words
+    worded = F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    unique = docs.where(worded).join(checked(copies.select("id")), "id", "left_anti")
+    if mixed:
+        unique = materialize(unique.unionByName(_texts_of(docs.join(checked(several), "id", "left_semi"), free, k)), f"{name}-texts")
     links = materialize(_hub_links(_signature_rows(unique, k, percent)), f"{name}-links")
     counted = links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     best = counted.groupBy("b").agg(F.max_by("a", F.struct(F.col("shared"), -F.col("a"))).alias("a"))
@@ -381,9 +422,11 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, name: str = "ng
         if not members.head(1):
             break
     # copies and repeated ids join through their classes
-    ids = full.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    all_links = proven.unionByName(ids)
+    all_links = proven.unionByName(copies.select(F.col("node").alias("a"), F.col("id").alias("b")))
     groups = materialize(components(all_links, f"{name}-groups"), f"{name}-named")
+    if mixed:  # a component is named by its smallest id, whatever its nodes
+        ids = groups.join(free.select(F.col("node").alias("id")), "id", "left_anti")
+        groups = ids.join(ids.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))
     out = prints.join(groups.select("id", "component"), "id", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

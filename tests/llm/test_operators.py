@@ -244,6 +244,27 @@ def test_ngram_join_many_near_copies(spark):
         assert {r.id: r.component_id for r in got} == want
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    rng = random.Random(17)
+
+    def near(text):
+        w = text.split()
+        w[rng.randrange(len(w))] = "other"
+        return " ".join(w)
+
+    x, y, p, q, z = (prose(60 + i, rng) for i in range(5))
+    rows = [(3, x), (5, x), (5, y), (9, near(y)), (20, p), (20, q), (21, near(p)), (22, near(q)), (22, None), (30, z), (30, prose(9, rng)), (-7, prose(70, rng))]
+    families = [prose(80, rng) for _ in range(30)]
+    for _ in range(50):
+        t = rng.choice(families)
+        rows.append((100 + rng.randrange(45), rng.choice([t, near(t)])))
+    rng.shuffle(rows)
+    want, _ = brute_components(rows, 4, 85)
+    assert want[9] == 3 and want[22] == 20 and len(set(want.values())) > 8
+    got = ngram_join.similar(spark.createDataFrame(rows, "id long, text string"), name="several").collect()
+    assert len(got) == len(rows) and {r.id: r.component_id for r in got} == want and all(want[r.id] == r.component_id for r in got)
+
+
 def test_ngram_join_of_nothing(spark, empty):
     assert ngram_join.similar(empty.withColumnRenamed("doc_id", "id")).count() == 0
 
