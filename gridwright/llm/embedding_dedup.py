@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from ._common import components, materialize, seeded_uniform, table
 
 THRESHOLD, BLOCK, LEADING = 0.98, 1024, 16
-#: Vectors (as an expected number) from which the basis is fitted; any basis gives the same result.
+#: Vectors (as an expected number) from which the bases are fitted; any basis gives the same result,
+#: and vectors of a length that is not among them keep their own coordinates.
 BASIS_ROWS = 50_000
 
 
@@ -61,7 +62,7 @@ def _unit(a: np.ndarray) -> np.ndarray:
 
 
 def bases(classes: DataFrame, seed: int = 3) -> dict[int, np.ndarray]:
-    """For each vector length a basis, columns by falling variance."""
+    """For each vector length in the sample a basis, columns by falling variance."""
     n = classes.count()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +88,11 @@ def bases(classes: DataFrame, seed: int = 3) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh(s)[1][:, ::-1].copy() for d, s in total.items()}
 
 
-def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i of ``a`` and j of ``b`` with cosine >= threshold."""
-    ua, ub = _unit(a) @ basis, _unit(b) @ basis
+def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of ``a`` and j of ``b`` with cosine >= threshold; no basis: the given coordinates."""
+    ua, ub = _unit(a), _unit(b)
+    if basis is not None:
+        ua, ub = ua @ basis, ub @ basis
     p = min(LEADING, a.shape[1])
     upto = ua[:, :p] @ ub[:, :p].T
     bound = upto + np.outer(np.linalg.norm(ua[:, p:], axis=1), np.linalg.norm(ub[:, p:], axis=1))
@@ -136,7 +139,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, name: str
         out = []
         for x in v:
             a = np.frombuffer(x)
-            lead = (_unit(a[None]) @ basis.value[len(a)][:, :2])[0]
+            lead, turn = _unit(a[None]), basis.value.get(len(a))
+            lead = (lead if turn is None else lead @ turn[:, :2])[0]
             at = np.floor(np.append(lead, 0.0)[:2] / width)
             out.append((len(a), int(at[0]), int(at[1])))
         return pd.DataFrame(out, columns=["dims", "x", "y"])
@@ -168,7 +172,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, name: str
         alone = not len(other) and t.column("bl")[0] == t.column("br")[0] and t.column("lx")[0] == t.column("rx")[0] and t.column("ly")[0] == t.column("ry")[0]
         if alone:
             other = one
-        i, j = linked(m[one], m[other], basis.value[m.shape[1]], threshold) if len(one) and len(other) else (np.zeros(0, int), np.zeros(0, int))
+        i, j = linked(m[one], m[other], basis.value.get(m.shape[1]), threshold) if len(one) and len(other) else (np.zeros(0, int), np.zeros(0, int))
         i, j = one[i], other[j]
         if alone:
             i, j = i[i < j], j[i < j]

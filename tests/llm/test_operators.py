@@ -396,6 +396,12 @@ def test_embedding_dedup_in_blocks(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(embedding_dedup.packed(none, "vec_id", "embedding", "label")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [0, 30])
+def test_embedding_dedup_of_lengths_without_a_basis(spark, monkeypatch, rows):
+    monkeypatch.setattr(embedding_dedup, "BASIS_ROWS", rows)
+    test_embedding_dedup(spark)
+
+
 # --- op9 --------------------------------------------------------------------
 
 
