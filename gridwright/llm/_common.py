@@ -7,9 +7,12 @@ so that a lost executor repeats only the step it was in.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary one is set.
+    Only a local session that names none gets a temporary one; on a cluster that would be the driver's own disk.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridwright-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -45,8 +50,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that no later step reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release() -> None:
+    """Give memory that a finished task left in this Python worker's pools back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, with :func:`release` at its end, since idle workers live on beside those of the next stage."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def whole_rows(df: DataFrame, *cols: str) -> DataFrame:
+    """The named columns, and all columns as ``row``, so that no name can clash."""
+    return df.select(*cols, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small enough for a Python worker."""
+    """Keep Arrow batches of whole texts small enough for a Python worker, from here on in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -114,6 +152,27 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def checked(ids: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
-    """``ids``, marked for broadcast if a count proves it small. Should be a written table."""
-    return F.broadcast(ids) if ids.count() <= rows else ids
+def checked(ids: DataFrame, rows: int = BROADCAST_IDS, arrays: str | None = None) -> DataFrame:
+    """``ids``, marked for broadcast if a count proves it small. Should be a written table.
+
+    ``arrays``: a column of arrays whose elements are counted in the place of rows.
+    """
+    n = ids.count() if arrays is None else ids.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(arrays)), F.lit(0))).first()[0]
+    return F.broadcast(ids) if n <= rows else ids
+
+
+#: Ways in which the rows of a hot key are dealt where its partner can't be broadcast.
+SALTS = 16
+
+
+def salted(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (written; at most one row a key). A key may hold any share of ``big``.
+
+    ``small`` is broadcast if a count proves it small; else it is repeated ``SALTS`` times and the rows of a key in
+    ``big`` are dealt by hash, so that no task gets a whole key.
+    """
+    if small.count() <= BROADCAST_IDS:
+        return big.join(F.broadcast(small), key, how)
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
+    again = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return dealt.join(again, [key, "_salt"], how).drop("_salt")

@@ -28,16 +28,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_up = _powers(_P, 1 << 12)
-_down = _powers(_P_INV, 1 << 12)
+#: Bytes that are hashed at a time.
+CHUNK = 1 << 17
+_up = _powers(_P, CHUNK + 4096)
+_down = _powers(_P_INV, CHUNK + 4096)
 
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _up, _down
-    if len(_up) < n:
-        size = 1 << (n - 1).bit_length()
-        _up, _down = _powers(_P, size), _powers(_P_INV, size)
-    return _up, _down
+    """Powers for ``n`` places; longer tables than the usual ones (one very long word) are not kept."""
+    return (_up, _down) if n <= len(_up) else (_powers(_P, n), _powers(_P_INV, n))
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +84,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     s, e = np.flatnonzero(start), np.flatnonzero(end)
     out = np.empty(len(s), np.uint64)
     i = 0
-    while i < len(s):  # about a megabyte of bytes at a time
+    while i < len(s):
         base = s[i]
-        j = max(i + 1, int(np.searchsorted(e, base + (1 << 20), "right")))
+        j = max(i + 1, int(np.searchsorted(e, base + CHUNK, "right")))
         part = data[base : e[j - 1]]
         up, down = _grown(len(part) + 1)
         with np.errstate(over="ignore"):

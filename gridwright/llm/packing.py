@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, ranked, table, text_batches
+from ._common import materialize, ranked, table, text_batches, tidy
 
 CAPACITY, END_ID = 2048, 0
 #: Texts with other characters than these are encoded by the slower of the
@@ -85,6 +85,12 @@ def pieces(docs: DataFrame, files: tuple[str, str] | None = None, capacity: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(files)
+        try:
+            yield from cut_with(encode, batches)
+        finally:
+            _encoders.clear()  # so that an idle worker doesn't keep them beside the next stage
+
+    def cut_with(encode, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc, copy, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -98,7 +104,7 @@ def pieces(docs: DataFrame, files: tuple[str, str] | None = None, capacity: int
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.monotonically_increasing_id().alias("c"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(cut, "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(cut), "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
