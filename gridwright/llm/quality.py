@@ -1,145 +1,218 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams (bytes in threes, words, pairs of
-words) are fitted: one on target text, one on raw text, that is on labelled
-rows of good and of poor quality. A document's importance weight is the ratio
-of its likelihoods under the two; in log form a sum over its n-grams. Documents
-are then resampled without replacement by Gumbel top-k: of all documents, the k
-with the largest log weight plus Gumbel noise stay, where k is the expected
-number of target-like documents, the sum of w / (1 + w).
-
-The kth largest score is found by counting 16 bits at a time; neither documents
-nor scores go to the driver. Models have a fixed size and are broadcast.
+words) are fitted: one on target text, that is on labelled rows of good
+quality, one on raw text, that is on all documents. A document's log weight is
+the mean log ratio of its n-grams under the two, times ``SCALE``: a mean, since
+the sum over a long text would drown any noise, and scaled so that the noise
+(of a size of about one) reorders documents of like quality. Documents are then
+resampled without replacement by Gumbel top-k: of all documents, the k with the
+largest log weight plus Gumbel noise stay. k is the number of documents whose
+log weight is above the cut that parts labelled good from labelled poor rows
+best, measured on labelled rows that no model was fitted on.
+
+Ratios are kept in steps of 2**-16 as integers, so that sums don't depend on
+order. The kth largest score is found by counting 16 bits at a time; neither
+documents nor scores go to the driver. Models have a fixed size and are
+broadcast.
 
 Defined results
 ---------------
 * Null or empty text, and text without n-grams: log weight 0.
-* No labelled row of one of the two kinds: log weight 0 for all, all kept.
+* No labelled good row: log weight 0 for all, all kept. No labelled poor row:
+  nothing to cut by, all kept.
 * Rows that tie with the kth are kept. Noise depends on id and seed alone, so
   repeated rows and reruns get equal results. Labels for unknown ids, null
-  labels and repeated labels do no harm.
-* Extra columns pass through :func:`resample` unchanged; text is read whole.
+  labels and repeated labels do no harm; an id with both labels has none.
+* :func:`resample` returns whole input rows as the struct ``row``, so that
+  extra columns of any name pass; text is read whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, seeded_uniform, table, text_batches
-from ._text import LOWER, mix, utf8, word_hashes
+from ._common import materialize, release, seeded_uniform, table, text_batches, tidy, whole_rows
+from ._text import CHUNK, LOWER, mix, utf8, word_hashes
 
 BUCKETS = 1 << 17
-#: Labelled rows of each kind that the models are fitted on, as an expected number.
-FIT_ROWS = 20_000
+#: Labelled rows of each kind that are used, as an expected number; ``FIT_SHARE`` of them for the model, the rest for the cut.
+FIT_ROWS, FIT_SHARE = 20_000, 0.8
+#: Log weights are mean log ratios times this.
+SCALE = 200.0
 SEED = 11
 _SAME = np.uint64(0x5A4E)
+_STEP = 1 << 16
+_EDGE, _CELL = 1000.0, 0.25
+
+
+@dataclass
+class Model:
+    """``ratio`` in steps of 2**-16 per bucket, and the log weight that parts good from poor."""
+
+    ratio: np.ndarray
+    cut: float
 
 
 def _buckets(h: np.ndarray) -> np.ndarray:
     return (mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _families(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets of a family's n-grams, first n-gram of each text and the total)."""
+def _grams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text i, buckets, lo, hi): text i + j owns the n-grams lo[j] to hi[j] - 1 of ``buckets``, in parts of bounded size."""
+
+    def parts(n: int, at: np.ndarray, hashes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        last = np.maximum(at[1:] - n + 1, at[:-1])  # after the last n-gram of each text
+        for start in range(0, int(at[-1]), CHUNK):
+            stop = min(start + CHUNK, int(at[-1]) - n + 1)
+            if stop <= start:
+                return
+            i, j = int(np.searchsorted(at, start, "right")) - 1, int(np.searchsorted(at, stop, "left"))
+            lo = np.clip(at[i:j], start, stop)
+            yield i, _buckets(hashes(start, stop)), lo - start, np.maximum(np.clip(last[i:j], start, stop), lo) - start
+
     data, at = utf8(texts)
-    b = LOWER[data].astype(np.uint64)
-    if len(b) > 2:
-        three = (b[:-2] << np.uint64(16)) | (b[1:-1] << np.uint64(8)) | b[2:] | np.uint64(1 << 24)
-        inside = np.ones(len(three), bool)
-        for back in (1, 2):  # no n-gram reaches over the end of a text
-            edge = at[1:-1] - back
-            inside[edge[(edge >= 0) & (edge < len(three))]] = False
-        kept = np.concatenate(([0], np.cumsum(inside)))
-        yield _buckets(three[inside]), kept[np.minimum(at, len(three))]
+
+    def three(a: int, b: int) -> np.ndarray:
+        x = LOWER[data[a : b + 2]].astype(np.uint64)
+        return (x[:-2] << np.uint64(16)) | (x[1:-1] << np.uint64(8)) | x[2:] | np.uint64(1 << 24)
+
+    yield from parts(3, at, three)
     w, at = word_hashes(texts)
-    if len(w):
-        yield _buckets(w ^ np.uint64(1)), at
-    if len(w) > 1:
+
+    def two(a: int, b: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            two = np.where(w[1:] == w[:-1], _SAME, w[:-1] * np.uint64(0xD6E8FEB86659FD93) + w[1:])
-        inside = np.ones(len(two), bool)
-        edge = at[1:-1] - 1
-        inside[edge[(edge >= 0) & (edge < len(two))]] = False
-        kept = np.concatenate(([0], np.cumsum(inside)))
-        yield _buckets(two[inside]), kept[np.minimum(at, len(two))]
+            return np.where(w[a + 1 : b + 1] == w[a:b], _SAME, w[a:b] * np.uint64(0xD6E8FEB86659FD93) + w[a + 1 : b + 1])
 
+    yield from parts(1, at, lambda a, b: w[a:b] ^ np.uint64(1))
+    yield from parts(2, at, two)
 
-def log_weights(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(texts))
-    for buckets, at in _families(texts):
-        upto = np.concatenate(([0.0], np.cumsum(ratio[buckets])))
-        out += upto[at[1:]] - upto[at[:-1]]
-    return out
 
+def counts(texts: pa.Array) -> np.ndarray:
+    out = np.zeros(BUCKETS, np.int64)
+    for _, buckets, lo, hi in _grams(texts):
+        inside = np.zeros(len(buckets) + 1, np.int8)
+        np.add.at(inside, lo, 1)
+        np.subtract.at(inside, hi, 1)
+        out += np.bincount(buckets[np.cumsum(inside[:-1]) > 0], minlength=BUCKETS)
+    return out
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = SEED) -> np.ndarray | None:
-    """Log ratio of target and raw probability per bucket; None without rows of both kinds.
 
-    ``docs`` (doc_id, text), ``labels`` (doc_id, target boolean).
-    """
-    labels = labels.where("doc_id is not null and target is not null").select("doc_id", "target").distinct()
+def log_weights(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
+    total, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for i, buckets, lo, hi in _grams(texts):
+        upto = np.zeros(len(buckets) + 1, np.int64)
+        np.cumsum(ratio[buckets], out=upto[1:])
+        total[i : i + len(lo)] += upto[hi] - upto[lo]
+        n[i : i + len(lo)] += hi - lo
+    return SCALE / _STEP * (total / np.maximum(n, 1))
+
+
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Steps of log(p target / p raw); counts are scaled to the same sum, so that an unseen n-gram weighs nothing."""
+    n = min(target.sum(), raw.sum())
+    p, q = target * (n / target.sum()) + 1.0, raw * (n / raw.sum()) + 1.0
+    return np.round((np.log(p) - np.log(q)) * _STEP).astype(np.int32)
+
+
+def best_cut(cells: dict[tuple[bool, int], int]) -> float:
+    """The log weight with the least sum of (good below, poor above), as shares; the middle if several are."""
+    places = sorted({c for _, c in cells})
+    good, poor = (sum(n for (k, _), n in cells.items() if k is kind) for kind in (True, False))
+    if not good or not poor:
+        return -np.inf
+    best, lost, rest = (np.inf, 0, 0), 0, poor
+    for i, c in enumerate(places):
+        lost += cells.get((True, c), 0)
+        rest -= cells.get((False, c), 0)
+        after = places[i + 1] if i + 1 < len(places) else c + 1
+        best = min(best, (lost / good + rest / poor, c, after), key=lambda x: x[0])
+    return _CELL * (best[1] + 1 + best[2]) / 2
+
+
+def _weigh(ratio):
+    @F.arrow_udf("double")
+    def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield pa.array(log_weights(texts, ratio.value))
+        finally:
+            release()
+
+    return weigh
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = SEED) -> Model | None:
+    """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, target boolean); None without labelled good text."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    labels = labels.where("doc_id is not null and target is not null").groupBy("doc_id").agg(F.min("target").alias("target"), F.max("target").alias("most"))
+    labels = labels.where("target = most").select("doc_id", "target")
     sizes = {r["target"]: r["count"] for r in labels.groupBy("target").count().collect()}
-    if len(sizes) < 2:
+    if True not in sizes:
         return None
-    share = F.when(F.col("target"), min(1.0, rows / sizes[True])).otherwise(min(1.0, rows / sizes[False]))
-    chosen = labels.where(seeded_uniform(seed, F.col("doc_id")) < share)  # about 2 * rows ids
-    text_batches(docs.sparkSession)
+    share = F.when(F.col("target"), min(1.0, rows / sizes[True])).otherwise(min(1.0, rows / sizes.get(False, 1)))
+    u = seeded_uniform(seed, F.col("doc_id"))
+    chosen = materialize(labels.where(u < share).select("doc_id", "target", (u < share * FIT_SHARE).alias("fit")), "quality-labels")  # about 2 * rows ids
+    texts = docs.join(F.broadcast(chosen), "doc_id", "left").where("text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[bool, np.ndarray] = {}
+        sums = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            kinds = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for kind in np.unique(kinds):
-                for buckets, _ in _families(batch.column(1).filter(pa.array(kinds == kind))):
-                    sums[bool(kind)] = sums.get(bool(kind), 0) + np.bincount(buckets, minlength=BUCKETS).astype(np.int32)
-        yield from packed(sums)
+            sums[0] += counts(batch.column(1))
+            good = np.asarray(batch.column(0).fill_null(False).to_numpy(zero_copy_only=False), bool)
+            if good.any():
+                sums[1] += counts(batch.column(1).filter(pa.array(good)))
+        yield packed(sums)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[bool, np.ndarray] = {}
+        sums = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for kind, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[kind] = sums.get(kind, 0) + np.frombuffer(c, np.int32)
-        yield from packed(sums)
-
-    def packed(sums: dict) -> Iterator[pa.RecordBatch]:
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()])], names=["k", "c"])
-
-    texts = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("target", "text")
-    part = texts.mapInArrow(count, "k boolean, c binary")
-    found = part.repartition(4).mapInArrow(add, "k boolean, c binary").collect()  # at most 4 rows a kind
-    counts = {kind: sum(np.frombuffer(r["c"], np.int32).astype(float) for r in found if r["k"] is kind) for kind in (True, False)}
-    if any(np.ndim(c) == 0 or not c.sum() for c in counts.values()):
+            for c in batch.column(0).to_pylist():
+                sums += np.frombuffer(c, np.int64).reshape(2, BUCKETS)
+        yield packed(sums)
+
+    def packed(sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([sums.tobytes()])], names=["c"])
+
+    part = texts.select((F.col("target") & F.col("fit")).alias("t"), "text").mapInArrow(tidy(count), "c binary")
+    found = part.repartition(4).mapInArrow(tidy(add), "c binary").collect()  # 4 rows of a fixed size
+    raw, target = sum(np.frombuffer(r["c"], np.int64).reshape(2, BUCKETS) for r in found)
+    if not target.sum():
         return None
-    n = min(c.sum() for c in counts.values())  # equal sizes, so that an unseen n-gram weighs nothing
-    p = {kind: c * (n / c.sum()) + 1.0 for kind, c in counts.items()}
-    return (np.log(p[True]) - np.log(p[False])).astype(np.float32)
+    ratio = log_ratio(target, raw)
+    rest = texts.where("not fit").select("target", _weigh(spark.sparkContext.broadcast(ratio))("text").alias("w"))
+    place = F.floor(F.greatest(F.lit(-_EDGE), F.least(F.lit(_EDGE), F.col("w"))) / _CELL).cast("int")
+    cells = {(r["target"], r["place"]): r["count"] for r in rest.groupBy("target", place.alias("place")).count().collect()}  # a bounded number of places
+    return Model(ratio, best_cut(cells))
 
 
-def resample(docs: DataFrame, ratio: np.ndarray | None, seed: int = SEED, name: str = "quality") -> DataFrame:
-    """``docs`` (doc_id, text, ...) with log_weight, perturbed and kept; text is scored once."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(np.zeros(BUCKETS, np.float32) if ratio is None else ratio)
+def resample(docs: DataFrame, model: Model | None, seed: int = SEED, name: str = "quality") -> DataFrame:
+    """(row, log_weight, perturbed, kept) for each row of ``docs`` (doc_id, text, ...).
+
+    Text is weighed once: the rows are written with their weights, so ``docs`` should hold only columns that are needed.
+    """
+    return _chosen(whole_rows(docs, "doc_id", "text"), model, seed, name, "row")
 
-    @F.pandas_udf("double")
-    def weigh(texts: pd.Series) -> pd.Series:
-        return pd.Series(log_weights(pa.Array.from_pandas(texts, type=pa.string()), shared.value))
 
-    scored = docs.withColumn("log_weight", weigh("text"))
-    if ratio is None:
-        return scored.withColumn("perturbed", F.col("log_weight")).withColumn("kept", F.lit(True))
+def _chosen(docs: DataFrame, model: Model | None, seed: int, name: str, *cols: str) -> DataFrame:
+    spark = docs.sparkSession
+    text_batches(spark)
+    if model is None:
+        zero = F.lit(0.0)
+        return docs.select(*cols, zero.alias("log_weight"), zero.alias("perturbed"), F.lit(True).alias("kept"))
+    weigh = _weigh(spark.sparkContext.broadcast(model.ratio))
     noise = -F.log(-F.log(seeded_uniform(seed + 1, F.col("doc_id"))))
-    scored = scored.withColumn("perturbed", F.col("log_weight") + noise)
-    slim = materialize(scored.select("log_weight", "perturbed"), f"{name}-weights")
-    k = int(round(slim.agg(F.coalesce(F.sum(1 / (1 + F.exp(-F.col("log_weight")))), F.lit(0.0))).first()[0]))
-    return scored.withColumn("kept", _key(F.col("perturbed")) >= kth_largest(slim.select(_key(F.col("perturbed")).alias("key")), k))
+    scored = materialize(docs.select(*cols, weigh("text").alias("log_weight"), noise.alias("noise")), f"{name}-weights")
+    scored = scored.withColumn("perturbed", F.col("log_weight") + F.col("noise")).drop("noise")
+    k = scored.where(F.col("log_weight") >= float(model.cut)).count()
+    return scored.withColumn("kept", _key(F.col("perturbed")) >= kth_largest(scored.select(_key(F.col("perturbed")).alias("key")), k))
 
 
 def _key(score):
@@ -154,8 +227,8 @@ def kth_largest(keys: DataFrame, k: int) -> int:
         return 1 << 62
     for shift in (48, 32, 16, 0):
         here = keys.where(F.shiftright("key", shift + 16) == prefix) if shift < 48 else keys
-        counts = here.groupBy(F.shiftright("key", shift).alias("p")).count().collect()
-        for p, n in sorted(((r["p"], r["count"]) for r in counts), reverse=True):
+        found = here.groupBy(F.shiftright("key", shift).alias("p")).count().collect()
+        for p, n in sorted(((r["p"], r["count"]) for r in found), reverse=True):
             if n >= k:
                 prefix = p
                 break
@@ -171,4 +244,4 @@ def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, fit(docs, good_labels(spark, sf_dir))).select("doc_id", "log_weight", "perturbed", "kept")
+    return _chosen(docs, fit(docs, good_labels(spark, sf_dir)), SEED, "quality", "doc_id")
