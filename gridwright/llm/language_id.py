@@ -3,8 +3,10 @@
 Training counts n-grams of labelled texts per language inside the tasks, so
 what leaves a task is one row of counts per language, never texts. The
 log-probability matrix (languages x 2**16 buckets of float32) has a fixed size
-per language and is broadcast; scoring turns each text into sparse bucket
-counts and multiplies them with the matrix in numpy.
+per language and is broadcast; scoring turns a batch of texts into a sparse
+matrix of their n-grams' buckets and multiplies it with the broadcast one in
+numpy. Log probabilities are kept in steps of 2**-16, so that sums are exact in
+any order.
 
 Defined results
 ---------------
@@ -14,7 +16,8 @@ Defined results
   occur; ties go to the language that sorts first.
 * Whole texts are read, in windows of ``_WINDOW`` characters that overlap by
   n - 1, so very long texts need no more memory than short ones.
-* Other columns, whatever their names, pass through :func:`identify`.
+* :func:`identify` returns whole input rows as the struct ``row``, so that
+  columns of any name pass.
 """
 
 from __future__ import annotations
@@ -22,12 +25,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import seeded_uniform, table, text_batches
+from ._common import release, seeded_uniform, table, text_batches, tidy, whole_rows
 from ._text import mix
 
 BUCKETS = 1 << 16
@@ -37,38 +39,63 @@ ORDERS = (1, 2, 3)
 ROWS_PER_LANGUAGE = 20_000
 #: More labels than this mean that the column does not hold languages.
 MAX_LANGUAGES = 2_000
-_WINDOW = 1 << 16
+_WINDOW = 1 << 15
+_STEP = float(1 << 16)
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-case code points; runs of anything but letters become one blank."""
-    a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case code points of all texts, and where each begins; runs of anything but letters, and each beginning, are one blank."""
+    low = [" " + t.lower() for t in texts]
+    at = np.cumsum([0, *map(len, low)])
+    a = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = (a >= 97) & (a <= 122) | (a > 127)
-    a = np.where(letter, a, np.uint32(32))
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    return np.concatenate(([np.uint32(32)], a[keep]))
-
+    keep[at[:-1]] = True
+    return np.where(letter, a, np.uint32(32))[keep], np.concatenate(([0], np.cumsum(keep)))[at]
 
-def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text))
 
+def sparse_rows(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The sparse matrix of a batch (texts by buckets) in parts of bounded size: (first text i, buckets, starts).
 
-def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets that occur, how often) over the whole text."""
-    a = _codes(text)
-    total = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(a), _WINDOW):
-        w = a[at : at + _WINDOW + max(ORDERS) - 1].astype(np.uint64)
-        own = min(_WINDOW, len(a) - at)
+    Text i + j has the n-grams starts[j] to starts[j + 1] - 1 of ``buckets``; ``BUCKETS`` stands for none.
+    """
+    a, at = _codes(texts)
+    ends = np.repeat(at[1:], np.diff(at))
+    for start in range(0, len(a), _WINDOW):
+        stop = min(start + _WINDOW, len(a))
+        w = a[start : stop + max(ORDERS) - 1].astype(np.uint64)
+        room = ends[start:stop] - np.arange(start, stop)  # code points from here to the text's end
         h = np.zeros(len(w), np.uint64)
+        own = np.full((stop - start, len(ORDERS)), BUCKETS, np.int32)
         for n in range(1, max(ORDERS) + 1):
             h = h[: len(w) - n + 1] * np.uint64(0x100000001B3) + w[n - 1 :]
             if n in ORDERS:
-                b = (mix(h[:own] + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int64)
-                total += np.bincount(b, minlength=BUCKETS)
-    hit = np.flatnonzero(total)
-    return hit, total[hit]
+                fits = np.flatnonzero(room >= n)
+                own[fits, ORDERS.index(n)] = (mix(h[fits] + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int32)
+        i, j = int(np.searchsorted(at, start, "right")) - 1, int(np.searchsorted(at, stop, "left"))
+        yield i, own.ravel(), (np.maximum(at[i:j], start) - start) * len(ORDERS)
+
+
+def batch_counts(texts: list[str]) -> np.ndarray:
+    """How often each bucket occurs in all texts."""
+    out = np.zeros(BUCKETS + 1, np.int64)
+    for _, buckets, _ in sparse_rows(texts):
+        out += np.bincount(buckets, minlength=BUCKETS + 1)
+    return out[:BUCKETS]
+
+
+def log_likelihoods(texts: list[str], model: np.ndarray) -> np.ndarray:
+    """Texts by languages: prior plus the sparse rows times the matrix ``model`` (languages by buckets, prior last)."""
+    by_bucket = np.ascontiguousarray(np.concatenate([model[:, :-1], np.zeros((len(model), 1), model.dtype)], 1).T)
+    out = np.tile(model[:, -1].astype(np.float64), (len(texts), 1))
+    for i, buckets, starts in sparse_rows(texts):
+        out[i : i + len(starts)] += np.add.reduceat(by_bucket[buckets], starts, axis=0, dtype=np.float64)
+    return out
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5,
@@ -87,22 +114,19 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
+            texts: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang not in sums:
-                    sums[lang] = np.zeros(BUCKETS, np.int64)
-                hit, n = ngram_counts(text)
-                sums[lang][hit] += n
+                texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                sums[lang] = sums.get(lang, 0) + batch_counts(own)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()])], names=["l", "c"])
 
     # a task leaves one row per language; adding the rows of a language runs in blocks of tasks
     picked = train.where(seeded_uniform(seed, F.col("i")) < share[F.col("l")])
-    part = picked.select("l", "t").mapInArrow(count, "l string, c binary")
+    part = picked.select("l", "t").mapInArrow(tidy(count), "l string, c binary")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from count_sums(batches)
-
-    def count_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -110,7 +134,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()])], names=["l", "c"])
 
-    rows = part.repartition(8).mapInArrow(add, "l string, c binary").collect()  # at most 8 rows per language
+    rows = part.repartition(8).mapInArrow(tidy(add), "l string, c binary").collect()  # at most 8 rows per language
     langs = sorted({r["l"] for r in rows})
     docs = {r["l"]: r["count"] for r in sizes}
     counts = np.zeros((len(langs), BUCKETS))
@@ -119,34 +143,36 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     p = counts + smoothing
     model = np.log(p / p.sum(1, keepdims=True))
     prior = np.log(np.array([docs[x] for x in langs], float) / sum(docs[x] for x in langs))
-    return langs, np.concatenate([model, prior[:, None]], 1).astype(np.float32)
+    return langs, (np.round(np.concatenate([model, prior[:, None]], 1) * _STEP) / _STEP).astype(np.float32)
 
 
 def identify(df: DataFrame, langs: list[str], model: np.ndarray, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (posterior of the prediction, 0 to 1)."""
+    """(row, lang_pred, score): each whole row of ``df``, its language and the posterior of that, 0 to 1."""
     spark = df.sparkSession
     text_batches(spark)
-    shared = spark.sparkContext.broadcast((langs, np.ascontiguousarray(model.T)))
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        names, by_bucket = shared.value
-        pred, score = [], []
-        for text in texts:
-            if not names or not text or not has_letter(text):
-                pred.append("und")
-                score.append(0.0)
-                continue
-            hit, n = ngram_counts(text)
-            ll = n.astype(np.float64) @ by_bucket[hit] + by_bucket[-1]
-            best = int(np.argmax(ll))
-            pred.append(names[best])
-            score.append(float(1 / np.exp(ll - ll[best]).sum()))
-        return pd.DataFrame({"lang_pred": pred, "score": score})
-
-    return df.withColumn("_p", predict(F.col(text_col))).select(
-        *[df[c] for c in df.columns if c not in ("lang_pred", "score")], F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score")
-    )
+    shared = spark.sparkContext.broadcast((langs, model))
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names, matrix = shared.value
+        try:
+            for batch in batches:
+                texts = batch.to_pylist()
+                out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+                ask = [i for i, t in enumerate(texts) if names and t and has_letter(t)]
+                if ask:
+                    ll = log_likelihoods([texts[i] for i in ask], matrix)
+                    best = ll.argmax(1)
+                    score = 1 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
+                    for i, b, x in zip(ask, best.tolist(), score.tolist(), strict=True):
+                        out[i] = names[b], x
+                yield pa.array([{"lang_pred": p, "score": x} for p, x in out], kind)
+        finally:
+            release()
+
+    rows = whole_rows(df).withColumn("p", predict(F.col(f"row.`{text_col}`")))
+    return rows.select("row", F.col("p.lang_pred").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,4 +180,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     langs, model = fit(docs.where("not held_out"))
-    return identify(docs.select("doc_id", "text", "held_out"), langs, model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", "text", "held_out"), langs, model).select("row.doc_id", "row.held_out", "lang_pred", "score")
