@@ -18,7 +18,8 @@ Defined results
 * Repeated rows are rows of their own; among rows with the same id, the
   smaller size comes first. Rows that are equal get equal results or share
   the boundary in either order.
-* Extra columns pass through :func:`mix` unchanged.
+* :func:`mix` returns whole input rows as the struct ``row``, so that extra
+  columns of any name pass.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, seeded_uniform, table
+from ._common import materialize, seeded_uniform, table, whole_rows
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -72,39 +73,36 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``docs`` (doc_id, source, size, ...) with source_size, target, whole and part.
+    """(row, source_size, target, whole, part) for each row of ``docs`` (doc_id, source, size, ...).
 
     ``whole`` repetitions of all words and ``part`` words once more are taken.
     """
     targets = materialize(source_targets(docs.select("source", "size"), weights, max_epochs), "mix-targets")
     small = targets.count() <= BROADCAST_SOURCES
     aside = (lambda t: F.broadcast(t)) if small else (lambda t: t)
-    size, target = F.col("_t.source_size"), F.col("_t.target")
-    whole = F.when(size > 0, F.floor(target / size)).otherwise(F.lit(0)).cast("long")
-    one = targets.select("source", F.struct("source_size", "target", F.ceil(F.sqrt("n")).alias("blocks")).alias("_t"))
-    rows = docs.alias("d").join(aside(one.withColumnRenamed("source", "_s")), F.col("d.source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("_whole", whole).withColumn("_rest", F.round(target).cast("long") - F.col("_whole") * size)
-    rows = rows.withColumn("_u", seeded_uniform(seed, F.col("doc_id"))).withColumn("_block", F.floor(F.col("_u") * F.col("_t.blocks")))
-    blocks = rows.groupBy("source", "_block").agg(F.sum("size").alias("_sum"), F.first("_rest").alias("_rest"))
-    upto = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("_upto", F.sum("_sum").over(upto))
+    rows = whole_rows(docs, "doc_id", "source", "size")
+    one = targets.select(F.col("source").alias("s"), "source_size", "target", F.ceil(F.sqrt("n")).alias("blocks"))
+    rows = rows.join(aside(one), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    rows = rows.withColumn("whole", whole).withColumn("rest", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
+    rows = rows.withColumn("u", seeded_uniform(seed, F.col("doc_id"))).withColumn("block", F.floor(F.col("u") * F.col("blocks")))
+    blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("sum"), F.first("rest").alias("rest"))
+    upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("upto", F.sum("sum").over(upto))
     # the block in which the rest ends, and the words of the blocks before it
-    edge = blocks.where("_upto > _rest").groupBy("source").agg(F.min(F.struct("_block", (F.col("_upto") - F.col("_sum")).alias("before"))).alias("_e"))
-    edge = materialize(edge.select(F.col("source").alias("_s"), F.col("_e._block").alias("_edge"), F.col("_e.before").alias("_before")), "mix-edges")
-    rows = rows.join(aside(edge), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    inside = Window.partitionBy("source", "_block").orderBy("_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = F.col("_block") == F.col("_edge")
-    sure = rows.where(F.coalesce(~at_edge, F.lit(True))).withColumn(
-        "_part", F.when(F.col("_edge").isNull() | (F.col("_block") < F.col("_edge")), F.when(F.col("_rest") > 0, F.col("size")).otherwise(F.lit(0))).otherwise(F.lit(0))
-    )
+    edge = blocks.where("upto > rest").groupBy("source").agg(F.min(F.struct("block", (F.col("upto") - F.col("sum")).alias("before"))).alias("e"))
+    edge = materialize(edge.select(F.col("source").alias("s"), F.col("e.block").alias("edge"), F.col("e.before").alias("before")), "mix-edges")
+    rows = rows.join(aside(edge), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    inside = Window.partitionBy("source", "block").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at_edge = F.col("block") == F.col("edge")
+    taken = (F.col("edge").isNull() | (F.col("block") < F.col("edge"))) & (F.col("rest") > 0)
+    sure = rows.where(F.coalesce(~at_edge, F.lit(True))).withColumn("part", F.when(taken, F.col("size")).otherwise(F.lit(0)))
     cut = rows.where(at_edge).withColumn(
-        "_part", F.greatest(F.lit(0), F.least("size", F.col("_rest") - F.col("_before") - F.coalesce(F.sum("size").over(inside), F.lit(0))))
+        "part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(inside), F.lit(0))))
     )
-    both = sure.unionByName(cut)
-    return both.select(*[F.col(c) for c in docs.columns], F.col("_t.source_size").alias("source_size"), F.col("_t.target").alias("target"),
-                       F.col("_whole").alias("whole"), F.col("_part").cast("long").alias("part"))
+    return sure.unionByName(cut).select("row", "source_size", "target", "whole", F.col("part").cast("long").alias("part"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+    return mix(docs).select("row.doc_id", "row.size", "source_size", "target", (F.col("whole") * F.col("row.size") + F.col("part")).alias("taken"))
