@@ -1,40 +1,48 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Distinct codes are dealt into blocks, and distinct query codes too; a task
-holds one block of each (the stated query set against all rows, in blocks, with
-nothing materialized per pair). In a block, codes are indexed by the value of
-each of ``SEGMENTS`` segments. A query looks up, segment by segment, values
-that are r = 0, 1, 2, ... bits away from its own. After radius r in segments
-0..j and r - 1 in the others, every code within distance SEGMENTS * r + j has
-been met (else the distances would add up to more), so a query stops as soon
-as its last verified neighbour is that near. The blocks' answers are merged.
+Each distinct code is indexed by the value of each of its segments, as rows
+(segment, value, code). A query looks up, round by round, the values that are
+r = 0, 1, 2, ... bits away from its own in every segment, by an equi-join with
+the index. After the round of radius r all codes within distance
+m * (r + 1) - 1 have been met, m being the number of segments (else the
+distances of the segments would add up to more), so a query whose last
+neighbour is verified at most that far is done, and only the others go on.
+Segments have about log2(n) bits, so a value holds about one code. A pair that
+several lookups meet is taken at the first of them only, so that nothing needs
+to be made distinct.
 
 Skew: the index holds each distinct code once, with its k + 1 smallest ids
 (ids beyond can't be in any answer), and each distinct query code is searched
-once. So copies, even a third of all rows, cost one entry.
+once. So copies, even a third of all rows, cost one entry. Values that many
+codes share are dealt into blocks, and a lookup goes to every block.
 
 Defined results
 ---------------
-* Vectors that are null or hold null or non-finite components have no code:
-  they are neither queries nor answers. A zero vector has code 0.
+* Vectors that are null, hold null or non-finite components, or are of another
+  length than the code have no code: they are neither queries nor answers. A
+  zero vector has code 0.
 * Neighbours are ordered by (distance, id); a query never returns its own id.
-* Fewer than k other rows: all of them. Repeated ids count as one.
+* Fewer than k other rows: all of them. Repeated ids count as one. No rows or
+  no queries give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import checked, materialize, table, tidy
 
-BITS, SEGMENTS, K = 64, 4, 10
-#: Codes and query codes that one task compares.
-BLOCK, QUERY_BLOCK = 1 << 14, 1 << 12
+BITS, K = 64, 10
+#: Codes of one value of a segment that stay together.
+BUCKET = 4096
+#: Values that a task looks up at a time.
+_LOOKUPS = 1 << 16
 
 
 def sign_code(vector: Column, dims: int = BITS) -> Column:
@@ -47,51 +55,44 @@ def sign_code(vector: Column, dims: int = BITS) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) == dims) & ~bad, code)
 
 
-@lru_cache
-def masks(radius: int) -> np.ndarray:
-    """All values of a segment with ``radius`` bits set."""
-    v = np.arange(1 << (BITS // SEGMENTS), dtype=np.uint64)
-    return v[np.bitwise_count(v) == radius].astype(np.int64)
-
-
-class BlockIndex:
-    """Multi-index over distinct codes; ``first`` is the smallest id of each."""
-
-    def __init__(self, codes: np.ndarray, first: np.ndarray):
-        self.codes, self.first = codes, first
-        self.tables = []
-        for j in range(SEGMENTS):
-            v = self.segment(codes, j)
-            self.tables.append((np.argsort(v, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(v, minlength=1 << (BITS // SEGMENTS)))))))
-        self.met = np.zeros(len(codes), bool)
-
-    @staticmethod
-    def segment(codes, j: int):
-        return ((codes >> np.uint64(j * (BITS // SEGMENTS))) & np.uint64((1 << (BITS // SEGMENTS)) - 1)).astype(np.int64)
-
-    def nearest(self, code: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, distances) of the n nearest codes by (distance, first)."""
-        n = min(n, len(self.codes))
-        self.met[:] = False
-        found, distances, upto = [], [], np.zeros(BITS + 1, np.int64)
-        for radius in range(BITS // SEGMENTS + 1):
-            for j, (order, start) in enumerate(self.tables):
-                probe = int(self.segment(code, j)) ^ masks(radius)
-                lo, size = start[probe], start[probe + 1] - start[probe]
-                lo, size = lo[size > 0], size[size > 0]
-                # positions lo, lo + 1, ..., lo + size - 1 of every bucket hit
-                at = order[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)]
-                at = at[~self.met[at]]
-                self.met[at] = True
-                d = np.bitwise_count(self.codes[at] ^ code).astype(np.int64)
-                found.append(at)
-                distances.append(d)
-                upto += np.bincount(d, minlength=BITS + 1)
-                if upto[: SEGMENTS * radius + j + 1].sum() >= n:  # all of these are proven
-                    at, d = np.concatenate(found), np.concatenate(distances)
-                    best = np.lexsort((self.first[at], d))[:n]
-                    return at[best], d[best]
-        raise AssertionError("every code is met at the full radius")
+def widths(n: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each segment: about log2(n) bits each, 8 to 32."""
+    m = min(8, max(2, round(BITS / max(1.0, np.log2(max(n, 2))))))
+    cuts = [BITS * i // m for i in range(m + 1)]
+    return [(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _segment(code: Column, at: int, bits: int) -> Column:
+    return F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def masks(bits: int, radius: int) -> Iterator[np.ndarray]:
+    """All values of ``bits`` bits with ``radius`` of them set, in parts."""
+    part: list[int] = []
+    for places in combinations(range(bits), radius):
+        part.append(sum(1 << p for p in places))
+        if len(part) == _LOOKUPS:
+            yield np.array(part, np.int64)
+            part = []
+    if part:
+        yield np.array(part, np.int64)
+
+
+def _lookups(asked: DataFrame, segments: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(q, j, value): the values of segment j that are ``radius`` bits away from that of the query code q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = np.asarray(batch.column(0)).view(np.uint64)
+            for j, (at, bits) in enumerate(segments):
+                own = ((q >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                for mask in masks(bits, radius):
+                    step = max(1, _LOOKUPS // len(mask))
+                    for i in range(0, len(q), step):
+                        value = own[i : i + step, None] ^ mask
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[i : i + step].view(np.int64), len(mask))), pa.array(np.full(value.size, j, np.int32)), pa.array(value.ravel())], names=["q", "j", "value"])
+
+    return asked.select("q").mapInArrow(tidy(run), "q long, j int, value long")
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = K, name: str = "topk") -> DataFrame:
@@ -104,32 +105,37 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, name: str = "topk")
         f"{name}-index",
     )  # at most k + 1 ids a code
     queries = queries.where("code is not null and id is not null").select("id", "code").distinct()
-    asked = materialize(queries.select("code").distinct(), f"{name}-asked")
-    blocks, query_blocks = max(1, -(-index.count() // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
-    both = index.select("code", F.col("ids")[0].alias("first"), dealt(blocks).alias("b"), each(query_blocks).alias("q"), F.lit(True).alias("own")).unionByName(
-        asked.select("code", F.lit(None).cast("long").alias("first"), each(blocks).alias("b"), dealt(query_blocks).alias("q"), F.lit(False).alias("own")))
-
-    def nearest(t: pa.Table) -> pa.Table:
-        own = t.column("own").to_numpy(zero_copy_only=False)
-        codes = t.column("code").to_numpy().view(np.uint64)
-        block = BlockIndex(codes[own], t.column("first").filter(pa.array(own)).to_numpy())
-        q, code, first, distance = [], [], [], []
-        for x in codes[~own] if own.any() else ():
-            at, d = block.nearest(x, k + 1)
-            q.append(np.full(len(at), x))
-            code.append(block.codes[at])
-            first.append(block.first[at])
-            distance.append(d)
-        joined = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind).view(np.int64))
-        return pa.table({"q": joined(q, np.uint64), "code": joined(code, np.uint64), "first": joined(first, np.int64), "distance": joined(distance, np.int64)})
-
-    found = both.groupBy("b", "q").applyInArrow(nearest, "q long, code long, first long, distance long")
-    # the k + 1 codes that come first by (distance, smallest id) hold the k best rows
-    best = Window.partitionBy("q").orderBy("distance", "first")
-    done = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    rows = done.join(index.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("id"))
+    asked = materialize(queries.select(F.col("code").alias("q")).distinct(), f"{name}-asked")
+    n = index.count()
+    segments = widths(n)
+    values = F.array(*[F.struct(F.lit(j).alias("j"), _segment(F.col("code"), *x).alias("value")) for j, x in enumerate(segments)])
+    rows = index.select("code", F.col("ids")[0].alias("first"), F.explode(values).alias("s")).select("s.j", "s.value", "code", "first")
+    hot = rows.groupBy("j", "value").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("blocks")).where("blocks > 1")
+    hot = checked(materialize(hot, f"{name}-hot"))  # at most codes / BUCKET values a segment
+    many = F.coalesce("blocks", F.lit(1))
+    rows = rows.join(hot, ["j", "value"], "left").withColumn("block", F.pmod(F.xxhash64("code"), many).cast("int")).drop("blocks")
+    rows = materialize(rows, f"{name}-segments")
+    # per query code the k + 1 codes that come first by (distance, smallest id): they hold the k best rows
+    best = materialize(asked.select("q", F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("first"), F.lit(0).alias("distance")).where("false"), f"{name}-best")
+    active = asked
+    apart = F.col("code").bitwiseXOR(F.col("q"))
+    for radius in range(max(bits for _, bits in segments) + 1):
+        lookups = _lookups(active, segments, radius).join(hot, ["j", "value"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), many - 1))).drop("blocks")
+        met = lookups.join(rows, ["j", "value", "block"])
+        here = [F.bit_count(_segment(apart, *x)) for x in segments]
+        before = [(here[i] > radius) | (here[i] == radius) & (F.col("j") <= i) for i in range(len(segments))]
+        for condition in before:  # met at no smaller radius, and at this one in no earlier segment
+            met = met.where(condition)
+        met = met.select("q", "code", "first", F.bit_count(apart).alias("distance"))
+        order = Window.partitionBy("q").orderBy("distance", "first")
+        ranked = best.unionByName(met).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+        best = materialize(ranked, f"{name}-best")
+        proven = len(segments) * (radius + 1) - 1
+        done = best.where(F.col("distance") <= proven).groupBy("q").count().where(F.col("count") >= min(k + 1, n)).select("q")
+        active = materialize(active.join(done, "q", "left_anti"), f"{name}-active")
+        if not active.head(1):
+            break
+    rows = best.join(index.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("id"))
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("r") <= k + 1).drop("r")
     pairs = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(materialize(rows, f"{name}-rows"), "q").where("id <> query_id")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
