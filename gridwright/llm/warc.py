@@ -38,10 +38,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, new_path, table, text_batches
+from ._common import materialize, new_path, table, text_batches, tidy
 
 MIN_BYTES = 1000
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
+#: Bytes of records that a task reads back.
+READ_BYTES = 64 << 20
 #: Digests with copies are broadcast up to this many (about 60 bytes each).
 BROADCAST_DIGESTS = 200_000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -158,7 +160,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
             bundle.close()
 
     cols = records.select(F.col("page_id").cast("long"), "url", "html", "digest", "record_type", F.col("refers_to").cast("long"))
-    return materialize(cols.mapInArrow(run, INDEX), "warc-index")
+    return materialize(cols.mapInArrow(tidy(run), INDEX), "warc-index")
 
 
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -201,8 +203,10 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    near = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "record_offset")
-    return near.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # dealt by what the tasks will read, not by the size of the index
+    n = index.agg(F.coalesce(F.sum("record_bytes"), F.lit(0))).first()[0] // READ_BYTES
+    near = index.repartition(max(int(n), index.sparkSession.sparkContext.defaultParallelism), "bundle", "frame").sortWithinPartitions("bundle", "frame", "record_offset")
+    return near.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def classify(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
