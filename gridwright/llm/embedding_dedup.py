@@ -3,7 +3,7 @@
 Unit vectors are turned into a PCA basis. Two vectors with cosine >= t differ
 by at most sqrt(2 - 2t) in every leading coordinate, so cells of that width on
 the first two coordinates need only their neighbours. Cells are cut into
-blocks of at most about ``BLOCK`` vectors; a task compares two blocks: it
+blocks of about ``BLOCK_BYTES``; a task compares two blocks in tiles: it
 accumulates the leading coordinates first, adds the product of the suffix norms
 as a bound for the rest, drops pairs that can't reach t, and takes the exact
 cosine in double precision, on the given components, of those left.
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from ._common import components, materialize, seeded_uniform, table
 
-THRESHOLD, BLOCK, LEADING = 0.98, 1024, 16
+THRESHOLD, LEADING = 0.98, 16
+#: Bytes of vectors in a block (two meet in a task, and a vector is copied once for each block it meets), and vectors of a tile within it.
+BLOCK_BYTES, TILE = 8 << 20, 1024
 #: Vectors (as an expected number) from which the bases are fitted; any basis gives the same result,
 #: and vectors of a length that is not among them keep their own coordinates.
 BASIS_ROWS = 50_000
@@ -88,8 +90,19 @@ def bases(classes: DataFrame, seed: int = 3) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh(s)[1][:, ::-1].copy() for d, s in total.items()}
 
 
-def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i of ``a`` and j of ``b`` with cosine >= threshold; no basis: the given coordinates."""
+def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray | None, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of ``a`` and j of ``b`` with cosine >= threshold, tile by tile; ``same``: b is a, and only i < j are meant."""
+    found = [(np.zeros(0, int), np.zeros(0, int))]
+    for x in range(0, len(a), TILE):
+        for y in range(x if same else 0, len(b), TILE):
+            i, j = _linked_tile(a[x : x + TILE], b[y : y + TILE], basis, threshold)
+            found.append((i + x, j + y))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+    return (i[i < j], j[i < j]) if same else (i, j)
+
+
+def _linked_tile(a: np.ndarray, b: np.ndarray, basis: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """No basis: the given coordinates."""
     ua, ub = _unit(a), _unit(b)
     if basis is not None:
         ua, ub = ua @ basis, ub @ basis
@@ -148,7 +161,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, name: str
     placed = classes.withColumn("c", cell("v")).select("label", "rep", "n", "v", "c.*")
     placed = materialize(placed, f"{name}-placed")
     where = ["label", "dims", "x", "y"]
-    cells = placed.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    cells = placed.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) * 8 * F.first("dims") / BLOCK_BYTES).cast("int").alias("blocks"))
     cells = materialize(cells, f"{name}-cells")
     half = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
     left = cells.select("*", F.explode(half).alias("h")).select("label", "dims", F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("blocks").alias("lb"), (F.col("x") + F.col("h.dx")).alias("x"), (F.col("y") + F.col("h.dy")).alias("y"))
@@ -172,10 +185,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, name: str
         alone = not len(other) and t.column("bl")[0] == t.column("br")[0] and t.column("lx")[0] == t.column("rx")[0] and t.column("ly")[0] == t.column("ry")[0]
         if alone:
             other = one
-        i, j = linked(m[one], m[other], basis.value.get(m.shape[1]), threshold) if len(one) and len(other) else (np.zeros(0, int), np.zeros(0, int))
+        i, j = linked(m[one], m[other], basis.value.get(m.shape[1]), threshold, alone) if len(one) and len(other) else (np.zeros(0, int), np.zeros(0, int))
         i, j = one[i], other[j]
-        if alone:
-            i, j = i[i < j], j[i < j]
         total = np.zeros(len(rep), np.int64)
         np.add.at(total, i, n[j])
         np.add.at(total, j, n[i])
