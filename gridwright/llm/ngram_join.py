@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checked, components, materialize, table, text_batches
+from ._common import checked, components, materialize, salted, table, text_batches, tidy
 from ._text import mix, shingle_hashes, word_hashes
 
 K, PERCENT = 4, 85
@@ -175,7 +175,7 @@ def _fingerprints(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             yield _rows(["id", "n", "a", "b"], [_L] * 4, batch.column(0), *_prints_of(sets(batch.column(1), k)))
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, a long, b long")
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, n long, a long, b long")
 
 
 def _signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
         key = np.where(new, sig, mix(ids.astype(np.uint64)))
         return _rows(["key", "sig", "band", "a", "b"], [_L, _L, pa.int32(), _L, _L], key.view(np.int64), sig.view(np.int64), band.astype(np.int32), first, pa.array(ids, _L, mask=new))
 
-    return docs.select("id", "text").mapInArrow(run, "key long, sig long, band int, a long, b long")
+    return docs.select("id", "text").mapInArrow(tidy(run), "key long, sig long, band int, a long, b long")
 
 
 def _hub_links(rows: DataFrame) -> DataFrame:
@@ -236,13 +236,13 @@ def _hub_links(rows: DataFrame) -> DataFrame:
             yield _rows(names, kinds, sig[keep], band[keep].astype(np.int32), first[keep], ids[keep])
 
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "sig", "a")
-    return sorted_rows.mapInArrow(run, "sig long, band int, a long, b long")
+    return sorted_rows.mapInArrow(tidy(run), "sig long, band int, a long, b long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b) that link. Texts of the ids in pairs are shuffled once per pair, a hub's once per block."""
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("blocks"))
-    right = pairs.join(blocks, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
+    blocks = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("blocks")), f"{name}-hubs")
+    right = salted(pairs, blocks, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
     left = blocks.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
     roles = materialize(right.unionByName(left), f"{name}-roles")
 
@@ -263,7 +263,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str
             yield _rows(["a", "b"], [_L, _L], a, b)
 
     texts = docs.join(checked(roles), "id").repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
-    return texts.select("hub", "block", "role", "id", "text").mapInArrow(run, "a long, b long").distinct()
+    return texts.select("hub", "block", "role", "id", "text").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _sketches(docs: DataFrame, members: DataFrame, k: int, name: str) -> DataFrame:
@@ -281,17 +281,17 @@ def _sketches(docs: DataFrame, members: DataFrame, k: int, name: str) -> DataFra
             v = [parity(s, tops[x]).tobytes() for s, x in zip(found, batch.column(1).to_pylist(), strict=True)]
             yield _rows(["id", "band", "n", "v"], [_L, pa.int32(), _L, pa.binary()], batch.column(0), batch.column(1), [len(s) for s in found], v)
 
-    sketch = docs.join(checked(wanted), "id").select("id", "band", "text").mapInArrow(run, "id long, band int, n long, v binary")
+    sketch = docs.join(checked(wanted), "id").select("id", "band", "text").mapInArrow(tidy(run), "id long, band int, n long, v binary")
     return materialize(sketch.dropDuplicates(["id", "band"]), f"{name}-sketch")
 
 
-def _open_pairs(members: DataFrame, sketch: DataFrame, percent: int, one: bool) -> DataFrame:
+def _open_pairs(members: DataFrame, sketch: DataFrame, percent: int, one: bool, name: str) -> DataFrame:
     """(sig, a, b): members of a bucket with different labels that size and bitmap leave possible.
 
     ``one``: of each member's pairs in a block only the most alike.
     """
-    blocks = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = materialize(members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), f"{name}-blocks")
+    rows = salted(members, blocks, "sig").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.select("sig", "band", "id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("sig", "band", "id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -332,19 +332,19 @@ def _open_pairs(members: DataFrame, sketch: DataFrame, percent: int, one: bool)
             yield flush()
 
     full = rows.join(sketch, ["id", "band"]).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
-    return full.select("sig", "i", "j", "id", "label", "n", "own", "v").mapInArrow(run, "sig long, a long, b long")
+    return full.select("sig", "i", "j", "id", "label", "n", "own", "v").mapInArrow(tidy(run), "sig long, a long, b long")
 
 
-def _unsettled(members: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, name: str) -> DataFrame:
     """Members of the buckets that hold more than one label."""
     open_ = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    return members.join(open_, "sig", "left_semi")
+    return salted(members, materialize(open_, f"{name}-unsettled"), "sig", "left_semi")
 
 
 def _relabelled(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """``members`` with labels merged along ``links`` (a, b) between labels."""
-    merged = components(links, name).select(F.col("id").alias("label"), "component")
-    return members.join(merged, "label", "left").select("sig", "band", "id", F.coalesce("component", "label").alias("label"))
+    merged = materialize(components(links, name).select(F.col("id").alias("label"), "component"), f"{name}-merged")
+    return salted(members, merged, "label", "left").select("sig", "band", "id", F.coalesce("component", "label").alias("label"))
 
 
 def _free_ids(classes: DataFrame, taken: DataFrame, name: str) -> DataFrame:
@@ -364,7 +364,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             yield _rows(["n", "a", "b", "text"], [_L] * 3 + [pa.string()], *_prints_of(sets(batch.column(1), k)), batch.column(1))
 
-    texts = docs.select("id", "text").mapInArrow(run, "n long, a long, b long, text string")
+    texts = docs.select("id", "text").mapInArrow(tidy(run), "n long, a long, b long, text string")
     return texts.join(checked(classes), ["n", "a", "b"]).groupBy(F.col("node").alias("id")).agg(F.min("text").alias("text"))
 
 
@@ -401,24 +401,25 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, name: str = "ng
     label = materialize(components(proven, f"{name}-parts"), f"{name}-labels")
     # buckets in which more than one component is left
     la, lb = label.select(F.col("id").alias("a"), F.col("component").alias("ca")), label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    labelled = links.join(la, "a", "left").join(lb, "b", "left").select("sig", "band", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    labelled = salted(salted(links, la, "a", "left"), lb, "b", "left").select("sig", "band", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     labelled = materialize(labelled, f"{name}-labelled")
     unsettled = materialize(labelled.where("ca <> cb").select("sig").distinct(), f"{name}-unsettled")
-    there = labelled.join(unsettled, "sig", "left_semi")
+    there = salted(labelled, unsettled, "sig", "left_semi")
     members = there.select("sig", "band", F.col("a").alias("id"), F.col("ca").alias("label")).unionByName(there.select("sig", "band", F.col("b").alias("id"), F.col("cb").alias("label"))).distinct()
     members = materialize(members, f"{name}-members")
     sketch = _sketches(unique, members, k, name)
     # as in Boruvka's algorithm each member first offers its most likely link; buckets without one are done
     for round_ in range(ROUNDS + 1):
-        pairs = materialize(_open_pairs(members, sketch, percent, one=round_ < ROUNDS), f"{name}-open")
+        pairs = materialize(_open_pairs(members, sketch, percent, round_ < ROUNDS, name), f"{name}-open")
         new = materialize(_verified(unique, materialize(pairs.select("a", "b").distinct(), f"{name}-asked"), k, percent, name), f"{name}-new")
         proven = proven.unionByName(new)
         if round_ == ROUNDS:
             break
         own = members.select("id", "label").distinct()
         between = new.join(own.withColumnsRenamed({"id": "a", "label": "x"}), "a").join(own.withColumnsRenamed({"id": "b", "label": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        left = members.join(pairs.select("sig").distinct(), "sig", "left_semi")
-        members = materialize(_unsettled(_relabelled(left, materialize(between, f"{name}-between"), f"{name}-round")), f"{name}-members")
+        left = salted(members, materialize(pairs.select("sig").distinct(), f"{name}-still"), "sig", "left_semi")
+        left = materialize(_relabelled(left, materialize(between, f"{name}-between"), f"{name}-round"), f"{name}-relabelled")
+        members = materialize(_unsettled(left, name), f"{name}-members")
         if not members.head(1):
             break
     # copies and repeated ids join through their classes
