@@ -16,8 +16,9 @@ same place. An anchor stands for the run of windows that choose it.
    front-coded (each suffix without the prefix it shares with the one before).
    A loser tree merges the runs of a range; its players carry the length of
    the prefix shared with the last winner, so no known prefix is compared
-   again. Neighbours with a common gram form a group, in which each window is
-   looked up by its bytes.
+   again. Neighbours with a common gram form a group. How many bytes neighbours
+   share is known from the merge and tells which windows agree from the anchor
+   on; only the bytes before the anchor are looked at.
 3. Grams with more than ``HOT`` different runs (the edge of a passage that many
    documents share) are not gathered: their windows are dealt out by hash.
 
@@ -44,12 +45,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checked, materialize, table, text_batches
+from ._common import checked, materialize, release, table, text_batches, tidy
 from ._text import _grown, mix, utf8
 
 LENGTH, GRAM = 100, 32
 #: Windows of a text that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: Different runs of one gram that are merged in one task at most.
 HOT = 4096
 #: Suffixes that one merging task gets on average.
@@ -127,7 +128,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         key = np.where(again, mix(d.view(np.uint64)), g)
         return _rows(_ANCHOR, kinds, key.view(np.int64), again, g.view(np.int64), r.view(np.int64), d, e, q, reach.astype(np.int32))
 
-    return docs.select("d", "e", "text").mapInArrow(run, _ANCHOR_T)
+    return docs.select("d", "e", "text").mapInArrow(tidy(run), _ANCHOR_T)
 
 
 def _settled(rows: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def _settled(rows: DataFrame) -> DataFrame:
             gram_at = g[-1]
 
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "gram", "run", "d", "e", "pos")
-    return sorted_rows.select(*_ANCHOR).mapInArrow(run, "open boolean, gram long, d long, e long, pos long, reach int")
+    return sorted_rows.select(*_ANCHOR).mapInArrow(tidy(run), "open boolean, gram long, d long, e long, pos long, reach int")
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -265,21 +266,42 @@ def decoded(fixed: bytes, shared: bytes, sizes: bytes, tails: bytes, lefts: byte
         t, f = t + n, f + m
 
 
-def _group_spans(group: list[tuple], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """Spans (d, e, start, end) of the windows of a gram's runs that occur in an earlier run."""
-    group.sort(key=lambda x: x[3:6])
-    seen: set[bytes] = set()
-    for _, suffix, left, d, e, q, most, least in group:
-        text = left + suffix
-        hits = []
-        for back in range(most, least - 1, -1):
-            w = text[most - back : most - back + length]
-            if w in seen:
-                hits.append(q - back)
-            else:
-                seen.add(w)
-        for start in hits:
-            yield d, e, start, start + length
+def _group_spans(group: list[tuple], shared: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Spans (d, e, start, end) of the windows of a gram's runs that occur in an earlier run.
+
+    ``group`` is sorted by suffix, and item i shares shared[i] bytes with the one before. The windows that begin b
+    bytes before the anchor agree from the anchor on among neighbours that share length - b bytes, which the merge
+    has found out; only what is left of the anchor is looked at.
+    """
+    hits: dict[int, list[int]] = {}
+
+    def close(same: dict[bytes, list[int]]) -> None:
+        for items in same.values():
+            if len(items) > 1:
+                first = min(items, key=lambda i: group[i][3:6])
+                for i in items:
+                    if i != first:
+                        hits.setdefault(i, []).append(b)
+
+    for b in range(max(x[6] for x in group), min(x[7] for x in group) - 1, -1):
+        need = length - b
+        same: dict[bytes, list[int]] = {}
+        for i, (_, _, left, _, _, _, most, least) in enumerate(group):
+            if shared[i] < need and same:
+                close(same)
+                same = {}
+            if least <= b <= most:
+                same.setdefault(left[most - b :], []).append(i)
+        close(same)
+    for i, backs in hits.items():  # backs fall: windows of one item that touch become one span
+        d, e, q = group[i][3:6]
+        start, end = q - backs[0], q - backs[0] + length
+        for b in backs[1:]:
+            if q - b > end:
+                yield d, e, start, end
+                start = q - b
+            end = q - b + length
+        yield d, e, start, end
 
 
 def _run_rows(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
@@ -305,7 +327,7 @@ def _run_rows(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
         runs = [(part, *front_coded(sorted(items, key=lambda x: x[0]))) for part, items in held.items()]
         return _rows(_RUN, [pa.int32(), *[pa.binary()] * 5], *zip(*runs, strict=True))
 
-    return docs.join(chosen, ["d", "e"]).select("d", "e", "at", "text").mapInArrow(run, _RUN_T)
+    return docs.join(chosen, ["d", "e"]).select("d", "e", "at", "text").mapInArrow(tidy(run), _RUN_T)
 
 
 def _merged_spans(runs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -313,14 +335,17 @@ def _merged_spans(runs: DataFrame, length: int, gram: int) -> DataFrame:
         players = [decoded(*cols) for cols in zip(*(t.column(c).to_pylist() for c in _RUN[1:]), strict=True)]
         spans: list[tuple[int, int, int, int]] = []
         group: list[tuple] = []
+        known: list[int] = []
         for shared, item in LoserTree(players):
             if shared < gram and group:
                 if len(group) > 1:
-                    spans += _group_spans(group, length)
-                group = []
+                    spans += _group_spans(group, known, length)
+                group, known = [], []
             group.append(item)
+            known.append(shared)
         if len(group) > 1:
-            spans += _group_spans(group, length)
+            spans += _group_spans(group, known, length)
+        release()
         cols = list(zip(*spans, strict=True)) or [[]] * 4
         return pa.table({n: pa.array(c, _L) for n, c in zip(("d", "e", "start", "end"), cols, strict=True)})
 
@@ -348,7 +373,7 @@ def _hot_spans(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
             rows += [(w, *x) for w, x in first.items()]
             yield _rows(["w", "d", "e", "p"], [pa.binary(), _L, _L, _L], *(zip(*rows, strict=True) if rows else [[]] * 4))
 
-    found = materialize(docs.join(chosen, ["d", "e"]).select("d", "e", "at", "text").mapInArrow(windows, "w binary, d long, e long, p long"), "suffix-windows")
+    found = materialize(docs.join(chosen, ["d", "e"]).select("d", "e", "at", "text").mapInArrow(tidy(windows), "w binary, d long, e long, p long"), "suffix-windows")
     place = F.struct("d", "e", "p")
     least = found.where("w is not null").groupBy("w").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = found.join(least, "w").where(place > F.col("least")).select("d", "e", "p")
@@ -383,11 +408,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, name
     usual = is_open.join(checked(hot), "gram", "left_anti").groupBy("d", "e").agg(
         F.collect_list(F.struct(F.pmod("gram", F.lit(parts)).cast("int").alias("part"), "pos", "reach")).alias("at"))
     usual = materialize(usual, f"{name}-open")
-    merged = _merged_spans(_run_rows(others, checked(usual, 200_000), length), length, gram)
+    merged = _merged_spans(_run_rows(others, checked(usual, arrays="at"), length), length, gram)
     spans = spans.unionByName(materialize(merged, f"{name}-merged"))
     if hot.head(1):
         wide = materialize(is_open.join(checked(hot), "gram", "left_semi").groupBy("d", "e").agg(F.collect_list(F.struct("pos", "reach")).alias("at")), f"{name}-wide")
-        spans = spans.unionByName(_hot_spans(others, checked(wide, 200_000), length))
+        spans = spans.unionByName(_hot_spans(others, checked(wide, arrays="at"), length))
     spans = spans.unionByName(copies.select("d", "e", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +427,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, name
             yield _rows(["d", "e", "starts", "ends"], [_L, _L, pa.list_(_L), pa.list_(_L)], batch.column(0), batch.column(1), starts, ends)
 
     by_doc = spans.groupBy("d", "e").agg(F.collect_list(F.struct("start", "end")).alias("at"))
-    return materialize(by_doc.mapInArrow(union, "d long, e long, starts array<long>, ends array<long>"), f"{name}-spans")
+    return materialize(by_doc.mapInArrow(tidy(union), "d long, e long, starts array<long>, ends array<long>"), f"{name}-spans")
 
 
 def _repeats(sizes: DataFrame) -> bool:
@@ -418,7 +443,7 @@ def kept_bytes(data: bytes, starts: list[int] | None, ends: list[int] | None) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = repeated_spans(docs)
-    joined = docs.join(checked(spans, 200_000), ["d", "e"], "left").select("doc_id", "d", "e", "text", "starts", "ends")
+    joined = docs.join(checked(spans, arrays="starts"), ["d", "e"], "left").select("doc_id", "d", "e", "text", "starts", "ends")
     names = ["doc_id", "d", "e", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +456,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols = zip(*rows, strict=True) if rows else [[]] * 4
             yield _rows(names, [_L] * 6 + [pa.string()], *batch.columns[:3], *cols)
 
-    out = joined.mapInArrow(digest, "doc_id long, d long, e long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = joined.mapInArrow(tidy(digest), "doc_id long, d long, e long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return again_removed(out, docs).drop("d", "e")
 
 
