@@ -57,6 +57,11 @@ def frame(df):
     return df.toPandas()
 
 
+def flat(df):
+    """The columns of ``row`` beside the others."""
+    return df.select("row.*", *[c for c in df.columns if c != "row"]).toPandas()
+
+
 # --- words -----------------------------------------------------------------
 
 
@@ -89,7 +94,9 @@ def test_language_id(spark):
     langs, model = language_id.fit(train)
     assert langs == ["de", "en"]
     ask = spark.createDataFrame([(1, "the other thing", "a"), (2, "über und nicht", "b"), (3, None, "c"), (4, "123 ...", "d"), (5, "", "e"), (6, "the and " * 50_000, "f")], "doc_id long, text string, lang_pred string")
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(ask, langs, model).collect()}
+    rows = language_id.identify(ask, langs, model).collect()
+    assert [r.row.lang_pred for r in sorted(rows, key=lambda r: r.row.doc_id)] == list("abcdef")
+    got = {r.row.doc_id: (r.lang_pred, r.score) for r in rows}
     assert [got[i][0] for i in range(1, 7)] == ["en", "de", "und", "und", "und", "en"]
     assert all(0 <= s <= 1 for _, s in got.values()) and got[3][1] == 0
 
@@ -99,6 +106,52 @@ def test_language_id_without_labels(spark, empty, docs):
     assert langs == [] and {r.lang_pred for r in language_id.identify(docs, langs, model).collect()} == {"und"}
 
 
+def plain_ngrams(text):
+    """Runs of one to three characters of the lower-cased text, whose runs of anything but letters are one blank."""
+    a = " "
+    for c in text.lower():
+        letter = "a" <= c <= "z" or ord(c) > 127
+        if letter or a[-1] != " ":
+            a += c if letter else " "
+    return [a[i : i + n] for n in (1, 2, 3) for i in range(len(a) - n + 1)]
+
+
+def bucket_of(gram):
+    h = 0
+    for c in gram:
+        h = (h * 0x100000001B3 + ord(c)) % 2**64
+    h = (h + len(gram)) % 2**64
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> shift)) * factor % 2**64
+    return (h ^ (h >> 31)) % language_id.BUCKETS
+
+
+def test_language_id_query_against_brute_force(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(language_id, "_WINDOW", 50)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, language_id.query(spark, str(tmp_path)).select("doc_id", "held_out", "lang_pred", "score").collect()), key=str)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    counts, n_docs = {}, {}
+    for i, text, lang, *_ in odd_documents():
+        if not held(i) and text is not None and lang:
+            n_docs[lang] = n_docs.get(lang, 0) + 1
+            row = counts.setdefault(lang, np.full(language_id.BUCKETS, 0.5))
+            for g in plain_ngrams(text):
+                row[bucket_of(g)] += 1
+    langs = sorted(counts)
+    model = {x: np.log(counts[x] / counts[x].sum()) for x in langs}
+    want = []
+    for i, text, *_ in odd_documents():
+        if not text or not any(map(str.isalpha, text)):
+            want.append((i, held(i), "und", 0.0))
+            continue
+        at = [bucket_of(g) for g in plain_ngrams(text)]
+        ll = np.array([model[x][at].sum() + math.log(n_docs[x] / sum(n_docs.values())) for x in langs])
+        want.append((i, held(i), langs[int(ll.argmax())], float(1 / np.exp(ll - ll.max()).sum())))
+    for a, b in zip(got, sorted(want, key=str), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 0.01
+
+
 # --- op2 --------------------------------------------------------------------
 
 
@@ -117,6 +170,21 @@ def test_topk_search(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_topk_search_of_hot_segments_and_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BUCKET", 5)
+    rng = np.random.default_rng(4)
+    codes = (rng.integers(0, 2**20, 400) | (7 << 40)).tolist()  # most segments are the same in all
+    base = spark.createDataFrame([(i, int(c), "x") for i, c in enumerate(codes)], "id long, code long, distance string")
+    got = topk_search.search(base, base.where("id % 50 = 0"), 4).collect()
+    want = []
+    for q in range(0, 400, 50):
+        d = sorted((bin(codes[q] ^ c).count("1"), i) for i, c in enumerate(codes) if i != q)[:4]
+        want += [(q, r + 1, i, x) for r, (x, i) in enumerate(d)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    for none in (base.limit(0), base.limit(1)):
+        assert topk_search.search(none, none, 4).count() == 0
+
+
 def test_sign_code(spark):
     rows = [(1, [1.0] * 64), (2, [-1.0] * 64), (3, None), (4, [None] + [1.0] * 63), (5, [math.nan] + [1.0] * 63), (6, [0.0] * 64), (7, [1.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
@@ -139,6 +207,39 @@ def test_plan_uses_every_piece_and_no_more_room():
         assert used == counts
 
 
+def test_both_tokenizers_agree(monkeypatch):
+    """On every entry of the vocabulary and on random texts."""
+    from tokenizers import Tokenizer
+
+    files = packing.default_tokenizer()
+    slow, fast = Tokenizer.from_file(files[0]), packing.encoder(files)
+    rng = random.Random(14)
+    texts = [slow.decode([i]) for i in range(0, slow.get_vocab_size())]
+    alphabets = ["abc XYZ\n\t 0189.,'!?-", "äöüßéèñçÀÉ’…„ a\xa0", " ", "\n \t", "'stdm ve re ll", "\x00\x1f\x7f\u00ad\u200bx"]
+    texts += ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(1, 80))) for _ in range(4000)]
+    texts += ["x" * 3000, " " * 500, "1" * 999, "é" * 700]
+    for t in texts:
+        assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def first_fit(lengths, capacity=2048):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = next((i for i, room in enumerate(rooms) if room >= n), None)
+        if at is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[at] -= n
+    return len(rooms)
+
+
+def test_packing_takes_no_more_sequences_than_first_fit(spark, tmp_path):
+    rng = random.Random(15)
+    spark.createDataFrame([(i, prose(rng.choice([3, 30, 300, 900]), rng), "x") for i in range(150)], "doc_id long, text string, length string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = frame(packing.query(spark, str(tmp_path)))
+    assert out.sequence_id.nunique() <= first_fit(out.length)
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
@@ -175,14 +276,17 @@ def water_fill(sizes, weights, factor=3):
 
 def test_mixing(spark, docs, empty):
     sized = docs.withColumn("size", mixing.n_words(F.col("text")))
-    out = frame(mixing.mix(sized))
+    sized = sized.withColumns({"part": F.lit("x"), "target": F.lit(1), "u": F.lit(2), "row": F.lit(3), "source_size": F.lit(0)})
+    named = lambda df: frame(df.select("row.doc_id", "row.text", "row.source", "row.size", F.col("row.part").alias("own"), "source_size", "target", "whole", "part"))
+    out = named(mixing.mix(sized))
+    assert (out.own == "x").all()
     assert out["size"].tolist() == [len(_words(t)) for t in out.text]
     out["taken"] = out.whole * out["size"] + out.part
     groups = out.groupby("source", dropna=False)
     sums = groups.agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum")).reset_index().sort_values("source", na_position="last")
     want = water_fill(sums["size"].tolist(), [(5, 2, 1)[i % 3] for i in range(len(sums))])
     assert np.allclose(sums.target, want) and (abs(sums.taken - sums.target) <= 1).all() and (out.taken <= 3 * out["size"]).all()
-    again = frame(mixing.mix(sized.repartition(3)))
+    again = named(mixing.mix(sized.repartition(3)))
     again["taken"] = again.whole * again["size"] + again.part
     key = ["doc_id", "size", "taken"]
     assert out[key].sort_values(key).values.tolist().__str__() == again[key].sort_values(key).values.tolist().__str__()
@@ -272,17 +376,84 @@ def test_ngram_join_of_nothing(spark, empty):
 # --- op6 --------------------------------------------------------------------
 
 
+def words_and_noise(seed=6):
+    rng = random.Random(seed)
+    return [(i, prose(60, rng) if i % 3 else " ".join(w + rng.choice(["$$$", "***"]) for w in prose(40, rng).split())) for i in range(300)]
+
+
 def test_quality(spark, docs, empty):
-    rng = random.Random(6)
-    rows = [(i, prose(60, rng) if i % 3 else " ".join(w + rng.choice(["$$$", "***"]) for w in prose(40, rng).split())) for i in range(300)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, bool(i % 3)) for i in range(150)] + [(None, True), (999, None)], "doc_id long, target boolean")
-    out = frame(quality.resample(table, quality.fit(table, labels)))
-    assert (out.kept == (out.doc_id % 3 != 0)).all()
-    odd = frame(quality.resample(docs, quality.fit(table, labels)))
+    rows = words_and_noise()
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string")
+    labels = spark.createDataFrame([(i, bool(i % 3)) for i in range(150)] + [(None, True), (999, None), (7, True), (160, True), (160, False)], "doc_id long, target boolean")
+    model = quality.fit(table, labels)
+    out = quality.resample(table, model).select("row.doc_id", F.col("row.kept").alias("own"), "kept").toPandas()
+    assert (out.kept == (out.doc_id % 3 != 0)).all() and (out.own == "x").all()
+    odd = flat(quality.resample(docs, model))
     assert len(odd) == len(odd_documents()) and (odd[odd.text.isna() | (odd.text == "")].log_weight == 0).all()
-    assert quality.fit(table, labels.where("target")) is None and quality.resample(table, None).where("kept").count() == 300
-    assert quality.resample(empty, quality.fit(table, labels)).count() == 0
+    assert quality.fit(table, labels.where("not target")) is None and quality.resample(table, None).where("kept").count() == 300
+    assert quality.resample(table, quality.fit(table, labels.where("target"))).where("kept").count() == 300
+    assert quality.resample(empty, model).count() == 0
+
+
+def plain_families(text):
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    w = _words(text)
+    return [[low[i : i + 3] for i in range(len(low) - 2)], w, [("same",) if a == b else (a, b) for a, b in zip(w, w[1:], strict=False)]]
+
+
+def test_quality_against_brute_force(spark, docs, monkeypatch):
+    """Counts, weights, the cut and the choice, without hashing: buckets are looked up once per n-gram."""
+    monkeypatch.setattr(quality, "CHUNK", 37)
+    rows = [(r[0], r[1]) for r in odd_documents()] + [(1000 + i, t) for i, t in words_and_noise(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = {1000 + i: bool(i % 3) for i in range(200)}
+    import pyarrow as pa
+
+    def grams(text):
+        return [g for family in plain_families(text) for g in family]
+
+    total = {}
+    bucket = {}
+    for _, text in rows:
+        g, b = grams(text), [int(x) for part in _parts(text) for x in part]
+        assert len(g) == len(b)
+        for x, y in zip(g, b, strict=True):
+            assert bucket.setdefault(x, y) == y
+            total[y] = total.get(y, 0) + 1
+    by_id = dict(rows)
+    u = {r.i: r.u for r in spark.createDataFrame([(i,) for i in labels], "i long").select("i", quality.seeded_uniform(quality.SEED, F.col("i")).alias("u")).collect()}
+    noise = {r.i: r.u for r in table.select(F.col("doc_id").alias("i"), (-F.log(-F.log(quality.seeded_uniform(quality.SEED + 1, F.col("doc_id"))))).alias("u")).collect()}
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for y, n in total.items():
+        raw[y] = n
+    for i, good in labels.items():
+        if good and u[i] < quality.FIT_SHARE:
+            for g in grams(by_id[i]):
+                target[bucket[g]] += 1
+    ratio = np.round((np.log(target * (min(raw.sum(), target.sum()) / target.sum()) + 1) - np.log(raw * (min(raw.sum(), target.sum()) / raw.sum()) + 1)) * 65536)
+    weight = lambda t: quality.SCALE * (sum(ratio[bucket[g]] for g in grams(t)) / max(1, len(grams(t)))) / 65536
+    model = quality.fit(table, spark.createDataFrame(list(labels.items()), "doc_id long, target boolean"))
+    assert (model.ratio == ratio).all()
+    out = quality.resample(table, model).collect()
+    perturbed = []
+    for r in out:
+        assert abs(r.log_weight - weight(r.row.text)) < 1e-6 and abs(r.perturbed - r.log_weight - noise[r.row.doc_id]) < 1e-9
+        perturbed.append(r.perturbed)
+    rest = [(weight(by_id[i]), good) for i, good in labels.items() if u[i] >= quality.FIT_SHARE]
+    wrong = lambda cut: sum(w < cut for w, g in rest if g) / sum(g for _, g in rest) + sum(w >= cut for w, g in rest if not g) / sum(not g for _, g in rest)
+    assert wrong(model.cut) <= min(wrong(w) for w, _ in rest) + 1e-9
+    k = sum(r.log_weight >= model.cut for r in out)
+    least = sorted(perturbed, reverse=True)[k - 1]
+    assert all(r.kept == (r.perturbed >= least - 2**-20) for r in out) and 0 < k < len(out)
+    assert quality.log_weights(pa.array([None, ""], pa.string()), model.ratio).tolist() == [0, 0]
+
+
+def _parts(text):
+    """Buckets of each family of one text, as the operator hashes them."""
+    import pyarrow as pa
+
+    for _, buckets, lo, hi in quality._grams(pa.array([text], pa.string())):
+        yield buckets[lo[0] : hi[0]]
 
 
 def test_kth_largest(spark):
@@ -326,7 +497,7 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch):
         return got
 
     got = run(docs)
-    assert {i: x for i, x in got.items() if i != 5} == {i: x for i, x in want.items() if i != 5}
+    assert {i: x for i, x in got.items() if i != 5} == {i: x for i, x in want.items() if i != 5}  # row 5 is there twice: see the test of the query
     monkeypatch.setattr(suffix_dedup, "HOT", 3)  # the way for crowded grams
     monkeypatch.setattr(suffix_dedup, "MERGE", 10)
     again = run(docs)
@@ -334,6 +505,18 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch):
     assert run(empty) == {}
 
 
+def test_suffix_query_with_repeated_rows(spark, docs, tmp_path):
+    """Of rows with one id and text, in any order, one is judged as usual and the others repeat it as a whole."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(((r[0], r[1]) for r in odd_documents()), key=lambda r: (r[0] is None, r[0] or 0))
+    want = []
+    for i, b, mask in brute_removed(rows):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(int), [0]))))
+        want.append((i, len(b), int(mask.sum()), len(edges) // 2, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~mask])).hexdigest()))
+    got = suffix_dedup.query(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_suffix_dedup_in_parts(monkeypatch):
     """Anchors of equal windows are the same wherever a long text is cut."""
     rng = np.random.default_rng(2)
@@ -390,7 +573,8 @@ def test_embedding_dedup(spark):
 
 
 def test_embedding_dedup_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 7 * 64)
+    monkeypatch.setattr(embedding_dedup, "TILE", 3)
     test_embedding_dedup(spark)
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(embedding_dedup.packed(none, "vec_id", "embedding", "label")).count() == 0
@@ -425,6 +609,20 @@ def test_sharding(spark, docs, tmp_path):
         assert r.size == len(b) + 8 and r.text_crc32 == zlib.crc32(b)
     shards = out[out.doc_id.notna()].groupby(out.doc_id.map(text)).shard.nunique()
     assert (shards == 1).all()
+    # the heaviest shard is no heavier than it must be: the mean, or the heaviest group of equal texts, and little more
+    loads = out.groupby("shard")["size"].sum()
+    groups = {}
+    for r in odd_documents():
+        groups[r[1]] = groups.get(r[1], 0) + len((r[1] or "").encode()) + 8
+    assert loads.max() <= max(max(groups.values()), 1.02 * sum(groups.values()) / 24)
+
+
+def test_sharding_of_odd_tables(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/e/documents.parquet")
+    assert sharding.query(spark, f"{tmp_path}/e").count() == 0
+    spark.createDataFrame([(1, "a", 5, "k"), (2, None, 6, "k"), (2, None, 6, "k")], "doc_id long, text string, shard int, key string").write.parquet(f"{tmp_path}/o/documents.parquet")
+    out = frame(sharding.query(spark, f"{tmp_path}/o"))
+    assert sorted(out["size"]) == [8, 8, 9] and out[out.doc_id == 2].shard.nunique() == 1
 
 
 # --- op10 -------------------------------------------------------------------

@@ -62,7 +62,7 @@ def test_mixing_keeps_texts_whole(spark):
     assert all(text[i] == t for i, t in zip(got.doc_id, got.text, strict=True)) and (got.n_chars == 1).all()
     assert got.groupby("doc_id").size().max() <= 3
     sizes = {r[0]: len(_words(r[1])) for r in rows}
-    plan = corpus_pipeline.mixing.mix(spark.createDataFrame([(r[0], r[3], sizes[r[0]]) for r in rows], "doc_id long, source string, size long")).toPandas()
+    plan = corpus_pipeline.mixing.mix(spark.createDataFrame([(r[0], r[3], sizes[r[0]]) for r in rows], "doc_id long, source string, size long")).select("row.*", "target", "whole", "part").toPandas()
     assert ((plan.part > 0) & (plan.part < plan["size"])).sum() > 2
     for source, p in plan.groupby("source"):
         edge = p[(p.part > 0) & (p.part < p["size"])]["size"].max()
