@@ -12,26 +12,22 @@ tests compare the stages with brute force on small tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwright.llm import mixing, ngram_join, packing, quality, suffix_dedup
-from gridwright.llm._common import checked, materialize
+from gridwright.llm._common import checked, materialize, release, whole_rows
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _whole_rows(docs: DataFrame, *cols: str) -> DataFrame:
-    """The named columns, and all columns as ``row``, so that no name can clash."""
-    return docs.select(*cols, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling rejects go."""
-    rows = _whole_rows(docs, "doc_id", "text")
-    ratio = quality.fit(docs.select("doc_id", "text"), quality.good_labels(spark, sf_dir))
-    return quality.resample(rows, ratio, name="pipeline-quality").where("kept").select("row.*")
+    model = quality.fit(docs.select("doc_id", "text"), quality.good_labels(spark, sf_dir))
+    return quality.resample(docs, model, name="pipeline-quality").where("kept").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not twice.head(1):
         return kept
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    same = _whole_rows(kept.join(checked(twice), "doc_id", "left_semi"), "doc_id", "text").withColumn("nth", nth).where("nth = 1").select("row.*")
+    same = whole_rows(kept.join(checked(twice), "doc_id", "left_semi"), "doc_id", "text").withColumn("nth", nth).where("nth = 1").select("row.*")
     return kept.join(checked(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(same)
 
 
@@ -57,15 +53,18 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A character that a cut would split goes as a whole; n_chars follows the text.
     """
-    rows = suffix_dedup.keyed(_whole_rows(docs, "doc_id", "text"))
+    rows = suffix_dedup.keyed(whole_rows(docs, "doc_id", "text"))
     spans = suffix_dedup.repeated_spans(rows, name="pipeline-suffix")
-    joined = rows.join(checked(spans, 200_000), ["d", "e"], "left")
-
-    @F.pandas_udf("string")
-    def cut(text, starts, ends):
-        import pandas as pd
+    joined = rows.join(checked(spans, arrays="starts"), ["d", "e"], "left")
 
-        return pd.Series([suffix_dedup.kept_bytes(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            for columns in batches:
+                rows = zip(*(c.to_pylist() for c in columns), strict=True)
+                yield pa.array([suffix_dedup.kept_bytes(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in rows], pa.string())
+        finally:
+            release()
 
     hit = joined.where("starts is not null").withColumn("text", cut("text", "starts", "ends")).where("text <> ''")
     hit = hit.withColumn("row", F.col("row").withField("text", F.col("text")))
@@ -87,10 +86,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     The document in which a source's target ends is taken if that ends at least as near the target as leaving it.
     """
-    rows = _whole_rows(docs, "doc_id", "source", "text").withColumn("size", mixing.n_words(F.col("text")))
+    rows = whole_rows(docs, "doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     mixed = mixing.mix(rows)
-    times = F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
-    return mixed.where(times > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("row.*")
+    times = F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("row.size")), 1).otherwise(0)
+    return mixed.where(times > 0).select("row.row", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
