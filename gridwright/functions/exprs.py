@@ -68,15 +68,6 @@ def bucket(p: Column, high: float = 0.70, medium: float = 0.50) -> Column:
     return F.when(p >= high, "high").when(p >= medium, "medium").otherwise("low")
 
 
-def magnitude(d: Column) -> Column:
-    return F.when(F.abs(d) >= 1.5, "strong").when(F.abs(d) >= 0.7, "moderate").otherwise("mild")
-
-
-def prefix_label(label: Column, known: list[str]) -> Column:
-    """The first known label that the text starts with, in any case; else the text."""
-    return F.coalesce(*[F.when(F.startswith(F.lower(label), F.lit(k.lower())), F.lit(k)) for k in sorted(known, key=lambda k: (-len(k), k))], label)
-
-
 def base_label(label: Column) -> Column:
     return F.trim(F.element_at(F.split(label, r" \("), 1))
 

@@ -36,6 +36,7 @@ def query(name: str, sql: str | None = None, cells: bool = True, places: int = 6
     """
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), places)
+        QUERIES[name].module = f.__module__
         if sql and cells:
             body = sql.removeprefix("RECURSIVE ")
             SQL[name] = f"WITH {'RECURSIVE ' if body != sql else ''}{roi.SQL}{',' if body.startswith('+') else ''} {body.removeprefix('+')}"
@@ -142,7 +143,7 @@ def p10(spark, sf_dir):
     return _cells_scaled(scaling.reference_pooled(longs(spark, sf_dir), PARAMS))
 
 
-@query("p16_centred_in_habitat", f"+ {ROB} SELECT subject, slice, x, y, param, {r('value - avg(value) OVER (PARTITION BY subject, habitat, param)')} AS centred FROM rob")
+@query("p16_centred_in_habitat", f"+ {ROB} SELECT subject, slice, x, y, param, {r('value - avg(value) OVER (PARTITION BY subject, habitat, param)', 9)} AS centred FROM rob", places=9)
 def p16(spark, sf_dir):
     long = robust_long(spark, sf_dir)
     m = profiles.centroids(long, ["subject", "habitat"])
@@ -351,7 +352,7 @@ def sp12(spark, sf_dir):
 PROFILE_SQL = """m AS (SELECT avg(l_quantity) q, stddev_pop(l_quantity) qs, avg(l_extendedprice) p, stddev_pop(l_extendedprice) ps, avg(l_discount) d, stddev_pop(l_discount) ds, avg(l_tax) t, stddev_pop(l_tax) ts FROM lineitem),
  pro AS (SELECT l_suppkey AS run, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS habitat, round(6 * (avg(l_quantity) - any_value(q)) / any_value(qs), 6) AS t2, round(6 * (avg(l_extendedprice) - any_value(p)) / any_value(ps), 6) AS md,
  round(6 * (avg(l_discount) - any_value(d)) / any_value(ds), 6) AS fa, round(6 * (avg(l_tax) - any_value(t)) / any_value(ts), 6) AS t2star,
- round(6 * (avg(l_discount + l_tax) - any_value(d) - any_value(t)) / any_value(ts), 6) AS mtr, round((count(*) % 100) / 100, 6) AS d, CAST(NULL AS DOUBLE) AS rd, CAST(NULL AS DOUBLE) AS ad FROM lineitem, m GROUP BY 1, 2),
+ round(6 * (avg(l_discount + l_tax) - any_value(d) - any_value(t)) / any_value(ts), 6) AS mtr, round((count(*) % 100) / 100, 6) AS d, count(*) AS n, CAST(NULL AS DOUBLE) AS rd, CAST(NULL AS DOUBLE) AS ad FROM lineitem, m GROUP BY 1, 2),
  l2 AS (SELECT *, sqrt(t2 ** 2 + md ** 2 + fa ** 2 + t2star ** 2 + mtr ** 2) AS l2 FROM pro),
  f AS (SELECT *, CASE WHEN max(l2) OVER (PARTITION BY run) > 1e-8 THEN l2 / max(l2) OVER (PARTITION BY run) ELSE 0 END AS l2_rel FROM l2)"""
 
@@ -366,7 +367,7 @@ def rule_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("double")
     g = g.join(F.broadcast(m)).select(  # m is one row
         "run", "habitat", z("q", F.col("_q"), "_qs").alias("t2"), z("p", F.col("_p"), "_ps").alias("md"), z("d", F.col("_d"), "_ds").alias("fa"), z("t", F.col("_t"), "_ts").alias("t2star"),
-        z("dt", F.col("_d") + F.col("_t"), "_ts").alias("mtr"), F.round((F.col("n") % 100) / 100, 6).alias("d"), none.alias("rd"), none.alias("ad"))
+        z("dt", F.col("_d") + F.col("_t"), "_ts").alias("mtr"), F.round((F.col("n") % 100) / 100, 6).alias("d"), "n", none.alias("rd"), none.alias("ad"))
     return rules.profile_features(g, ["run"])
 
 
@@ -616,12 +617,12 @@ def u2(spark, sf_dir):
     return n.join(F.broadcast(total)).where("n = total").select("param")  # total is one row
 
 
-@query("j2_truth_join", """+ p AS (SELECT subject, slice, x, y, habitat FROM cells WHERE roi = 'ALL'), g AS (SELECT subject, slice, x, y, truth FROM cells WHERE y % 2 = 0)
+@query("j2_truth_join", """+ p AS (SELECT subject, slice, x, y, habitat FROM cells WHERE roi = 'ALL'), g AS (SELECT subject, slice, x, y, truth FROM cells WHERE truth IS NOT NULL)
  SELECT habitat, CAST(truth AS INTEGER) AS truth, count(*) AS n FROM p JOIN g USING (subject, slice, x, y) GROUP BY ALL""")
 def j2(spark, sf_dir):
     c = roi.cells(spark, sf_dir)
     key = list(roi.CELL)
-    return c.where("roi = 'ALL'").select(*key, "habitat").join(c.where("y % 2 = 0").select(*key, "truth"), key).groupBy("habitat", "truth").agg(F.count(F.lit(1)).alias("n"))
+    return c.where("roi = 'ALL'").select(*key, "habitat").join(c.where("truth is not null").select(*key, "truth"), key).groupBy("habitat", "truth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j4_member_cells", f"+ {SHARES}, m AS (SELECT subject, habitat FROM sh WHERE share >= 0.3) SELECT subject, habitat, count(*) AS n, {r('avg(md)', 9)} AS md FROM cells SEMI JOIN m USING (subject, habitat) GROUP BY ALL", places=9)
@@ -631,11 +632,6 @@ def j4(spark, sf_dir):
     return c.join(m, ["subject", "habitat"], "left_semi").groupBy("subject", "habitat").agg(F.count(F.lit(1)).alias("n"), F.avg("DTI-MD").alias("md"))
 
 
-@query("f17_magnitude_words", f"+ {CEN} SELECT subject, habitat, param, CASE WHEN abs(mean) >= 1.5 THEN 'strong' WHEN abs(mean) >= 0.7 THEN 'moderate' ELSE 'mild' END AS word FROM cen")
-def f17(spark, sf_dir):
-    return _centroids(spark, sf_dir).select("subject", "habitat", "param", X.magnitude(F.col("mean")).alias("word"))
-
-
 # --- soft assignment and mixtures -----------------------------------------------------------
 
 

@@ -10,7 +10,6 @@ from ..operators import contrasts, inference, metrics, pairs, profiles, quantile
 from ..sources import roi
 from .catalog import CEN, COS, KEYS, PARAMS, REF, SHARES, STAT, TUM, VEC, VOTE_SQL, PROFILE_SQL, _centroids, _instances, longs, query, r, rule_profiles, voxel_vectors
 
-LABELLED = ("STANDARD", "STANDARD POLISHED", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO")
 RAW = f"{TUM}, raw AS (SELECT subject, habitat, param, avg(value) AS mean FROM t GROUP BY ALL)"
 REFS = "refs AS (SELECT subject, param, median(value) AS rmed, greatest(stddev_samp(value), 1e-8) AS rsd FROM long WHERE roi = 'CL' GROUP BY ALL)"
 
@@ -38,12 +37,6 @@ def p14(spark, sf_dir):
     return extents(spark, sf_dir)
 
 
-@query("f18_extent_verdict", f"""+ {EXT}, s2 AS (SELECT subject, habitat, avg(extent) AS score FROM ext GROUP BY ALL)
- SELECT subject, habitat, {r('score')} AS score, CASE WHEN score < 0.3 THEN 'near reference' WHEN score < 0.7 THEN 'partial' WHEN score < 1.2 THEN 'tumour' WHEN score < 3.0 THEN 'beyond tumour' ELSE 'extreme' END AS verdict FROM s2""")
-def f18(spark, sf_dir):
-    return contrasts.extent_verdict(extents(spark, sf_dir))
-
-
 @query("a13_confusion", f"""+ n AS (SELECT slice % 3 AS t, habitat AS p, count(*) AS n FROM cells GROUP BY ALL)
  SELECT t, p, n, {r('n / sum(n) OVER (PARTITION BY t)')} AS row_share, {r('n / sum(n) OVER (PARTITION BY p)')} AS column_share FROM n""")
 def a13(spark, sf_dir):
@@ -107,12 +100,6 @@ def l27(spark, sf_dir):
     return p.select("run", "habitat", F.when((F.col("rn") == 1) & (F.col("t2") > 0) & (F.col("md") > 0), F.concat(name, F.lit(" +"))).otherwise(name).alias("name"))
 
 
-@query("f1_prefix_label", "SELECT p_partkey, coalesce(" + ", ".join(f"CASE WHEN starts_with(lower(p_type), '{x.lower()}') THEN '{x}' END" for x in sorted(LABELLED, key=lambda k: (-len(k), k))) + ", p_type) AS label FROM part", cells=False)
-def f1(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.select("p_partkey", X.prefix_label(F.col("p_type"), list(LABELLED)).alias("label"))
-
-
 @query("f6_unlike_labels", "SELECT p_partkey, NOT contains(lower(p_type), lower(p_brand)) AND NOT contains(lower(p_brand), lower(p_type)) AS unlike FROM part", cells=False)
 def f6(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", X.unlike(F.col("p_type"), F.col("p_brand")).alias("unlike"))

@@ -19,13 +19,6 @@ def relative_extent(means: DataFrame, ref: DataFrame, tumour: DataFrame, small:
     return j.select("subject", "habitat", "param", F.when(F.abs(ext) / F.greatest(F.abs("r"), F.lit(1e-8)) < small, 1.0).otherwise((F.col("mean") - F.col("r")) / ext).alias("extent"))
 
 
-def extent_verdict(extent: DataFrame) -> DataFrame:
-    """Mean extent per habitat and its word."""
-    s = extent.groupBy("subject", "habitat").agg(F.avg("extent").alias("score"))
-    word = F.when(F.col("score") < 0.3, "near reference").when(F.col("score") < 0.7, "partial").when(F.col("score") < 1.2, "tumour").when(F.col("score") < 3.0, "beyond tumour").otherwise("extreme")
-    return s.withColumn("verdict", word)
-
-
 def reference_zscores(means: DataFrame, ref: DataFrame) -> DataFrame:
     """(raw mean - reference median) / reference deviation (floored). ``ref`` (subject, param, median, sd)."""
     j = means.join(ref.select("subject", "param", "median", "sd"), ["subject", "param"])

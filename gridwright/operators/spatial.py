@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 
 SLICE = ["subject", "slice"]
 
+# Cost of a boundary between two families, either way round; none where a pair is not named.
+PENALTIES = {
+    ("Necrosis", "Bulk tumor"): 2.0, ("Necrosis", "Cellular/proliferative"): 5.0, ("Necrosis", "Infiltrative"): 10.0,
+    ("Hypoxic/vascular", "Cellular/proliferative"): 2.0, ("Hypoxic/vascular", "Infiltrative"): 8.0, ("Bulk tumor", "Infiltrative"): 2.0,
+}
+
+
+def transition_penalty(a: Column, b: Column) -> Column:
+    pairs = [(F.least(F.lit(x), F.lit(y)), F.greatest(F.lit(x), F.lit(y)), p) for (x, y), p in PENALTIES.items()]
+    lo, hi = F.least(a, b), F.greatest(a, b)
+    return F.coalesce(*[F.when((lo == x) & (hi == y), F.lit(p)) for x, y, p in pairs], F.lit(0.0))
+
 
 def neighbour_pairs(cells: DataFrame, value: str = "habitat") -> DataFrame:
     """Cells with their right and lower neighbour's value: each 4-neighbour pair once.
@@ -68,22 +80,44 @@ def coherence(cells: DataFrame, value: str = "habitat", micro: int = 20) -> Data
         F.count(F.lit(1)).alias("n_components"), F.max("n").alias("max_size"), F.count_if(small).alias("n_micro"), F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("micro_cells"))
 
 
+def squared_distances(seeds: np.ndarray) -> np.ndarray:
+    """Squared distance of each place of a grid to the nearest True, first along columns, then along rows.
+
+    One pass per column for the distance within it; then the least of distance within the column plus squared
+    difference of the columns, all rows at once.
+    """
+    far = sum(seeds.shape)
+    up = np.full(seeds.shape, far, np.int64)
+    gap = np.full(seeds.shape[1], far)
+    for order in (range(len(seeds)), range(len(seeds) - 1, -1, -1)):
+        gap[:] = far
+        for i in order:
+            gap = np.where(seeds[i], 0, gap + 1)
+            up[i] = np.minimum(up[i], gap)
+    up = up * up
+    at = np.arange(seeds.shape[1])
+    out = np.empty(seeds.shape, np.int64)
+    for j in at:
+        out[:, j] = (up + (at - j) ** 2).min(1)
+    return out
+
+
 def seed_distance(cells: DataFrame, is_seed: Column) -> DataFrame:
     """Adds ``distance`` to the nearest seed of the slice (NULL without seeds) and ``d_norm``, divided by the subject's largest.
 
-    A distance transform per slice: slices are bounded by the scanner's grid,
-    and memory by cells plus seeds of one slice.
+    An exact distance transform per slice in two linear passes: slices, and so
+    memory, are bounded by the scanner's grid.
     """
     kind = dict(cells.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seeds = pdf.loc[pdf.seed, ["x", "y"]].drop_duplicates().to_numpy(float)
-        xy = pdf[["x", "y"]].to_numpy(float)
+        x, y, seed = pdf.x.to_numpy(np.int64), pdf.y.to_numpy(np.int64), pdf.seed.to_numpy(bool)
         out = np.full(len(pdf), np.nan)
-        if len(seeds):
-            for at in range(0, len(xy), 1024):
-                d = xy[at : at + 1024, None, :] - seeds[None]
-                out[at : at + 1024] = np.sqrt((d * d).sum(2).min(1))
+        if seed.any():
+            col, row = x - x.min(), y - y.min()
+            grid = np.zeros((row.max() + 1, col.max() + 1), bool)
+            grid[row[seed], col[seed]] = True
+            out = np.sqrt(squared_distances(grid))[row, col]
         return pd.DataFrame({"subject": pdf.subject, "slice": pdf.slice, "x": pdf.x, "y": pdf.y, "distance": out})
 
     schema = f"subject {kind['subject']}, slice {kind['slice']}, x {kind['x']}, y {kind['y']}, distance double"
