@@ -229,13 +229,6 @@ def a9(spark, sf_dir):
     return scaling.consistency(scaling.robust(longs(spark, sf_dir)))
 
 
-@query("a10_presence", f"""+ n AS (SELECT subject, habitat, count(*) AS n FROM cells GROUP BY ALL HAVING count(*) >= 30),
- a AS (SELECT habitat, count(*) AS n_subjects, CAST(sum(n) AS BIGINT) AS n_cells, count(*) / (SELECT count(DISTINCT subject) FROM cells) AS rate FROM n GROUP BY ALL)
- SELECT habitat, n_subjects, n_cells, {r('rate')} AS rate, CAST(row_number() OVER (ORDER BY rate DESC, habitat) AS INTEGER) AS rank FROM a""")
-def a10(spark, sf_dir):
-    return profiles.presence(roi.cells(spark, sf_dir), least=30)
-
-
 @query("a11_presence_matrix", f"+ {SHARES} SELECT subject, " + ", ".join(f"{r(f'coalesce(max(share) FILTER (habitat = {i}), 0.0)')} AS l_{i}" for i in range(3)) + " FROM sh GROUP BY ALL")
 def a11(spark, sf_dir):
     return profiles.presence_matrix(roi.cells(spark, sf_dir), [0, 1, 2])
@@ -304,12 +297,6 @@ def f10(spark, sf_dir):
     return pairs.shape_concordance(_instances(spark, sf_dir))
 
 
-@query("a25_archetypes", f"+ {CEN} SELECT habitat, param, {r('avg(mean)')} AS mean, {r('sqrt(sum(avg(mean) ** 2) OVER (PARTITION BY habitat))')} AS magnitude FROM cen GROUP BY habitat, param")
-def a25(spark, sf_dir):
-    m = _centroids(spark, sf_dir).groupBy("habitat", "param").agg(F.avg("mean").alias("mean"))
-    return m.withColumn("magnitude", F.sqrt(F.sum(F.col("mean") ** 2).over(Window.partitionBy("habitat"))))
-
-
 @query("a37_neighbour_boundaries", """+ p AS (SELECT a.subject, a.slice, a.habitat <> b.habitat AS edge FROM cells a JOIN cells b ON a.subject = b.subject AND a.slice = b.slice
  AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1))) SELECT subject, slice, count(*) AS n_pairs, count(*) FILTER (edge) AS n_boundary FROM p GROUP BY ALL""")
 def j12(spark, sf_dir):
@@ -374,11 +361,6 @@ def rule_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYS = ["run", "habitat"]
 
 
-@query("l1_feature_table", f"WITH {PROFILE_SQL} SELECT run, habitat, {r('l2')} AS l2, {r('l2_rel')} AS l2_rel FROM f", cells=False)
-def l1(spark, sf_dir):
-    return rule_profiles(spark, sf_dir).select("run", "habitat", "l2", "l2_rel")
-
-
 @query("l2_median_anchor", f"WITH {PROFILE_SQL} SELECT run, arg_min(habitat, l2) AS anchor FROM f GROUP BY run", cells=False)
 def l2(spark, sf_dir):
     return rules.median_anchor(rule_profiles(spark, sf_dir), ["run"])
@@ -445,11 +427,6 @@ def l25(spark, sf_dir):
     return rules.suggest(rule_profiles(spark, sf_dir), KEYS)
 
 
-@query("a26_vote_coverage", f"WITH {VOTE_SQL} SELECT lf, target, count(vote) AS n_votes, {r('avg(CASE WHEN vote IS NOT NULL THEN 1.0 ELSE 0.0 END)')} AS coverage FROM v GROUP BY ALL", cells=False)
-def a26(spark, sf_dir):
-    return rules.vote_analysis(rules.votes(rule_profiles(spark, sf_dir), KEYS))
-
-
 @query("sp6_necrosis_guard", f"""WITH {PROFILE_SQL}, k AS (SELECT *, t2 + md AS score, row_number() OVER w AS rn, lead(t2 + md) OVER w AS second FROM f WINDOW w AS (PARTITION BY run ORDER BY t2 + md DESC, habitat))
  SELECT run, habitat AS candidate, t2 >= 0.5 AND md >= 0.5 AND coalesce(score - second >= 0.5, true) AS passes FROM k WHERE rn = 1""", cells=False)
 def sp6(spark, sf_dir):
@@ -684,7 +661,7 @@ def _points(spark, sf_dir):
 @query("m2_kmeans")
 def m2(spark, sf_dir):
     """k-means of each subject: cluster centres and cost."""
-    best = mixture.kmeans(_points(spark, sf_dir).persist(), 3)
+    best = mixture.kmeans(_points(spark, sf_dir).persist(), 3, restarts=10)
     rows = [(g, i, [float(x) for x in c], cost) for g, (centres, cost) in sorted(best.items()) for i, c in enumerate(centres)]
     return spark.createDataFrame(rows, "subject string, cluster int, centre array<double>, cost double")
 
@@ -700,5 +677,5 @@ def m1(spark, sf_dir):
 @query("m9_choose_k")
 def m9(spark, sf_dir):
     """Number of components of each subject by the information criterion."""
-    scores = mixture.choose_k(_points(spark, sf_dir).persist(), [2, 3, 4])
+    scores = mixture.choose_k(_points(spark, sf_dir).persist(), list(range(2, 11)))
     return selection.best_k(scores.withColumnRenamed("g", "subject"), ["subject"], "bic")

@@ -60,20 +60,6 @@ def a15(spark, sf_dir):
     return d.groupBy("habitat").agg(F.avg("distance").alias("mean"), F.min("distance").alias("least"), F.max("distance").alias("most"))
 
 
-@query("a34_source_means", f"+ {CEN} SELECT habitat, subject, {r('avg(mean)')} AS mean, {r('max(mean)')} AS most FROM cen GROUP BY ALL")
-def a34(spark, sf_dir):
-    return _centroids(spark, sf_dir).groupBy("habitat", "subject").agg(F.avg("mean").alias("mean"), F.max("mean").alias("most"))
-
-
-@query("a35_medians_near_zero", """+ m AS (SELECT subject, param, median(value) AS m FROM long GROUP BY ALL), o AS (SELECT param, median(value) AS o, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS q FROM long GROUP BY ALL)
- SELECT subject, max(abs((m - o) / q)) < 0.15 AS near_zero FROM m JOIN o USING (param) GROUP BY ALL""")
-def a35(spark, sf_dir):
-    long = longs(spark, sf_dir)
-    m = quantiles.quantiles(long, ["subject", "param"], "value", {"m": 0.5}).drop("n")
-    o = quantiles.median_iqr(long, ["param"]).drop("n")
-    return m.join(o, "param").groupBy("subject").agg((F.max(F.abs((F.col("m") - F.col("median")) / F.col("iqr"))) < 0.15).alias("near_zero"))
-
-
 @query("a36_quality_gate", f"""+ {TUM}, hn2 AS (SELECT subject, habitat, count(*) AS n FROM cells WHERE roi = 'ALL' GROUP BY ALL), m AS (SELECT subject, param, avg(value) AS g FROM t GROUP BY ALL), h AS (SELECT subject, param, habitat, avg(value) AS hm FROM t GROUP BY ALL),
  e AS (SELECT subject, param, sum((hm - g) ** 2) / sum((value - g) ** 2) AS eta2 FROM t JOIN m USING (subject, param) JOIN h USING (subject, param, habitat) GROUP BY ALL), ee AS (SELECT subject, avg(eta2) AS eta2 FROM e GROUP BY ALL)
  SELECT subject, habitat, n, {r('eta2')} AS eta2, n >= 30 AND eta2 >= 0.10 AS passes, CASE WHEN n >= 30 AND eta2 >= 0.10 THEN 1.0 ELSE 0.5 END::DOUBLE AS weight FROM hn2 JOIN ee USING (subject)""")
@@ -158,9 +144,9 @@ def s6(spark, sf_dir):
 
 @query("w2_subtype_names", f"""+ {CEN}, u AS (SELECT subject, habitat, param, CASE WHEN max(mean) OVER w - min(mean) OVER w <= 1e-8 THEN 0.5 ELSE (mean - min(mean) OVER w) / (max(mean) OVER w - min(mean) OVER w) END AS unit FROM cen WINDOW w AS (PARTITION BY subject, param)),
  l AS (SELECT *, CASE WHEN habitat = 0 THEN 'Core' ELSE 'Rim' END AS label FROM u), va AS (SELECT subject, label, param, var_pop(unit) AS v FROM l GROUP BY ALL),
- ch AS (SELECT subject, label, param FROM (SELECT *, row_number() OVER (PARTITION BY subject, label ORDER BY v DESC, param) AS rn FROM va) WHERE rn = 1),
- k AS (SELECT subject, habitat, label, row_number() OVER w AS i, count(*) OVER (PARTITION BY subject, label) AS n FROM l JOIN ch USING (subject, label, param) WINDOW w AS (PARTITION BY subject, label ORDER BY unit, habitat))
- SELECT subject, habitat, label, CASE WHEN n = 1 THEN label WHEN i = 1 THEN concat(label, ' low') WHEN i = n THEN concat(label, ' high') WHEN n = 3 THEN concat(label, ' mid') ELSE concat(label, ' ', i, '/', n) END AS name FROM k""")
+ ch AS (SELECT subject, label, param FROM (SELECT *, row_number() OVER (PARTITION BY subject, label ORDER BY round(v, 12) DESC, param) AS rn FROM va) WHERE rn = 1),
+ k AS (SELECT subject, habitat, label, param, row_number() OVER w AS i, count(*) OVER (PARTITION BY subject, label) AS n FROM l JOIN ch USING (subject, label, param) WINDOW w AS (PARTITION BY subject, label ORDER BY round(unit, 12), habitat))
+ SELECT subject, habitat, label, CASE WHEN n = 1 THEN label WHEN n = 2 THEN concat(label, ' (', param, CASE WHEN i = 1 THEN 'v' ELSE '^' END, ')') WHEN n = 3 THEN concat(label, ' (', param, ' ', ['low', 'mid', 'high'][i], ')') ELSE concat(label, ' (', param, ' ', i, '/', n, ')') END AS name FROM k""")
 def w2(spark, sf_dir):
     u = profiles.minmax_columns(_centroids(spark, sf_dir), ["subject"])
     labels = u.select("subject", "habitat", F.when(F.col("habitat") == 0, "Core").otherwise("Rim").alias("label")).distinct()
@@ -213,16 +199,6 @@ def e5(spark, sf_dir):
     return c.join(t, "lf").select("run", "lf", F.when(rest > 0, (F.col("th") - F.col("hit")) / rest).otherwise(0.5).alias("weight"))
 
 
-@query("j11_matched_habitats", f"""+ {VEC}, p AS (SELECT a.subject * 10 + a.habitat AS a, b.subject * 10 + b.habitat AS b, round(1 - {COS}, 9) AS s FROM vec a JOIN vec b ON a.subject % 2 = 0 AND b.subject = a.subject + 1),
- k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS ra, row_number() OVER (PARTITION BY b // 10, b ORDER BY s DESC, a) AS rb FROM p) SELECT a, b, {r('s')} AS s FROM k WHERE ra = 1 AND rb = 1""")
-def j11(spark, sf_dir):
-    v = _instances(spark, sf_dir)
-    a = v.where("subject % 2 = 0").select((F.col("subject") + 1).alias("with"), (F.col("subject") * 10 + F.col("habitat")).alias("a"), F.col("v").alias("va"))
-    b = v.select(F.col("subject").alias("with"), (F.col("subject") * 10 + F.col("habitat")).alias("b"), F.col("v").alias("vb"))
-    p = a.join(b, "with").select("a", "b", F.round(1 - X.cosine_distance(F.col("va"), F.col("vb")), 9).alias("s"))
-    return contrasts.one_to_one(p, "a", "b", "s")
-
-
 # --- resampling: deterministic by seed, without SQL ----------------------------------------
 
 
@@ -234,12 +210,12 @@ def _distances(spark, sf_dir):
 
 @query("g6_permutation_p")
 def g6p(spark, sf_dir):
-    return inference.permanova_test(*_distances(spark, sf_dir), n_perm=499)
+    return inference.permanova_test(*_distances(spark, sf_dir), n_perm=999)
 
 
 @query("g7_dispersion")
 def g7(spark, sf_dir):
-    return inference.dispersion_test(*_distances(spark, sf_dir), n_perm=499)
+    return inference.dispersion_test(*_distances(spark, sf_dir), n_perm=999)
 
 
 @query("g11_rank_sum_p")
@@ -251,14 +227,14 @@ def g11p(spark, sf_dir):
 
 @query("g13_bootstrap_means")
 def g13(spark, sf_dir):
-    points = voxel_vectors(spark, sf_dir).select(F.concat_ws("|", F.col("subject").cast("string"), F.col("habitat").cast("string")).alias("g"), "v")
-    return inference.bootstrap_means(points, n_boot=100)
+    points = voxel_vectors(spark, sf_dir).select(F.concat_ws("|", F.col("subject").cast("string"), F.col("habitat").cast("string")).alias("g"), "v", "subject", "slice", "x", "y")
+    return inference.bootstrap_means(points, ["subject", "slice", "x", "y"])
 
 
 @query("m13_gap_statistic")
 def m13(spark, sf_dir):
     points = voxel_vectors(spark, sf_dir).select(F.col("subject").cast("string").alias("g"), "v").persist()
-    return inference.gap_statistic(points, [2, 3, 4], refs=3)
+    return inference.gap_statistic(points, list(range(2, 11)), refs=20)
 
 
 @query("m3_spectral_sizes")

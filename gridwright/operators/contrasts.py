@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .pairs import all_pairs
 
 
 def relative_extent(means: DataFrame, ref: DataFrame, tumour: DataFrame, small: float = 0.05) -> DataFrame:
@@ -39,8 +40,8 @@ def similar_groups(vectors: DataFrame, key: str, threshold: float, near_zero: fl
     at most as many rounds as there are rows on a path.
     """
     long = vectors.where(X.norm(F.col("v")) >= near_zero)
-    a, b = long.select(F.col(key).alias("a"), F.col("v").alias("va")), long.select(F.col(key).alias("b"), F.col("v").alias("vb"))
-    links = a.join(b, F.col("a") != F.col("b")).where(1 - X.cosine_distance(F.col("va"), F.col("vb")) >= threshold).select("a", "b").persist()
+    p = all_pairs(long, ["v"], key).where(1 - X.cosine_distance(F.col("v_a"), F.col("v_b")) >= threshold)
+    links = p.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).persist()
     now = vectors.select(F.col(key).alias("id"), F.col(key).alias("grp"))
     while True:
         least = links.join(now, F.col("b") == F.col("id")).groupBy("a").agg(F.min("grp").alias("least"))
@@ -59,12 +60,6 @@ def merged_groups(presence: DataFrame, groups: DataFrame, label: str = "habitat"
     return out.withColumn("meta", F.dense_rank().over(Window.orderBy("lead")) - 1)  # a row per label
 
 
-def one_to_one(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """Mutual best pairs: each is the other's best by ``score`` (ties: smaller keys)."""
-    wa, wb = Window.partitionBy(a).orderBy(F.desc(score), b), Window.partitionBy(b).orderBy(F.desc(score), a)
-    return pairs.withColumns({"ra": F.row_number().over(wa), "rb": F.row_number().over(wb)}).where("ra = 1 and rb = 1").drop("ra", "rb")
-
-
 def witness(points: DataFrame, lo: float, hi: float, n: int, sigma: float) -> DataFrame:
     """Difference of two groups' mean kernels on an n x n grid. ``points`` (first boolean, x, y) are summary rows."""
     step = (hi - lo) / (n - 1)
@@ -73,3 +68,14 @@ def witness(points: DataFrame, lo: float, hi: float, n: int, sigma: float) -> Da
     k = X.rbf((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2, sigma)
     each = points.join(F.broadcast(grid))  # the grid has n * n rows
     return each.groupBy("i", "j").agg((F.avg(F.when(F.col("first"), k)) - F.avg(F.when(~F.col("first"), k))).alias("witness"))
+
+
+def top_witness_pairs(points: DataFrame, dims: int, lo: float, hi: float, n: int, sigma: float, top: int) -> DataFrame:
+    """(i, j, score): the ``top`` pairs of dimensions with the largest absolute witness. ``points`` (first boolean, v) are summary rows."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(j).alias("q")) for i in range(dims) for j in range(i + 1, dims)])
+    each = points.select("first", "v", F.inline(pairs)).select("first", "p", "q", F.get("v", F.col("p")).alias("x"), F.get("v", F.col("q")).alias("y"))
+    step = (hi - lo) / (n - 1)
+    grid = points.sparkSession.range(n * n).select((F.lit(lo) + (F.col("id") % n) * step).alias("gx"), (F.lit(lo) + F.floor(F.col("id") / n) * step).alias("gy"))
+    k = X.rbf((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2, sigma)
+    w = each.join(F.broadcast(grid)).groupBy("p", "q", "gx", "gy").agg((F.avg(F.when(F.col("first"), k)) - F.avg(F.when(~F.col("first"), k))).alias("w"))  # the grid has n * n rows
+    return w.groupBy(F.col("p").alias("i"), F.col("q").alias("j")).agg(F.max(F.abs("w")).alias("score")).orderBy(F.desc("score")).limit(top)

@@ -40,3 +40,12 @@ def describe(assigned: DataFrame, by: list[str], k: int) -> DataFrame:
 
 def certainty(assigned: DataFrame, by: list[str], sure: float = 0.8, unsure: float = 0.5) -> DataFrame:
     return assigned.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= sure).alias("n_sure"), F.count_if(F.col("confidence") < unsure).alias("n_unsure"), F.count_if("ambiguous").alias("n_ambiguous"))
+
+
+def classification_likelihood(assigned: DataFrame, by: list[str], k: int, dims: int) -> DataFrame:
+    """(by, entropy, bic, icl) of equally weighted unit Gaussians at the model's ``k`` centroids: icl adds twice the posteriors' entropy to bic."""
+    entropy = F.aggregate("proba", F.lit(0.0), lambda s, p: s - p * F.ln(p + F.lit(1e-300)))
+    like = F.ln(F.aggregate("d", F.lit(0.0), lambda s, d: s + F.exp(-d * d / 2)) / k) - F.lit(dims / 2) * F.ln(2 * F.pi())
+    # the posteriors of these Gaussians are those of the squared distances, the given ones of the distances: the entropy is that of the given ones
+    bic = -2 * F.sum(like) + k * dims * F.ln(F.count(F.lit(1)))
+    return assigned.groupBy(*by).agg(F.sum(entropy).alias("entropy"), bic.alias("bic")).withColumn("icl", F.col("bic") + 2 * F.col("entropy"))

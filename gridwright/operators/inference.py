@@ -127,9 +127,12 @@ def rank_sum_p(u: str, n1: str = "n1", n2: str = "n2"):
     return F.least(F.lit(1.0), poly * F.exp(-z * z))
 
 
-def bootstrap_means(points: DataFrame, n_boot: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """(g, i, mean, lo, hi): percentile interval of each group's mean of component i of ``points`` (g, v)."""
-    ids = points.select("g", "v", F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), "v").alias("h"))
+def bootstrap_means(points: DataFrame, keys: list[str], n_boot: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(g, i, mean, lo, hi): percentile interval of each group's mean of component i of ``points`` (g, v, keys...).
+
+    A row's weights depend on its keys and the seed alone, not on files or tasks.
+    """
+    ids = points.select("g", "v", F.xxhash64(F.lit(seed), *keys, "v").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}

@@ -134,9 +134,21 @@ def suggest(profiles: DataFrame, keys: list[str], rules: tuple = RULES) -> DataF
     return p.select(*keys, label.alias("label"), F.when(label == "Infiltrative", "low").otherwise(conf).alias("confidence"), top.alias("score"), (wins & (second >= WINS) & (top - second < MARGIN)).alias("is_ambiguous"))
 
 
-def vote_analysis(vote_rows: DataFrame) -> DataFrame:
-    """Per labelling function: share of habitats it votes on."""
-    return vote_rows.groupBy("lf", "target").agg(F.count("vote").alias("n_votes"), F.avg(F.when(F.col("vote").isNotNull(), 1.0).otherwise(0.0)).alias("coverage"))
+def vote_analysis(vote_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per labelling function: number and share of habitats it votes on, how often the majority of the other votes differs, and how many of them agree.
+
+    Of equally frequent other labels the first in the fixed order is the majority.
+    """
+    here = Window.partitionBy(*keys)  # a habitat's votes: one per function
+    own = [(F.col("vote") == x).cast("int") for x in LABELS]
+    others = F.array(*[F.coalesce(F.sum(c).over(here), F.lit(0)) - F.coalesce(c, F.lit(0)) for c in own])
+    v = vote_rows.withColumn("others", others)
+    most = F.array_max("others")
+    majority = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.array_position("others", most).cast("int"))
+    same = F.element_at("others", F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("vote")).cast("int"))
+    voted = F.col("vote").isNotNull()
+    v = v.withColumns({"apart": F.when(voted, F.when((most > 0) & (majority != F.col("vote")), 1.0).otherwise(0.0)), "same": F.when(voted, same)})
+    return v.groupBy("lf", "target").agg(F.count("vote").alias("n_votes"), F.avg(F.when(voted, 1.0).otherwise(0.0)).alias("coverage"), F.coalesce(F.avg("apart"), F.lit(0.0)).alias("conflict"), F.coalesce(F.avg("same"), F.lit(0.0)).alias("overlap"))
 
 
 def precision(vote_rows: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
@@ -161,16 +173,26 @@ def core_score() -> Column:
     return 2.0 * z("t2") + 2.0 * z("md") - z("t2star") - z("mtr")
 
 
+def zone_guard(profiles: DataFrame, by: list[str], label: str = "habitat", features: tuple[str, ...] = ("t2", "md", "fa", "t2star", "mtr"), least_gap: float = 0.20) -> DataFrame:
+    """(by, gap, valid, core, periphery) of groups of two habitats: valid if they differ by ``least_gap`` in a parameter; the core has the larger core score."""
+    p = profiles.withColumn("s", core_score())
+    spread = F.greatest(*[F.max(c) - F.min(c) for c in features])
+    out = p.groupBy(*by).agg(spread.alias("gap"), F.max_by(label, "s").alias("c"), F.min_by(label, "s").alias("o"), F.count(F.lit(1)).alias("n"))
+    valid = (F.col("gap") >= least_gap) & (F.col("n") == 2)
+    return out.select(*by, "gap", valid.alias("valid"), F.when(valid, F.col("c")).alias("core"), F.when(valid, F.col("o")).alias("periphery"))
+
+
 def subtypes(means: DataFrame, labels: DataFrame, by: list[str], label: str = "habitat") -> DataFrame:
-    """Names for habitats that share a label: ranks along the parameter that varies most.
+    """Names for habitats that share a label: ranks along the parameter that varies most, which the name tells.
 
-    ``means`` (by, habitat, param, unit), ``labels`` (by, habitat, label). Two
-    alike get ``low`` and ``high``, three also ``mid``, more ``i/n``.
+    ``means`` (by, habitat, param, unit), ``labels`` (by, habitat, label). Two alike get a down and an up mark, three
+    low, mid and high, more ``i/n``.
     """
     j = means.join(labels, [*by, label])
     w = Window.partitionBy(*by, "label")
-    v = j.groupBy(*by, "label", "param").agg(F.var_pop("unit").alias("v")).withColumn("rn", F.row_number().over(w.orderBy(F.desc("v"), "param"))).where("rn = 1")
+    v = j.groupBy(*by, "label", "param").agg(F.round(F.var_pop("unit"), 12).alias("v")).withColumn("rn", F.row_number().over(w.orderBy(F.desc("v"), "param"))).where("rn = 1")
     chosen = j.join(v.select(*by, "label", "param"), [*by, "label", "param"])
-    at, n = F.row_number().over(w.orderBy("unit", label)), F.count(F.lit(1)).over(w)
-    named = F.when(n == 1, F.col("label")).when(at == 1, F.concat("label", F.lit(" low"))).when(at == n, F.concat("label", F.lit(" high"))).when(n == 3, F.concat("label", F.lit(" mid"))).otherwise(F.concat("label", F.lit(" "), at.cast("string"), F.lit("/"), n.cast("string")))
+    at, n = F.row_number().over(w.orderBy(F.round("unit", 12), label)), F.count(F.lit(1)).over(w)
+    mark = F.when(n == 2, F.when(at == 1, F.lit("v")).otherwise("^")).otherwise(F.concat(F.lit(" "), F.when(n == 3, F.element_at(F.array(F.lit("low"), F.lit("mid"), F.lit("high")), at)).otherwise(F.concat(at.cast("string"), F.lit("/"), n.cast("string")))))
+    named = F.when(n == 1, F.col("label")).otherwise(F.concat("label", F.lit(" ("), "param", mark, F.lit(")")))
     return chosen.withColumn("name", named).select(*by, label, "label", "name")

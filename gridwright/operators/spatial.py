@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 SLICE = ["subject", "slice"]
 
 # Cost of a boundary between two families, either way round; none where a pair is not named.
@@ -127,6 +129,24 @@ def seed_distance(cells: DataFrame, is_seed: Column) -> DataFrame:
     return d.join(most, "subject").withColumn("d_norm", F.when(F.col("most") > 0, F.col("distance") / F.col("most")).otherwise(F.col("distance"))).drop("most")
 
 
+def zone_distance(cells: DataFrame, core: list[int], value: str = "habitat") -> DataFrame:
+    """Distance to the zone that several habitats form."""
+    return seed_distance(cells, F.col(value).isin(*core))
+
+
+def joint_distance(cells: DataFrame, necrotic: int, least_share: float = 0.05, value: str = "habitat") -> DataFrame:
+    """(subject, slice, x, y, included, d_scaled): distance to the necrotic habitat, scaled by the subject's median and spread.
+
+    0 for subjects with too little of it and for slices without any.
+    """
+    share = cells.groupBy("subject").agg((F.count_if(F.col(value) == necrotic) / F.count(F.lit(1)) >= least_share).alias("included"))
+    d = seed_distance(cells, F.col(value) == necrotic)
+    q = quantiles.median_iqr(d.where("d_norm is not null"), ["subject"], "d_norm")
+    j = d.join(share, "subject").join(q.select("subject", "median", "iqr"), "subject", "left")
+    scaled = F.when(F.col("included") & F.col("d_norm").isNotNull(), (F.col("d_norm") - F.col("median")) / F.greatest("iqr", F.lit(1e-8))).otherwise(0.0)
+    return j.select(*SLICE, "x", "y", "included", scaled.alias("d_scaled"))
+
+
 def rasterised(cells: DataFrame) -> DataFrame:
     """Row and column in the slice's bounding box."""
     box = cells.groupBy(*SLICE).agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
