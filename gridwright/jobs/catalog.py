@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import descriptors, metrics, mixture, pairs, profiles, quantiles, ranks, rules, scaling, selection, spatial
-from ..sources import roi
+from ..sources import results, roi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -271,7 +271,7 @@ WCOS = f"CASE WHEN least(sqrt({DOT.format('a.v', 'a.v')}), sqrt({DOT.format('b.v
 
 
 def _instances(spark, sf_dir):
-    return pairs.vectors(_centroids(spark, sf_dir), ["subject", "habitat"], PARAMS)
+    return results.written(pairs.vectors(_centroids(spark, sf_dir), ["subject", "habitat"], PARAMS), "instances")
 
 
 @query("j7_instance_pairs", f"""+ {VEC} SELECT a.habitat, a.subject AS a, b.subject AS b, {r(COS)} AS cosine, {r(EUC.format('a.v', 'b.v'))} AS euclid, {r(WCOS)} AS weighted
@@ -451,7 +451,7 @@ def f14(spark, sf_dir):
 
 def _compositions(spark, sf_dir):
     m = profiles.presence_matrix(roi.cells(spark, sf_dir), [0, 1, 2])
-    return m.select("subject", F.array("l_0", "l_1", "l_2").alias("v"))
+    return results.written(m.select("subject", F.array("l_0", "l_1", "l_2").alias("v")), "compositions")
 
 
 @query("g6_permanova", f"""+ {SHARES}, c AS (SELECT subject, [coalesce(max(share) FILTER (habitat = 0), 0) + 1e-6, coalesce(max(share) FILTER (habitat = 1), 0) + 1e-6, coalesce(max(share) FILTER (habitat = 2), 0) + 1e-6] AS p FROM sh GROUP BY ALL),
@@ -467,7 +467,7 @@ def g6(spark, sf_dir):
 
 def _slice_points(spark, sf_dir):
     m = profiles.centroids(robust_long(spark, sf_dir), ["subject", "slice"])
-    return pairs.vectors(m, ["subject", "slice"], PARAMS).select(F.col("subject").alias("grp"), (F.col("subject") * 10 + F.col("slice")).alias("id"), "v")
+    return results.written(pairs.vectors(m, ["subject", "slice"], PARAMS).select(F.col("subject").alias("grp"), (F.col("subject") * 10 + F.col("slice")).alias("id"), "v"), "slices")
 
 
 PTS = f"""{ROB}, sm AS (SELECT subject, slice, param, avg(value) AS mean FROM rob GROUP BY ALL),
@@ -617,14 +617,12 @@ def voxel_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.vectors(robust_long(spark, sf_dir), ["subject", "slice", "x", "y", "habitat"], PARAMS, "value")
 
 
-def _model(spark, sf_dir) -> list[list[float]]:
-    """Raw habitat means of the scaled cells: three short vectors."""
-    c = pairs.vectors(profiles.centroids(robust_long(spark, sf_dir), ["habitat"]), ["habitat"], PARAMS)
-    return [r["v"] for r in c.orderBy("habitat").collect()]
-
-
 def assigned(spark, sf_dir):
-    return descriptors.assign(voxel_vectors(spark, sf_dir), _model(spark, sf_dir))
+    """Soft assignment of the scaled cells to the raw habitat means; the cells are scaled once and written."""
+    long = results.written(robust_long(spark, sf_dir).select("subject", "slice", "x", "y", "habitat", "param", "value"), "scaled")
+    means = pairs.vectors(profiles.centroids(long, ["habitat"]), ["habitat"], PARAMS)
+    model = [row["v"] for row in means.orderBy("habitat").collect()]  # three short vectors
+    return descriptors.assign(pairs.vectors(long, ["subject", "slice", "x", "y", "habitat"], PARAMS, "value"), model)
 
 
 ASSIGN = f"""{ROB}, vx AS (SELECT subject, slice, x, y, habitat, [coalesce(max(value) FILTER (param = 'T2'), 0), coalesce(max(value) FILTER (param = 'DTI-MD'), 0), coalesce(max(value) FILTER (param = 'T2star'), 0), coalesce(max(value) FILTER (param = 'MTR'), 0)] AS v FROM rob GROUP BY subject, slice, x, y, habitat),

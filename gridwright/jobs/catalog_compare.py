@@ -26,7 +26,8 @@ def instances(spark, sf_dir):
     share = profiles.shares(roi.cells(spark, sf_dir), ["subject"]).select(*key, F.col("share").alias("proportion"))
     j = _instances(spark, sf_dir).join(pairs.vectors(z, key, PARAMS).withColumnRenamed("v", "z"), key, "left").join(gate.select(*key, "eta2", "weight", (~F.col("passes")).alias("low_conf")), key).join(share, key)
     v = F.transform("v", lambda x: 6 * x)  # so that directions mean something
-    return j.select(F.col("subject").alias("source"), F.col("habitat").alias("cluster"), LABEL.alias("label"), v.alias("v"), "z", "proportion", "eta2", "weight", "low_conf")
+    out = j.select(F.col("subject").alias("source"), F.col("habitat").alias("cluster"), LABEL.alias("label"), v.alias("v"), "z", "proportion", "eta2", "weight", "low_conf")
+    return results.written(out, "instances")
 
 
 _VECTOR = lambda c, p: f"coalesce(max({c}) FILTER (param = '{p}'), 0)"

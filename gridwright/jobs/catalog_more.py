@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import contrasts, inference, metrics, pairs, profiles, quantiles, ranks, rules, scaling, spectral
-from ..sources import roi
+from ..sources import results, roi
 from .catalog import CEN, COS, KEYS, PARAMS, REF, SHARES, STAT, TUM, VEC, VOTE_SQL, PROFILE_SQL, _centroids, _instances, longs, query, r, rule_profiles, voxel_vectors
 
 RAW = f"{TUM}, raw AS (SELECT subject, habitat, param, avg(value) AS mean FROM t GROUP BY ALL)"
@@ -204,7 +204,7 @@ def e5(spark, sf_dir):
 
 def _distances(spark, sf_dir):
     m = profiles.presence_matrix(roi.cells(spark, sf_dir), [0, 1, 2])
-    c = m.select("subject", F.array("l_0", "l_1", "l_2").alias("v"))
+    c = results.written(m.select("subject", F.array("l_0", "l_1", "l_2").alias("v")), "compositions")
     return pairs.aitchison(c), c.select("subject", (F.col("subject") % 2).alias("grp"))
 
 

@@ -61,7 +61,7 @@ def _stats(spark, sf_dir):
 META = f"""{STAT}, ref AS (SELECT subject, param, median(value) AS rm, CASE WHEN count(value) = 1 THEN 1.0 ELSE greatest(stddev_samp(value), 1e-8) END AS rsd, avg(value) AS rmean, count(value) AS rn FROM long WHERE roi = 'CL' GROUP BY ALL)"""
 
 
-@query("k2_run_meta", f"+ {META} SELECT subject, param, {r('med')} AS median, {r('iqr')} AS iqr, {r('rm')} AS ref_median, {r('rsd')} AS ref_std, {r('rmean')} AS ref_mean, rn AS ref_n FROM s JOIN ref USING (subject, param)")
+@query("k2_run_meta", f"+ {META} SELECT subject, param, {r('med', 9)} AS median, {r('iqr', 9)} AS iqr, {r('rm', 9)} AS ref_median, {r('rsd', 9)} AS ref_std, {r('rmean', 9)} AS ref_mean, rn AS ref_n FROM s JOIN ref USING (subject, param)", places=9)
 def k2(spark, sf_dir):
     path = results.run_folder(spark, "meta")
     results.write_meta(*_stats(spark, sf_dir), path)
@@ -97,7 +97,7 @@ def s10(spark, sf_dir):
     return results.stored_or_computed(results.read_centroids(spark, path), computed)
 
 
-@query("k4_scaling_table", f"+ {STAT} SELECT subject, param AS parameter, {r('med')} AS median_raw, {r('iqr')} AS iqr_raw FROM s")
+@query("k4_scaling_table", f"+ {STAT} SELECT subject, param AS parameter, {r('med', 9)} AS median_raw, {r('iqr', 9)} AS iqr_raw FROM s", places=9)
 def k4(spark, sf_dir):
     info = _stats(spark, sf_dir)[0].select("subject", F.col("param").alias("parameter"), F.col("median").alias("median_raw"), F.col("iqr").alias("iqr_raw"))
     return results.write_table(info, results.run_folder(spark, "scaling"))

@@ -27,28 +27,27 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float])
     names, eps = list(probs), 2.0 / ACCURACY
     cuts = F.array(*[F.lit(min(1.0, max(0.0, p + side * eps))) for p in probs.values() for side in (-1, 1)])
     marks = rows.groupBy(*by).agg(F.percentile_approx("v", cuts, F.lit(ACCURACY)).alias("cut"), F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-    last = len(names) - 1
-    at = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when((F.col("n") <= SMALL) | F.lit(p <= eps), F.col("least")).otherwise(F.col("cut")[2 * i]).alias("lo"),
-            F.when((F.col("n") <= SMALL) | F.lit(p >= 1 - eps), F.col("most")).otherwise(F.col("cut")[2 * i + 1]).alias("hi"),
-            ((F.col("n") - 1) * F.lit(p)).alias("h"),
-        ) for i, p in enumerate(probs.values())
+    whole = F.col("n") <= SMALL
+    bracket = F.array(*[
+        F.struct(F.when(whole | F.lit(p <= eps), F.col("least")).otherwise(F.col("cut")[2 * i]).alias("lo"), F.when(whole | F.lit(p >= 1 - eps), F.col("most")).otherwise(F.col("cut")[2 * i + 1]).alias("hi"))
+        for i, p in enumerate(probs.values())
     ])
-    marks = marks.select(*by, "n", at.alias("at"))
-    joined = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")).join(marks, by)
-    place = joined.select(*by, "n", "v", "c", F.explode("at").alias("a")).where(F.col("v") <= F.col("a.hi"))
-    inside = F.col("v") >= F.col("a.lo")
-    # values under the bracket are only counted
-    under = place.where(~inside).groupBy(*by, F.col("a.i").alias("i")).agg(F.sum("c").alias("under"))
-    mid = place.where(inside).select(*by, "n", F.col("a.i").alias("i"), F.col("a.h").alias("h"), "v", "c").join(under, [*by, "i"], "left")
-    upto = Window.partitionBy(*by, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    mid = mid.withColumn("end", F.coalesce("under", F.lit(0)) + F.sum("c").over(upto))
-    low, high = (F.min(F.when(F.col("end") > f("h"), F.col("v"))) for f in (F.floor, F.ceil))
-    both = mid.groupBy(*by, "n", "i").agg(low.alias("a"), high.alias("b"), F.first("h").alias("h"))
-    both = both.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h")))
-    return both.groupBy(*by, "n").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(names[i]) for i in range(last + 1)])
+    marks = marks.select(*by, "n", bracket.alias("at"))
+    # each distinct value in a bracket is counted; the values between two brackets are counted together
+    inside = F.exists("at", lambda a: (F.col("v") >= a["lo"]) & (F.col("v") <= a["hi"]))
+    gap = F.aggregate("at", F.lit(0), lambda s, a: s + (a["hi"] < F.col("v")).cast("int"))
+    placed = rows.join(marks, by).select(*by, "n", "v", gap.alias("gap"), F.when(inside, F.col("v")).alias("own"))
+    counted = placed.groupBy(*by, "n", "gap", "own").agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("v"))
+    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = counted.withColumn("end", F.sum("c").over(upto))
+
+    def at(p: float):
+        h = (F.first("n") - 1) * F.lit(p)
+        rank = (F.col("n") - 1) * F.lit(p)
+        low, high = (F.min(F.when(F.col("end") > f(rank), F.col("v"))) for f in (F.floor, F.ceil))
+        return low + (high - low) * (h - F.floor(h))
+
+    return ends.groupBy(*by).agg(F.first("n").alias("n"), *[at(p).alias(name) for name, p in probs.items()]).select(*by, "n", *names)
 
 
 def median_iqr(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -27,6 +27,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once into the shared folder and read back; a lost executor repeats only what comes after."""
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def habitat_name(habitat: Column, names: Column | None = None) -> Column:
     plain = F.concat(F.lit("Habitat "), habitat.cast("string"))
     return plain if names is None else F.coalesce(names, plain)
