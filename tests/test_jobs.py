@@ -106,13 +106,65 @@ def test_bootstrap_and_gap(spark):
 
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(0, 0.1, (150, 2)), rng.normal(3, 0.1, (150, 2))])
-    points = spark.createDataFrame([("a", r.tolist()) for r in x], "g string, v array<double>").persist()
-    for r in inference.bootstrap_means(points, 100).collect():
+    points = spark.createDataFrame([("a", i, r.tolist()) for i, r in enumerate(x)], "g string, i int, v array<double>").persist()
+    found = inference.bootstrap_means(points, ["i"], 100).collect()
+    assert sorted(map(tuple, found)) == close_to(sorted(map(tuple, inference.bootstrap_means(points.repartition(5), ["i"], 100).collect())))
+    for r in found:
         assert r.lo < r.mean < r.hi and np.isclose(r["mean"], x[:, r.i].mean()) and r.hi - r.lo < 1
     gap = inference.gap_statistic(points, [1, 2, 3], refs=2)
     assert selection.gap_rule(gap, ["g"]).first().k == 2
 
 
+def close_to(rows):
+    return [tuple(pytest.approx(x) if isinstance(x, float) else x for x in r) for r in rows]
+
+
+@pytest.mark.parametrize("sizes,want", [
+    ({3: [(90, "Bulk tumor"), (6, "Necrosis"), (4, "Cellular/proliferative")]}, 2), ({3: [(90, "Bulk tumor"), (6, "Cellular/proliferative"), (4, "Necrosis")]}, 3),
+    ({3: [(60, "Bulk tumor"), (25, "Necrosis"), (15, "Cellular/proliferative")]}, 3), ({3: [(90, "Bulk tumor"), (6, "Hypoxic/vascular"), (4, "Cellular/proliferative")]}, 2),
+])
+def test_size_guard_spares_protected_labels(spark, sizes, want):
+    from gridwright.operators import passes
+
+    rows = [("s", 3, k, i, n, label) for k, all_ in (sizes | {2: [(96, "Bulk tumor"), (4, "Cellular/proliferative")]}).items() for i, (n, label) in enumerate(all_)]
+    df = spark.createDataFrame(rows, "subject string, start int, k int, cluster int, n long, label string")
+    assert passes.size_guarded(df, ["subject"], "start").first().k == want
+
+
+def test_greedy_match_takes_the_best_free_one(spark):
+    from gridwright.operators import comparison
+
+    rng = np.random.default_rng(3)
+    rows = [(g, a, b, float(np.round(rng.random(), 6))) for g in range(40) for a in range(5) for b in range(4)]
+    want = []
+    for g in range(40):
+        free = set(range(4))
+        for a in range(5):
+            best = max(((s, -b) for h, x, b, s in rows if h == g and x == a and b in free and s > 0.65), default=None)
+            if best:
+                want.append((g, a, -best[1], best[0]))
+                free.remove(-best[1])
+    got = comparison.greedy_match(spark.createDataFrame(rows, "g int, a int, b int, s double"), ["g"], "a", "b", "s")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_distance_transform_is_exact():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        seeds = rng.random((rng.integers(1, 14), rng.integers(1, 14))) < 0.15
+        if seeds.any():
+            at = np.argwhere(seeds)
+            want = [[((at - (i, j)) ** 2).sum(1).min() for j in range(seeds.shape[1])] for i in range(seeds.shape[0])]
+            assert (spatial.squared_distances(seeds) == np.array(want)).all()
+
+
+def test_broken_meta_gives_no_rows(spark, tmp_path):
+    from gridwright.sources import results
+
+    (tmp_path / "a.json").write_text('{"subject": 1, "scaling_info": {"T2": {"median": 1.0, "iqr": 2.0}}}\n{"subject": 2, "scaling')
+    assert [(r.subject, r.param, r.median, r.ref_n) for r in results.read_meta(spark, str(tmp_path)).collect()] == [(1, "T2", 1.0, None)]
+
+
 def test_modes_find_the_two_habitats(spark, grown):
     from gridwright.jobs import modes
 
