@@ -121,7 +121,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, name: str = "topk")
     apart = F.col("code").bitwiseXOR(F.col("q"))
     for radius in range(max(bits for _, bits in segments) + 1):
         lookups = _lookups(active, segments, radius).join(hot, ["j", "value"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), many - 1))).drop("blocks")
-        met = lookups.join(rows, ["j", "value", "block"])
+        met = lookups.join(rows.hint("shuffle_merge"), ["j", "value", "block"])  # lookups grow with the radius: never broadcast
         here = [F.bit_count(_segment(apart, *x)) for x in segments]
         before = [(here[i] > radius) | (here[i] == radius) & (F.col("j") <= i) for i in range(len(segments))]
         for condition in before:  # met at no smaller radius, and at this one in no earlier segment
