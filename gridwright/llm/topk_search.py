@@ -92,7 +92,8 @@ def _lookups(asked: DataFrame, segments: list[tuple[int, int]], radius: int) ->
                         value = own[i : i + step, None] ^ mask
                         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[i : i + step].view(np.int64), len(mask))), pa.array(np.full(value.size, j, np.int32)), pa.array(value.ravel())], names=["q", "j", "value"])
 
-    return asked.select("q").mapInArrow(tidy(run), "q long, j int, value long")
+    spread = asked.select("q").repartition(asked.sparkSession.sparkContext.defaultParallelism, "q")  # a few rows, but many lookups each
+    return spread.mapInArrow(tidy(run), "q long, j int, value long")
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = K, name: str = "topk") -> DataFrame:
