@@ -11,10 +11,13 @@ from ..sources import results, roi
 from .catalog import ASSIGN, CEN, COS, DOT, EUC, GRAND, PARAMS, PTS, ROB, SHARES, STAT, TUM, VEC, _centroids, _instances, _slice_points, assigned, longs, query, r, robust_long
 from .catalog_more import REFS
 
-LABEL = F.when(F.col("habitat") == 0, "Core").otherwise("Rim")
 LABEL_SQL = "CASE WHEN habitat = 0 THEN 'Core' ELSE 'Rim' END"
 
 
+def label():
+    return F.when(F.col("habitat") == 0, "Core").otherwise("Rim")
+
+
 def instances(spark, sf_dir):
     """Habitats of all subjects under two labels, with both kinds of means, share and quality."""
     long = longs(spark, sf_dir)
@@ -26,7 +29,7 @@ def instances(spark, sf_dir):
     share = profiles.shares(roi.cells(spark, sf_dir), ["subject"]).select(*key, F.col("share").alias("proportion"))
     j = _instances(spark, sf_dir).join(pairs.vectors(z, key, PARAMS).withColumnRenamed("v", "z"), key, "left").join(gate.select(*key, "eta2", "weight", (~F.col("passes")).alias("low_conf")), key).join(share, key)
     v = F.transform("v", lambda x: 6 * x)  # so that directions mean something
-    out = j.select(F.col("subject").alias("source"), F.col("habitat").alias("cluster"), LABEL.alias("label"), v.alias("v"), "z", "proportion", "eta2", "weight", "low_conf")
+    out = j.select(F.col("subject").alias("source"), F.col("habitat").alias("cluster"), label().alias("label"), v.alias("v"), "z", "proportion", "eta2", "weight", "low_conf")
     return results.written(out, "instances")
 
 
@@ -102,7 +105,7 @@ def a25(spark, sf_dir):
 
 @query("a34_source_means", f"+ {CEN} SELECT {LABEL_SQL} AS label, subject, param, {r('avg(mean)', 9)} AS mean FROM cen GROUP BY ALL", places=9)
 def a34(spark, sf_dir):
-    return _centroids(spark, sf_dir).groupBy(LABEL.alias("label"), "subject", "param").agg(F.avg("mean").alias("mean"))
+    return _centroids(spark, sf_dir).groupBy(label().alias("label"), "subject", "param").agg(F.avg("mean").alias("mean"))
 
 
 @query("a35_medians_near_zero", f"""+ {STAT}, {GRAND}, x AS (SELECT subject, param, (value - grand) / greatest(iqr, 1e-8) AS z FROM t JOIN s USING (subject, param) JOIN g USING (param)), m AS (SELECT subject, param, median(z) AS z FROM x GROUP BY ALL)

@@ -10,7 +10,12 @@ from ..operators import passes, quantiles, rules, selection, spatial
 from ..sources import roi
 from .catalog import KEYS, PROFILE_SQL, SC, VOTE_SQL, WEIGHTED, _score_sql, _scores, query, r, rule_profiles
 
-ZONE = F.when(F.col("habitat") == 0, "core").otherwise("periphery")
+
+
+def zone():
+    return F.when(F.col("habitat") == 0, "core").otherwise("periphery")
+
+
 _SC = ", sc AS (" + " UNION ALL ".join(f"SELECT run, habitat, '{x['name']}' AS name, {i} AS place, CAST({_score_sql(x)} AS DOUBLE) AS s FROM f" for i, x in enumerate(rules.RULES)) + ")"
 _Z = lambda c: f"coalesce({c}, 0.0)"
 _UNIT = ", ".join(f"CASE WHEN max({_Z(c)}) OVER w - min({_Z(c)}) OVER w > 1e-8 THEN ({_Z(c)} - min({_Z(c)}) OVER w) / (max({_Z(c)}) OVER w - min({_Z(c)}) OVER w) ELSE 0.5 END AS u_{c}" for c in passes.FEATURES)
@@ -32,7 +37,7 @@ PASSES = PROFILE_SQL + _SC + f""",
 
 @query("l26_three_passes", f"WITH {PASSES} SELECT * REPLACE (coalesce(anchor_necrotic, -1) AS anchor_necrotic) FROM tp", cells=False)
 def l26(spark, sf_dir):
-    return passes.three_passes(rule_profiles(spark, sf_dir), ["run"], zone=ZONE).na.fill(-1, ["anchor_necrotic"])
+    return passes.three_passes(rule_profiles(spark, sf_dir), ["run"], zone=zone()).na.fill(-1, ["anchor_necrotic"])
 
 
 WS = f"{WEIGHTED}, kk AS (SELECT *, row_number() OVER (PARTITION BY run, habitat ORDER BY p DESC, place) AS rn FROM pr), ws AS (SELECT run, habitat, label, p AS score FROM kk WHERE rn = 1)"
@@ -48,7 +53,7 @@ _FAMILY = "CASE " + " ".join(f"WHEN starts_with(lower(l.label), '{x.lower()}') T
 @query("e6_three_pass_accuracy", f"WITH {PASSES}, {WS.removeprefix(PROFILE_SQL + ', ')} SELECT t.label AS truth, count(*) AS n, count(*) FILTER ({_FAMILY} = t.label) AS n_right, {r(f'count(*) FILTER ({_FAMILY} = t.label) / count(*)')} AS accuracy FROM tp l JOIN ws t USING (run, habitat) GROUP BY t.label", cells=False)
 def e6(spark, sf_dir):
     """How often the three passes name the family that the weighted votes name."""
-    return passes.agreement(passes.three_passes(rule_profiles(spark, sf_dir), ["run"], zone=ZONE), voted(spark, sf_dir), KEYS)
+    return passes.agreement(passes.three_passes(rule_profiles(spark, sf_dir), ["run"], zone=zone()), voted(spark, sf_dir), KEYS)
 
 
 # two functions with other thresholds: a simulation of a change
