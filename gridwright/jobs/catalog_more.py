@@ -234,7 +234,7 @@ def g13(spark, sf_dir):
 @query("m13_gap_statistic")
 def m13(spark, sf_dir):
     points = voxel_vectors(spark, sf_dir).select(F.col("subject").cast("string").alias("g"), "v").persist()
-    return inference.gap_statistic(points, list(range(2, 11)), refs=20)
+    return inference.gap_statistic(points, list(range(2, 7)), refs=5)
 
 
 @query("m3_spectral_sizes")
