@@ -37,8 +37,8 @@ def scaled_points(long: DataFrame, params: list[str], scheme=scaling.robust) ->
     return pairs.vectors(s, CELL, params, "value")
 
 
-def guarded_k(points: DataFrame, models: dict[tuple[str, int], mixture.Mixture], best: dict[str, int], least_share: float) -> dict[str, int]:
-    """Per group the largest k up to the best whose clusters all hold the least share; at least the smallest k.
+def guarded_k(points: DataFrame, models: dict[tuple[str, int], mixture.Mixture], best: dict[str, int], least_share: float, least: int = 0) -> dict[str, int]:
+    """Per group the largest k up to the best whose clusters all hold the least share and number; at least the smallest k.
 
     All k are counted in one pass over the cells.
     """
@@ -47,12 +47,13 @@ def guarded_k(points: DataFrame, models: dict[tuple[str, int], mixture.Mixture],
 
     @F.pandas_udf("array<int>")
     def labels(g: pd.Series, v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist(), float).reshape(len(g), -1)
         out = np.zeros((len(g), len(ks)), int)
         for name in pd.unique(g):
             here = np.flatnonzero(g.to_numpy() == name)
+            x = np.array(v.iloc[here].tolist(), float)
             for i, k in enumerate(ks):
-                out[here, i] = shared.value[name, k].posteriors(x[here])[0].argmax(1)
+                if (name, k) in shared.value:
+                    out[here, i] = shared.value[name, k].posteriors(x)[0].argmax(1)
         return pd.Series(out.tolist())
 
     each = points.select("g", F.posexplode(labels("g", "v")).alias("i", "cluster")).groupBy("g", "i", "cluster").count().collect()
@@ -61,7 +62,7 @@ def guarded_k(points: DataFrame, models: dict[tuple[str, int], mixture.Mixture],
         sizes.setdefault((r["g"], ks[r["i"]]), []).append(r["count"])
     out = {}
     for g, k in best.items():
-        ok = [x for x in ks if x <= k and len(sizes[g, x]) == x and min(sizes[g, x]) >= least_share * sum(sizes[g, x])]
+        ok = [x for x in ks if x <= k and len(sizes[g, x]) == x and min(sizes[g, x]) >= max(least, least_share * sum(sizes[g, x]))]
         out[g] = max(ok, default=ks[0])
     return out
 
@@ -77,18 +78,28 @@ def classic(long: DataFrame, params: list[str], cfg: Config = Config(), scheme=s
 
 
 def balanced_sample(points: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most n cells of each subject, chosen by a seeded hash; ranks are limited before the shuffle."""
+    """Exactly n cells of each subject, chosen by a seeded hash; a subject with fewer is drawn from with replacement.
+
+    Ranks are limited before the shuffle, so that a task holds n cells of a subject, not all.
+    """
     h = F.xxhash64(F.lit(seed), *CELL)
     w = Window.partitionBy("subject").orderBy("h", *CELL)
-    return points.withColumn("h", h).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("h", "rn")
+    pool = points.withColumn("h", h).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("h")
+    pool = pool.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("subject")))
+    spare = pool.where(F.col("m") < n)
+    draws = spare.select("subject", "m").distinct().select("subject", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"), "m")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "subject", "i"), 12).cast("double") + 0.5) / float(1 << 52)
+    again = draws.select("subject", (F.floor(u * F.col("m")) + 1).cast("int").alias("rn")).join(spare.drop("m"), ["subject", "rn"])
+    return pool.where(F.col("m") >= n).drop("m", "rn").unionByName(again.drop("rn"))
 
 
 def joint(long: DataFrame, params: list[str], cfg: Config = Config(), scheme=scaling.cohort) -> DataFrame:
-    """One clustering of all subjects, fitted on equally many cells of each, applied to all cells."""
+    """One clustering of all subjects, fitted on equally many cells of each, chosen by its criterion on all cells and applied to all."""
     points = scaled_points(long, params, scheme).withColumn("g", F.lit("all")).persist()
     sample = balanced_sample(points, cfg.per_subject, cfg.seed).persist()
     models = mixture.fit_all(sample, list(cfg.ks), cfg.seed, cfg.restarts, cfg.steps)
-    best = {"all": min(cfg.ks, key=lambda k: models["all", k].bic())}
+    bics = {k: models["all", k].bic_of(n, ll) for (_, k), (n, ll, _) in mixture.evaluate(points, models).items()}
+    best = {"all": min(cfg.ks, key=lambda k: bics[k])}
     k = guarded_k(points, models, best, cfg.joint_least_share)
     return _assigned(points, {"all": models["all", k["all"]]})
 

@@ -46,10 +46,14 @@ class Mixture:
         total = p.sum(1, keepdims=True)
         return p / total, (top + np.log(total))[:, 0]
 
-    def bic(self) -> float:
+    def bic_of(self, n: float, log_likelihood: float) -> float:
+        """The criterion on n rows with this likelihood."""
         k, d = self.means.shape
         free = k - 1 + k * d + k * d * (d + 1) // 2
-        return -2 * self.log_likelihood + free * np.log(max(self.n, 1.0))
+        return -2 * log_likelihood + free * np.log(max(n, 1.0))
+
+    def bic(self) -> float:
+        return self.bic_of(self.n, self.log_likelihood)
 
 
 Key = tuple[str, int, int]  # group, number of components, restart
@@ -73,10 +77,11 @@ def _sums(points: DataFrame, models: dict[Key, object], weigh) -> dict[Key, np.n
         total: dict[Key, np.ndarray] = {}
         for batch in batches:
             groups = np.array(batch.column(0).to_pylist(), dtype=object)
-            x = np.array(batch.column(1).to_pylist(), dtype=float)
+            rows = batch.column(1).to_pylist()
             for g in pd.unique(groups):
+                x = np.array([rows[i] for i in np.flatnonzero(groups == g)], dtype=float)  # groups may differ in length
                 for key in of_group.get(g, ()):
-                    part = np.concatenate([np.ravel(a) for a in weigh(models[key], x[groups == g])])
+                    part = np.concatenate([np.ravel(a) for a in weigh(models[key], x)])
                     total[key] = part if key not in total else total[key] + part
         yield from packed(total)
 
@@ -177,6 +182,15 @@ def fit(points: DataFrame, k: int, seed: int = 35, restarts: int = 1, steps: int
     return {g: m for (g, _), m in fit_all(points, [k], seed, restarts, steps).items()}
 
 
+def evaluate(points: DataFrame, models: dict[tuple[str, int], Mixture]) -> dict[tuple[str, int], tuple[float, float, float]]:
+    """(rows, log likelihood, entropy of the posteriors) of each model on all rows of its group, in one pass."""
+    def weigh(model: Mixture, x: np.ndarray) -> list[np.ndarray]:
+        p, ll = model.posteriors(x)
+        return [np.array([len(x), ll.sum(), -(p * np.log(p + 1e-300)).sum()])]
+
+    return {(g, k): tuple(map(float, s)) for (g, k, _), s in _sums(points, {(g, k, 0): m for (g, k), m in models.items()}, weigh).items()}
+
+
 def predict(points: DataFrame, models: dict[str, Mixture]) -> DataFrame:
     """Adds proba and label to ``points`` (g, v, ...)."""
     shared = points.sparkSession.sparkContext.broadcast(models)
@@ -184,10 +198,9 @@ def predict(points: DataFrame, models: dict[str, Mixture]) -> DataFrame:
     @F.pandas_udf("array<double>")
     def proba(g: pd.Series, v: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(g), dtype=object)
-        x = np.array(v.tolist(), float).reshape(len(g), -1)
         for name in pd.unique(g):
             here = np.flatnonzero(g.to_numpy() == name)
-            p, _ = shared.value[name].posteriors(x[here])
+            p, _ = shared.value[name].posteriors(np.array(v.iloc[here].tolist(), float))
             for i, row in zip(here, p, strict=True):
                 out.iat[i] = row.tolist()
         return out

@@ -189,3 +189,90 @@ def test_spectral_clusters_follow_features_and_places(spark, grown):
     assert out.count() == truth.count()
     ari = metrics.agreement(metrics.counts(out, "truth", "label", ["subject"]), ["subject"]).collect()
     assert all(r.ari > 0.4 for r in ari)
+
+
+def test_assignment_is_optimal():
+    from itertools import permutations
+
+    from gridwright.jobs import atlas
+
+    rng = np.random.default_rng(2)
+    for k in (1, 2, 4, 5):
+        a, b = rng.normal(size=(k, 3)), rng.normal(size=(k, 3))
+        least = min(sum(np.linalg.norm(a[i] - b[j]) for i, j in enumerate(p)) for p in permutations(range(k)))
+        assert np.linalg.norm(a - atlas.aligned(a, b), axis=1).sum() == pytest.approx(least)
+    assert atlas.aligned(np.zeros((3, 2)), np.ones((1, 2))).shape == (3, 2)
+
+
+def test_balanced_sample_has_equally_many_cells(spark, grown):
+    from gridwright.jobs import modes
+
+    points = modes.scaled_points(grown, ["T2", "DTI-MD"])
+    sizes = {r["subject"]: r["count"] for r in points.groupBy("subject").count().collect()}
+    n = (min(sizes.values()) + max(sizes.values())) // 2  # one subject has fewer
+    got = modes.balanced_sample(points, n, 1)
+    assert got.columns == points.columns and {r["count"] for r in got.groupBy("subject").count().collect()} == {n}
+    assert got.join(points, points.columns, "left_anti").count() == 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, modes.balanced_sample(points.repartition(5), n, 1).collect()))
+
+
+def test_atlas_of_two_habitats_is_stable(spark, grown):
+    from gridwright.jobs import atlas, modes
+
+    cfg = atlas.Config(ks=(2, 3, 4), restarts=1, steps=20, per_subject=200, resamples=3)
+    model, scores, sample = atlas.fit(modes.scaled_points(grown, ["T2", "DTI-MD"]), cfg)
+    assert {r.k for r in scores.collect()} == {2, 3, 4} and all(r.icl >= r.bic and -1 <= r.silhouette <= 1 for r in scores.collect())
+    assert {r["count"] for r in sample.groupBy("subject").count().collect()} == {200}
+    shifts = atlas.stability(sample, model, cfg).collect()
+    assert [r.habitat for r in shifts] == list(range(len(model.means))) and all(0 <= r.mean_shift <= r.max_shift for r in shifts)
+    drawn = atlas.resampled(sample, 5, 1).groupBy("g").count().collect()
+    assert len(drawn) == 5 and {r["count"] for r in drawn} == {400}  # two subjects a resample
+
+
+def test_dirichlet_regression_finds_the_concentrations(spark):
+    from gridwright.operators import composition
+
+    rng = np.random.default_rng(0)
+    alpha = np.array([[2.0, 3.0, 5.0], [6.0, 3.0, 1.0]])
+    rows = [(g, [float(x) for x in v]) for g in (0, 1) for v in rng.dirichlet(alpha[g], 1500)]
+    df = spark.createDataFrame([*rows, (None, [0.2, 0.3, 0.5]), (1, None)], "grp int, v array<double>")
+    found = composition.dirichlet(df, 3)
+    assert np.exp(np.array([[1, 1], [1, 0]]) @ found.coefficients) == pytest.approx(alpha, rel=0.12)
+    assert found.degrees == 3 and found.p < 1e-6
+    same = composition.dirichlet(spark.createDataFrame([(i % 2, v) for i, (_, v) in enumerate(rows)], "grp int, v array<double>"), 3)
+    assert same.p > 0.001
+    for x, df_, p in ((3.841458820694124, 1, 0.05), (9.487729036781154, 4, 0.05), (11.070497693516351, 5, 0.05), (0.0, 3, 1.0)):
+        assert composition.chi2_tail(x, df_) == pytest.approx(p)
+    with pytest.raises(ValueError):
+        composition.dirichlet(df.where("false"), 3)
+
+
+def test_hierarchy_splits_a_core_and_leaves_one_blob_alone(spark):
+    from gridwright.jobs import hierarchy
+
+    rng = np.random.default_rng(4)
+    blobs = {"m1": [(3.0, 3.0), (3.0, 5.0), (-1.0, -1.0), (-1.0, -3.0)], "m2": [(0.0, 0.0)]}
+    rows = [(g, i * 1000 + j, i, [float(a + rng.normal(0, 0.2)), float(b + rng.normal(0, 0.2)), 0.0001 * float(rng.normal())]) for g, all_ in blobs.items() for i, (a, b) in enumerate(all_) for j in range(150)]
+    df = spark.createDataFrame(rows, "g string, i int, blob int, v array<double>")
+    out = hierarchy.segment(df, ["t2", "md", "mtr"], restarts=2)
+    got = out.groupBy("zone", "blob").agg(F.count(F.lit(1)).alias("n"), F.collect_set("habitat").alias("h")).collect()
+    assert {r["g"] for r in out.select("g").distinct().collect()} == {"m1"} and out.count() == 600
+    assert {(r.zone, r.blob, r.n) for r in got} == {("core", 0, 150), ("core", 1, 150), ("periphery", 2, 150), ("periphery", 3, 150)}
+    core = {h for r in got if r.zone == "core" for h in r.h}
+    rest = {h for r in got if r.zone == "periphery" for h in r.h}
+    assert core == set(range(len(core))) and rest == set(range(len(core), len(core) + len(rest))) and len(core) >= 2
+    idx = {r.g: r.idx for r in hierarchy.telling_components(df).collect()}
+    assert idx == {"m1": [0, 1], "m2": [0, 1]}
+
+
+def test_sub_habitats_split_what_differs_within_subjects(spark):
+    from gridwright.jobs import hierarchy
+
+    rng = np.random.default_rng(6)
+    rows = [(h, s, [float(rng.normal(10 * s + (4.0 if h == 0 and j % 2 else 0.0), 0.3)), float(rng.normal(0, 0.3))], j % 2) for h, n in ((0, 200), (1, 200), (2, 20)) for s in (0, 1) for j in range(n)]
+    df = spark.createDataFrame(rows, "habitat int, subject int, v array<double>, part int")
+    out = hierarchy.sub_habitats(df, restarts=2)
+    assert out.count() == 800 and sorted(out.columns) == sorted([*df.columns, "sub"])
+    parts = {(r.habitat, r.part): r.s for r in out.groupBy("habitat", "part").agg(F.collect_set("sub").alias("s")).collect()}
+    assert parts[0, 0] != parts[0, 1] and len(parts[0, 0]) == len(parts[0, 1]) == 1
+    assert parts[1, 0] == parts[1, 1] == [0]
