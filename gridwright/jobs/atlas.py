@@ -13,7 +13,7 @@ from ..sources.results import written
 from .modes import CELL, balanced_sample
 
 #: Rows on which silhouettes are measured.
-SILHOUETTE_ROWS = 2_000
+SILHOUETTE_ROWS = 1_000
 # Regularisation of the covariances, and the mean shift below which a centre is stable.
 REG, STABLE = 1e-4, 0.10
 
@@ -97,7 +97,7 @@ def stability(sample: DataFrame, model: mixture.Mixture, cfg: Config = Config())
 
 def fit(points: DataFrame, cfg: Config = Config()) -> tuple[mixture.Mixture, DataFrame, DataFrame]:
     """(model, criteria, balanced sample) of ``points`` (subject, slice, x, y, v); the model is fitted on equally many cells of each subject."""
-    points = points.withColumn("g", F.lit("all"))
+    points = written(points.withColumn("g", F.lit("all")), "atlas-points")
     sample = written(balanced_sample(points, cfg.per_subject, cfg.seed), "atlas-sample")
     models = mixture.fit_all(sample, list(cfg.ks), cfg.seed, cfg.restarts, cfg.steps, REG)
     scores = criteria(points, sample, models, cfg.seed)

@@ -14,7 +14,7 @@ from .catalog import SHARES, query, r, voxel_vectors
 
 HABITATS = [0, 1, 2]
 NAMES = ["t2", "md", "t2star", "mtr"]  # as the parameters of the vectors
-ATLAS = atlas.Config()
+ATLAS = atlas.Config(restarts=1, steps=15)
 
 
 def _compositions(spark, sf_dir):

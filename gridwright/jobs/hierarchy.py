@@ -26,11 +26,12 @@ def telling_components(points: DataFrame, keep: float = KEEP) -> DataFrame:
     return kept.groupBy("g").agg(F.sort_array(F.collect_list("i")).alias("idx"))
 
 
-def zones(points: DataFrame, names: list[str], seed: int = 35, restarts: int = 3, steps: int = 30) -> DataFrame:
+def zones(points: DataFrame, names: list[str], seed: int = 35, restarts: int = 1, steps: int = 15) -> DataFrame:
     """``points`` (g, v, ...) with ``zone`` core or periphery; groups that one component fits as well, or whose halves hardly differ, are left out.
 
     ``names`` tells which of t2, md, fa, t2star, mtr the components of v are.
     """
+    points = written(points, "zone-points")  # read once per pass
     models = mixture.fit_all(points, [1, 2], seed, restarts, steps)
     split = {g: m for (g, k), m in models.items() if k == 2 and len(m.means) == 2 and m.bic() < models[g, 1].bic()}
     spark = points.sparkSession
@@ -42,7 +43,7 @@ def zones(points: DataFrame, names: list[str], seed: int = 35, restarts: int = 3
     return halves.join(guard, "g").withColumn("zone", F.when(F.col("label") == F.col("core"), "core").otherwise("periphery")).drop("label", "core")
 
 
-def segment(points: DataFrame, names: list[str], seed: int = 35, restarts: int = 3, steps: int = 30) -> DataFrame:
+def segment(points: DataFrame, names: list[str], seed: int = 35, restarts: int = 1, steps: int = 15) -> DataFrame:
     """(..., zone, habitat): habitats numbered from 0, those of the core first.
 
     Each zone is clustered on its telling parameters: a core in 1 to 4, a periphery in 2 to 5 habitats by BIC, in no
@@ -65,7 +66,7 @@ def segment(points: DataFrame, names: list[str], seed: int = 35, restarts: int =
     return found.join(number, ["g", "zone", "label"]).drop("label")
 
 
-def sub_habitats(points: DataFrame, most: int = 4, least_cells: int = 200, least_part: int = 30, least_share: float = 0.05, seed: int = 35, restarts: int = 3, steps: int = 30) -> DataFrame:
+def sub_habitats(points: DataFrame, most: int = 4, least_cells: int = 200, least_part: int = 30, least_share: float = 0.05, seed: int = 35, restarts: int = 1, steps: int = 15) -> DataFrame:
     """``points`` (habitat, subject, v, ...) with ``sub``: the parts of each habitat of at least ``least_cells`` cells, others left out.
 
     Cells are centred per subject first. Up to ``most`` parts by BIC, one per 50 cells at most, as many as leave no
