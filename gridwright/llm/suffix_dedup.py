@@ -22,6 +22,9 @@ same place. An anchor stands for the run of windows that choose it.
 3. Grams with more than ``HOT`` different runs (the edge of a passage that many
    documents share) are not gathered: their windows are dealt out by hash.
 
+Texts meet their anchors and spans in sort-merge joins at every size: what they meet grows with the documents, so
+that beyond some size no broadcast is left, and work measured on small tables holds for large ones.
+
 Equal texts are settled before all this: of 100 bytes or more, all but the
 first go whole.
 
@@ -327,7 +330,7 @@ def _run_rows(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
         runs = [(part, *front_coded(sorted(items, key=lambda x: x[0]))) for part, items in held.items()]
         return _rows(_RUN, [pa.int32(), *[pa.binary()] * 5], *zip(*runs, strict=True))
 
-    return docs.join(chosen, ["d", "e"]).select("d", "e", "at", "text").mapInArrow(tidy(run), _RUN_T)
+    return docs.join(chosen.hint("merge"), ["d", "e"]).select("d", "e", "at", "text").mapInArrow(tidy(run), _RUN_T)
 
 
 def _merged_spans(runs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -373,7 +376,7 @@ def _hot_spans(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
             rows += [(w, *x) for w, x in first.items()]
             yield _rows(["w", "d", "e", "p"], [pa.binary(), _L, _L, _L], *(zip(*rows, strict=True) if rows else [[]] * 4))
 
-    found = materialize(docs.join(chosen, ["d", "e"]).select("d", "e", "at", "text").mapInArrow(tidy(windows), "w binary, d long, e long, p long"), "suffix-windows")
+    found = materialize(docs.join(chosen.hint("merge"), ["d", "e"]).select("d", "e", "at", "text").mapInArrow(tidy(windows), "w binary, d long, e long, p long"), "suffix-windows")
     place = F.struct("d", "e", "p")
     least = found.where("w is not null").groupBy("w").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = found.join(least, "w").where(place > F.col("least")).select("d", "e", "p")
@@ -408,11 +411,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, name
     usual = is_open.join(checked(hot), "gram", "left_anti").groupBy("d", "e").agg(
         F.collect_list(F.struct(F.pmod("gram", F.lit(parts)).cast("int").alias("part"), "pos", "reach")).alias("at"))
     usual = materialize(usual, f"{name}-open")
-    merged = _merged_spans(_run_rows(others, checked(usual, arrays="at"), length), length, gram)
+    merged = _merged_spans(_run_rows(others, usual, length), length, gram)
     spans = spans.unionByName(materialize(merged, f"{name}-merged"))
     if hot.head(1):
         wide = materialize(is_open.join(checked(hot), "gram", "left_semi").groupBy("d", "e").agg(F.collect_list(F.struct("pos", "reach")).alias("at")), f"{name}-wide")
-        spans = spans.unionByName(_hot_spans(others, checked(wide, arrays="at"), length))
+        spans = spans.unionByName(_hot_spans(others, wide, length))
     spans = spans.unionByName(copies.select("d", "e", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +446,7 @@ def kept_bytes(data: bytes, starts: list[int] | None, ends: list[int] | None) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = repeated_spans(docs)
-    joined = docs.join(checked(spans, arrays="starts"), ["d", "e"], "left").select("doc_id", "d", "e", "text", "starts", "ends")
+    joined = docs.join(spans.hint("merge"), ["d", "e"], "left").select("doc_id", "d", "e", "text", "starts", "ends")
     names = ["doc_id", "d", "e", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
