@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, mixing, ngram_join, packing, quality, sharding, suffix_dedup, topk_search, warc
+from . import bpe, centroids, collocations, embedding_dedup, language_id, mixing, ngram_join, packing, quality, sharding, suffix_dedup, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": embedding_dedup.query,
     "op9_sharding": sharding.query,
     "op10_warc": warc.query,
+    "op11_centroids": centroids.query,
+    "op12_collocations": collocations.query,
+    "op13_bpe": bpe.query,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +29,6 @@ SQL: dict[str, str] = {
     "op5_ngram_join": ngram_join.SQL,
     "op8_embedding_dedup": embedding_dedup.SQL,
     "op10_warc": warc.SQL,
+    "op11_centroids": centroids.SQL,
+    "op12_collocations": collocations.SQL,
 }

@@ -1,4 +1,4 @@
-"""The ten operators against brute force, with planted and odd rows."""
+"""The first ten operators against brute force, with planted and odd rows."""
 
 import hashlib
 import math
