@@ -149,13 +149,17 @@ def test_phrases_equal_brute_force(spark, least, top):
     assert rows_of(collocations.collocations(df, least=least, top=top)) == brute_phrases(rows, least, top)
 
 
-def test_one_batch_equals_many_and_hot_pairs_are_dealt(spark, monkeypatch):
-    rows = [("en", f"hot pair {'abcdefgh'[i % 8]}") for i in range(900)]
-    df = spark.createDataFrame(rows, "lang string, text string")
-    assert {(r.w1, r.w2) for r in collocations.hot_pairs(df).collect()} == {("hot", "pair")}
-    whole = rows_of(collocations.phrase_counts(df.repartition(7)))
-    monkeypatch.setattr(collocations, "HOT_SHARE", 1)  # no pair is hot
-    assert whole == rows_of(collocations.phrase_counts(df.coalesce(1))) and ("en", "hot", "pair", None, 2, 900) in whole
+@pytest.mark.parametrize("flush,bucket", [(50, 40), (7, 1_000_000), (1_000_000, 300)])
+def test_tasks_and_buckets_have_no_influence(spark, monkeypatch, flush, bucket):
+    monkeypatch.setattr(collocations, "FLUSH", flush)
+    monkeypatch.setattr(collocations, "BUCKET", bucket)
+    rows = phrase_rows()[:120] + [("en", f"hot pair {'abcdefgh'[i % 8]}") for i in range(200)] + [("en", " ".join("abcab"[i % 5] for i in range(500)))]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    batches = [b for b in df.toArrow().to_batches()]
+    assert sum(int(n.sum()) for *_, n in collocations._windows(iter(batches))) == sum(r[2] for r in {(r[0], r[6], r[6]) for r in brute_phrases(rows, 1, 1)})
+    buckets, hot = collocations.dealing(df.select("lang", "text"))
+    assert bucket == 1_000_000 or (b"hot" in hot["en"][0] and (b"hot", b"pair") in hot["en"][1] and buckets > 10)
+    assert rows_of(collocations.collocations(df)) == brute_phrases(rows)
 
 
 def test_phrases_of_an_empty_table(spark):
