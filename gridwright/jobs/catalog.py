@@ -68,7 +68,7 @@ CELLS_SCALED = "SELECT subject, slice, x, y, param, {} AS scaled FROM {}"
 
 @query("s1_roi_pivot", f"SELECT subject, slice, x, y, {r('t2', 9)} AS T2, {r('md', 9)} AS MD, {r('t2star', 9)} AS T2star, {r('mtr', 9)} AS MTR FROM cells WHERE roi = 'ALL'", places=9)
 def s1(spark, sf_dir):
-    wide = roi.pivot_cells(longs(spark, sf_dir), PARAMS, "T2")
+    wide = roi.pivot_cells(roi.melt(roi.cells(spark, sf_dir), PARAMS), PARAMS, "T2")  # one pass, so the cells aren't written
     return wide.withColumnRenamed("DTI-MD", "MD")
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import contrasts, inference, metrics, pairs, profiles, quantiles, ranks, rules, scaling, spectral
+from ..operators import contrasts, inference, metrics, pairs, permutations, profiles, quantiles, ranks, rules, scaling, spectral
 from ..sources import results, roi
-from .catalog import CEN, COS, KEYS, PARAMS, REF, SHARES, STAT, TUM, VEC, VOTE_SQL, PROFILE_SQL, _centroids, _instances, longs, query, r, rule_profiles, voxel_vectors
+from .catalog import CEN, COS, EUC, KEYS, PARAMS, PTS, REF, SHARES, STAT, TUM, VEC, VOTE_SQL, PROFILE_SQL, _centroids, _instances, longs, query, r, rule_profiles, voxel_vectors
 
 RAW = f"{TUM}, raw AS (SELECT subject, habitat, param, avg(value) AS mean FROM t GROUP BY ALL)"
 REFS = "refs AS (SELECT subject, param, median(value) AS rmed, greatest(stddev_samp(value), 1e-8) AS rsd FROM long WHERE roi = 'CL' GROUP BY ALL)"
@@ -202,20 +202,34 @@ def e5(spark, sf_dir):
 # --- resampling: deterministic by seed, without SQL ----------------------------------------
 
 
-def _distances(spark, sf_dir):
+def _log_ratios(spark, sf_dir):
+    """(subject, grp, v): compositions as centred log ratios, whose Euclidean distance is the Aitchison distance."""
     m = profiles.presence_matrix(roi.cells(spark, sf_dir), [0, 1, 2])
-    c = results.written(m.select("subject", F.array("l_0", "l_1", "l_2").alias("v")), "compositions")
-    return pairs.aitchison(c), c.select("subject", (F.col("subject") % 2).alias("grp"))
+    return results.written(m.select("subject", (F.col("subject") % 2).alias("grp"), X.clr(F.array("l_0", "l_1", "l_2")).alias("v")), "compositions")
 
 
 @query("g6_permutation_p")
 def g6p(spark, sf_dir):
-    return inference.permanova_test(*_distances(spark, sf_dir), n_perm=999)
+    return permutations.permanova_test(_log_ratios(spark, sf_dir), n_perm=999)
 
 
 @query("g7_dispersion")
 def g7(spark, sf_dir):
-    return inference.dispersion_test(*_distances(spark, sf_dir), n_perm=999)
+    return permutations.dispersion_test(_log_ratios(spark, sf_dir), n_perm=999)
+
+
+@query("g4_kernel_test")
+def g4(spark, sf_dir):
+    """The subjects' slices, odd against even subjects."""
+    m = profiles.centroids(robust_long(spark, sf_dir), ["subject", "slice"])
+    v = pairs.vectors(m, ["subject", "slice"], PARAMS).select((F.col("subject") * 10 + F.col("slice")).alias("subject"), (F.col("subject") % 2).alias("grp"), "v")
+    return permutations.kernel_test(results.written(v, "slices"), 1.0, n_perm=499)
+
+
+@query("g4_kernel_statistic", f"""+ {PTS}, k AS (SELECT a.grp % 2 AS ga, b.grp % 2 AS gb, avg(exp(-({EUC.format('a.v', 'b.v')} ** 2) / 2.0)) AS k FROM pts a JOIN pts b ON a.id <> b.id GROUP BY ALL)
+ SELECT {r('max(k) FILTER (ga = 0 AND gb = 0) + max(k) FILTER (ga = 1 AND gb = 1) - 2 * max(k) FILTER (ga = 0 AND gb = 1)')} AS f FROM k""")
+def g4f(spark, sf_dir):
+    return g4(spark, sf_dir).select("f")
 
 
 @query("g11_rank_sum_p")
@@ -233,8 +247,8 @@ def g13(spark, sf_dir):
 
 @query("m13_gap_statistic")
 def m13(spark, sf_dir):
-    points = voxel_vectors(spark, sf_dir).select(F.col("subject").cast("string").alias("g"), "v").persist()
-    return inference.gap_statistic(points, list(range(2, 7)), refs=5)
+    points = voxel_vectors(spark, sf_dir).select(F.col("subject").cast("string").alias("g"), "v")
+    return inference.gap_statistic(results.written(points, "cells"), list(range(2, 7)), refs=5)
 
 
 @query("m3_spectral_sizes")

@@ -1,117 +1,34 @@
-"""Resampling tests. Permutations and resamples are rows of work for Spark.
+"""Rank tests, bootstrap intervals and the gap statistic.
 
-A permutation test works on a summary (one row per subject, a documented
-bound), which is broadcast; permutation ids are dealt over the cluster and each
-task returns counts. A bootstrap works on cells of any number: each task keeps
-sums per resample, with Poisson(1) weights drawn from a hash of the row, the
-usual form of the bootstrap for data that no task can hold.
+A bootstrap works on cells of any number: each task keeps sums per resample, with
+Poisson(1) weights drawn from a hash of the row, the usual form of the bootstrap
+for data that no task can hold.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.results import written
 from . import mixture
+from .permutations import mixed
 
-#: Subjects whose distance matrix is broadcast: 2,000 x 2,000 doubles are 32 MB.
-MAX_SUBJECTS = 2_000
+#: Chances of at most 0, 1, 2, ... under a mean of 1.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
 
-def distance_matrix(pairs: DataFrame, groups: DataFrame, key: str = "subject") -> tuple[list, np.ndarray, np.ndarray]:
-    """(keys, square distances, group codes) of a summary with at most ``MAX_SUBJECTS`` rows."""
-    rows = groups.select(key, "grp").orderBy(key).limit(MAX_SUBJECTS + 1).collect()
-    if len(rows) > MAX_SUBJECTS:
-        raise ValueError(f"more than {MAX_SUBJECTS} rows")
-    at = {r[key]: i for i, r in enumerate(rows)}
-    d = np.zeros((len(rows), len(rows)))
-    for r in pairs.select("a", "b", "distance").collect():  # at most MAX_SUBJECTS^2 / 2
-        d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = r["distance"]
-    return list(at), d * d, pd.factorize(pd.Series([r["grp"] for r in rows]))[0]
-
-
-def permuted(spark: SparkSession, statistic: Callable[[np.ndarray], float], groups: np.ndarray, n_perm: int, seed: int = 42) -> tuple[float, float]:
-    """(observed, p): p is the share of permutations whose statistic is not smaller."""
-    observed = float(statistic(groups))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [int(statistic(np.random.default_rng([seed, i]).permutation(groups)) >= observed) for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64())], names=["hit"])
-
-    return observed, float(spark.range(n_perm).mapInArrow(run, "hit long").agg(F.avg("hit")).first()[0])
-
-
-def pseudo_f(sq: np.ndarray) -> Callable[[np.ndarray], float]:
-    """The ratio of between-group to within-group mean squares, from square distances."""
-    n = len(sq)
-    total = sq.sum() / (2 * n)
-
-    def statistic(groups: np.ndarray) -> float:
-        one = np.eye(groups.max() + 1)[groups]
-        size = one.sum(0)
-        within = (np.einsum("ig,ij,jg->g", one, sq, one) / (2 * size)).sum()
-        return ((total - within) / (len(size) - 1)) / (within / (n - len(size))) if within > 1e-14 and n > len(size) > 1 else 0.0
-
-    return statistic
-
-
-def principal_coordinates(sq: np.ndarray, dims: int = 8) -> np.ndarray:
-    """Coordinates whose distances approach the given ones."""
-    n = len(sq)
-    c = np.eye(n) - 1.0 / n
-    value, vector = np.linalg.eigh(-0.5 * c @ sq @ c)
-    top = np.argsort(value)[::-1][: min(n - 1, dims)]
-    return vector[:, top] * np.sqrt(np.maximum(value[top], 0.0))
-
-
-def dispersion_f(coords: np.ndarray) -> Callable[[np.ndarray], float]:
-    """F ratio of the distances to the group centres."""
-    def statistic(groups: np.ndarray) -> float:
-        one = np.eye(groups.max() + 1)[groups]
-        size = one.sum(0)
-        d = np.linalg.norm(coords - (one.T @ coords / size[:, None])[groups], axis=1)
-        means = one.T @ d / size
-        between, within = (size * (means - d.mean()) ** 2).sum(), ((d - means[groups]) ** 2).sum()
-        return (between / (len(size) - 1)) / (within / (len(d) - len(size))) if within > 1e-14 and len(d) > len(size) > 1 else 0.0
-
-    return statistic
-
-
-def permanova_test(pairs: DataFrame, groups: DataFrame, n_perm: int = 999, key: str = "subject") -> DataFrame:
-    spark = pairs.sparkSession
-    _, sq, codes = distance_matrix(pairs, groups, key)
-    f, p = permuted(spark, pseudo_f(sq), codes, n_perm)
-    return spark.createDataFrame([("location", f, p, n_perm)], "test string, f double, p double, n_perm int")
-
-
-def dispersion_test(pairs: DataFrame, groups: DataFrame, n_perm: int = 999, key: str = "subject") -> DataFrame:
-    """Homogeneity of dispersions on principal coordinates (an eigenvalue solution in the place of iterated scaling)."""
-    spark = pairs.sparkSession
-    _, sq, codes = distance_matrix(pairs, groups, key)
-    f, p = permuted(spark, dispersion_f(principal_coordinates(sq)), codes, n_perm)
-    return spark.createDataFrame([("dispersion", f, p, n_perm)], "test string, f double, p double, n_perm int")
-
-
-def kernel_test(x: np.ndarray, y: np.ndarray, sigma: float, spark: SparkSession, n_perm: int = 499) -> tuple[float, float]:
-    """Unbiased squared mean discrepancy of two bounded samples and its permutation p."""
-    z = np.vstack([x, y])
-    sq = ((z[:, None] - z[None]) ** 2).sum(2)
-    k = np.exp(-sq / (2 * sigma * sigma))
-    np.fill_diagonal(k, 0.0)
-
-    def statistic(groups: np.ndarray) -> float:
-        a, b = groups == 0, groups == 1
-        n, m = a.sum(), b.sum()
-        return k[np.ix_(a, a)].sum() / (n * (n - 1)) + k[np.ix_(b, b)].sum() / (m * (m - 1)) - 2 * k[np.ix_(a, b)].mean()
-
-    return permuted(spark, statistic, np.repeat([0, 1], [len(x), len(y)]), n_perm)
+def poisson_weights(rows: np.ndarray, n: int) -> np.ndarray:
+    """[row, resample]: Poisson(1) numbers that depend on the rows' hashes and the resample alone."""
+    with np.errstate(over="ignore"):
+        h = mixed(rows.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15))
+    return np.searchsorted(_POISSON, (h >> np.uint64(11)).astype(float) / float(1 << 53), "right").astype(float)
 
 
 def rank_sum_p(u: str, n1: str = "n1", n2: str = "n2"):
@@ -139,7 +56,7 @@ def bootstrap_means(points: DataFrame, keys: list[str], n_boot: int = 200, level
         for batch in batches:
             g = np.array(batch.column(0).to_pylist(), dtype=object)
             x = np.array(batch.column(1).to_pylist(), float)
-            w = np.vstack([np.random.default_rng(np.uint64(h & (1 << 64) - 1)).poisson(1.0, n_boot) for h in batch.column(2).to_pylist()]) if len(x) else np.zeros((0, n_boot))
+            w = poisson_weights(batch.column(2).to_numpy(), n_boot)
             for name in pd.unique(g):
                 here = g == name
                 ww = np.hstack([np.ones((here.sum(), 1)), w[here]])
@@ -171,11 +88,11 @@ def gap_statistic(points: DataFrame, ks: list[int], refs: int = 5, seed: int = 3
         u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + i), "g", "ref", "row"), 12).cast("double") + 0.5) / float(1 << 52)
         return F.col("lo")[i] + u * (F.col("hi")[i] - F.col("lo")[i])
 
-    made = rows.select("g", "row", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(refs - 1))).alias("ref")).select(F.concat_ws("|", "g", F.col("ref").cast("string")).alias("g"), F.array(*[draw(i) for i in range(d)]).alias("v")).persist()
+    made = rows.select("g", "row", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(refs - 1))).alias("ref")).select(F.concat_ws("|", "g", F.col("ref").cast("string")).alias("g"), F.array(*[draw(i) for i in range(d)]).alias("v"))
+    made = written(made, "gap-references")
     own = {(g, k): math.log(c + 1e-10) for (g, k, _), (_, c) in sorted(mixture.kmeans_all(points, ks, seed, restarts=1).items())}
     ref: dict = {}
     for (name, k, _), (_, c) in mixture.kmeans_all(made, ks, seed, restarts=1).items():
         ref.setdefault((name.rpartition("|")[0], k), []).append(math.log(c + 1e-10))
-    made.unpersist()
     table = [(g, k, float(np.mean(ref[g, k]) - w), float(np.std(ref[g, k]) * math.sqrt(1 + 1 / refs))) for (g, k), w in own.items()]
     return spark.createDataFrame(table, "g string, k int, gap double, s double")

@@ -1,8 +1,9 @@
 """Scalings of the long cell table (subject, param, value, ...).
 
 Each scheme is a centre and a spread per group from exact quantiles, joined
-back; the statistics have a row per (subject, param) at most, so Spark
-broadcasts them by size. Two policies for a spread of 0 exist: ``zero`` makes
+back; the statistics have a row per (subject, param) at most and are broadcast
+after a count, with the rows of a group dealt by salt where they are too many.
+Two policies for a spread of 0 exist: ``zero`` makes
 the column 0, ``floor`` divides by 1e-8; each scheme has that of its source.
 """
 
@@ -11,9 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import median_iqr, quantiles, summary_median
+from ..sources.results import written
+from .quantiles import BROADCAST_ROWS, median_iqr, quantiles, summary_median
 
 FLOOR = 1e-8
+#: Parts into which a group's rows are dealt where its statistics can't be broadcast.
+SALTS = 16
 
 
 def floored(spread: Column) -> Column:
@@ -24,7 +28,16 @@ def apply_scale(long: DataFrame, stats: DataFrame, by: list[str], zero_policy: s
     """Adds ``scaled`` from ``stats`` (by, center, spread); NULL values stay NULL."""
     diff = F.col("value") - F.col("center")
     scaled = F.when(F.col("spread") == 0, F.when(diff.isNotNull(), 0.0)).otherwise(diff / F.col("spread")) if zero_policy == "zero" else diff / floored(F.col("spread"))
-    return long.join(stats.select(*by, "center", "spread"), by).withColumn("scaled", scaled).drop("center", "spread")
+    return with_stats(long, stats.select(*by, "center", "spread"), by).withColumn("scaled", scaled).drop("center", "spread")
+
+
+def with_stats(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``stats``, one row a group. A group may hold any share of the rows, so they are never shuffled by group alone."""
+    stats = written(stats, "scaling-stats")
+    if stats.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(stats), by)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(stats.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), [*by, "_salt"]).drop("_salt")
 
 
 def tumour(long: DataFrame) -> DataFrame:
@@ -91,7 +104,8 @@ def grand_medians(long: DataFrame) -> DataFrame:
 def recalibrated(long: DataFrame) -> DataFrame:
     """(x - grand median) / own IQR."""
     t, by = tumour(long), ["subject", "param"]
-    s = median_iqr(t, by).join(grand_medians(long), "param").withColumnsRenamed({"grand": "center", "iqr": "spread"})
+    per = written(median_iqr(t, by), "scaling-medians")
+    s = per.join(summary_median(per, ["param"], "median", "grand"), "param").withColumnsRenamed({"grand": "center", "iqr": "spread"})
     return apply_scale(t, s, by)
 
 
@@ -104,7 +118,7 @@ def pooled(long: DataFrame) -> DataFrame:
 
 def cohort(long: DataFrame) -> DataFrame:
     """Centred by the grand median, divided by the pooled IQR of the centred values; NULL to 0."""
-    centred = tumour(long).join(grand_medians(long), "param").withColumn("value", F.col("value") - F.col("grand")).drop("grand")
+    centred = with_stats(tumour(long), grand_medians(long), ["param"]).withColumn("value", F.col("value") - F.col("grand")).drop("grand")
     s = median_iqr(centred, ["param"]).select("param", F.lit(0.0).alias("center"), F.col("iqr").alias("spread"))
     return apply_scale(centred, s, ["param"]).withColumn("scaled", F.coalesce("scaled", F.lit(0.0)))
 

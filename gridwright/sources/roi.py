@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .results import written
+
 # Parameters in the order in which file names are searched.
 PARAMETERS = ("DTI-AD", "DTI-FA", "DTI-MD", "DTI-RD", "T2star", "MTR", "T2")
-#: Folder names that say nothing about the subject.
+# Folder names that say nothing about the subject.
 GENERIC_FOLDERS = ("v2", "gmm", "kmeans", "srsc", "results", "output")
 
+# The columns of an ROI table.
 ROI_CSV = T.StructType([
     T.StructField("Roi_ID", T.IntegerType()), T.StructField("Roi_Name", T.StringType()), T.StructField("Slice", T.IntegerType()),
     T.StructField("X", T.IntegerType()), T.StructField("Y", T.IntegerType()), T.StructField("Value", T.DoubleType()),
@@ -72,8 +75,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same cells, one row per parameter."""
-    return melt(cells(spark, sf_dir), list(MODALITIES))
+    """The same cells, one row per parameter. They are grouped and written once, as most readers pass over them several times."""
+    return melt(written(cells(spark, sf_dir), "cells"), list(MODALITIES))
 
 
 def melt(wide: DataFrame, params: list[str]) -> DataFrame:

@@ -51,6 +51,28 @@ def test_quantiles_of_large_and_small_groups(spark, monkeypatch):
         assert 0 in got and 1 in got and 4 not in got
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_large_group_is_never_shuffled_by_its_key(spark, monkeypatch, broadcast):
+    """A million values of one group, brackets narrowed several times; with automatic broadcast off."""
+    monkeypatch.setattr(quantiles, "INSIDE", 1500)
+    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", 100 if broadcast else 0)
+    monkeypatch.setattr(scaling, "BROADCAST_ROWS", 100 if broadcast else 0)
+    n = 1_000_000 if broadcast else 60_000
+    df = spark.range(n).select(F.when(F.col("id") >= 0, "s").alias("subject"), F.when(F.col("id") >= 0, "p").alias("param"), F.lit("ALL").alias("roi"), (F.xxhash64("id") % 1_000_003 / 7).alias("value"))
+    want = np.array([r[0] for r in df.select("value").collect()])
+    got = quantiles.quantiles(df, ["subject", "param"], "value", {"a": 0.25, "b": 0.5, "c": 0.999}).first()
+    assert np.allclose([got.a, got.b, got.c], np.quantile(want, [0.25, 0.5, 0.999])) and got.n == n
+    scaled = scaling.robust(df)
+    assert scaled.count() == n
+    if broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = scaling.robust(df)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_smoothing_moves_a_lone_unsure_cell(spark):
     rows = [("s", 1, x, y, 1 if (x, y) == (2, 2) else 0, [0.45, 0.55] if (x, y) == (2, 2) else [0.9, 0.1]) for x in range(5) for y in range(5)]
     df = spark.createDataFrame(rows, "subject string, slice int, x int, y int, habitat int, proba array<double>")
@@ -85,20 +107,113 @@ def test_stream_equals_batch(spark, grown, tmp_path):
     assert windows.agg(F.sum("n")).first()[0] == cells.count()
 
 
-def test_permutation_tests_tell_groups_apart(spark):
-    from gridwright.operators import inference
+def test_permutations_are_bijections_and_uniform():
+    from gridwright.operators import permutations
+
+    for n in (2, 7, 33, 1000):
+        p = permutations.permuted(np.arange(n), n, 50, 3)
+        assert (p[:, 0] == np.arange(n)).all() and all(len(set(p[:, t])) == n for t in range(51))
+        assert (p == np.vstack([permutations.permuted(np.array([i]), n, 50, 3) for i in range(n)])).all()
+    first = permutations.permuted(np.arange(4), 4, 4000, 1)[0, 1:]
+    assert np.abs(np.bincount(first) / 4000 - 0.25).max() < 0.04
+
+
+def numpy_statistics(v, grp):
+    """(location F, squared mean discrepancy at bandwidth 1) by plain loops over groups."""
+    sq = ((v[:, None] - v[None]) ** 2).sum(2)
+    n, kinds = len(v), np.unique(grp)
+    within = sum(sq[np.ix_(grp == g, grp == g)].sum() / (2 * (grp == g).sum()) for g in kinds)
+    total = sq.sum() / (2 * n)
+    k = np.exp(-sq / 2)
+    np.fill_diagonal(k, 0)
+    a, b = grp == kinds[0], grp == kinds[-1]
+    return ((total - within) / (len(kinds) - 1)) / (within / (n - len(kinds))), k[np.ix_(a, a)].sum() / (a.sum() * (a.sum() - 1)) + k[np.ix_(b, b)].sum() / (b.sum() * (b.sum() - 1)) - 2 * k[np.ix_(a, b)].mean()
 
+
+@pytest.mark.parametrize("block,gap", [(512, 0.0), (16, 0.6)])
+def test_permutation_tests_equal_numpy(spark, monkeypatch, block, gap):
+    from gridwright.operators import permutations
+
+    monkeypatch.setattr(permutations, "BLOCK", block)
     rng = np.random.default_rng(4)
-    rows = [(i, (rng.dirichlet([50, 1, 1, 1]) if i < 15 else rng.dirichlet([1, 1, 1, 50])).tolist()) for i in range(30)]
-    v = spark.createDataFrame(rows, "subject int, v array<double>")
-    d = pairs.aitchison(v)
-    apart = inference.permanova_test(d, v.select("subject", F.when(F.col("subject") < 15, 0).otherwise(1).alias("grp")), 199).first()
-    mixed = inference.permanova_test(d, v.select("subject", (F.col("subject") % 2).alias("grp")), 199).first()
-    exact = pairs.permanova(d, v.select("subject", (F.col("subject") % 2).alias("grp"))).first()
-    assert apart.p <= 0.02 < mixed.p and np.isclose(mixed.f, exact.f)
-    assert 0 <= inference.dispersion_test(d, v.select("subject", (F.col("subject") % 2).alias("grp")), 99).first().p <= 1
-    _, p = inference.kernel_test(rng.normal(size=(30, 3)), rng.normal(size=(30, 3)) + 2, 1.0, spark, 99)
-    assert p <= 0.02
+    grp = np.array([0] * 17 + [1] * 24)
+    v = rng.normal(size=(41, 3)) + gap * grp[:, None]
+    points = spark.createDataFrame([(i, int(g), x.tolist()) for i, (g, x) in enumerate(zip(grp, v))], "subject int, grp int, v array<double>")
+    null = np.array([numpy_statistics(v, rng.permutation(grp)) for _ in range(2000)])
+    for found, i in ((permutations.permanova_test(points, 400).first(), 0), (permutations.kernel_test(points, 1.0, 400).first(), 1)):
+        want = numpy_statistics(v, grp)[i]
+        assert np.isclose(found.f, want)
+        p = (null[:, i] >= want).mean()
+        assert abs(found.p - p) <= 4 * np.sqrt(max(p * (1 - p), 0.002) / 400) + 1e-9
+
+
+def test_dispersions_and_the_stress_that_never_rises(spark, monkeypatch):
+    from gridwright.operators import permutations
+
+    rng = np.random.default_rng(5)
+    grp = np.array([0] * 20 + [1] * 20)
+    v = rng.normal(size=(40, 2)) * np.where(grp == 0, 0.2, 2.0)[:, None]
+    points = spark.createDataFrame([(i, int(g), x.tolist()) for i, (g, x) in enumerate(zip(grp, v))], "subject int, grp int, v array<double>")
+    rows, sizes = permutations.numbered(points)
+    assert sizes == [20, 20] and sorted(r.row for r in rows.collect()) == list(range(40))
+    monkeypatch.setattr(permutations, "BLOCK", 16)
+    at, stress = permutations.scaled_coordinates(rows, 40, 2, steps=25, tol=0.0)
+    assert all(b <= a * (1 + 1e-9) for a, b in zip(stress, stress[1:])) and stress[-1] < 0.2 * stress[0]
+    x = np.array([r.x for r in at.orderBy("row").collect()])
+    want = np.array([r.v for r in at.orderBy("row").collect()])
+    far = lambda z: np.linalg.norm(z[:, None] - z[None], axis=2)
+    assert np.isclose(((far(x) - far(want)) ** 2).sum() / 2, stress[-1])
+    found = permutations.dispersion_test(points, 99, dims=2, steps=25).first()
+    d = np.concatenate([np.linalg.norm(x[grp == g] - x[grp == g].mean(0), axis=1) for g in (0, 1)])
+    m = np.array([d[:20].mean(), d[20:].mean()])
+    assert found.p <= 0.02 and found.f > 10 and (20 * (m - d.mean()) ** 2).sum() > 0
+
+
+def test_permutation_tests_of_many_subjects(spark):
+    """More rows than any matrix of pairs in the driver could hold comfortably; the location test takes 45 million pairs in tiles."""
+    from gridwright.operators import permutations
+
+    many = spark.range(9_500).select(F.col("id").alias("subject"), (F.col("id") % 2).alias("grp"), F.array((F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).cast("double"), (F.col("id") % 2 * 0.05).cast("double")).alias("v"))
+    found = permutations.permanova_test(many, 19).first()
+    assert found.p == 0.0 and found.f > 10
+
+
+def test_mutual_information_equals_brute_force(spark):
+    from math import comb, log
+
+    from gridwright.operators import metrics
+
+    rng = np.random.default_rng(7)
+    rows = [(s, int(t), int(t) if rng.random() < 0.6 else int(rng.integers(4))) for s in (0, 1) for t in rng.integers(3, size=60 + 25 * s)] + [(2, 1, 1), (2, 1, 1), (3, 0, 0), (3, 1, 0)]
+    df = spark.createDataFrame(rows, "s int, t int, p int")
+
+    def brute(pairs_):
+        n, ts, ps = len(pairs_), [t for t, _ in pairs_], [p for _, p in pairs_]
+        count = lambda xs: {x: xs.count(x) for x in set(xs)}
+        ct, cp, cb = count(ts), count(ps), count(pairs_)
+        mi = sum(c / n * log(c * n / (ct[t] * cp[p])) for (t, p), c in cb.items())
+        h = lambda c: -sum(x / n * log(x / n) for x in c.values())
+        emi = sum(x / n * log(n * x / (a * b)) * comb(a, x) * comb(n - a, b - x) / comb(n, b) for a in ct.values() for b in cp.values() for x in range(max(1, a + b - n), min(a, b) + 1))
+        room = (h(ct) + h(cp)) / 2 - emi
+        return mi, emi, 1.0 if len(ct) == len(cp) == 1 or abs(room) < 1e-15 else (mi - emi) / room
+
+    got = {r.s: r for r in metrics.mutual_information(metrics.counts(df, "t", "p", ["s"]), ["s"]).collect()}
+    for s in (0, 1, 2, 3):
+        assert np.allclose([got[s].mi, got[s].emi, got[s].ami], brute([(t, p) for x, t, p in rows if x == s]), atol=1e-9)
+    whole = metrics.evaluation(df, "t", "p").first()
+    assert np.isclose(whole.ami, brute([(t, p) for _, t, p in rows])[2]) and whole.n == len(rows)
+    large = spark.createDataFrame([(0, 0, 400_000_000), (0, 1, 100_000_000), (1, 0, 100_000_000), (1, 1, 400_000_000)], "t int, p int, n long")
+    r = metrics.mutual_information(large).first()
+    assert np.isclose(r.emi, 1 / (2 * 1e9), rtol=1e-3) and 0.27 < r.ami < 0.29
+
+
+def test_uncertain_rows_are_left_out(spark):
+    from gridwright.operators import metrics
+
+    df = spark.createDataFrame([(0, 0, 0.9), (1, 1, 0.8), (0, 1, 0.1), (1, 1, None)], "t int, p int, c double")
+    assert metrics.evaluation(df, "t", "p", confidence="c", least=0.5).first().accuracy == 1.0
+    best = metrics.best_per_metric(spark.createDataFrame([("a", 0.5, 0.2), ("b", 0.5, 0.3)], "name string, ari double, ami double"), "name", ["ari", "ami"])
+    assert {(r.metric, r.best, r.n_ties) for r in best.collect()} == {("ari", "a", 2), ("ami", "b", 1)}
 
 
 def test_bootstrap_and_gap(spark):
