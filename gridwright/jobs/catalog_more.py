@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import contrasts, inference, metrics, pairs, permutations, profiles, quantiles, ranks, rules, scaling, spectral
 from ..sources import results, roi
-from .catalog import CEN, COS, EUC, KEYS, PARAMS, PTS, REF, SHARES, STAT, TUM, VEC, VOTE_SQL, PROFILE_SQL, _centroids, _instances, longs, query, r, rule_profiles, voxel_vectors
+from .catalog import CEN, COS, EUC, KEYS, PARAMS, PTS, REF, SHARES, STAT, TUM, VEC, VOTE_SQL, PROFILE_SQL, _centroids, _instances, longs, query, r, robust_long, rule_profiles, voxel_vectors
 
 RAW = f"{TUM}, raw AS (SELECT subject, habitat, param, avg(value) AS mean FROM t GROUP BY ALL)"
 REFS = "refs AS (SELECT subject, param, median(value) AS rmed, greatest(stddev_samp(value), 1e-8) AS rsd FROM long WHERE roi = 'CL' GROUP BY ALL)"

@@ -160,14 +160,14 @@ def sp4(spark, sf_dir):
 
 _KS = ", ".join(f"CAST(floor({k} * (x / 128.0) * (x / 128.0)) AS INTEGER)" for k in (2, 3, 4, 5))
 SIZES = f"""g0 AS (SELECT subject, habitat, unnest([2, 3, 4, 5]) AS k, unnest([{_KS}]) AS cluster FROM cells), g1 AS (SELECT subject, k, cluster, count(*) AS n, arg_min(habitat, habitat) AS h0 FROM g0 GROUP BY ALL),
- g2 AS (SELECT *, CASE WHEN cluster % 3 = 0 THEN 'Necrosis' WHEN cluster % 3 = 1 THEN 'Bulk tumor' ELSE 'Cellular/proliferative' END AS label FROM g1)"""
+ g2 AS (SELECT *, CASE WHEN cluster = 0 THEN 'Necrosis (cystic)' WHEN cluster % 3 = 0 THEN 'Necrosis' WHEN cluster % 3 = 1 THEN 'Bulk tumor' ELSE 'Cellular/proliferative' END AS label FROM g1)"""
 
 
 def solutions(spark, sf_dir):
     """Clusters of uneven size for each k, with labels."""
     ks = F.array(*[F.struct(F.lit(k).alias("k"), F.floor(k * (F.col("x") / 128.0) * (F.col("x") / 128.0)).cast("int").alias("cluster")) for k in (2, 3, 4, 5)])
     n = roi.cells(spark, sf_dir).select("subject", F.inline(ks)).groupBy("subject", "k", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    label = F.when(F.col("cluster") % 3 == 0, "Necrosis").when(F.col("cluster") % 3 == 1, "Bulk tumor").otherwise("Cellular/proliferative")
+    label = F.when(F.col("cluster") == 0, "Necrosis (cystic)").when(F.col("cluster") % 3 == 0, "Necrosis").when(F.col("cluster") % 3 == 1, "Bulk tumor").otherwise("Cellular/proliferative")
     return n.withColumns({"label": label, "start": F.lit(5)})
 
 
@@ -175,7 +175,7 @@ def _guard_sql(small: str) -> str:
     return f"+ {SIZES}, b AS (SELECT subject, k, bool_or({small}) AS bad FROM (SELECT *, sum(n) OVER (PARTITION BY subject, k) AS total FROM g2) GROUP BY ALL) SELECT subject, max(k) FILTER (NOT bad OR k <= 2) AS k FROM b GROUP BY subject"
 
 
-@query("m5_guarded_k", _guard_sql("n < 0.14 * total AND label NOT IN ('Necrosis', 'Infiltrative')"))
+@query("m5_guarded_k", _guard_sql("n < 0.14 * total AND split_part(label, ' (', 1) NOT IN ('Necrosis', 'Infiltrative')"))
 def m5(spark, sf_dir):
     return passes.size_guarded(solutions(spark, sf_dir), ["subject"], "start", 0.14)
 

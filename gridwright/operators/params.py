@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LISTED = ("DTI-AD", "DTI-FA", "DTI-MD", "DTI-RD", "T2star", "MTR", "T2")
 PRIORITY = ("DTI-MD", "DTI-AD", "DTI-RD", "DTI-FA", "T2", "T2star", "MTR")
 PICTURE = ("MTR", "T2", "T2star", "DTI-FA", "DTI-AD", "DTI-RD", "DTI-MD")
-NOT_PARAMETERS = ("X", "Y", "Slice", "Habitat", "Habitat_label", "d_topo_norm")
+NOT_PARAMETERS = ("X", "Y", "Slice", "Habitat", "Habitat_label", "d_topo_norm", "label_confidence", "label_ambiguous")
 
 
 def only_parameters(columns: list[str]) -> list[str]:

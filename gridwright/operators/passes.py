@@ -71,10 +71,10 @@ def three_passes(profiles: DataFrame, by: list[str], habitat: str = "habitat", z
 def size_guarded(sizes: DataFrame, by: list[str], start: str, least_share: float = 0.05, floor: int = 2, protected: tuple[str, ...] = ("Necrosis", "Infiltrative")) -> DataFrame:
     """(by, k): from the solution ``start`` downwards the first whose small clusters are all protected by their label; ``floor`` at least.
 
-    ``sizes`` (by, start, k, cluster, n, label) has every solution from the floor to the start.
+    ``sizes`` (by, start, k, cluster, n, label) has every solution from the floor to the start; what follows " (" in a label doesn't count.
     """
     w = Window.partitionBy(*by, "k")
-    small = (F.col("n") < least_share * F.sum("n").over(w)) & ~F.coalesce(F.col("label").isin(*protected), F.lit(False)) if protected else F.col("n") < least_share * F.sum("n").over(w)
+    small = (F.col("n") < least_share * F.sum("n").over(w)) & ~F.coalesce(F.trim(F.substring_index("label", " (", 1)).isin(*protected), F.lit(False)) if protected else F.col("n") < least_share * F.sum("n").over(w)
     bad = sizes.withColumn("small", small).groupBy(*by, "k").agg(F.max("small").alias("bad"), F.first(start).alias("s"))
     ok = (F.col("k") <= F.col("s")) & (~F.col("bad") | (F.col("k") <= floor))
     return bad.groupBy(*by).agg(F.max(F.when(ok, F.col("k"))).alias("k"))

@@ -31,13 +31,13 @@ def apply_scale(long: DataFrame, stats: DataFrame, by: list[str], zero_policy: s
     return with_stats(long, stats.select(*by, "center", "spread"), by).withColumn("scaled", scaled).drop("center", "spread")
 
 
-def with_stats(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+def with_stats(rows: DataFrame, stats: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``stats``, one row a group. A group may hold any share of the rows, so they are never shuffled by group alone."""
     stats = written(stats, "scaling-stats")
     if stats.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(stats), by)
+        return rows.join(F.broadcast(stats), by, how)
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    return dealt.join(stats.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), [*by, "_salt"]).drop("_salt")
+    return dealt.join(stats.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), [*by, "_salt"], how).drop("_salt")
 
 
 def tumour(long: DataFrame) -> DataFrame:

@@ -53,10 +53,13 @@ def write_cells(cells: DataFrame, params: list[str], path: str, posteriors: str
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of all subjects below ``path``, with columns typed by name; unknown columns are parameters or posteriors."""
+    """The cells of all subjects below ``path``, with columns typed by name: keys, labels, and else parameters or posteriors."""
+    from ..operators.params import only_parameters
+
     raw = spark.read.option("header", True).csv(path)
-    kind = {"X": "int", "Y": "int", "Slice": "int", "Habitat": "int", "Habitat_label": "string", "subject": "long"}
-    return raw.select(*[F.col(f"`{c}`").cast(kind.get(c, "double")).alias(c) for c in raw.columns])
+    numbers = {*only_parameters(raw.columns), "d_topo_norm"} | {c for c in raw.columns if c.startswith("P_H")}
+    kind = {"X": "int", "Y": "int", "Slice": "int", "Habitat": "int", "label_ambiguous": "boolean", "subject": "long"}
+    return raw.select(*[F.col(f"`{c}`").cast(kind.get(c, "double" if c in numbers else "string")).alias(c) for c in raw.columns])
 
 
 def posterior_columns(columns: list[str]) -> list[str]:

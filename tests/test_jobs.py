@@ -290,8 +290,89 @@ def test_modes_find_the_two_habitats(spark, grown):
         assert both.count() == truth.count()
         hom = metrics.agreement(metrics.counts(both, "truth", "habitat", ["subject"]), ["subject"]).collect()
         assert all(r.homogeneity > 0.4 for r in hom)
-    meta = modes.discovery(modes.classic(grown, ["T2", "DTI-MD"], cfg).persist(), cfg)
-    assert meta.select("subject").distinct().count() == 2 and all(0 < r.rate <= 1 for r in meta.collect())
+    cells = modes.discovered_cells(grown, ["T2", "DTI-MD"], cfg)
+    assert cells.count() == truth.count() and cells.select("subject").distinct().count() == 2
+    assert all(0 < r.rate <= 1 for r in cells.select("rate").distinct().collect() if r.rate is not None)
+    each = cells.groupBy("subject", "habitat").agg(F.count_distinct("meta").alias("k"), F.count("meta").alias("n"), F.count(F.lit(1)).alias("all")).collect()
+    assert all(r.k <= 1 and r.n in (0, r["all"]) and (r["all"] < cfg.least_cells) == (r.n == 0) for r in each)
+
+
+def planted(spark, necrotic=True):
+    """Two subjects, two slices: a small core with high T2 and MD in the first slice, tissue of two kinds around it."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for s in ("a", "b"):
+        for z in (1, 2):
+            for x in range(14):
+                for y in range(14):
+                    core = z == 1 and (x - 7) ** 2 + (y - 7) ** 2 <= 9 and necrotic
+                    t2, md = (30.0, 30.0) if core else (10.0, 10.0) if x < 7 else (8.0, 12.0)
+                    for p, m in (("T2", t2), ("DTI-MD", md)):
+                        rows.append((s, "ALL", z, x, y, p, float(m + rng.normal(0, 0.5))))
+    return spark.createDataFrame(rows, "subject string, roi string, slice int, x int, y int, param string, value double")
+
+
+def test_distances_of_a_first_clustering_feed_the_second(spark):
+    from gridwright.jobs import modes
+
+    params, cfg = ["T2", "DTI-MD"], modes.Config(ks=(2, 3), restarts=1, steps=15, per_subject=200)
+    found = modes.joint(planted(spark), params, cfg).toPandas()
+    assert len(found) == 2 * 2 * 196 and (found.v.map(len) == 3).all() and found.included.all()
+    core = found[(found.slice == 1) & ((found.x - 7) ** 2 + (found.y - 7) ** 2 <= 9)]
+    seed = core.habitat_1.mode()[0]
+    assert (core.habitat_1 == seed).all() and found.d_scaled.where(found.slice == 2, 0).abs().max() == 0  # no seed there
+    for _, one in found.groupby("subject"):  # the column against a plain distance to the first pass's habitat
+        here = one[one.slice == 1]
+        seeds = here[here.habitat_1 == seed][["x", "y"]].to_numpy()
+        d = np.sqrt(((here[["x", "y"]].to_numpy()[:, None] - seeds[None]) ** 2).sum(2)).min(1)
+        d = d / d.max()
+        iqr = np.quantile(d, 0.75) - np.quantile(d, 0.25)
+        assert np.allclose(here.d_scaled, (d - np.median(d)) / max(iqr, 1e-8)) and np.allclose(here.v.map(lambda v: v[2]), 0.3 * here.d_scaled)
+    plain = modes.joint(planted(spark, necrotic=False), params, modes.Config(ks=(2,), restarts=1, steps=15, per_subject=200)).toPandas()
+    assert not plain.included.any() and plain.d_scaled.isna().all() and (plain.habitat == plain.habitat_1).all()
+
+
+def test_prepared_features_have_the_distance_where_necrosis_is_clear(spark):
+    from gridwright.jobs import modes
+
+    params, cfg = ["T2", "DTI-MD"], modes.Config(ks=(2, 3), restarts=1, steps=15)
+    rows = planted(spark).where("subject = 'a'").unionByName(planted(spark, necrotic=False).where("subject = 'b'"))
+    p = modes.prepared(modes.scaled_points(rows, params), params, cfg).toPandas()
+    a, b = p[p.subject == "a"], p[p.subject == "b"]
+    assert a.necrotic.all() and (a.v.map(len) == 3).all()
+    filled = a[a.slice == 2]
+    assert filled.d.isna().all() and np.allclose(filled.v.map(lambda v: v[2]), a.d.mean()) and np.allclose(a[a.slice == 1].v.map(lambda v: v[2]), a[a.slice == 1].d)
+    assert not b.necrotic.any() and (b.v.map(len) == 2).all() and b.d.notna().any()  # a proxy keeps the distances
+
+
+def test_small_clusters_stay_only_if_their_label_protects_them(spark):
+    from gridwright.jobs import modes
+    from gridwright.operators.mixture import Mixture
+
+    rows = [("n", [3.0, 3.0])] * 3 + [("n", [0.0, 0.0])] * 97 + [("c", [-3.0, -3.0])] * 3 + [("c", [0.0, 0.0])] * 97
+    points = spark.createDataFrame(rows, "g string, v array<double>")
+    one = lambda m: Mixture(np.full(len(m), 1 / len(m)), np.array(m, float), np.stack([np.eye(2) * 0.1] * len(m)))
+    models = {("n", 2): one([[0, 0], [1, 1]]), ("n", 3): one([[0, 0], [3, 3], [9, 9]]), ("c", 2): one([[0, 0], [1, 1]]), ("c", 3): one([[0, 0], [-3, -3], [9, 9]])}
+    labels = {(r.g, r.k, r.cluster): (r.n, r.label) for r in modes.solutions(points, models, ["T2", "DTI-MD"]).collect()}
+    assert labels["n", 3, 1] == (3, "Necrosis") and labels["c", 3, 1][0] == 3 and labels["c", 3, 1][1] != "Necrosis"
+    best = {"n": 3, "c": 3}
+    assert modes.size_guarded_k(points, models, best, ["T2", "DTI-MD"], 0.05, protect=True) == {"n": 3, "c": 2}
+    assert modes.size_guarded_k(points, models, best, ["T2", "DTI-MD"], 0.05, protect=False) == {"n": 2, "c": 2}
+
+
+def test_principal_axes_equal_numpy(spark):
+    from gridwright.operators import projection
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + 5
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, v array<double>")
+    found = projection.axes(df, 3)
+    value, vector = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.allclose(found.variances, value[::-1][:3]) and np.isclose(found.total, value.sum())
+    assert np.allclose(np.abs(found.vectors), np.abs(vector[:, ::-1].T[:3])) and all(v[np.abs(v).argmax()] > 0 for v in found.vectors)
+    pc = np.array([r.pc for r in projection.project(df, found).orderBy("i").collect()])
+    assert np.allclose(pc, (x - x.mean(0)) @ found.vectors.T) and np.isclose(sum(r.share for r in projection.explained(found).collect()), value[1:].sum() / value.sum())
+    assert projection.axes(df.limit(0), 2).total == 0.0
 
 
 def test_spectral_clusters_follow_features_and_places(spark, grown):
