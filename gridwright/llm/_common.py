@@ -47,7 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` whose last reader is done; rows that are still to be computed must not read them."""
+    for t in tables:
+        discard(t.sparkSession, t.written_to)
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
@@ -140,9 +148,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), name)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.distinct(), name)
+        spent(now, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        spent(large, least)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -7,9 +7,13 @@ the mean log ratio of its n-grams under the two, times ``SCALE``: a mean, since
 the sum over a long text would drown any noise, and scaled so that the noise
 (of a size of about one) reorders documents of like quality. Documents are then
 resampled without replacement by Gumbel top-k: of all documents, the k with the
-largest log weight plus Gumbel noise stay. k is the number of documents whose
-log weight is above the cut that parts labelled good from labelled poor rows
-best, measured on labelled rows that no model was fitted on.
+largest log weight (divided by a temperature) plus Gumbel noise stay. k is a
+share of the documents that the caller asks for, or else the number of
+documents whose log weight is above the cut that parts labelled good from
+labelled poor rows best, measured on labelled rows that no model was fitted on.
+A share within the good documents, or a temperature of some size, lets noise
+decide among many; the query and the pipeline, which must keep clean documents,
+take the cut and a temperature of 1.
 
 Ratios are kept in steps of 2**-16 as integers, so that sums don't depend on
 order. The kth largest score is found by counting 16 bits at a time; neither
@@ -193,15 +197,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = SE
     return Model(ratio, best_cut(cells))
 
 
-def resample(docs: DataFrame, model: Model | None, seed: int = SEED, name: str = "quality") -> DataFrame:
-    """(row, log_weight, perturbed, kept) for each row of ``docs`` (doc_id, text, ...).
+def resample(docs: DataFrame, model: Model | None, seed: int = SEED, name: str = "quality", share: float | None = None, temperature: float = 1.0) -> DataFrame:
+    """(row, log_weight, perturbed, kept) for each row of ``docs`` (doc_id, text, ...); ``share`` of them stay, or those above the cut.
 
     Text is weighed once: the rows are written with their weights, so ``docs`` should hold only columns that are needed.
     """
-    return _chosen(whole_rows(docs, "doc_id", "text"), model, seed, name, "row")
+    return _chosen(whole_rows(docs, "doc_id", "text"), model, seed, name, "row", share=share, temperature=temperature)
 
 
-def _chosen(docs: DataFrame, model: Model | None, seed: int, name: str, *cols: str) -> DataFrame:
+def _chosen(docs: DataFrame, model: Model | None, seed: int, name: str, *cols: str, share: float | None = None, temperature: float = 1.0) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     if model is None:
@@ -210,8 +214,8 @@ def _chosen(docs: DataFrame, model: Model | None, seed: int, name: str, *cols: s
     weigh = _weigh(spark.sparkContext.broadcast(model.ratio))
     noise = -F.log(-F.log(seeded_uniform(seed + 1, F.col("doc_id"))))
     scored = materialize(docs.select(*cols, weigh("text").alias("log_weight"), noise.alias("noise")), f"{name}-weights")
-    scored = scored.withColumn("perturbed", F.col("log_weight") + F.col("noise")).drop("noise")
-    k = scored.where(F.col("log_weight") >= float(model.cut)).count()
+    scored = scored.withColumn("perturbed", F.col("log_weight") / temperature + F.col("noise")).drop("noise")
+    k = scored.where(F.col("log_weight") >= float(model.cut)).count() if share is None else round(share * scored.count())
     return scored.withColumn("kept", _key(F.col("perturbed")) >= kth_largest(scored.select(_key(F.col("perturbed")).alias("key")), k))
 
 

@@ -401,6 +401,29 @@ def plain_families(text):
     return [[low[i : i + 3] for i in range(len(low) - 2)], w, [("same",) if a == b else (a, b) for a, b in zip(w, w[1:], strict=False)]]
 
 
+def test_noise_decides_among_near_documents(spark):
+    """With a share within the good documents and a temperature, two seeds keep different sets, and what stays comes nearer the target."""
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    mixed = lambda share: " ".join(rng.choice(WORDS[:60]) if rng.random() < share else rng.choice(WORDS[200:]) for _ in range(80))
+    rows = [(i, mixed(1.0)) for i in range(100)] + [(i, mixed(rng.random())) for i in range(100, 500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, True) for i in range(100)], "doc_id long, target boolean")
+    model = quality.fit(table, labels)
+    kept = []
+    for seed in (1, 2):
+        out = quality.resample(table, model, seed=seed, share=0.4, temperature=40.0).where("kept").select("row.doc_id").collect()
+        assert len(out) == 200
+        kept.append({r.doc_id for r in out})
+    assert 10 < len(kept[0] - kept[1]) < 150 and kept[0] == {r[0] for r in quality.resample(table, model, seed=1, share=0.4, temperature=40.0).where("kept").select("row.doc_id").collect()}
+    texts = lambda ids: quality.counts(pa.array([t for i, t in rows if i in ids])) + 1.0
+    target = texts(set(range(100)))
+    far = lambda c: float((target / target.sum() * np.log((target / target.sum()) / (c / c.sum()))).sum())
+    assert all(far(texts(k)) < 0.8 * far(texts({i for i, _ in rows})) for k in kept)
+    assert quality.resample(table, model, share=0.0).where("kept").count() == 0 and quality.resample(table, model, share=1.0).where("kept").count() == 500
+
+
 def test_quality_against_brute_force(spark, docs, monkeypatch):
     """Counts, weights, the cut and the choice, without hashing: buckets are looked up once per n-gram."""
     monkeypatch.setattr(quality, "CHUNK", 37)

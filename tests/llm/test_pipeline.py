@@ -13,7 +13,7 @@ def corpus(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("corpus")
     rng = random.Random(12)
     rows = odd_documents() + [(200 + i, " ".join(w + "$$$" for w in prose(40, rng).split()), "en", "s0", 1) for i in range(40)]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS + ", row string, kept int")
+    df = spark.createDataFrame([(*r, "x", 1, i) for i, r in enumerate(rows)], DOCS + ", row string, kept int, `a.b` int")
     df.write.parquet(f"{top}/documents.parquet")
     labels = [(r[0], 1, 0) for r in rows if r[0] is not None and r[0] < 60] + [(200 + i, 0, 0) for i in range(20)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
