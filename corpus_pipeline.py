@@ -38,14 +38,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = ngram_join.similar(docs.select(F.col("doc_id").alias("id"), "text"), NEAR_WORDS, NEAR_PERCENT, "pipeline-near")
     found = materialize(found, "pipeline-near")
     gone = materialize(found.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "pipeline-near-gone")
-    kept = docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(checked(gone), "doc_id", "left_anti").select(*columns)
     twice = found.where("n_shingles > 0 and id is not null").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id")
     twice = materialize(twice, "pipeline-near-twice")
     if not twice.head(1):
         return kept
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
     same = whole_rows(kept.join(checked(twice), "doc_id", "left_semi"), "doc_id", "text").withColumn("nth", nth).where("nth = 1").select("row.*")
-    return kept.join(checked(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(same)
+    return kept.join(checked(twice), "doc_id", "left_anti").select(*columns).unionByName(same)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
