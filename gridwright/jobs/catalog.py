@@ -659,7 +659,7 @@ def _points(spark, sf_dir):
 @query("m2_kmeans")
 def m2(spark, sf_dir):
     """k-means of each subject: cluster centres and cost."""
-    best = mixture.kmeans(_points(spark, sf_dir).persist(), 3, restarts=10)
+    best = mixture.kmeans(results.written(_points(spark, sf_dir), "cells"), 3, restarts=10)
     rows = [(g, i, [float(x) for x in c], cost) for g, (centres, cost) in sorted(best.items()) for i, c in enumerate(centres)]
     return spark.createDataFrame(rows, "subject string, cluster int, centre array<double>, cost double")
 
@@ -667,7 +667,7 @@ def m2(spark, sf_dir):
 @query("m1_gmm_shares")
 def m1(spark, sf_dir):
     """Gaussian mixture of each subject: count and mean posterior of each component."""
-    points = _points(spark, sf_dir).persist()
+    points = results.written(_points(spark, sf_dir), "cells")
     out = mixture.predict(points, mixture.fit(points, 3, steps=15))
     return out.groupBy("subject", "label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("proba")).alias("confidence"))
 
@@ -675,5 +675,5 @@ def m1(spark, sf_dir):
 @query("m9_choose_k")
 def m9(spark, sf_dir):
     """Number of components of each subject by the information criterion."""
-    scores = mixture.choose_k(_points(spark, sf_dir).persist(), list(range(2, 11)))
+    scores = mixture.choose_k(results.written(_points(spark, sf_dir), "cells"), list(range(2, 11)))
     return selection.best_k(scores.withColumnRenamed("g", "subject"), ["subject"], "bic")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.results import written
 from .pairs import all_pairs
 
 
@@ -41,11 +42,13 @@ def similar_groups(vectors: DataFrame, key: str, threshold: float, near_zero: fl
     """
     long = vectors.where(X.norm(F.col("v")) >= near_zero)
     p = all_pairs(long, ["v"], key).where(1 - X.cosine_distance(F.col("v_a"), F.col("v_b")) >= threshold)
-    links = p.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).persist()
+    links = p.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    links = written(links, "similar-links")
     now = vectors.select(F.col(key).alias("id"), F.col(key).alias("grp"))
     while True:
         least = links.join(now, F.col("b") == F.col("id")).groupBy("a").agg(F.min("grp").alias("least"))
-        new = now.join(least, F.col("id") == F.col("a"), "left").select("id", "grp", F.least("grp", F.coalesce("least", "grp")).alias("new")).persist()
+        new = now.join(least, F.col("id") == F.col("a"), "left").select("id", "grp", F.least("grp", F.coalesce("least", "grp")).alias("new"))
+        new = written(new, "similar-groups")
         changed = new.where("new < grp").head(1)
         now = new.select("id", F.col("new").alias("grp"))
         if not changed:

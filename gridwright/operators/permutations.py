@@ -145,7 +145,7 @@ def kernel_test(points: DataFrame, sigma: float, n_perm: int = 499, seed: int =
     return _p(each.select("t", f.alias("f")), "kernel", n_perm)
 
 
-def scaled_coordinates(rows: DataFrame, n: int, dims: int, steps: int = 100, tol: float = 1e-4, seed: int = 42) -> tuple[DataFrame, list[float]]:
+def scaled_coordinates(rows: DataFrame, n: int, dims: int, steps: int = 50, tol: float = 1e-3, seed: int = 42) -> tuple[DataFrame, list[float]]:
     """(``rows`` with coordinates ``x``; the stress before each step): distances of ``x`` approach those of ``v`` by stress majorisation.
 
     A step moves each row to the mean of the places where its pairs would put it; the stress never rises.
@@ -181,7 +181,7 @@ def scaled_coordinates(rows: DataFrame, n: int, dims: int, steps: int = 100, tol
     return now, stress
 
 
-def dispersion_test(points: DataFrame, n_perm: int = 999, seed: int = 42, key: str = "subject", dims: int = 8, steps: int = 100) -> DataFrame:
+def dispersion_test(points: DataFrame, n_perm: int = 999, seed: int = 42, key: str = "subject", dims: int = 8, steps: int = 50) -> DataFrame:
     """(test, f, p, n_perm): F ratio of the distances to the groups' centres, on coordinates from stress majorisation of ``points`` (key, grp, v)."""
     rows, sizes = numbered(points.select(key, "grp", "v"), key)
     n, k, dims = sum(sizes), len(sizes), max(1, min(sum(sizes) - 1, dims))

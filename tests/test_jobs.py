@@ -472,3 +472,11 @@ def test_sub_habitats_split_what_differs_within_subjects(spark):
     parts = {(r.habitat, r.part): r.s for r in out.groupBy("habitat", "part").agg(F.collect_set("sub").alias("s")).collect()}
     assert parts[0, 0] != parts[0, 1] and len(parts[0, 0]) == len(parts[0, 1]) == 1
     assert parts[1, 0] == parts[1, 1] == [0]
+
+
+def test_suffixes_go_from_the_end(spark):
+    from gridwright.functions import labels as L
+
+    cases = {"Necrosis (cystic)": "Necrosis (cystic)", "Bulk tumor (atypical)": None, "X (a) (b)": "X", "X (a)(b) +": "X", "X (a (b)": "X", "X ()": "X ()", "X (a) y": "X (a) y", "(a)": "", "X+": "X", "X (1) (2) (3) (4) (5)": "X (1)", "": "", "a) (b)": "a)"}
+    got = {r.l: r.s for r in spark.createDataFrame([(c,) for c in cases], "l string").select("l", L.without_suffixes(F.col("l")).alias("s")).collect()}
+    assert all(got[c] == want for c, want in cases.items() if want is not None), got
