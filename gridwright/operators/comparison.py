@@ -86,6 +86,12 @@ def greedy_match(pairs: DataFrame, by: list[str], a: str, b: str, score: str, th
     return g.select(*by, F.explode(F.aggregate("p", none, step)).alias("m")).select(*by, F.col("m.a").alias(a), F.col("m.b").alias(b), (-F.col("m.s")).alias(score))
 
 
+# By measure, the tiers and what the largest mean, its distance to the least one, or their ratio must pass.
+TREND = 0.10
+SPREAD_HIGH, SPREAD_HIGH_RATIO, SPREAD_MORE, SPREAD_SLIGHT = 2.0, 1.4, 1.5, 1.2
+RESIDUAL_HIGH, RESIDUAL_RATIO = 1.5, 1.4
+
+
 def group_verdicts(descriptors: DataFrame, groups: DataFrame) -> DataFrame:
     """Per cluster and measure (pi, sigma2, residual): each group's mean and spread, the ratio of the extreme means, and a tier.
 
@@ -97,7 +103,7 @@ def group_verdicts(descriptors: DataFrame, groups: DataFrame) -> DataFrame:
     e = g.groupBy("cluster", "measure").agg(F.max("mean").alias("most"), F.min("mean").alias("least"), F.max_by("grp", F.struct("mean", -F.col("grp"))).alias("top_group"))
     ratio = F.when(F.col("least") > 1e-8, F.col("most") / F.col("least")).otherwise(F.lit(1.0))
     m = F.col("measure")
-    tier = F.when(m == "pi", F.when(F.col("most") - F.col("least") > 0.10, "trend").otherwise("equal")).when(
-        m == "sigma2", F.when((F.col("most") > 2.0) & (ratio > 1.4), "high").when(ratio > 1.5, "more heterogeneous").when(ratio > 1.2, "slight").otherwise("comparable")).otherwise(
-        F.when(F.col("most") > 1.5, "high").when(ratio > 1.4, "farther").otherwise("aligned"))
+    tier = F.when(m == "pi", F.when(F.col("most") - F.col("least") > TREND, "trend").otherwise("equal")).when(
+        m == "sigma2", F.when((F.col("most") > SPREAD_HIGH) & (ratio > SPREAD_HIGH_RATIO), "high").when(ratio > SPREAD_MORE, "more heterogeneous").when(ratio > SPREAD_SLIGHT, "slight").otherwise("comparable")).otherwise(
+        F.when(F.col("most") > RESIDUAL_HIGH, "high").when(ratio > RESIDUAL_RATIO, "farther").otherwise("aligned"))
     return g.join(e.withColumns({"ratio": ratio, "tier": tier}), ["cluster", "measure"]).select("cluster", "measure", "grp", "mean", "sd", "top_group", "ratio", "tier")
