@@ -8,12 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import mixture, pairs, selection
+from ..operators import mixture, selection
 from ..sources.results import written
 from .modes import CELL, balanced_sample
 
-#: Rows on which silhouettes are measured.
-SILHOUETTE_ROWS = 1_000
 # Regularisation of the covariances, and the mean shift below which a centre is stable.
 REG, STABLE = 1e-4, 0.10
 
@@ -28,17 +26,14 @@ class Config:
     resamples: int = 30
 
 
-def criteria(points: DataFrame, sample: DataFrame, models: dict[tuple[str, int], mixture.Mixture], seed: int) -> DataFrame:
-    """(k, bic, icl, silhouette): the first two on all cells in one pass, the last on at most ``SILHOUETTE_ROWS`` of the sample."""
-    seen = mixture.evaluate(points, models)
-    few = written(sample.dropDuplicates(CELL).orderBy(F.xxhash64(F.lit(seed), *CELL), *CELL).limit(SILHOUETTE_ROWS), "atlas-silhouette")
+def criteria(points: DataFrame, models: dict[tuple[str, int], mixture.Mixture]) -> DataFrame:
+    """(k, bic, icl, silhouette), each on all cells; silhouettes by squared distances, so that they need two passes and no pairs."""
+    seen, apart = mixture.evaluate(points, models), mixture.silhouettes(points, models)
     rows = []
     for (g, k), m in sorted(models.items()):  # a handful of k
         n, ll, entropy = seen[g, k]
         bic = float(m.bic_of(n, ll))
-        lab = mixture.predict(few, {g: m}).select(F.struct(*CELL).alias("id"), "label", "v")
-        s = pairs.silhouette(lab).join(lab.groupBy("label").count(), "label").agg(F.sum(F.col("silhouette") * F.col("count")) / F.sum("count"), F.count(F.lit(1))).first()
-        rows.append((k, bic, bic + 2 * entropy, float(s[0]) if s[1] > 1 else -1.0))
+        rows.append((k, bic, bic + 2 * entropy, apart[g, k]))
     return points.sparkSession.createDataFrame(rows, "k int, bic double, icl double, silhouette double")
 
 
@@ -100,5 +95,5 @@ def fit(points: DataFrame, cfg: Config = Config()) -> tuple[mixture.Mixture, Dat
     points = written(points.withColumn("g", F.lit("all")), "atlas-points")
     sample = written(balanced_sample(points, cfg.per_subject, cfg.seed), "atlas-sample")
     models = mixture.fit_all(sample, list(cfg.ks), cfg.seed, cfg.restarts, cfg.steps, REG)
-    scores = criteria(points, sample, models, cfg.seed)
+    scores = criteria(points, models)
     return models["all", chosen_k(scores)], scores, sample

@@ -255,3 +255,10 @@ def m13(spark, sf_dir):
 def m3(spark, sf_dir):
     points = voxel_vectors(spark, sf_dir).select("subject", "slice", "x", "y", "v")
     return spectral.spectral(points, 3).groupBy("subject", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m11_spectral_k")
+def m11(spark, sf_dir):
+    """Per subject the k that silhouettes and gaps name in one shared embedding of all cells."""
+    points = results.written(voxel_vectors(spark, sf_dir).select("subject", "slice", "x", "y", "v"), "cells")
+    return spectral.choose_k(points, [2, 3, 4], refs=3)[1].withColumnRenamed("g", "subject")

@@ -191,6 +191,40 @@ def evaluate(points: DataFrame, models: dict[tuple[str, int], Mixture]) -> dict[
     return {(g, k): tuple(map(float, s)) for (g, k, _), s in _sums(points, {(g, k, 0): m for (g, k), m in models.items()}, weigh).items()}
 
 
+def silhouettes(points: DataFrame, models: dict[tuple[str, int], Mixture | np.ndarray]) -> dict[tuple[str, int], float]:
+    """Mean silhouette of each (group, k) over all rows of its group, by squared distances; -1 where only one cluster has rows.
+
+    The mean squared distance of a row to a cluster follows from the cluster's count, sum and sum of squares, so two
+    passes over the rows do, whatever their number. Models are mixtures or centres.
+    """
+    def ones(model: Mixture | np.ndarray, x: np.ndarray) -> np.ndarray:
+        near = model.posteriors(x)[0].argmax(1) if isinstance(model, Mixture) else ((x[:, None] - model[None]) ** 2).sum(2).argmin(1)
+        return np.eye(len(model.weights) if isinstance(model, Mixture) else len(model))[near]
+
+    def moments(model, x: np.ndarray) -> list[np.ndarray]:
+        one = ones(model, x)
+        return [one.sum(0), one.T @ (x * x).sum(1), one.T @ x]
+
+    seen = {}
+    for key, flat in _sums(points, {(g, k, 0): m for (g, k), m in models.items()}, moments).items():
+        k = len(models[key[:2]].weights) if isinstance(models[key[:2]], Mixture) else len(models[key[:2]])
+        seen[key] = (models[key[:2]], flat[:k], flat[k : 2 * k], flat[2 * k :].reshape(k, -1))
+
+    def score(stats, x: np.ndarray) -> list[np.ndarray]:
+        model, n, squares, sums = stats
+        one = ones(model, x).astype(bool)
+        total = np.maximum(n * (x * x).sum(1)[:, None] - 2 * x @ sums.T + squares, 0)
+        own_n = np.broadcast_to(n, one.shape)[one]
+        own = total[one] / np.maximum(own_n - 1, 1)
+        other = np.where(one | (n == 0), np.inf, total / np.maximum(n, 1)).min(1)
+        top = np.maximum(own, np.where(np.isinf(other), 0, other))
+        s = np.where((own_n > 1) & (top > 0) & np.isfinite(other), (np.where(np.isinf(other), 0, other) - own) / np.where(top > 0, top, 1), 0.0)
+        return [np.array([s.sum(), len(x)])]
+
+    result = _sums(points, seen, score)
+    return {(g, k): float(s[0] / s[1]) if (seen[g, k, 0][1] > 0).sum() > 1 else -1.0 for (g, k, _), s in result.items()}
+
+
 def predict(points: DataFrame, models: dict[str, Mixture]) -> DataFrame:
     """Adds proba and label to ``points`` (g, v, ...)."""
     shared = points.sparkSession.sparkContext.broadcast(models)

@@ -1,22 +1,34 @@
-"""Spatially regularised spectral clustering of each subject.
-
-The affinity of all pairs of cells grows with the square of a subject, so the
-spectrum is taken on landmarks: at most ``landmarks`` cells of each subject,
-chosen by a seeded hash with ranks limited before the shuffle. All other cells
-follow by the Nystroem extension from a broadcast of the landmarks' eigenvectors,
-batch by batch, so no subject is gathered.
+"""Spatially regularised spectral clustering of each subject, over all of its cells.
+
+The affinity of two cells is a Gaussian kernel of their features and places, which for n cells is a matrix that
+nobody wants to write down. It is factored as Z Z' instead: Z holds a row per cell, made from the kernel against
+pivot cells. What the factor leaves out is measured on all cells (the trace of the rest), and the pivots of a
+subject are doubled until that is below ``tolerance`` of the whole. Degrees, spectrum and eigenvectors then follow
+from sums over all cells. Cells are dealt into blocks by (subject, hash); blocks meet their subject's pivots in a
+co-grouped join, so neither a subject nor the models of all subjects are ever in one place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Landmarks per subject: 600 x 600 affinities are 3 MB.
-LANDMARKS = 600
-MAX_SUBJECTS = 5_000
+from ..sources.results import written
+from . import inference, mixture, scaling, selection
+
+#: Cells of a block, and rows of it that are turned into kernel rows at once.
+BLOCK, SLAB = 32_768, 4_096
+#: Pivots of the first round; each later round doubles them where the rest is too large.
+PIVOTS = 64
+# Fixed value: cells whose distances give a subject's bandwidth of features.
+BANDWIDTH_CELLS = 500
+
+CELLS = ["subject", "slice", "x", "y"]
 
 
 def bandwidth(x: np.ndarray) -> float:
@@ -26,83 +38,204 @@ def bandwidth(x: np.ndarray) -> float:
     return float(np.median(d)) if len(d) else 1.0
 
 
-def affinity(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, sigma: float, sigma_space: float, weight: float) -> np.ndarray:
-    """exp(-|x - y|^2 / 2 sigma^2) times the same of the positions, to the power ``weight``."""
-    feature = ((x[:, None] - y[None]) ** 2).sum(2) / (2 * sigma**2)
-    space = ((cx[:, None] - cy[None]) ** 2).sum(2) / (2 * sigma_space**2)
-    return np.exp(-feature - weight * space)
-
-
-def embedding(w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(eigenvalues, eigenvectors, degrees) of D^-1/2 W D^-1/2 without its diagonal, by falling eigenvalue."""
-    w = w.copy()
-    np.fill_diagonal(w, 0.0)
-    degree = np.maximum(w.sum(1), 1e-10)
-    value, vector = np.linalg.eigh(w / np.sqrt(degree)[:, None] / np.sqrt(degree)[None])
-    top = np.argsort(np.abs(value))[::-1][:k]
-    top = top[np.argsort(value[top])[::-1]]
-    return value[top], vector[:, top], degree
-
-
-def unit_rows(v: np.ndarray) -> np.ndarray:
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
-
-
-def small_kmeans(x: np.ndarray, k: int, seed: int, restarts: int = 5, steps: int = 50) -> np.ndarray:
-    """Centres of the best of several seeded starts on a bounded sample."""
-    best, cost = x[:k], np.inf
-    for r in range(restarts):
-        rng = np.random.default_rng(seed + r)
-        c = x[[int(rng.integers(len(x)))]]
-        while len(c) < k:  # k-means++
-            d = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
-            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else int(rng.integers(len(x)))]])
-        for _ in range(steps):
-            near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-            new = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        total = ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
-        if total < cost:
-            best, cost = c, total
-    return best
-
-
-def spectral(points: DataFrame, k: int, weight: float = 1.0, seed: int = 35, landmarks: int = LANDMARKS) -> DataFrame:
-    """``points`` (subject, slice, x, y, v) with ``label``."""
+def place_bandwidth(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Median positive distance between all pairs of places, each counted ``n`` times.
+
+    How many pairs lie a given displacement apart is the autocorrelation of the grid of counts.
+    """
+    grid = np.zeros((int(np.ptp(y)) + 1, int(np.ptp(x)) + 1))
+    np.add.at(grid, ((y - y.min()).astype(int), (x - x.min()).astype(int)), n)
+    shape = (2 * grid.shape[0], 2 * grid.shape[1])
+    pairs = np.rint(np.fft.irfft2(np.abs(np.fft.rfft2(grid, shape)) ** 2, shape))
+    dy, dx = (np.minimum(np.arange(s), s - np.arange(s)) for s in shape)
+    square = dy[:, None] ** 2 + dx[None] ** 2
+    square, pairs = square[(pairs > 0) & (square > 0)], pairs[(pairs > 0) & (square > 0)]
+    if not len(square):
+        return 1.0
+    order = np.argsort(square)
+    below = np.cumsum(pairs[order])
+    low, high = (np.sqrt(square[order][np.searchsorted(below, at, "right")]) for at in ((below[-1] - 1) // 2, below[-1] // 2))
+    return float((low + high) / 2)
+
+
+def factor_rows(u: np.ndarray, pivots: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows z, slab by slab, with z z' the kernel exp(-|u - u'|^2 / 2) as far as the pivots span it."""
+    square = lambda a, b: np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+    value, vector = np.linalg.eigh(np.exp(-square(pivots, pivots) / 2))
+    half = (vector / np.sqrt(np.maximum(value, 1e-9 * value[-1])))[:, value > 1e-9 * value[-1]]
+    for at in range(0, len(u), SLAB):
+        yield np.exp(-square(u[at : at + SLAB], pivots) / 2) @ half
+
+
+def _numbers(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(len(column), -1)
+
+
+def _mapped(f: Callable, kind: str) -> Callable:
+    """``f`` of each value of a column of small models."""
+    @F.pandas_udf(kind)
+    def each(s: pd.Series) -> pd.Series:
+        return s.map(f)
+
+    return each
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """(subject, s): the sums of the parts' equally long arrays of doubles, added one by one."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for g, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[g] = total.get(g, 0) + np.frombuffer(s)
+        for g, s in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([s.tobytes()], pa.binary())], names=["subject", "s"])
+
+    return parts.repartition("subject").mapInArrow(add, "subject string, s binary")
+
+
+def _over_blocks(blocks: DataFrame, models: DataFrame, run: Callable[[pd.DataFrame, list[np.ndarray]], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` (cells of a block, arrays of the subject's model) for each block whose subject has a model. ``models`` (subject, n_blocks, arrays...)."""
+    names = [c for c in models.columns if c not in ("subject", "n_blocks")]
+    spread = models.select("subject", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("b"), *names)
+
+    def both(cells: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(cells) or not len(model):
+            return pd.DataFrame()
+        return run(cells, [np.frombuffer(model[c].iloc[0]) for c in names])
+
+    return blocks.groupBy("subject", "b").cogroup(spread.groupBy("subject", "b")).applyInPandas(both, schema)
+
+
+def prepared(points: DataFrame, weight: float, seed: int) -> DataFrame:
+    """Blocks of cells (subject, b, n_blocks, slice, x, y, h, u): features and places divided by their bandwidths."""
+    p = points.select(F.col("subject").cast("string").alias("subject"), "slice", "x", "y", "v").withColumn("h", F.xxhash64(F.lit(seed), *CELLS))
+    ranked = Window.partitionBy("subject").orderBy("h", "slice", "x", "y")
+    few = p.withColumn("rn", F.row_number().over(ranked)).where(F.col("rn") <= BANDWIDTH_CELLS)
+    feature = few.groupBy("subject").applyInPandas(lambda d: pd.DataFrame({"subject": [d.subject.iloc[0]], "sf": [bandwidth(_numbers(d.v))]}), "subject string, sf double")
+    at = p.groupBy("subject", "x", "y").agg(F.count(F.lit(1)).alias("n"))  # bounded by the scanner's grid
+    place = at.groupBy("subject").applyInPandas(lambda d: pd.DataFrame({"subject": [d.subject.iloc[0]], "sp": [place_bandwidth(d.x.to_numpy(), d.y.to_numpy(), d.n.to_numpy())]}), "subject string, sp double")
+    n = at.groupBy("subject").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("n_blocks"))
+    scales = written(feature.join(place, "subject").join(n, "subject"), "spectral-scales")
+    j = scaling.with_stats(p, scales, ["subject"])
+    near = [F.col(c) * (weight**0.5) / F.col("sp") for c in ("x", "y")]
+    u = F.concat(F.transform("v", lambda z: z / F.col("sf")), F.array(*near))
+    return j.select("subject", F.pmod(F.col("h"), F.col("n_blocks")).cast("int").alias("b"), "n_blocks", "slice", "x", "y", "h", u.alias("u"))
+
+
+def _pivots(blocks: DataFrame, pending: DataFrame, m: int) -> DataFrame:
+    """(subject, n_blocks, m, pivots) of the pending subjects: the first m cells in the order of their hash, taken from the first m of each block."""
     order = Window.partitionBy("subject").orderBy("h", "slice", "x", "y")
-    few = points.withColumn("h", F.xxhash64(F.lit(seed), "subject", "slice", "x", "y")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= landmarks)
-    schema = "subject string, model binary"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        import pickle
+    mine = blocks.join(F.broadcast(pending) if pending.count() <= 100_000 else pending, "subject", "left_semi")
+    few = mine.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= m)
+    rows = few.groupBy("subject", "n_blocks").agg(F.sort_array(F.collect_list(F.struct("h", "slice", "x", "y", "u"))).alias("p"))
+    pack = _mapped(lambda a: np.asarray(a, float).tobytes(), "binary")
+    return rows.select("subject", "n_blocks", F.size("p").alias("m"), pack(F.flatten(F.transform("p", lambda z: z["u"]))).alias("pivots"))
+
+
+def factored(blocks: DataFrame, tolerance: float) -> DataFrame:
+    """(subject, n_blocks, rest, pivots, total): pivots that leave at most ``tolerance`` of the kernel's trace out, and the sum of Z's rows."""
+    dim = len(blocks.select("u").first()["u"]) if blocks.take(1) else 1
+
+    def sums(cells: pd.DataFrame, model: list[np.ndarray]) -> pd.DataFrame:
+        total, kept = 0.0, 0.0
+        for z in factor_rows(_numbers(cells.u), model[0].reshape(-1, dim)):
+            total, kept = total + z.sum(0), kept + float((z * z).sum())
+        return pd.DataFrame({"subject": [cells.subject.iloc[0]], "s": [np.concatenate([[len(cells), kept], total]).tobytes()]})
+
+    left_out = _mapped(lambda b: 1 - np.frombuffer(b)[1] / np.frombuffer(b)[0], "double")
+    tail = _mapped(lambda b: np.frombuffer(b)[2:].tobytes(), "binary")
+    size = _mapped(lambda b: int(np.frombuffer(b)[0]), "long")
+    pending, done, m = blocks.select("subject").distinct(), None, PIVOTS
+    while True:
+        tried = written(_pivots(blocks, pending, m), "spectral-pivots")
+        total = _added(_over_blocks(blocks, tried.drop("m"), sums, "subject string, s binary"))
+        got = written(tried.join(total, "subject").select("subject", "n_blocks", "m", left_out("s").alias("rest"), size("s").alias("n"), "pivots", tail("s").alias("total")), "spectral-factors")
+        ready = (F.col("rest") <= tolerance) | (F.col("m") >= F.col("n"))
+        done = got.where(ready) if done is None else done.unionByName(got.where(ready))
+        pending = got.where(~ready).select("subject")
+        if pending.isEmpty():
+            return done.drop("m", "n")
+        m *= 2
+
+
+def embedding(points: DataFrame, k: int, weight: float = 1.0, seed: int = 35, tolerance: float = 0.005) -> DataFrame:
+    """(subject, slice, x, y, e): each cell's row of the k leading eigenvectors of the normalised affinity, at length 1, columns by falling eigenvalue.
+
+    The affinity of a cell to itself counts as 0 in the degrees. ``subject`` is text.
+    """
+    blocks = written(prepared(points, weight, seed), "spectral-blocks")
+    if blocks.isEmpty():
+        return blocks.select("subject", "slice", "x", "y", F.col("u").alias("e"))
+    dim = len(blocks.select("u").first()["u"])
+    models = written(factored(blocks, tolerance), "spectral-models")
+
+    def second(cells: pd.DataFrame, model: list[np.ndarray]) -> pd.DataFrame:
+        c = 0.0
+        for z in factor_rows(_numbers(cells.u), model[0].reshape(-1, dim)):
+            c = c + (z / np.maximum(z @ model[1] - 1, 1e-10)[:, None]).T @ z
+        return pd.DataFrame({"subject": [cells.subject.iloc[0]], "s": [c.tobytes()]})
+
+    def axes(b: bytes) -> bytes:
+        c = np.frombuffer(b)
+        value, vector = np.linalg.eigh(c.reshape(int(round(len(c) ** 0.5)), -1))
+        value, vector = value[::-1][:k], vector[:, ::-1][:, :k]
+        vector = vector * np.where(vector[np.abs(vector).argmax(0), np.arange(vector.shape[1])] < 0, -1, 1)
+        return (vector / np.sqrt(np.maximum(value, 1e-12))).tobytes()
+
+    shape = models.select("subject", "n_blocks", "pivots", "total")
+    spectra = _added(_over_blocks(blocks, shape, second, "subject string, s binary")).select("subject", _mapped(axes, "binary")("s").alias("axes"))
+    full = written(shape.join(spectra, "subject"), "spectral-axes")
+    kind = dict(blocks.dtypes)
+
+    def project(cells: pd.DataFrame, model: list[np.ndarray]) -> pd.DataFrame:
+        pivots, total, ax = model
+        rows = []
+        for z in factor_rows(_numbers(cells.u), pivots.reshape(-1, dim)):
+            e = (z @ ax.reshape(z.shape[1], -1)) / np.sqrt(np.maximum(z @ total - 1, 1e-10))[:, None]
+            rows += list(e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-10))
+        return cells[CELLS].assign(e=rows)
+
+    return _over_blocks(blocks, full, project, f"subject string, slice {kind['slice']}, x {kind['x']}, y {kind['y']}, e array<double>")
+
+
+def spectral(points: DataFrame, k: int, weight: float = 1.0, seed: int = 35, tolerance: float = 0.005) -> DataFrame:
+    """``points`` (subject, slice, x, y, v) with ``label``."""
+    e = written(embedding(points, k, weight, seed, tolerance), "spectral-embedding")
+    found = nearest(e.select(F.col("subject").alias("g"), "slice", "x", "y", F.col("e").alias("v")), mixture.kmeans(e.select(F.col("subject").alias("g"), F.col("e").alias("v")), k, seed))
+    found = found.select(F.col("g").alias("_g"), *[F.col(c).alias(f"_{c}") for c in CELLS[1:]], "label")
+    same = (points["subject"].cast("string") == found["_g"]) & (points["slice"] == found["_slice"]) & (points["x"] == found["_x"]) & (points["y"] == found["_y"])
+    return points.join(found, same).select(*[points[c] for c in points.columns], "label")
 
-        x, c = np.array(pdf.v.tolist(), float), pdf[["x", "y", "slice"]].to_numpy(float)
-        kk = min(k, len(x))
-        s, ss = bandwidth(x), bandwidth(c)
-        value, vector, degree = embedding(affinity(x, x, c, c, s, ss, weight), kk)
-        centres = small_kmeans(unit_rows(vector), kk, seed)
-        return pd.DataFrame({"subject": [str(pdf.subject.iloc[0])], "model": [pickle.dumps((x, c, s, ss, value, vector, degree, centres))]})
 
-    models = few.groupBy("subject").applyInPandas(fit, schema).limit(MAX_SUBJECTS + 1).collect()  # a bounded model per subject
-    if len(models) > MAX_SUBJECTS:
-        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
-    shared = points.sparkSession.sparkContext.broadcast({r["subject"]: bytes(r["model"]) for r in models})
+def nearest(points: DataFrame, centres: dict[str, tuple[np.ndarray, float]]) -> DataFrame:
+    """``points`` (g, v, ...) with the number of the nearest of its group's centres."""
+    shared = points.sparkSession.sparkContext.broadcast({g: c for g, (c, _) in centres.items()})  # k rows a group, at most mixture.MAX_GROUPS
 
     @F.pandas_udf("int")
-    def label(subject: pd.Series, v: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
-        import pickle
-
-        out = np.zeros(len(subject), np.int32)
-        rows, at = np.array(v.tolist(), float).reshape(len(v), -1), np.column_stack([x, y, z]).astype(float)
-        for name in pd.unique(subject):
-            here = np.flatnonzero(subject.to_numpy() == name)
-            lx, lc, s, ss, value, vector, degree, centres = pickle.loads(shared.value[name])
-            w = affinity(rows[here], lx, at[here], lc, s, ss, weight)
-            own = np.maximum(w.sum(1), 1e-10)
-            spread = (w / np.sqrt(own)[:, None] / np.sqrt(degree)[None]) @ vector / np.where(np.abs(value) > 1e-8, value, 1e-8)
-            out[here] = ((unit_rows(spread)[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    def label(g: pd.Series, v: pd.Series) -> pd.Series:
+        x, out = _numbers(v), np.zeros(len(g), np.int32)
+        for name in pd.unique(g):
+            here = np.flatnonzero(g.to_numpy() == name)
+            out[here] = ((x[here][:, None] - shared.value[name][None]) ** 2).sum(2).argmin(1)
         return pd.Series(out)
 
-    return points.withColumn("label", label(F.col("subject").cast("string"), "v", "x", "y", "slice"))
+    return points.withColumn("label", label("g", "v"))
+
+
+def choose_k(points: DataFrame, ks: list[int], weight: float = 1.0, seed: int = 35, refs: int = 5, guard: bool = False, tolerance: float = 0.005) -> tuple[DataFrame, DataFrame]:
+    """(scores (g, k, silhouette, gap, s), choice (g, elbow, gap_k, k)) per subject, from one embedding whose first k columns serve each k.
+
+    Where the elbow of the silhouette and the gap rule differ, the gap rule decides, or the elbow with ``guard``.
+    """
+    e = written(embedding(points, max(ks), weight, seed, tolerance), "spectral-shared")
+    scores = None
+    for k in ks:  # a handful
+        p = e.select(F.col("subject").alias("g"), F.slice("e", 1, k).alias("v"))
+        centres = {(g, k): c for g, (c, _) in mixture.kmeans(p, k, seed).items()}
+        rows = [(g, k, s) for (g, _), s in mixture.silhouettes(p, centres).items()]
+        one = p.sparkSession.createDataFrame(rows, "g string, k int, silhouette double").join(inference.gap_statistic(p, [k], refs=refs).select("g", F.col("k").cast("int").alias("k"), "gap", "s"), ["g", "k"])
+        scores = one if scores is None else scores.unionByName(one)
+    scores = written(scores, "spectral-scores")
+    a = selection.elbow(scores, ["g"], "silhouette").withColumnRenamed("k", "elbow")
+    b = selection.gap_rule(scores, ["g"]).withColumnRenamed("k", "gap_k")
+    return scores, a.join(b, "g").withColumn("k", F.when(F.lit(guard), F.col("elbow")).otherwise(F.col("gap_k")))

@@ -375,16 +375,91 @@ def test_principal_axes_equal_numpy(spark):
     assert projection.axes(df.limit(0), 2).total == 0.0
 
 
-def test_spectral_clusters_follow_features_and_places(spark, grown):
+def dense_labels(v, x, y, k, sf=None):
+    """Labels from the whole affinity matrix of one subject."""
+    from gridwright.operators import spectral
+
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    c = np.column_stack([x, y]).astype(float)
+    at = ((c[:, None] - c[None]) ** 2).sum(2)
+    w = np.exp(-d / (2 * sf**2) - at / (2 * np.median(np.sqrt(at[at > 0])) ** 2))
+    np.fill_diagonal(w, 0)
+    deg = np.sqrt(w.sum(1))
+    value, vector = np.linalg.eigh(w / deg[:, None] / deg[None])
+    e = vector[:, ::-1][:, :k]
+    return e / np.linalg.norm(e, axis=1, keepdims=True)
+
+
+def rand_index(a, b):
+    t = np.array([[((a == i) & (b == j)).sum() for j in np.unique(b)] for i in np.unique(a)], float)
+    pairs = lambda n: (n * (n - 1) / 2).sum()
+    both, rows, cols, n = pairs(t), pairs(t.sum(1)), pairs(t.sum(0)), pairs(np.array([t.sum()]))
+    return (both - rows * cols / n) / ((rows + cols) / 2 - rows * cols / n)
+
+
+def test_place_bandwidth_counts_all_pairs():
+    from gridwright.operators import spectral
+
+    rng = np.random.default_rng(3)
+    for size in (2, 7, 60):
+        x, y = rng.integers(5, 20, size), rng.integers(1, 12, size)
+        n = rng.integers(1, 4, size)
+        at, first = np.unique(np.column_stack([x, y]), axis=0, return_index=True)
+        n = n[first]
+        full = np.repeat(at, n, 0).astype(float)
+        assert np.isclose(spectral.place_bandwidth(at[:, 0], at[:, 1], n), spectral.bandwidth(full))
+    assert spectral.place_bandwidth(np.array([3]), np.array([4]), np.array([9])) == 1.0
+
+
+def test_spectral_clusters_equal_those_of_the_whole_matrix(spark, grown, monkeypatch):
     from gridwright.jobs import modes
     from gridwright.operators import spectral
 
+    monkeypatch.setattr(spectral, "BLOCK", 700)  # several blocks a subject
     points = modes.scaled_points(grown, ["T2", "DTI-MD"])
     truth = grown.where("param = 'T2'").select("subject", "slice", "x", "y", "truth")
-    out = spectral.spectral(points, 2, landmarks=200).join(truth, ["subject", "slice", "x", "y"])
-    assert out.count() == truth.count()
-    ari = metrics.agreement(metrics.counts(out, "truth", "label", ["subject"]), ["subject"]).collect()
-    assert all(r.ari > 0.4 for r in ari)
+    out = spectral.spectral(points, 2).join(truth, ["subject", "slice", "x", "y"]).toPandas()
+    assert len(out) == truth.count()
+    blocks = spectral.prepared(points, 1.0, 35).toPandas()
+    e = spectral.embedding(points, 2).toPandas()
+    for name, mine in out.groupby("subject"):
+        mine = mine.sort_values(["slice", "x", "y"])
+        u = np.array(blocks[blocks.subject == name].sort_values(["slice", "x", "y"]).u.tolist())
+        v = np.array(mine.v.tolist(), float)
+        whole = dense_labels(v, mine.x.to_numpy(), mine.y.to_numpy(), 2, sf=np.linalg.norm(v[1] - v[0]) / np.linalg.norm((u[1] - u[0])[:-2]))
+        near = np.array(e[e.subject == name].sort_values(["slice", "x", "y"]).e.tolist())
+        inner = np.linalg.svd(np.linalg.qr(whole)[0].T @ np.linalg.qr(near)[0])[1]
+        assert inner.min() > 0.99  # the same plane of eigenvectors
+        cut = (whole - whole.mean(0)) @ np.linalg.svd(whole - whole.mean(0), full_matrices=False)[2][0] > 0
+        assert rand_index(cut, mine.label.to_numpy()) > 0.9
+        assert rand_index(mine.truth.to_numpy(), mine.label.to_numpy()) > 0.4
+
+
+def test_spectral_k_from_one_embedding(spark, grown):
+    from gridwright.jobs import modes
+    from gridwright.operators import spectral
+
+    points = modes.scaled_points(grown, ["T2", "DTI-MD"])
+    scores, chosen = spectral.choose_k(points, [2, 3, 4], refs=2, tolerance=0.05)
+    assert scores.count() == 6 and {r.k for r in chosen.collect()} <= {2, 3, 4}
+    assert all(r.k == r.gap_k for r in chosen.collect())
+    assert spectral.embedding(points.limit(0), 2).count() == 0
+
+
+def test_silhouettes_over_all_rows_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(m, 1, (30, 3)) for m in (0, 3, 6)])
+    df = spark.createDataFrame([("a", row.tolist()) for row in x], "g string, v array<double>").repartition(5)
+    centres = np.array([[0.0] * 3, [3.0] * 3, [6.0] * 3])
+    near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = []
+    for i in range(len(x)):
+        own = d[i][(near == near[i]) & (np.arange(len(x)) != i)].mean()
+        other = min(d[i][near == c].mean() for c in range(3) if c != near[i])
+        want.append((other - own) / max(own, other))
+    found = mixture.silhouettes(df, {("a", 3): centres, ("a", 1): centres[:1]})
+    assert np.isclose(found["a", 3], np.mean(want)) and found["a", 1] == -1.0
 
 
 def test_assignment_is_optimal():
