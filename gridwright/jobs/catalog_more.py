@@ -185,18 +185,39 @@ def g12(spark, sf_dir):
     return contrasts.witness(a.select((F.col("subject") % 2 == 0).alias("first"), "x", "y"), -1.0, 1.0, 11, 1.0)
 
 
-@query("e5_leave_one_out", f"""WITH {VOTE_SQL}, tr AS (SELECT run, habitat, CASE WHEN md > 0.3 THEN 'Necrosis' WHEN md < -0.1 THEN 'Cellular/proliferative' ELSE 'Bulk tumor' END AS truth FROM f),
- c AS (SELECT lf, run, count(vote) AS n, count(*) FILTER (vote = truth) AS hit FROM v JOIN tr USING (run, habitat) GROUP BY ALL), t AS (SELECT lf, sum(n) AS n, sum(hit) AS hit FROM c GROUP BY ALL)
- SELECT c.run, c.lf, {r('CASE WHEN t.n - c.n > 0 THEN (t.hit - c.hit) / (t.n - c.n) ELSE 0.5 END')} AS weight FROM c JOIN t USING (lf)""", cells=False)
-def e5(spark, sf_dir):
-    """Weight of each labelling function without the run at hand: its precision over all other runs, from sums and not from pairs of runs."""
+_TRUTH = "CASE WHEN md > 0.3 THEN 'Necrosis' WHEN md < -0.1 THEN 'Cellular/proliferative' ELSE 'Bulk tumor' END"
+_LOO = f"""{VOTE_SQL}, tr AS (SELECT run, habitat, {_TRUTH} AS truth FROM f),
+ c AS (SELECT lf, run, count(vote) AS n, count(*) FILTER (vote = truth) AS hit FROM v JOIN tr USING (run, habitat) GROUP BY ALL), t AS (SELECT lf, sum(n) AS n, sum(hit) AS hit FROM c GROUP BY ALL),
+ wt AS (SELECT c.run, c.lf, CASE WHEN t.n - c.n > 0 THEN (t.hit - c.hit) / (t.n - c.n) ELSE 0.5 END AS weight FROM c JOIN t USING (lf))"""
+_HELD = f"""{_LOO}, names AS (SELECT * FROM (VALUES {', '.join(f"('{x}', {rules.FLOOR[x]}, {i})" for i, x in enumerate(rules.LABELS))}) AS n(label, eps, place)),
+ mass AS (SELECT run, habitat, label, place, round(any_value(eps) + coalesce(sum(weight) FILTER (vote = label), 0), 9) AS s FROM v JOIN wt USING (run, lf) CROSS JOIN names GROUP BY ALL),
+ held AS (SELECT run, habitat, truth, label FROM (SELECT *, row_number() OVER (PARTITION BY run, habitat ORDER BY s DESC, place) AS rn FROM mass) JOIN tr USING (run, habitat) WHERE rn = 1)"""
+
+
+def _votes_and_truth(spark, sf_dir):
     p = rule_profiles(spark, sf_dir)
     truth = p.select(*KEYS, F.when(F.col("md") > 0.3, "Necrosis").when(F.col("md") < -0.1, "Cellular/proliferative").otherwise("Bulk tumor").alias("truth"))
-    j = rules.votes(p, KEYS).join(truth, KEYS)
-    c = j.groupBy("lf", "run").agg(F.count("vote").alias("n"), F.count_if(F.col("vote") == F.col("truth")).alias("hit"))
-    t = c.groupBy("lf").agg(F.sum("n").alias("tn"), F.sum("hit").alias("th"))
-    rest = F.col("tn") - F.col("n")
-    return c.join(t, "lf").select("run", "lf", F.when(rest > 0, (F.col("th") - F.col("hit")) / rest).otherwise(0.5).alias("weight"))
+    return rules.votes(p, KEYS), truth
+
+
+@query("e5_leave_one_out", f"WITH {_LOO} SELECT run, lf, {r('weight')} AS weight FROM wt", cells=False)
+def e5(spark, sf_dir):
+    """Weight of each labelling function without the run at hand: its precision over all other runs, from sums and not from pairs of runs."""
+    return rules.weights_without(*_votes_and_truth(spark, sf_dir), KEYS)
+
+
+@query("e5_accuracy_by_run", f"WITH {_HELD} SELECT coalesce(CAST(run AS VARCHAR), 'all') AS run, count(*) AS n, count(*) FILTER (truth = label) AS n_right, {r('count(*) FILTER (truth = label) / count(*)')} AS accuracy FROM held GROUP BY ROLLUP (run)", cells=False)
+def e5r(spark, sf_dir):
+    """How many habitats of each run, and of all, are labelled right by weights without that run."""
+    held = rules.held_out_labels(*_votes_and_truth(spark, sf_dir), KEYS)
+    right = F.count_if(F.col("truth") == F.col("label"))
+    return held.rollup("run").agg(F.count(F.lit(1)).alias("n"), right.alias("n_right"), (right / F.count(F.lit(1))).alias("accuracy")).withColumn("run", F.coalesce(F.col("run").cast("string"), F.lit("all")))
+
+
+@query("e5_scores_by_class", f"""WITH {_HELD}, q AS (SELECT truth AS class, count(*) AS support, count(*) FILTER (truth = label) AS tp FROM held GROUP BY ALL), nm AS (SELECT label AS class, count(*) AS named FROM held GROUP BY ALL),
+ z AS (SELECT class, support, coalesce(tp / named, 0.0) AS p, tp / support AS rc FROM q LEFT JOIN nm USING (class)) SELECT class, support, {r('p')} AS precision, {r('rc')} AS recall, {r('CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0.0 END')} AS f1 FROM z""", cells=False)
+def e5c(spark, sf_dir):
+    return rules.scores_by_class(rules.held_out_labels(*_votes_and_truth(spark, sf_dir), KEYS))
 
 
 # --- resampling: deterministic by seed, without SQL ----------------------------------------

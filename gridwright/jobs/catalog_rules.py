@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import passes, quantiles, rules, selection, spatial
-from ..sources import roi
-from .catalog import KEYS, PROFILE_SQL, SC, VOTE_SQL, WEIGHTED, _score_sql, _scores, query, r, rule_profiles
+from ..sources import results, roi
+from .catalog import KEYS, PROFILE_SQL, SC, VOTE_SQL, WEIGHTED, _score_sql, _scores, assigned, query, r, rule_profiles
 
 
 
@@ -193,3 +193,16 @@ def m10(spark, sf_dir):
     best = selection.best_k(s, ["subject"], "score", largest=True).withColumnRenamed("k", "best_k")
     gap = selection.gap_rule(s.withColumnRenamed("score", "gap"), ["subject"]).withColumnRenamed("k", "gap_k")
     return best.join(gap, "subject").select("subject", "best_k", "gap_k", F.col("gap_k").alias("k"), (F.col("best_k") != F.col("gap_k")).alias("disagree"))
+
+
+@query("sp9_smoothed")
+def sp9(spark, sf_dir):
+    """Cells by habitat before and after smoothing, whose costs follow from the families that the votes give the habitats; brute force in the tests."""
+    a = results.written(assigned(spark, sf_dir).select("subject", "slice", "x", "y", F.col("label").alias("habitat"), "proba", "v"), "assigned")
+    means = [F.avg(F.get("v", F.lit(i))).alias(c) for i, c in enumerate(("t2", "md", "t2star", "mtr"))]
+    none = [F.lit(None).cast("double").alias(c) for c in ("fa", "rd", "ad", "d")]
+    p = rules.profile_features(a.groupBy("habitat").agg(*means).select("*", *none, F.lit(0).alias("run")), ["run"])
+    named = rules.decide(rules.weighted_vote(rules.votes(p, ["habitat"]), ["habitat"]), ["habitat"])
+    families = {r["habitat"]: r["family"] for r in named.select("habitat", L.smoothing_family(F.col("label")).alias("family")).collect()}  # a row a habitat
+    moved = spatial.smooth(a.drop("v"), spatial.family_penalties(families))
+    return moved.groupBy("subject", "habitat", "smoothed").agg(F.count(F.lit(1)).alias("n"))

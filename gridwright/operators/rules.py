@@ -93,6 +93,33 @@ def weighted_vote(vote_rows: DataFrame, keys: list[str], weights: dict[str, floa
     return sums.select(*keys, F.inline(rows))
 
 
+def weights_without(vote_rows: DataFrame, truth: DataFrame, keys: list[str], run: str = "run") -> DataFrame:
+    """(run, lf, weight): the precision of a labelling function over all runs but this one, from sums less the run's own; 0.5 if it never votes there."""
+    c = vote_rows.join(truth, keys).groupBy("lf", run).agg(F.count("vote").alias("n"), F.count_if(F.col("vote") == F.col("truth")).alias("hit"))
+    t = c.groupBy("lf").agg(F.sum("n").alias("tn"), F.sum("hit").alias("th"))
+    rest = F.col("tn") - F.col("n")
+    return c.join(t, "lf").select(run, "lf", F.when(rest > 0, (F.col("th") - F.col("hit")) / rest).otherwise(0.5).alias("weight"))
+
+
+def held_out_labels(vote_rows: DataFrame, truth: DataFrame, keys: list[str], run: str = "run") -> DataFrame:
+    """(keys, truth, label): each habitat labelled under weights that its own run had no part in; ties go to the first of ``LABELS``."""
+    w = vote_rows.join(weights_without(vote_rows, truth, keys, run), [run, "lf"])
+    each = [F.round(F.sum(F.when(F.col("vote") == x, F.col("weight")).otherwise(0.0)) + FLOOR[x], 9) for x in LABELS]
+    sums = w.groupBy(*keys).agg(F.array(*[F.struct(e.alias("s"), F.lit(-i).alias("place")) for i, e in enumerate(each)]).alias("a"))
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), 1 - F.array_max("a")["place"])
+    return truth.join(sums.select(*keys, label.alias("label")), keys)
+
+
+def scores_by_class(labelled: DataFrame) -> DataFrame:
+    """(class, support, precision, recall, f1) of (truth, label), for classes that are the truth somewhere."""
+    right = F.col("label") == F.col("truth")
+    t = labelled.groupBy(F.col("truth").alias("class")).agg(F.count(F.lit(1)).alias("support"), F.count_if(right).alias("tp"))
+    named = labelled.groupBy(F.col("label").alias("class")).agg(F.count(F.lit(1)).alias("named"))
+    precision, recall = F.coalesce(F.col("tp") / F.col("named"), F.lit(0.0)), F.col("tp") / F.col("support")
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    return t.join(named, "class", "left").select("class", "support", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+
+
 def decide(probabilities: DataFrame, keys: list[str], threshold: float = 0.0) -> DataFrame:
     """Best label, its probability, bucket, entropy, whether a second is within the margin, and abstention."""
     rows = probabilities.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("m"), "place", "label"))).alias("r"))  # six labels

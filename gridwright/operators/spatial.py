@@ -44,6 +44,34 @@ def boundaries(cells: DataFrame, value: str = "habitat") -> DataFrame:
     return p.groupBy(*SLICE).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("own") != F.col("other")).alias("n_boundary"))
 
 
+def neighbours(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[cell, right / left / below / above]: the row of that neighbour, -1 where there is none; cells are all different and in (y, x) order."""
+    wide = int(np.ptp(x)) + 3 if len(x) else 3
+    key = (y - y.min(initial=0)).astype(np.int64) * wide + (x - x.min(initial=0)) + 1
+    near = np.full((len(x), 4), -1)
+    for i, step in enumerate((1, -1, wide, -wide)):
+        at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+        near[:, i] = np.where(key[at] == key + step, at, -1)
+    return near
+
+
+def connected(near: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The first cell of each cell's component of equal values: roots are hooked onto smaller ones and pointers halved until all agree."""
+    root = np.arange(len(value))
+    a = np.concatenate([np.flatnonzero(near[:, i] >= 0) for i in (0, 2)])
+    b = np.concatenate([near[near[:, i] >= 0, i] for i in (0, 2)])
+    a, b = a[value[a] == value[b]], b[value[a] == value[b]]
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    return root
+
+
 def components(cells: DataFrame, value: str = "habitat") -> DataFrame:
     """4-connected components per slice and value: one row per component (n, first cell).
 
@@ -51,23 +79,9 @@ def components(cells: DataFrame, value: str = "habitat") -> DataFrame:
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["x", "y"]).sort_values(["y", "x"], kind="stable").reset_index(drop=True)
-        at = {(x, y): i for i, (x, y) in enumerate(zip(pdf.x.tolist(), pdf.y.tolist(), strict=True))}
-        lab = pdf[value].tolist()
-        root = list(range(len(pdf)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        for (x, y), i in at.items():
-            for j in (at.get((x + 1, y)), at.get((x, y + 1))):
-                if j is not None and lab[i] == lab[j]:
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-        tops = pd.Series([find(i) for i in range(len(pdf))])
-        out = pdf.assign(top=tops).groupby("top").agg(subject=("subject", "first"), slice=("slice", "first"), **{value: (value, "first"), "n": (value, "size"), "x": ("x", "first"), "y": ("y", "first")})
-        return out.reset_index(drop=True)
+        top = connected(neighbours(pdf.x.to_numpy(np.int64), pdf.y.to_numpy(np.int64)), pd.factorize(pdf[value])[0])
+        first, n = np.unique(top, return_counts=True)
+        return pdf.iloc[first].assign(n=n)[["subject", "slice", value, "n", "x", "y"]]
 
     kind = dict(cells.dtypes)
     schema = f"subject {kind['subject']}, slice {kind['slice']}, {value} {kind[value]}, n long, x {kind['x']}, y {kind['y']}"
@@ -158,32 +172,57 @@ def anchors(cells: DataFrame, value: str = "habitat", least: int = 3) -> DataFra
     return cells.groupBy(*SLICE, value).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+def family_penalties(families: dict[int, str]) -> dict[tuple[int, int], float]:
+    """Cost of a boundary between two habitats, from their families."""
+    cost = PENALTIES | {(b, a): p for (a, b), p in PENALTIES.items()}
+    return {(i, j): cost.get((a, b), 0.0) for i, a in families.items() for j, b in families.items()}
+
+
+def settled(x: np.ndarray, y: np.ndarray, labels: np.ndarray, proba: np.ndarray, penalty: dict[tuple[int, int], float], weight: float, sure: float, sweeps: int) -> np.ndarray:
+    """Labels of a slice's cells, in (y, x) order, after the sweeps.
+
+    A cell's upper and left neighbours lie on the diagonal before its own and the others on the one after it, so a
+    whole diagonal can be visited at once and gives what visiting cell after cell gives.
+    """
+    labels = labels.copy()
+    k = proba.shape[1]
+    cost = np.zeros((k, max(k, labels.max(initial=0) + 1) + 1))  # the last column is for places without a neighbour
+    for (i, j), p in penalty.items():
+        if i < k and j < cost.shape[1] - 1:
+            cost[i, j] = p
+    near = neighbours(x, y)
+    own = -np.log(np.maximum(proba, 1e-10))
+    order = np.argsort(x + y, kind="stable")
+    fronts = np.split(order, np.flatnonzero(np.diff((x + y)[order])) + 1)
+    for _ in range(sweeps):
+        changed = False
+        for front in fronts:
+            beside = np.where(near[front] >= 0, labels[near[front]], -1)
+            here = labels[front]
+            chance = np.where(here < k, proba[front, np.minimum(here, k - 1)], 0.0)
+            ask = (beside >= 0).any(1) & ((chance < sure) | ((beside >= 0) & (beside != here[:, None])).any(1))
+            front, beside = front[ask], beside[ask]
+            best = (own[front] + weight * cost[:, beside].sum(2).T).argmin(1)
+            changed |= bool((best != labels[front]).any())
+            labels[front] = best
+        if not changed:
+            break
+    return labels
+
+
 def smooth(cells: DataFrame, penalty: dict[tuple[int, int], float], weight: float = 0.3, sure: float = 0.65, sweeps: int = 5) -> DataFrame:
     """Iterated conditional modes per slice on cells (subject, slice, x, y, habitat, proba): adds ``smoothed``.
 
-    Cells below ``sure`` or with an unlike neighbour are visited in (y, x)
-    order, in place, until a sweep changes nothing. Neighbours never cross
-    slices, so slices are independent.
+    Cells whose own label is less probable than ``sure``, or that have an unlike neighbour, are visited in (y, x)
+    order, in place, until a sweep changes nothing; cells without neighbours keep their label. Neighbours never
+    cross slices, so slices are independent. Cells of a slice must be different.
     """
     kind = dict(cells.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
-        at = {(x, y): i for i, (x, y) in enumerate(zip(pdf.x.tolist(), pdf.y.tolist(), strict=True))}
-        lab, proba = pdf.habitat.tolist(), pdf.proba.tolist()
-        near = [[j for d in ((1, 0), (-1, 0), (0, 1), (0, -1)) if (j := at.get((x + d[0], y + d[1]))) is not None] for x, y in zip(pdf.x.tolist(), pdf.y.tolist(), strict=True)]
-        for _ in range(sweeps):
-            changed = False
-            for i, p in enumerate(proba):
-                if max(p) >= sure and all(lab[j] == lab[i] for j in near[i]):
-                    continue
-                cost = [-np.log(max(q, 1e-10)) + weight * sum(penalty.get((k, lab[j]), 0.0) for j in near[i]) for k, q in enumerate(p)]
-                best = int(np.argmin(cost))
-                if best != lab[i]:
-                    lab[i], changed = best, True
-            if not changed:
-                break
-        return pdf[["subject", "slice", "x", "y", "habitat"]].assign(smoothed=lab)
+        at = [pdf[c].to_numpy(np.int64) for c in ("x", "y", "habitat")]
+        return pdf[["subject", "slice", "x", "y", "habitat"]].assign(smoothed=settled(*at, np.array(pdf.proba.tolist(), float), penalty, weight, sure, sweeps))
 
     schema = f"subject {kind['subject']}, slice {kind['slice']}, x {kind['x']}, y {kind['y']}, habitat {kind['habitat']}, smoothed int"
     return cells.select(*SLICE, "x", "y", "habitat", "proba").groupBy(*SLICE).applyInPandas(run, schema)

@@ -80,6 +80,42 @@ def test_smoothing_moves_a_lone_unsure_cell(spark):
     assert {r.smoothed for r in out} == {0} and len(out) == 25
 
 
+def test_smoothing_by_diagonals_equals_cell_after_cell():
+    rng = np.random.default_rng(11)
+    for case in range(12):
+        k, there = 4, rng.random((9, 8)) < (0.8 if case % 2 else 1.0)
+        y, x = (a.astype(np.int64) for a in np.nonzero(there))
+        proba, lab = rng.dirichlet(np.ones(k), len(x)), rng.integers(0, k, len(x))
+        penalty = {(i, j): float(rng.integers(0, 8)) for i in range(k) for j in range(k)}
+        at, want = {(a, b): i for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))}, lab.tolist()
+        for _ in range(5):
+            before = list(want)
+            for (a, b), i in at.items():
+                near = [want[j] for j in (at.get((a + 1, b)), at.get((a - 1, b)), at.get((a, b + 1)), at.get((a, b - 1))) if j is not None]
+                if near and (proba[i, want[i]] < 0.65 or any(z != want[i] for z in near)):
+                    want[i] = int(np.argmin([-np.log(proba[i, c]) + 0.3 * sum(penalty[c, z] for z in near) for c in range(k)]))
+            if before == want:
+                break
+        assert spatial.settled(x, y, lab, proba, penalty, 0.3, 0.65, 5).tolist() == want
+
+
+def test_components_equal_flood_fill():
+    rng = np.random.default_rng(12)
+    for size in (1, 5, 30):
+        there = rng.random((size, size + 2)) < 0.9
+        there[0, 0] = True
+        y, x = (a.astype(np.int64) for a in np.nonzero(there))
+        value = rng.integers(0, 2, len(x))
+        at, want = {(a, b): i for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))}, [-1] * len(x)
+        for start in range(len(x)):
+            todo = [start] if want[start] < 0 else []
+            while todo:
+                i = todo.pop()
+                want[i] = start
+                todo += [j for d, e in ((1, 0), (-1, 0), (0, 1), (0, -1)) if (j := at.get((x[i] + d, y[i] + e))) is not None and want[j] < 0 and value[j] == value[i]]
+        assert spatial.connected(spatial.neighbours(x, y), value).tolist() == want
+
+
 def test_roi_files(spark, tmp_path):
     for subject, param, shift in (("m1", "T2", 0), ("m1", "T2star", 1), ("m2", "T2", 2)):
         d = tmp_path / subject
