@@ -8,12 +8,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import mixture, selection
+from ..functions import exprs as X
+from ..operators import composition, descriptors, inference, mixture, permutations, profiles, ranks, selection, spectral
+from ..sources import results
 from ..sources.results import written
 from .modes import CELL, balanced_sample
 
 # Regularisation of the covariances, and the mean shift below which a centre is stable.
 REG, STABLE = 1e-4, 0.10
+#: Cells of the sample whose distances give the kernel's bandwidth.
+BANDWIDTH_CELLS = 500
 
 
 @dataclass(frozen=True)
@@ -97,3 +101,41 @@ def fit(points: DataFrame, cfg: Config = Config()) -> tuple[mixture.Mixture, Dat
     models = mixture.fit_all(sample, list(cfg.ks), cfg.seed, cfg.restarts, cfg.steps, REG)
     scores = criteria(points, models)
     return models["all", chosen_k(scores)], scores, sample
+
+
+def run(points: DataFrame, groups: DataFrame, params: list[str], path: str, cfg: Config = Config(), n_perm: int = 499, level: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(verdicts (step, test, habitat, statistic, p, verdict), descriptors (subject, habitat, pi, sigma2, residual)) from scaled cells.
+
+    Chooses k, freezes the atlas and stores it at ``path``, measures its stability, assigns all cells softly by the
+    stored atlas, and tests the ``groups`` (subject, grp): location and spread of the compositions, location of the
+    subjects' distributions of cells, Dirichlet regression, and each habitat's share by rank tests, Bonferroni adjusted.
+    """
+    spark = points.sparkSession
+    points = written(points.withColumn("subject", F.col("subject").cast("string")), "atlas-cells")
+    groups = written(groups.select(F.col("subject").cast("string").alias("subject"), "grp"), "atlas-groups")
+    model, scores, sample = fit(points, cfg)
+    results.write_atlas(spark, model, params, path)
+    frozen = results.read_atlas(spark, path)[0]
+    k = len(frozen.means)
+    found = descriptors.describe(mixture.score(points.select("subject", "v"), frozen), ["subject"], k).withColumnRenamed("cluster", "habitat")
+    found = written(found, "atlas-descriptors")
+    shares = written(profiles.spread(found, "habitat", "pi", k).join(groups, "subject"), "atlas-shares")
+    ratios = written(shares.select("subject", "grp", X.clr(F.transform("pi", lambda p: F.greatest(p, F.lit(1e-10)))).alias("v")), "atlas-ratios")
+    few = sample.orderBy(F.xxhash64(F.lit(cfg.seed), *CELL), *CELL).limit(BANDWIDTH_CELLS).select("v").collect()  # a fixed number
+    cells = written(permutations.mean_embeddings(points, spectral.bandwidth(np.array([r["v"] for r in few], float))).join(groups, "subject"), "atlas-embeddings")
+    rows = lambda df, step, test: df.select(F.lit(step).alias("step"), F.lit(test).alias("test"), F.lit(None).cast("int").alias("habitat"), F.col("f").alias("statistic"), "p")
+    law = composition.dirichlet(shares.select("grp", F.col("pi").alias("v")), k)
+    regression = spark.createDataFrame([("composition", "dirichlet", None, float(law.ratio), float(law.p))], "step string, test string, habitat int, statistic double, p double")
+    long = found.join(groups, "subject")
+    levels = [r[0] for r in groups.select("grp").distinct().orderBy("grp").limit(3).collect()]
+    if len(levels) == 2:
+        each = ranks.mann_whitney(long, ["habitat"], "pi", "grp", levels[0]).select("habitat", F.col("u").cast("double").alias("statistic"), inference.rank_sum_p("u").alias("p"))
+        tests = each.select(F.lit("habitats").alias("step"), F.lit("rank sum").alias("test"), F.col("habitat").cast("int").alias("habitat"), "statistic", F.least(F.lit(1.0), F.col("p") * k).alias("p"))
+    else:
+        tests = regression.limit(0)
+    out = rows(permutations.permanova_test(ratios, n_perm), "composition", "location").unionByName(rows(permutations.dispersion_test(ratios, n_perm), "composition", "spread"))
+    out = out.unionByName(rows(permutations.permanova_test(cells, n_perm), "cells", "location")).unionByName(regression).unionByName(tests)
+    out = out.withColumn("verdict", F.when(F.col("p") < level, "different").otherwise("no difference shown"))
+    steady = stability(sample, frozen, cfg).select(F.lit("stability").alias("step"), F.lit("mean shift").alias("test"), "habitat", F.col("mean_shift").alias("statistic"), F.lit(None).cast("double").alias("p"), F.when(F.col("stable"), "stable").otherwise("unstable").alias("verdict"))
+    choice = scores.where(F.col("k") == k).select(F.lit("choice").alias("step"), F.lit("icl").alias("test"), F.lit(None).cast("int").alias("habitat"), F.col("icl").alias("statistic"), F.lit(None).cast("double").alias("p"), F.concat(F.lit("k = "), F.col("k").cast("string")).alias("verdict"))
+    return choice.unionByName(steady).unionByName(out), found

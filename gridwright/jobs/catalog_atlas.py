@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import composition, profiles
-from ..sources import roi
+from ..operators import composition, mixture, profiles
+from ..sources import results, roi
 from . import atlas, hierarchy
-from .catalog import SHARES, query, r, voxel_vectors
+from .catalog import ROB, SHARES, query, r, voxel_vectors
 
 HABITATS = [0, 1, 2]
 NAMES = ["t2", "md", "t2star", "mtr"]  # as the parameters of the vectors
@@ -62,3 +62,27 @@ def m30(spark, sf_dir):
 @query("m29_sub_habitats")
 def m29(spark, sf_dir):
     return hierarchy.sub_habitats(voxel_vectors(spark, sf_dir)).groupBy("habitat", "sub").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("subject").alias("n_subjects"))
+
+
+@query("m23_frozen_shares", f"""+ {ROB}, b AS (SELECT subject, slice, x, y, habitat, max(value) FILTER (param = 'T2') AS a, max(value) FILTER (param = 'DTI-MD') AS b FROM rob GROUP BY ALL),
+ m AS (SELECT habitat AS h, count(*) / sum(count(*)) OVER () AS w, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) + 1e-4 AS saa, covar_pop(a, b) AS sab, covar_pop(b, b) + 1e-4 AS sbb FROM b GROUP BY habitat),
+ e AS (SELECT subject, slice, x, y, h, ln(w) - 0.5 * ln(saa * sbb - sab * sab) - 0.5 * ((a - ma) ** 2 * sbb - 2 * (a - ma) * (b - mb) * sab + (b - mb) ** 2 * saa) / (saa * sbb - sab * sab) AS l FROM b CROSS JOIN m),
+ q AS (SELECT subject, slice, x, y, h, exp(l - max(l) OVER w) AS q FROM e WINDOW w AS (PARTITION BY subject, slice, x, y)), p AS (SELECT subject, h, q / sum(q) OVER (PARTITION BY subject, slice, x, y) AS p FROM q)
+ SELECT subject, CAST(h AS INTEGER) AS habitat, {r('avg(p)')} AS pi FROM p GROUP BY ALL""")
+def m23(spark, sf_dir):
+    """Mean posteriors of each subject under an atlas that was stored and read again; its components are the given habitats in two parameters."""
+    points = voxel_vectors(spark, sf_dir).select("subject", "habitat", F.slice("v", 1, 2).alias("v"))
+    points = results.written(points, "cells")
+    path = results.run_folder(spark, "atlas")
+    results.write_atlas(spark, mixture.of_labels(points, "habitat", atlas.REG), NAMES[:2], path)
+    model, _, _ = results.read_atlas(spark, path)
+    scored = mixture.score(points, model)
+    return scored.select("subject", F.posexplode("proba").alias("habitat", "p")).groupBy("subject", "habitat").agg(F.avg("p").alias("pi"))
+
+
+@query("q6_atlas_verdicts")
+def q6(spark, sf_dir):
+    """From cells to the verdicts of all six steps, even against odd subjects."""
+    points = voxel_vectors(spark, sf_dir).drop("habitat")
+    groups = points.select("subject").distinct().withColumn("grp", F.col("subject") % 2)
+    return atlas.run(points, groups, NAMES, results.run_folder(spark, "atlas"), atlas.Config(restarts=1, steps=15, resamples=10))[0]

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+
 #: Groups whose parameters are held at once, each k x (1 + d + d^2) numbers.
 MAX_GROUPS = 10_000
 
@@ -225,6 +227,37 @@ def silhouettes(points: DataFrame, models: dict[tuple[str, int], Mixture | np.nd
     return {(g, k): float(s[0] / s[1]) if (seen[g, k, 0][1] > 0).sum() > 1 else -1.0 for (g, k, _), s in result.items()}
 
 
+def of_labels(points: DataFrame, label: str = "label", reg: float = 1e-6) -> Mixture:
+    """The mixture whose components are the labels' shares, means and covariances in ``points`` (label, v); one pass, a row per label on the driver."""
+    d = len(points.first()["v"])
+    v = [F.get("v", F.lit(i)) for i in range(d)]
+    rows = points.groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(x) for x in v]).alias("m"), F.array(*[F.covar_pop(a, b) for a in v for b in v]).alias("c")).orderBy(label).collect()
+    n = np.array([r["n"] for r in rows], float)
+    return Mixture(n / n.sum(), np.array([r["m"] for r in rows]), np.array([r["c"] for r in rows]).reshape(-1, d, d) + reg * np.eye(d), n=float(n.sum()))
+
+
+def score(points: DataFrame, model: Mixture) -> DataFrame:
+    """Adds proba, label, d (distances to the means), confidence and ambiguous to ``points`` (v, ...), batch or stream.
+
+    The model's numbers become literals, so all of it runs in the JVM; its size is k (1 + d + d^2).
+    """
+    k, d = model.means.shape
+    parts = []
+    for w, m, c in zip(model.weights, model.means, model.covs, strict=True):
+        low = np.linalg.cholesky(c)
+        inverse = np.linalg.inv(low)
+        const = float(np.log(max(w, 1e-300)) - 0.5 * d * np.log(2 * np.pi) - np.log(np.diag(low)).sum())
+        z = [sum((F.lit(float(inverse[i, j])) * (F.get("v", F.lit(j)) - float(m[j])) for j in range(i + 1)), F.lit(0.0)) for i in range(d)]
+        parts.append(F.lit(const) - sum((x * x for x in z), F.lit(0.0)) / 2)
+    p = points.withColumn("_l", F.array(*parts)).withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
+    p = p.withColumn("proba", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))).drop("_e")
+    p = p.withColumn("label", F.array_position("_l", F.array_max("_l")).cast("int") - 1).drop("_l")
+    second = F.get(F.reverse(F.array_sort("proba")), F.lit(1))
+    apart = F.array(*[X.euclidean(F.col("v"), F.array(*[F.lit(float(x)) for x in m])) for m in model.means])
+    return p.withColumns({"d": apart, "confidence": F.array_max("proba"), "ambiguous": F.coalesce(second > 0.30, F.lit(False))})
+
+
 def predict(points: DataFrame, models: dict[str, Mixture]) -> DataFrame:
     """Adds proba and label to ``points`` (g, v, ...)."""
     shared = points.sparkSession.sparkContext.broadcast(models)

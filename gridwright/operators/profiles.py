@@ -104,3 +104,8 @@ def zscore_columns(means: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by, "param")
     sd = F.stddev_pop("mean").over(w)
     return means.withColumn("z", F.when(sd < 1e-12, 0.0).otherwise((F.col("mean") - F.avg("mean").over(w)) / sd))
+
+
+def spread(rows: DataFrame, place: str, value: str, k: int, by: str = "subject") -> DataFrame:
+    """(by, value): the values of places 0 to k - 1 as an array, 0 where there is none."""
+    return rows.groupBy(by).agg(F.array(*[F.coalesce(F.max(F.when(F.col(place) == i, F.col(value))), F.lit(0.0)) for i in range(k)]).alias(value))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,3 +130,35 @@ def members(cells: DataFrame, assigned: DataFrame, meta: int, params: list[str])
     there = [p for p in params if p in cells.columns]
     zero = cells.withColumns({p: F.lit(0.0) for p in params if p not in there}).na.fill(0.0, there)
     return zero.join(assigned.where(F.col("meta") == meta).select("subject", "habitat"), ["subject", "habitat"], "left_semi")
+
+
+ATLAS = "version int, component int, weight double, mean array<double>, cov array<double>, params array<string>, scale array<struct<center: double, spread: double>>"
+
+
+def write_atlas(spark: SparkSession, model, params: list[str], path: str, scale: dict[str, tuple[float, float]] | None = None) -> int:
+    """Appends a frozen mixture to the table at ``path`` and returns its version, one above the last. One writer at a time.
+
+    ``scale``: (centre, spread) per parameter, for cells that aren't scaled by their own subject.
+    """
+    try:
+        last = spark.read.schema(ATLAS).parquet(path).agg(F.max("version")).first()[0] or 0
+    except AnalysisException:  # no table yet
+        last = 0
+    pairs = [scale[p] for p in params] if scale else None
+    rows = [(last + 1, i, float(w), m.tolist(), c.ravel().tolist(), params, pairs) for i, (w, m, c) in enumerate(zip(model.weights, model.means, model.covs, strict=True))]
+    spark.createDataFrame(rows, ATLAS).coalesce(1).write.mode("append").parquet(path)
+    return last + 1
+
+
+def read_atlas(spark: SparkSession, path: str, version: int | None = None):
+    """(mixture, params, scale) of a version, the last if none is named."""
+    from ..operators.mixture import Mixture
+
+    table = spark.read.schema(ATLAS).parquet(path)
+    rows = (table.where(F.col("version") == version) if version is not None else table.join(F.broadcast(table.agg(F.max("version").alias("version"))), "version")).orderBy("component").collect()  # a row a component
+    if not rows:
+        raise ValueError(f"no atlas of version {version} at {path}")
+    means = np.array([r["mean"] for r in rows])
+    model = Mixture(np.array([r["weight"] for r in rows]), means, np.array([r["cov"] for r in rows]).reshape(len(rows), means.shape[1], means.shape[1]))
+    scale = rows[0]["scale"] and {p: (x["center"], x["spread"]) for p, x in zip(rows[0]["params"], rows[0]["scale"], strict=True)}
+    return model, list(rows[0]["params"]), scale

@@ -536,6 +536,67 @@ def test_atlas_of_two_habitats_is_stable(spark, grown):
     assert len(drawn) == 5 and {r["count"] for r in drawn} == {400}  # two subjects a resample
 
 
+def test_stored_atlas_scores_batch_and_stream_alike(spark, grown, tmp_path):
+    from gridwright.sources import results
+
+    cells = roi.pivot_cells(grown, ["T2", "DTI-MD"], "T2").withColumn("g", F.lit("all"))
+    stats = {"T2": (60.0, 20.0), "DTI-MD": (1.0, 0.5)}
+    points = score.scaled(cells, ["T2", "DTI-MD"], stats).persist()
+    model = mixture.fit(points, 2)["all"]
+    path = str(tmp_path / "atlas")
+    assert results.write_atlas(spark, model, ["T2", "DTI-MD"], path, stats) == 1
+    other = mixture.Mixture(model.weights[::-1], model.means[::-1], model.covs[::-1])
+    assert results.write_atlas(spark, other, ["T2", "DTI-MD"], path) == 2
+    back, params, scale = results.read_atlas(spark, path, 1)
+    assert np.array_equal(back.means, model.means) and np.array_equal(back.covs, model.covs) and params == ["T2", "DTI-MD"] and scale == stats
+    assert np.array_equal(results.read_atlas(spark, path)[0].means, other.means) and results.read_atlas(spark, path)[2] is None
+    with pytest.raises(ValueError):
+        results.read_atlas(spark, path, 9)
+    batch = score.score_by_atlas(cells, path, 1)
+    rows = batch.select("v", "proba", "label", "confidence").collect()
+    want, _ = model.posteriors(np.array([r.v for r in rows]))
+    assert np.allclose([r.proba for r in rows], want) and [r.label for r in rows] == want.argmax(1).tolist()
+    cells.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = score.score_by_atlas(stream, path, 1).select("subject", "slice", "x", "y", "label").writeStream.format("memory").queryName("by_atlas").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("by_atlas").collect())) == sorted(map(tuple, batch.select("subject", "slice", "x", "y", "label").collect()))
+
+
+def test_mean_embeddings_approach_the_kernel_discrepancy(spark):
+    from gridwright.operators import permutations
+
+    rng = np.random.default_rng(2)
+    x = {"a": rng.normal(0, 1, (60, 2)), "b": rng.normal(1, 1, (50, 2))}
+    df = spark.createDataFrame([(g, v.tolist()) for g, rows in x.items() for v in rows], "subject string, v array<double>").repartition(5)
+    e = {r.subject: np.array(r.v) for r in permutations.mean_embeddings(df, 1.3, 4096).collect()}
+    k = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(2) / (2 * 1.3**2)).mean()
+    assert abs(((e["a"] - e["b"]) ** 2).sum() - (k(x["a"], x["a"]) + k(x["b"], x["b"]) - 2 * k(x["a"], x["b"]))) < 0.03
+
+
+def test_atlas_tells_planted_groups_apart(spark, tmp_path):
+    from gridwright.jobs import atlas
+    from gridwright.sources import results
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for s in range(12):  # even subjects hold mostly the first habitat, odd ones the second
+        first = rng.random(150) < (0.75 if s % 2 == 0 else 0.25) + rng.uniform(-0.08, 0.08)
+        v = np.where(first[:, None], rng.normal(-2, 0.5, (150, 2)), rng.normal(2, 0.5, (150, 2)))
+        rows += [(s, 1, i % 15, i // 15, a.tolist()) for i, a in enumerate(v)]
+    points = spark.createDataFrame(rows, "subject int, slice int, x int, y int, v array<double>")
+    groups = spark.createDataFrame([(s, s % 2) for s in range(12)], "subject int, grp int")
+    cfg = atlas.Config(ks=(2, 3), restarts=1, steps=15, per_subject=100, resamples=3)
+    verdicts, found = atlas.run(points, groups, ["t2", "md"], str(tmp_path / "atlas"), cfg, n_perm=199)
+    v = {(r.step, r.test, r.habitat): r for r in verdicts.collect()}
+    for key in (("composition", "location", None), ("cells", "location", None), ("composition", "dirichlet", None)):
+        assert v[key].verdict == "different" and v[key].p < 0.05
+    assert v["composition", "spread", None].verdict == "no difference shown" and ("choice", "icl", None) in v
+    k = len(results.read_atlas(spark, str(tmp_path / "atlas"))[0].means)
+    assert sum(s == "habitats" for s, _, _ in v) == sum(s == "stability" for s, _, _ in v) == k and found.count() == 12 * k
+
+
 def test_dirichlet_regression_finds_the_concentrations(spark):
     from gridwright.operators import composition
 
