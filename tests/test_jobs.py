@@ -22,6 +22,21 @@ def test_generator_repeats(spark, grown):
     assert grown.select("truth").distinct().count() == 2
 
 
+def test_presets_plant_their_habitats(spark):
+    from gridwright.jobs import presets
+
+    who = presets.placed(spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(presets.PRESETS)], "subject string, preset string"))
+    cells = presets.long_cells(who).persist()
+    assert cells.agg(F.bit_xor(F.xxhash64(*cells.columns))).first() == presets.long_cells(who.repartition(3)).agg(F.bit_xor(F.xxhash64(*cells.columns))).first()
+    one = cells.where("param = 'T2' and roi = 'ALL'").groupBy("preset", "truth").count().collect()
+    share = {(r.preset, r.truth): r["count"] / sum(q["count"] for q in one if q.preset == r.preset) for r in one}
+    assert {p: {t for q, t in share if q == p} for p in presets.PRESETS} == {p: {s[0] for s in seeds} for p, (_, _, _, seeds) in presets.PRESETS.items()}
+    assert share["uniform", "proliferative"] == 1 and abs(share["two_habitats", "necrotic"] - 0.5) < 0.03 and share["necrotic_dominant", "necrotic"] > 0.5 and share["three_habitats", "necrotic"] < share["three_habitats", "hypoxic"]
+    assert cells.where("value < 0 or (param = 'DTI-FA' and value > 1) or confidence > 1 + 1e-9").isEmpty() and set(presets.PARAMETERS) == {r.param for r in cells.select("param").distinct().collect()}
+    means = {r.truth: r.m for r in cells.where("preset = 'two_habitats' and param = 'T2'").groupBy("truth").agg(F.avg("value").alias("m")).collect()}
+    assert all(abs(means[t] - presets.BIOLOGY[t][-1][0]) < 2 for t in ("necrotic", "proliferative", "contralateral"))
+
+
 def test_mixture_finds_the_habitats(spark, grown):
     scaled = scaling.robust(grown).drop("value").withColumnRenamed("scaled", "value")
     points = pairs.vectors(scaled, ["subject", "slice", "x", "y", "truth"], ["T2", "DTI-MD"], "value").withColumn("g", F.col("subject")).persist()

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gridwright.jobs import catalog, catalog_atlas, catalog_compare, catalog_labels, catalog_modes, catalog_more, catalog_results, catalog_rules  # noqa: F401
+from gridwright.jobs import catalog, catalog_atlas, catalog_compare, catalog_labels, catalog_modes, catalog_more, catalog_presets, catalog_results, catalog_rules  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
