@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import passes, quantiles, rules, selection, spatial
 from ..sources import results, roi
-from .catalog import KEYS, PROFILE_SQL, SC, VOTE_SQL, WEIGHTED, _score_sql, _scores, assigned, query, r, rule_profiles
+from .catalog import CHORD, KEYS, PROFILE_SQL, SC, VOTE_SQL, WEIGHTED, _score_sql, _scores, assigned, query, r, rule_profiles
 
 
 
@@ -185,14 +185,13 @@ def m6(spark, sf_dir):
     return passes.size_guarded(solutions(spark, sf_dir), ["subject"], "start", 0.14, protected=())
 
 
-@query("m10_elbow_or_gap", f"""+ {SC}, z AS (SELECT *, score >= lead(score) OVER w - lead(s) OVER w AS ok FROM sc WINDOW w AS (PARTITION BY subject ORDER BY k)), g AS (SELECT subject, coalesce(min(k) FILTER (ok), max(k)) AS gap_k FROM z GROUP BY ALL),
- e AS (SELECT subject, arg_max(k, score) AS best_k FROM sc GROUP BY ALL) SELECT subject, best_k, gap_k, gap_k AS k, best_k <> gap_k AS disagree FROM e JOIN g USING (subject)""")
+@query("m10_elbow_or_gap", f"""+ {SC}, {CHORD}, z AS (SELECT *, score >= lead(score) OVER w - lead(s) OVER w AS ok FROM sc WINDOW w AS (PARTITION BY subject ORDER BY k)), gr AS (SELECT subject, coalesce(min(k) FILTER (ok), max(k)) AS gap_k FROM z GROUP BY ALL),
+ e AS (SELECT subject, arg_max(k, abs(gap)) AS elbow FROM g GROUP BY ALL) SELECT subject, elbow, gap_k, gap_k AS k, elbow AS guarded_k, elbow <> gap_k AS disagree FROM e JOIN gr USING (subject)""")
 def m10(spark, sf_dir):
-    """Number of clusters by silhouette and by gap; where they disagree the gap decides."""
-    s = _scores(spark, sf_dir)
-    best = selection.best_k(s, ["subject"], "score", largest=True).withColumnRenamed("k", "best_k")
-    gap = selection.gap_rule(s.withColumnRenamed("score", "gap"), ["subject"]).withColumnRenamed("k", "gap_k")
-    return best.join(gap, "subject").select("subject", "best_k", "gap_k", F.col("gap_k").alias("k"), (F.col("best_k") != F.col("gap_k")).alias("disagree"))
+    """Number of clusters by the silhouette's elbow and by gap; where they disagree the gap decides, or with the guard the elbow."""
+    s = _scores(spark, sf_dir).select("subject", "k", F.col("score").alias("silhouette"), F.col("score").alias("gap"), "s")
+    guarded = selection.elbow_or_gap(s, ["subject"], guard=True).select("subject", F.col("k").alias("guarded_k"))
+    return selection.elbow_or_gap(s, ["subject"]).join(guarded, "subject").withColumn("disagree", F.col("elbow") != F.col("gap_k"))
 
 
 @query("sp9_smoothed")

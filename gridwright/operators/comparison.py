@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,40 +25,50 @@ def divergent(a: Column, b: Column) -> Column:
     return F.when(F.least(na, nb) < NEAR_ORIGIN, 0).otherwise(F.size(F.filter(apart, lambda d: d > SHAPE)))
 
 
-def label_pairs(instances: DataFrame) -> DataFrame:
-    """Pairs of instances of one label, each once: (label, sa, ca, sb, cb, va, vb)."""
-    a = instances.select("label", F.col("source").alias("sa"), F.col("cluster").alias("ca"), F.col("v").alias("va"))
-    b = instances.select("label", F.col("source").alias("sb"), F.col("cluster").alias("cb"), F.col("v").alias("vb"))
-    return a.join(b, "label").where("sa < sb or sa = sb and ca < cb")
+def label_pairs(instances: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of instances of one label (and one group of ``by``), each once: (by, label, sa, ca, sb, cb, va, vb)."""
+    a = instances.select(*by, "label", F.col("source").alias("sa"), F.col("cluster").alias("ca"), F.col("v").alias("va"))
+    b = instances.select(*by, "label", F.col("source").alias("sb"), F.col("cluster").alias("cb"), F.col("v").alias("vb"))
+    return a.join(b, [*by, "label"]).where("sa < sb or sa = sb and ca < cb")
 
 
-def archetypes(instances: DataFrame) -> DataFrame:
-    """(label, archetype, magnitude): mean of ``z`` per label; labels without or with a near-zero archetype have none."""
-    parts = instances.where("z is not null").select("label", F.posexplode("z").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    a = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("archetype"))  # a number per parameter
+def archetypes(instances: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, label, archetype, magnitude): mean of ``z`` per label; labels without or with a near-zero archetype have none."""
+    parts = instances.where("z is not null").select(*by, "label", F.posexplode("z").alias("i", "x")).groupBy(*by, "label", "i").agg(F.avg("x").alias("x"))
+    a = parts.groupBy(*by, "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("archetype"))  # a number per parameter
     return a.withColumn("magnitude", X.norm(F.col("archetype"))).where("magnitude >= 1e-8")
 
 
-def compare(instances: DataFrame) -> DataFrame:
-    """Per label: separation from the other labels, agreement across sources, presence, spread of proportions, alignment with the archetype."""
-    p = label_pairs(instances).where("sa <> sb")
+def compare(instances: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per label: separation from the other labels, agreement across sources, presence, spread of proportions, alignment with the archetype.
+
+    Groups of ``by`` are compared apart. Such a group has to be small, like the methods on one subject; the whole table may have any size.
+    """
+    key = [*by, "label"]
+    p = label_pairs(instances, by).where("sa <> sb")
     va, vb = F.col("va"), F.col("vb")
-    inside = p.groupBy("label").agg(
+    inside = p.groupBy(*key).agg(
         F.avg(X.cosine_distance(va, vb)).alias("intra_cosine"), F.avg(X.euclidean(va, vb)).alias("intra_euclid"), F.avg(X.weighted_cosine(va, vb)).alias("weighted_cosine"),
         F.count_if(F.least(X.norm(va), X.norm(vb)) < NEAR_ORIGIN).alias("n_skipped"), F.count_if(divergent(va, vb) == 0).alias("n_concordant"), F.count(F.lit(1)).alias("n_pairs"))
-    each = instances.select(F.struct("source", "cluster").alias("id"), "label", "v")
-    across = all_pairs(each, ["label", "v"]).where("label_a <> label_b").groupBy(F.col("label_a").alias("label")).agg(
+    each = instances.select(*by, F.struct("source", "cluster").alias("id"), "label", "v")
+    if by:
+        ends = [each.select(*by, F.col("label").alias(f"label_{e}"), F.col("v").alias(f"v_{e}")) for e in "ab"]
+        apart = ends[0].join(ends[1], [*by])
+    else:
+        apart = all_pairs(each, ["label", "v"])
+    across = apart.where("label_a <> label_b").groupBy(*by, F.col("label_a").alias("label")).agg(
         F.avg(X.cosine_distance(F.col("v_a"), F.col("v_b"))).alias("inter_cosine"), F.avg(X.euclidean(F.col("v_a"), F.col("v_b"))).alias("inter_euclid"))
-    total = instances.agg(F.count_distinct("source").alias("n_sources_total"))
+    total = instances.groupBy(*by).agg(F.count_distinct("source").alias("n_sources_total"))
     mean = F.avg("proportion")
-    own = instances.groupBy("label").agg(
+    own = instances.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_instances"), F.count_distinct("source").alias("n_sources"), mean.alias("mean_proportion"),
         F.when(mean > 1e-6, F.coalesce(F.stddev_samp("proportion"), F.lit(0.0)) / mean).otherwise(0.0).alias("proportion_cv"),
         F.count_if("low_conf").alias("low_conf"), (F.sum(F.col("weight") * F.col("eta2")) / F.sum("weight")).alias("weighted_eta2"))
-    aligned = instances.where("z is not null").join(archetypes(instances), "label")
+    aligned = instances.where("z is not null").join(archetypes(instances, by), key)
     size = X.norm(F.col("z")) / F.col("magnitude")
-    aligned = aligned.groupBy("label").agg(F.avg(1 - X.cosine_distance(F.col("z"), F.col("archetype"))).alias("arch_align"), F.when(F.count(F.lit(1)) > 1, F.stddev_pop(size) / F.avg(size)).alias("mag_cv"))
-    j = own.join(inside, "label", "left").join(across, "label", "left").join(aligned, "label", "left").join(F.broadcast(total))  # one row
+    aligned = aligned.groupBy(*key).agg(F.avg(1 - X.cosine_distance(F.col("z"), F.col("archetype"))).alias("arch_align"), F.when(F.count(F.lit(1)) > 1, F.stddev_pop(size) / F.avg(size)).alias("mag_cv"))
+    j = own.join(inside, key, "left").join(across, key, "left").join(aligned, key, "left")
+    j = j.join(total, [*by]) if by else j.join(F.broadcast(total))  # one row
     filled = {"intra_cosine": 0.0, "intra_euclid": 0.0, "inter_cosine": 1.0, "inter_euclid": 1.0, "weighted_cosine": 1.0, "n_skipped": 0, "n_concordant": 0, "n_pairs": 0}
     j = j.na.fill(filled)
     ratio = lambda a, b: F.when(F.col(b) > 1e-8, F.col(a) / F.col(b)).otherwise(0.0)

@@ -35,6 +35,19 @@ def gap_rule(scores: DataFrame, by: list[str]) -> DataFrame:
     return ok.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("ok"), F.col("k"))), F.max("k")).alias("k"))
 
 
+def elbow_or_gap(scores: DataFrame, by: list[str], guard: bool = False) -> DataFrame:
+    """(by, elbow, gap_k, k): where the silhouette's elbow and the gap rule differ, the gap rule decides, or the elbow with ``guard``. ``scores`` (by, k, silhouette, gap, s)."""
+    a = elbow(scores, by, "silhouette").withColumnRenamed("k", "elbow")
+    return a.join(gap_rule(scores, by).withColumnRenamed("k", "gap_k"), by).withColumn("k", F.col("elbow" if guard else "gap_k"))
+
+
+def criterion_or_elbow(scores: DataFrame, by: list[str], least: float | None = None) -> DataFrame:
+    """(by, bic_k, elbow, silhouette, k): the k of the least criterion, or the silhouette's elbow where the silhouette at that k is below ``least``. ``scores`` (by, k, bic, silhouette)."""
+    best = best_k(scores, by, "bic").join(scores.select(*by, "k", "silhouette"), [*by, "k"]).withColumnRenamed("k", "bic_k")
+    j = best.join(elbow(scores, by, "silhouette").withColumnRenamed("k", "elbow"), by)
+    return j.withColumn("k", F.col("bic_k") if least is None else F.when(F.col("silhouette") < least, F.col("elbow")).otherwise(F.col("bic_k")))
+
+
 def majority(candidates: DataFrame, by: list[str], fallback: str) -> DataFrame:
     """The k that at least two of (a, b, c) name, else that of ``fallback``."""
     a, b, c = F.col("a"), F.col("b"), F.col("c")

@@ -236,6 +236,4 @@ def choose_k(points: DataFrame, ks: list[int], weight: float = 1.0, seed: int =
         one = p.sparkSession.createDataFrame(rows, "g string, k int, silhouette double").join(inference.gap_statistic(p, [k], refs=refs).select("g", F.col("k").cast("int").alias("k"), "gap", "s"), ["g", "k"])
         scores = one if scores is None else scores.unionByName(one)
     scores = written(scores, "spectral-scores")
-    a = selection.elbow(scores, ["g"], "silhouette").withColumnRenamed("k", "elbow")
-    b = selection.gap_rule(scores, ["g"]).withColumnRenamed("k", "gap_k")
-    return scores, a.join(b, "g").withColumn("k", F.when(F.lit(guard), F.col("elbow")).otherwise(F.col("gap_k")))
+    return scores, selection.elbow_or_gap(scores, ["g"], guard)

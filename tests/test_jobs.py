@@ -667,3 +667,72 @@ def test_suffixes_go_from_the_end(spark):
     cases = {"Necrosis (cystic)": "Necrosis (cystic)", "Bulk tumor (atypical)": None, "X (a) (b)": "X", "X (a)(b) +": "X", "X (a (b)": "X", "X ()": "X ()", "X (a) y": "X (a) y", "(a)": "", "X+": "X", "X (1) (2) (3) (4) (5)": "X (1)", "": "", "a) (b)": "a)"}
     got = {r.l: r.s for r in spark.createDataFrame([(c,) for c in cases], "l string").select("l", L.without_suffixes(F.col("l")).alias("s")).collect()}
     assert all(got[c] == want for c, want in cases.items() if want is not None), got
+
+
+def test_rules_for_k_follow_their_guards(spark):
+    rows = [("a", 2, 10.0, 0.1, 0.5, 0.01), ("a", 3, 5.0, 0.6, 0.4, 0.01), ("a", 4, 7.0, 0.55, 0.9, 0.01), ("a", 5, 9.0, 0.5, 0.1, 0.01)]
+    s = spark.createDataFrame(rows, "g string, k int, bic double, silhouette double, gap double, s double")
+    assert selection.elbow_or_gap(s, ["g"]).select("elbow", "gap_k", "k").first() == (3, 2, 2) and selection.elbow_or_gap(s, ["g"], guard=True).first().k == 3
+    low = s.withColumn("bic", -F.col("bic"))  # the least criterion at k = 2, whose silhouette is 0.1
+    assert selection.criterion_or_elbow(low, ["g"]).first().k == 2 and selection.criterion_or_elbow(low, ["g"], 0.25).first().k == 3 and selection.criterion_or_elbow(s, ["g"], 0.25).first().k == 3
+
+
+def test_methods_share_one_way_in(spark, grown):
+    from gridwright.jobs import methods, modes
+    from gridwright.sources.results import written
+
+    points = written(modes.scaled_points(grown, ["T2", "DTI-MD"]), "test-methods")
+    truth = grown.where("roi = 'ALL' and param = 'T2'").select("subject", "slice", "x", "y", "truth")
+    for m in ("gmm", "kmeans"):
+        choice, models = methods.choose_k(points, m, [2, 3], refs=2)
+        k = {r.g: r.k for r in choice.collect()}
+        assert set(k) == {"m1", "m2"} and set(k.values()) <= {2, 3} and set(models) == {(g, n) for g in k for n in (2, 3)}
+        again = methods.cluster(points, m, k, models)
+        assert again.columns == [*points.columns, "label"] and again.count() == points.count()
+    for m in methods.METHODS:
+        found = methods.cluster(points, m, {"m1": 2, "m2": 2}).join(truth, ["subject", "slice", "x", "y"]).groupBy("subject", "label", "truth").count().collect()
+        pure = sum(max(r["count"] for r in found if (r.subject, r.label) == key) for key in {(r.subject, r.label) for r in found})
+        assert pure > 0.95 * points.count(), m
+    assert {r.subject for r in methods.cluster(points, "kmeans", {"m2": 2}).select("subject").distinct().collect()} == {"m2"}
+    for call in (lambda: methods.choose_k(points, "other", [2]), lambda: methods.cluster(points, "other", 2)):
+        with pytest.raises(ValueError, match="unknown method"):
+            call()
+
+
+def test_instances_equal_brute_force(spark):
+    from gridwright.jobs import methods
+
+    rng = np.random.default_rng(3)
+    raw = {s: rng.normal((60, 1), (9, 0.2), (80, 2)) for s in "ab"}
+    ref = {s: rng.normal((50, 0.8), (4, 0.1), (9, 2)) for s in "ab"}
+    params = ["T2", "DTI-MD"]
+    long = [(s, 1, i, roi_, p, float(x[i, j])) for roi_, of in (("ALL", raw), ("CL", ref)) for s, x in of.items() for i in range(len(x)) for j, p in enumerate(params)]
+    long = spark.createDataFrame(long, "subject string, slice int, x int, roi string, param string, value double")
+    scaled = {s: (x - np.median(x, 0)) / (np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) for s, x in raw.items()}
+    h = {s: (x[:, 0] > 1).astype(int) for s, x in scaled.items()}
+    cells = spark.createDataFrame([(s, m, int(h[s][i]), [float(a) for a in x[i]]) for s, x in scaled.items() for m in ("gmm", "kmeans") for i in range(len(x))], "subject string, method string, habitat int, v array<double>")
+    got = methods.instances(cells, long, params).collect()
+    assert len(got) == 8
+    for r in got:
+        x, own = scaled[r.subject], h[r.subject] == r.cluster
+        grand = x.mean(0)
+        between = sum((h[r.subject] == c).sum() * (x[h[r.subject] == c].mean(0) - grand) ** 2 for c in (0, 1))
+        eta = (between / ((x - grand) ** 2).sum(0)).mean()
+        sd = ref[r.subject].std(0, ddof=1)
+        z = (raw[r.subject][own].mean(0) - np.median(ref[r.subject], 0)) / sd
+        assert np.allclose(r.v, x[own].mean(0)) and np.allclose(r.z, z) and np.isclose(r.eta2, eta) and np.isclose(r.proportion, own.mean())
+        assert r.low_conf == (own.sum() < 30 or eta < 0.10) and r.weight == (0.5 if r.low_conf else 1.0)
+
+
+def test_comparison_by_group_equals_the_groups_alone(spark):
+    from gridwright.operators import comparison
+
+    rng = np.random.default_rng(8)
+    rows = [(g, s, c, "AB"[c % 2], rng.normal(2 * (c % 2), 1, 3).tolist(), rng.normal(1, 1, 3).tolist(), 0.25, 0.3, 1.0, False) for g in ("s1", "s2") for s in ("gmm", "kmeans", "srsc") for c in range(4) if (g, s) != ("s2", "srsc")]
+    i = spark.createDataFrame(rows, "subject string, source string, cluster int, label string, v array<double>, z array<double>, proportion double, eta2 double, weight double, low_conf boolean")
+    both = comparison.compare(i, by=["subject"])
+    for g, n in (("s1", 3), ("s2", 2)):
+        alone = comparison.compare(i.where(F.col("subject") == g).drop("subject"))
+        want = {r.label: close_to([r])[0] for r in alone.collect()}
+        found = {r.label: tuple(r) for r in both.where(F.col("subject") == g).select(alone.columns).collect()}
+        assert found == want and all(r.n_sources_total == n for r in both.where(F.col("subject") == g).collect())
