@@ -1,12 +1,13 @@
-"""Queries on the choice of method and on comparisons from cells."""
+"""Queries on the choice of method, on comparisons from cells, and summaries of runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import results
+from ..operators import descriptors, profiles, scaling, spatial
+from ..sources import results, roi
 from . import methods, modes
-from .catalog import PARAMS, longs, query
+from .catalog import ASSIGN, PARAMS, ROB, SHARES, assigned, longs, query, r
 from .catalog_modes import CFG
 
 
@@ -45,3 +46,30 @@ def q7(spark, sf_dir):
 def q8(spark, sf_dir):
     """Each subject by three methods, then one record per subject and label across methods."""
     return methods.across_methods(longs(spark, sf_dir), PARAMS, 3)
+
+
+# --- summaries of a run --------------------------------------------------------------------
+
+
+@query("a37_run_summary", f"""RECURSIVE + {ASSIGN}, cu AS (SELECT subject, slice, x, y, max(p) AS confidence FROM po GROUP BY ALL),
+ cn AS (SELECT subject, count(*) AS n, count(*) FILTER (confidence >= 0.8) AS n_sure, count(*) FILTER (confidence < 0.5) AS n_unsure FROM cu GROUP BY subject),
+ cc AS (SELECT subject, slice, habitat, x, y, (subject * 10 + slice) * 16384 + y * 128 + x AS id FROM cells),
+ ed AS (SELECT a.id AS a, b.id AS b FROM cc a JOIN cc b ON a.subject = b.subject AND a.slice = b.slice AND a.habitat = b.habitat AND ((b.y = a.y AND b.x IN (a.x + 1, a.x - 1)) OR (b.x = a.x AND b.y IN (a.y + 1, a.y - 1)))),
+ reach AS (SELECT id, id AS other FROM cc UNION SELECT reach.id, ed.b FROM reach JOIN ed ON reach.other = ed.a),
+ top AS (SELECT id, min(other) AS top FROM reach GROUP BY id), part AS (SELECT subject, top, count(*) AS m FROM cc JOIN top USING (id) GROUP BY ALL),
+ mi AS (SELECT subject, count(*) FILTER (m < 20) AS n_micro FROM part GROUP BY subject)
+ SELECT subject, n, n_sure, n_unsure, {r('100 * n_sure / n')} AS percent_sure, {r('100 * n_unsure / n')} AS percent_unsure, n_micro FROM cn JOIN mi USING (subject)""")
+def a37s(spark, sf_dir):
+    """Per subject the cells with sure and unsure posteriors and the micro components of its habitats in all."""
+    sure = descriptors.certainty(assigned(spark, sf_dir), ["subject"]).drop("n_ambiguous")
+    micro = spatial.coherence(roi.cells(spark, sf_dir)).groupBy("subject").agg(F.sum("n_micro").alias("n_micro"))
+    return sure.join(micro, "subject").withColumns({"percent_sure": 100 * F.col("n_sure") / F.col("n"), "percent_unsure": 100 * F.col("n_unsure") / F.col("n")})
+
+
+@query("a39_composition_and_score", f"""+ {ROB}, {SHARES}, su AS (SELECT subject, param, avg(value) AS m FROM rob GROUP BY ALL), sd AS (SELECT avg(s) AS score FROM (SELECT stddev_pop(m) AS s FROM su GROUP BY param))
+ SELECT subject, habitat, n, {r('100 * share')} AS percent, {r('score')} AS score FROM sh, sd""")
+def a39(spark, sf_dir):
+    """Composition of each subject, with the run's score: the mean over parameters of the deviation of the subjects' means."""
+    score = scaling.consistency(scaling.robust(longs(spark, sf_dir))).agg(F.avg("spread").alias("score"))
+    shares = profiles.shares(roi.cells(spark, sf_dir), ["subject"])
+    return shares.select("subject", "habitat", "n", (100 * F.col("share")).alias("percent")).join(F.broadcast(score))  # one row

@@ -155,6 +155,12 @@ def sp4(spark, sf_dir):
     return spatial.joint_distance(roi.cells(spark, sf_dir), 0, 0.25)
 
 
+@query("l27_marked_labels", f"WITH {PASSES} SELECT run, habitat, CASE WHEN habitat = anchor_necrotic THEN concat(label, ' +') ELSE label END AS label FROM tp", cells=False)
+def l27b(spark, sf_dir):
+    """Labels of the three passes; that of the necrotic anchor, the most aggressive habitat, carries a mark."""
+    return passes.marked(passes.three_passes(rule_profiles(spark, sf_dir), ["run"], zone=zone())).select("run", "habitat", "label")
+
+
 # --- size guards -----------------------------------------------------------------------------
 
 

@@ -68,6 +68,11 @@ def three_passes(profiles: DataFrame, by: list[str], habitat: str = "habitat", z
     return p.select(*by, habitat, "label_p1", "label_p2", final.alias("label"), "anchor_median", "anchor_necrotic")
 
 
+def marked(labels: DataFrame, habitat: str = "habitat") -> DataFrame:
+    """``labels`` of :func:`three_passes` with " +" after that of the necrotic anchor; runs without an anchor have no mark."""
+    return labels.withColumn("label", F.when(F.col(habitat) == F.col("anchor_necrotic"), F.concat("label", F.lit(" +"))).otherwise(F.col("label")))
+
+
 def size_guarded(sizes: DataFrame, by: list[str], start: str, least_share: float = 0.05, floor: int = 2, protected: tuple[str, ...] = ("Necrosis", "Infiltrative")) -> DataFrame:
     """(by, k): from the solution ``start`` downwards the first whose small clusters are all protected by their label; ``floor`` at least.
 
