@@ -7,6 +7,7 @@ their preset and place; cells, truth and values follow as column expressions, so
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,10 @@ def _bio(kind: str) -> list[tuple[str, float, float]]:
     return [(p, m, s) for p, (m, s) in zip(PARAMETERS, BIOLOGY[kind], strict=True)]
 
 
+def _bio_column(kind: str) -> Column:
+    return F.array(*[F.struct(F.lit(p).alias("param"), F.lit(m).alias("mean"), F.lit(d).alias("sd")) for p, m, d in _bio(kind)])
+
+
 def table(spark: SparkSession) -> DataFrame:
     """The presets, a row each, with their types in order of first mention."""
     rows = [(name, float(radius), slices, noise, list(dict.fromkeys(s[0] for s in seeds)), [(*s, _bio(s[0])) for s in seeds]) for name, (radius, slices, noise, seeds) in PRESETS.items()]
@@ -78,22 +83,36 @@ def tumour_cells(subjects: DataFrame) -> DataFrame:
 
     ``truth`` is the type whose seeds weigh most together, ``bio`` that of the single seed that weighs most.
     """
-    s = subjects.join(F.broadcast(table(subjects.sparkSession)), "preset")  # seven rows
-    s = s.withColumn("slice", F.explode(F.sequence(F.lit(1), F.col("slices"))))
-    height = (F.col("slice") - 1) / F.greatest(F.col("slices") - 1, F.lit(1))
+    parts = [_cells_of(subjects, name) for name in PRESETS]  # seven
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _cells_of(subjects: DataFrame, preset: str) -> DataFrame:
+    """The cells of the subjects of one preset; its seeds are literals, so that a cell's weights are plain columns and not arrays."""
+    radius, slices, noise, seeds = PRESETS[preset]
+    s = subjects.where(F.col("preset") == preset).select("subject", "preset", "cx", "cy", "elliptic", "angle", F.explode(F.sequence(F.lit(1), F.lit(slices))).alias("slice"))
+    height = (F.col("slice") - 1) / F.lit(max(slices - 1, 1))
     s = s.withColumn("scale", F.greatest(F.sin((height * 0.8 + 0.1) * math.pi), F.lit(LEAST_SCALE)))
-    s = _box(s, "cx", "cy", F.col("radius") * (1 + F.col("elliptic")) * F.col("scale"))
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    along, across = dx * F.cos("angle") + dy * F.sin("angle"), dy * F.cos("angle") - dx * F.sin("angle")
-    a, b = F.col("radius") * (1 + F.col("elliptic")) * F.col("scale"), F.col("radius") * (1 - F.col("elliptic")) * F.col("scale")
-    s = s.where((along / a) ** 2 + (across / b) ** 2 <= 1)
-    log_weight = lambda z: F.ln(z["weight"]) - ((dx - z["sx"] * F.col("radius")) ** 2 + (dy - z["sy"] * F.col("radius")) ** 2) / (2 * (z["sigma"] * F.col("radius")) ** 2)
-    s = s.withColumn("l", F.transform("seeds", log_weight)).withColumn("e", F.transform("l", lambda z: F.exp(z - F.array_max("l"))))
-    of_type = F.transform("types", lambda t: F.aggregate(F.zip_with("seeds", "e", lambda z, e: F.when(z["type"] == t, e).otherwise(0.0)), F.lit(0.0), lambda p, q: p + q))
-    s = s.withColumn("w", of_type)
-    total = F.aggregate("w", F.lit(0.0), lambda p, q: p + q)
-    first = lambda values, largest: F.get(values, (F.array_position(largest, F.array_max(largest)) - 1).cast("int"))
-    return s.select("subject", "preset", "noise", "slice", "x", "y", first("types", "w").alias("truth"), (F.array_max("w") / total).alias("confidence"), first("seeds", "l")["bio"].alias("bio"))
+    s = s.select("subject", "preset", "slice", "cx", "cy", F.cos("angle").alias("cos"), F.sin("angle").alias("sin"), (radius * (1 + F.col("elliptic")) * F.col("scale")).alias("a"), (radius * (1 - F.col("elliptic")) * F.col("scale")).alias("b"))
+    s = _box(s, "cx", "cy", F.col("a"))
+    s = s.withColumns({"dx": F.col("x") - F.col("cx"), "dy": F.col("y") - F.col("cy")})
+    along, across = (F.col("dx") * F.col("cos") + F.col("dy") * F.col("sin")) / F.col("a"), (F.col("dy") * F.col("cos") - F.col("dx") * F.col("sin")) / F.col("b")
+    s = s.where(along * along + across * across <= 1)
+
+    def log_weight(x: float, y: float, sigma: float, weight: float) -> Column:
+        apart = [F.col("dx") - x * radius, F.col("dy") - y * radius]
+        return F.ln(F.lit(weight)) - (apart[0] * apart[0] + apart[1] * apart[1]) / (2 * (sigma * radius) ** 2)
+
+    largest = lambda names: F.greatest(*names) if len(names) > 1 else F.col(names[0])
+    first = lambda names, top, values: F.coalesce(*[F.when(F.col(n) == F.col(top), v) for n, v in zip(names, values, strict=True)])
+    ls, types = [f"l{i}" for i in range(len(seeds))], list(dict.fromkeys(z[0] for z in seeds))
+    ws = [f"w{i}" for i in range(len(types))]
+    s = s.withColumns({n: log_weight(*z[1:]) for n, z in zip(ls, seeds, strict=True)}).withColumn("top", largest(ls))
+    weight = lambda t: reduce(lambda a, b: a + b, [F.exp(F.col(n) - F.col("top")) for n, z in zip(ls, seeds, strict=True) if z[0] == t])
+    s = s.withColumns({n: weight(t) for n, t in zip(ws, types, strict=True)}).withColumn("most", largest(ws))
+    total = reduce(lambda a, b: a + b, [F.col(n) for n in ws])
+    bio = first(ls, "top", [_bio_column(z[0]) for z in seeds])
+    return s.select("subject", "preset", F.lit(noise).alias("noise"), "slice", "x", "y", first(ws, "most", [F.lit(t) for t in types]).alias("truth"), (F.col("most") / total).alias("confidence"), bio.alias("bio"))
 
 
 def reference_cells(subjects: DataFrame) -> DataFrame:
@@ -101,8 +120,7 @@ def reference_cells(subjects: DataFrame) -> DataFrame:
     s = subjects.join(F.broadcast(table(subjects.sparkSession).select("preset", "slices", "noise")), "preset")
     s = _box(s.withColumn("slice", F.explode(F.sequence(F.lit(1), F.col("slices")))), "rx", "ry", F.lit(REFERENCE_RADIUS))
     s = s.where((F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2 <= REFERENCE_RADIUS**2)
-    bio = F.array(*[F.struct(F.lit(p).alias("param"), F.lit(m).alias("mean"), F.lit(d).alias("sd")) for p, m, d in _bio("contralateral")])
-    return s.select("subject", "preset", (F.col("noise") * REFERENCE_NOISE).alias("noise"), "slice", "x", "y", F.lit("contralateral").alias("truth"), F.lit(1.0).alias("confidence"), bio.alias("bio"))
+    return s.select("subject", "preset", (F.col("noise") * REFERENCE_NOISE).alias("noise"), "slice", "x", "y", F.lit("contralateral").alias("truth"), F.lit(1.0).alias("confidence"), _bio_column("contralateral").alias("bio"))
 
 
 def long_cells(subjects: DataFrame, seed: int = 42) -> DataFrame:
