@@ -78,9 +78,12 @@ def gap_statistic(points: DataFrame, ks: list[int], refs: int = 5, seed: int = 3
     The references of all groups are generated by Spark from hashes of the
     rows' numbers and clustered in the same passes as each other.
     """
-    spark = points.sparkSession
+    spark, schema = points.sparkSession, "g string, k int, gap double, s double"
     points = points.select(F.col("g").cast("string").alias("g"), "v")
-    d = len(points.first()["v"])
+    first = points.first()
+    if first is None:
+        return spark.createDataFrame([], schema)
+    d = len(first["v"])
     box = points.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.col("v")[i]) for i in range(d)]).alias("lo"), F.array(*[F.max(F.col("v")[i]) for i in range(d)]).alias("hi"))
     rows = points.groupBy("g").count().select("g", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("row")).join(box, "g")
 
@@ -95,4 +98,4 @@ def gap_statistic(points: DataFrame, ks: list[int], refs: int = 5, seed: int = 3
     for (name, k, _), (_, c) in mixture.kmeans_all(made, ks, seed, restarts=1).items():
         ref.setdefault((name.rpartition("|")[0], k), []).append(math.log(c + 1e-10))
     table = [(g, k, float(np.mean(ref[g, k]) - w), float(np.std(ref[g, k]) * math.sqrt(1 + 1 / refs))) for (g, k), w in own.items()]
-    return spark.createDataFrame(table, "g string, k int, gap double, s double")
+    return spark.createDataFrame(table, schema)
