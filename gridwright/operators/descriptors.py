@@ -13,7 +13,7 @@ from ..functions import exprs as X
 
 
 def distances(v: Column, model: list[list[float]]) -> Column:
-    return F.array(*[X.euclidean(v, F.array(*[F.lit(float(x)) for x in c])) for c in model])
+    return F.array(*[X.euclidean(v, F.array(*[F.lit(float(x)) for x in c])) for c in model]).cast("array<double>")  # typed without centroids, too
 
 
 def assign(points: DataFrame, model: list[list[float]]) -> DataFrame:
