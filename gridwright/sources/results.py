@@ -44,21 +44,30 @@ def habitat_name(habitat: Column, names: Column | None = None) -> Column:
 def write_cells(cells: DataFrame, params: list[str], path: str, posteriors: str | None = None) -> None:
     """X, Y, Slice, the parameters, Habitat, Habitat_label and, from an array of ``posteriors``, P_H0, P_H1, ...
 
-    One folder per subject. ``cells`` (subject, slice, x, y, habitat, label or NULL, parameters...).
+    One folder per subject, and the names of the columns in a text file beside them, which tell what a run without
+    cells would have held. ``cells`` (subject, slice, x, y, habitat, label or NULL, parameters...).
     """
     cols = [F.col("x").alias("X"), F.col("y").alias("Y"), F.col("slice").alias("Slice"), *[F.col(f"`{p}`") for p in params],
             F.col("habitat").alias("Habitat"), habitat_name(F.col("habitat"), F.col("label")).alias("Habitat_label")]
     if posteriors:
         k = cells.agg(F.max(F.size(posteriors))).first()[0] or 0
         cols += [F.get(posteriors, F.lit(i)).alias(f"P_H{i}") for i in range(k)]
-    cells.select("subject", *cols).write.partitionBy("subject").option("header", True).csv(path)
+    out = cells.select("subject", *cols)
+    out.write.partitionBy("subject").option("header", True).csv(path)
+    cells.sparkSession.createDataFrame([(c,) for c in out.columns if c != "subject"], "name string").coalesce(1).write.text(f"{path}-columns")
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """The cells of all subjects below ``path``, with columns typed by name: keys, labels, and else parameters or posteriors."""
     from ..operators.params import only_parameters
 
-    raw = spark.read.option("header", True).csv(path)
+    try:
+        raw = spark.read.option("header", True).csv(path)
+    except AnalysisException as error:  # a run without cells has no folder of a subject
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        names = [r[0] for r in spark.read.text(f"{path}-columns").collect()]  # a row a column
+        raw = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*names, "subject"]]))
     numbers = {*only_parameters(raw.columns), "d_topo_norm"} | {c for c in raw.columns if c.startswith("P_H")}
     kind = {"X": "int", "Y": "int", "Slice": "int", "Habitat": "int", "label_ambiguous": "boolean", "subject": "long"}
     return raw.select(*[F.col(f"`{c}`").cast(kind.get(c, "double" if c in numbers else "string")).alias(c) for c in raw.columns])
