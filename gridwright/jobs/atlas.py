@@ -41,13 +41,14 @@ def criteria(points: DataFrame, models: dict[tuple[str, int], mixture.Mixture])
     return points.sparkSession.createDataFrame(rows, "k int, bic double, icl double, silhouette double")
 
 
-def chosen_k(scores: DataFrame) -> int:
-    """The k that two of elbow of BIC, least ICL and elbow of the silhouette name, else that of ICL."""
+def chosen_k(scores: DataFrame) -> int | None:
+    """The k that two of elbow of BIC, least ICL and elbow of the silhouette name, else that of ICL; None without scores."""
     s = scores.withColumn("g", F.lit("all"))
     a = selection.elbow(s, ["g"], "bic").withColumnRenamed("k", "a")
     b = selection.best_k(s, ["g"], "icl").withColumnRenamed("k", "b")
     c = selection.elbow(s, ["g"], "silhouette").withColumnRenamed("k", "c")
-    return selection.majority(a.join(b, "g").join(c, "g"), ["g"], "b").first()["k"]
+    found = selection.majority(a.join(b, "g").join(c, "g"), ["g"], "b").first()
+    return found and found["k"]
 
 
 def aligned(ref: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -87,20 +88,23 @@ def resampled(sample: DataFrame, resamples: int, seed: int) -> DataFrame:
 
 def stability(sample: DataFrame, model: mixture.Mixture, cfg: Config = Config()) -> DataFrame:
     """(habitat, mean_shift, max_shift, stable): how far the centres move when the subjects are resampled. All refits share their passes."""
+    schema = "habitat int, mean_shift double, max_shift double, stable boolean"
+    if not len(model.means):
+        return sample.sparkSession.createDataFrame([], schema)
     drawn = written(resampled(sample, cfg.resamples, cfg.seed + 1), "atlas-resampled")
     fits = mixture.fit_all(drawn, [len(model.means)], cfg.seed, cfg.restarts, cfg.steps, REG)
     shifts = np.array([np.linalg.norm(model.means - aligned(model.means, m.means), axis=1) for _, m in sorted(fits.items())])
     rows = [(h, float(shifts[:, h].mean()), float(shifts[:, h].max()), bool(shifts[:, h].mean() < STABLE)) for h in range(len(model.means))]
-    return sample.sparkSession.createDataFrame(rows, "habitat int, mean_shift double, max_shift double, stable boolean")
+    return sample.sparkSession.createDataFrame(rows, schema)
 
 
 def fit(points: DataFrame, cfg: Config = Config()) -> tuple[mixture.Mixture, DataFrame, DataFrame]:
-    """(model, criteria, balanced sample) of ``points`` (subject, slice, x, y, v); the model is fitted on equally many cells of each subject."""
+    """(model, criteria, balanced sample) of ``points`` (subject, slice, x, y, v); the model is fitted on equally many cells of each subject. Without cells it has no components."""
     points = written(points.withColumn("g", F.lit("all")), "atlas-points")
     sample = written(balanced_sample(points, cfg.per_subject, cfg.seed), "atlas-sample")
     models = mixture.fit_all(sample, list(cfg.ks), cfg.seed, cfg.restarts, cfg.steps, REG)
     scores = criteria(points, models)
-    return models["all", chosen_k(scores)], scores, sample
+    return models["all", chosen_k(scores)] if models else mixture.nothing(), scores, sample
 
 
 def run(points: DataFrame, groups: DataFrame, params: list[str], path: str, cfg: Config = Config(), n_perm: int = 499, level: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -109,11 +113,15 @@ def run(points: DataFrame, groups: DataFrame, params: list[str], path: str, cfg:
     Chooses k, freezes the atlas and stores it at ``path``, measures its stability, assigns all cells softly by the
     stored atlas, and tests the ``groups`` (subject, grp): location and spread of the compositions, location of the
     subjects' distributions of cells, Dirichlet regression, and each habitat's share by rank tests, Bonferroni adjusted.
+    Without cells there is nothing to store or to test, and both tables are empty.
     """
     spark = points.sparkSession
     points = written(points.withColumn("subject", F.col("subject").cast("string")), "atlas-cells")
     groups = written(groups.select(F.col("subject").cast("string").alias("subject"), "grp"), "atlas-groups")
     model, scores, sample = fit(points, cfg)
+    if not len(model.means):
+        verdicts = spark.createDataFrame([], "step string, test string, habitat int, statistic double, p double, verdict string")
+        return verdicts, spark.createDataFrame([], "subject string, habitat int, pi double, sigma2 double, residual double")
     results.write_atlas(spark, model, params, path)
     frozen = results.read_atlas(spark, path)[0]
     k = len(frozen.means)

@@ -43,7 +43,7 @@ def g9(spark, sf_dir):
 def m22(spark, sf_dir):
     """Criteria of the atlas for each k, and the k that their vote takes."""
     _, scores, _ = atlas.fit(voxel_vectors(spark, sf_dir), ATLAS)
-    return scores.withColumn("chosen", F.col("k") == atlas.chosen_k(scores))
+    return scores.withColumn("chosen", F.col("k") == F.lit(atlas.chosen_k(scores)))
 
 
 @query("m25_atlas_stability")
@@ -73,8 +73,11 @@ def m23(spark, sf_dir):
     """Mean posteriors of each subject under an atlas that was stored and read again; its components are the given habitats in two parameters."""
     points = voxel_vectors(spark, sf_dir).select("subject", "habitat", F.slice("v", 1, 2).alias("v"))
     points = results.written(points, "cells")
+    fitted = mixture.of_labels(points, "habitat", atlas.REG)
+    if not len(fitted.means):  # no cells, so there is no atlas to store
+        return points.select("subject", "habitat", F.lit(None).cast("double").alias("pi"))
     path = results.run_folder(spark, "atlas")
-    results.write_atlas(spark, mixture.of_labels(points, "habitat", atlas.REG), NAMES[:2], path)
+    results.write_atlas(spark, fitted, NAMES[:2], path)
     model, _, _ = results.read_atlas(spark, path)
     scored = mixture.score(points, model)
     return scored.select("subject", F.posexplode("proba").alias("habitat", "p")).groupBy("subject", "habitat").agg(F.avg("p").alias("pi"))

@@ -58,6 +58,11 @@ class Mixture:
         return self.bic_of(self.n, self.log_likelihood)
 
 
+def nothing() -> Mixture:
+    """The mixture of no rows: it has no components."""
+    return Mixture(np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0, 0)))
+
+
 Key = tuple[str, int, int]  # group, number of components, restart
 
 
@@ -101,7 +106,7 @@ def _sums(points: DataFrame, models: dict[Key, object], weigh) -> dict[Key, np.n
 
 def seeds(points: DataFrame, ks: list[int], restarts: int, seed: int) -> dict[Key, np.ndarray]:
     """k rows of each group for every k and restart, from rows chosen by a seeded hash; fewer if there are fewer different rows."""
-    most = 4 * max(ks) * restarts
+    most = 4 * max(ks, default=1) * restarts
     h = F.xxhash64(F.lit(seed), "g", "v")
     few = points.select(F.col("g").cast("string").alias("g"), "v", h.alias("h")).groupBy("g", F.pmod("h", F.lit(most)).alias("b")).agg(F.min(F.struct("h", "v")).alias("m"))
     rows = few.groupBy("g").agg(F.sort_array(F.collect_list("m")).alias("m")).collect()  # ``most`` rows per group
@@ -229,7 +234,10 @@ def silhouettes(points: DataFrame, models: dict[tuple[str, int], Mixture | np.nd
 
 def of_labels(points: DataFrame, label: str = "label", reg: float = 1e-6) -> Mixture:
     """The mixture whose components are the labels' shares, means and covariances in ``points`` (label, v); one pass, a row per label on the driver."""
-    d = len(points.first()["v"])
+    first = points.first()
+    if first is None:
+        return nothing()
+    d = len(first["v"])
     v = [F.get("v", F.lit(i)) for i in range(d)]
     rows = points.groupBy(label).agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.avg(x) for x in v]).alias("m"), F.array(*[F.covar_pop(a, b) for a in v for b in v]).alias("c")).orderBy(label).collect()
@@ -240,7 +248,8 @@ def of_labels(points: DataFrame, label: str = "label", reg: float = 1e-6) -> Mix
 def score(points: DataFrame, model: Mixture) -> DataFrame:
     """Adds proba, label, d (distances to the means), confidence and ambiguous to ``points`` (v, ...), batch or stream.
 
-    The model's numbers become literals, so all of it runs in the JVM; its size is k (1 + d + d^2).
+    The model's numbers become literals, so all of it runs in the JVM; its size is k (1 + d + d^2). Without components
+    the arrays are empty and label and confidence NULL.
     """
     k, d = model.means.shape
     parts = []
@@ -250,12 +259,12 @@ def score(points: DataFrame, model: Mixture) -> DataFrame:
         const = float(np.log(max(w, 1e-300)) - 0.5 * d * np.log(2 * np.pi) - np.log(np.diag(low)).sum())
         z = [sum((F.lit(float(inverse[i, j])) * (F.get("v", F.lit(j)) - float(m[j])) for j in range(i + 1)), F.lit(0.0)) for i in range(d)]
         parts.append(F.lit(const) - sum((x * x for x in z), F.lit(0.0)) / 2)
-    p = points.withColumn("_l", F.array(*parts)).withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
+    p = points.withColumn("_l", F.array(*parts).cast("array<double>")).withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
     p = p.withColumn("proba", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))).drop("_e")
     p = p.withColumn("label", F.array_position("_l", F.array_max("_l")).cast("int") - 1).drop("_l")
     second = F.get(F.reverse(F.array_sort("proba")), F.lit(1))
     apart = F.array(*[X.euclidean(F.col("v"), F.array(*[F.lit(float(x)) for x in m])) for m in model.means])
-    return p.withColumns({"d": apart, "confidence": F.array_max("proba"), "ambiguous": F.coalesce(second > 0.30, F.lit(False))})
+    return p.withColumns({"d": apart.cast("array<double>"), "confidence": F.array_max("proba"), "ambiguous": F.coalesce(second > 0.30, F.lit(False))})
 
 
 def predict(points: DataFrame, models: dict[str, Mixture]) -> DataFrame:
