@@ -64,6 +64,8 @@ def cluster(points: DataFrame, method: str, k: int | dict[str, int], models: Mod
         own = written(spark.createDataFrame(list(k.items()), "_g string, _k int"), "methods-k")  # a row per subject
         points = scaling.with_stats(points.withColumn("_g", F.col("subject").cast("string")), own, ["_g"])
     ks = sorted(set(k.values())) if isinstance(k, dict) else [k]
+    if not ks:
+        return points.withColumn("label", F.lit(None).cast("int")).select(*columns)  # no subject has a k, so no row is left
     if method == "srsc":
         parts = [spectral.spectral(points.where(F.col("_k") == one) if isinstance(k, dict) else points, one, seed=seed) for one in ks]  # a handful of k
         out = parts[0]

@@ -117,6 +117,8 @@ def solutions(points: DataFrame, models: dict[tuple[str, int], mixture.Mixture],
 
 def size_guarded_k(points: DataFrame, models: dict[tuple[str, int], mixture.Mixture], best: dict[str, int], params: list[str], least_share: float, protect: bool) -> dict[str, int]:
     """Per group the first k from the best one downwards without a cluster that is too small, where ``protect`` spares small clusters by their label; 2 at least."""
+    if not models:
+        return {}
     start = points.sparkSession.createDataFrame(sorted(best.items()), "g string, start int")  # a row a group
     sizes = solutions(points, models, params).join(start, "g")
     guard = passes.size_guarded(sizes, ["g"], "start", least_share, floor=min(k for _, k in models), **({} if protect else {"protected": ()}))
@@ -179,6 +181,8 @@ def joint_once(points: DataFrame, params: list[str], cfg: Config, k: int | None
     """
     sample = written(balanced_sample(points, cfg.per_subject, cfg.seed), "joint-sample")
     models = mixture.fit_all(sample, [k] if k else list(cfg.ks), cfg.seed, cfg.restarts, cfg.steps)
+    if not models:  # no cells
+        return _assigned(points, {}), 0
     if not k:
         bics = {x: models["all", x].bic_of(n, ll) for (_, x), (n, ll, _) in mixture.evaluate(points, models).items()}
         k = size_guarded_k(points, models, {"all": min(cfg.ks, key=lambda x: bics[x])}, params, cfg.joint_least_share, protect=False)["all"]
@@ -196,7 +200,7 @@ def joint(long: DataFrame, params: list[str], cfg: Config = Config(), scheme=sca
     first, k = joint_once(points, params, cfg)
     first = written(first, "joint-first")
     guard = rules.necrosis_guard(cluster_profiles(first.withColumn("g", F.lit(0)), params, ["g", "habitat"]), ["g"]).first()
-    if not guard["passes"] or not cfg.joint_distance_weight:
+    if guard is None or not guard["passes"] or not cfg.joint_distance_weight:
         return first.withColumns({"habitat_1": F.col("habitat"), "included": F.lit(False), "d_scaled": F.lit(None).cast("double")})
     d = written(spatial.joint_distance(first, guard["candidate"], cfg.least_necrosis), "joint-distance")
     more = first.select(*CELL, "v", F.col("habitat").alias("habitat_1")).join(d, CELL)
