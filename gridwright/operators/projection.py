@@ -27,7 +27,7 @@ def axes(rows: DataFrame, k: int, value: str = "v") -> Axes:
     first = rows.where(F.col(value).isNotNull()).select(F.size(value)).first()
     d = first[0] if first else 0
     if not d:
-        return Axes(np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0)
+        return Axes(np.zeros(0), np.zeros((0, 0)), np.full(k, np.nan), 0.0)  # no axes, and no shares
     v = [F.col(value)[i] for i in range(d)]
     mean = np.array(rows.agg(*[F.avg(x) for x in v]).first(), float)
     c = [x - float(m) for x, m in zip(v, mean, strict=True)]  # around the mean, so that products lose no digits
@@ -44,10 +44,10 @@ def axes(rows: DataFrame, k: int, value: str = "v") -> Axes:
 
 
 def explained(found: Axes) -> DataFrame:
-    """(axis, share) of the variance."""
+    """(axis, share) of the variance; shares of no rows are NULL."""
     from pyspark.sql import SparkSession
 
-    rows = [(i, float(x / found.total) if found.total > 0 else 0.0) for i, x in enumerate(found.variances)]
+    rows = [(i, None if np.isnan(x) else float(x / found.total) if found.total > 0 else 0.0) for i, x in enumerate(found.variances)]
     return SparkSession.active().createDataFrame(rows, "axis int, share double")
 
 
@@ -57,7 +57,7 @@ def project(rows: DataFrame, found: Axes, value: str = "v") -> DataFrame:
         terms = [(F.col(value)[i] - float(m)) * float(a) for i, (a, m) in enumerate(zip(axis, found.mean, strict=True))]
         return sum(terms[1:], terms[0])
 
-    return rows.withColumn("pc", F.array(*[place(a) for a in found.vectors]))
+    return rows.withColumn("pc", F.array(*[place(a) for a in found.vectors]).cast("array<double>"))
 
 
 def boundary_places(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,4 +69,4 @@ def boundary_places(rows: DataFrame, edges: DataFrame) -> DataFrame:
     place = lambda x, y, other: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(other).alias("beside"))
     sides = e.select("subject", "slice", F.inline(F.array(place("x0", "y0", "other"), place("x", "y", "own")))).distinct()
     j = rows.join(sides, ["subject", "slice", "x", "y"])
-    return j.groupBy(F.col("habitat").alias("a"), F.col("beside").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("pc")[0]).alias("pc0"), F.avg(F.col("pc")[1]).alias("pc1"))
+    return j.groupBy(F.col("habitat").alias("a"), F.col("beside").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.get("pc", F.lit(0))).alias("pc0"), F.avg(F.get("pc", F.lit(1))).alias("pc1"))
