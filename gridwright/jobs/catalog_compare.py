@@ -267,7 +267,8 @@ def q12(spark, sf_dir):
         z = scheme(long).drop("value").withColumnRenamed("scaled", "value").withColumn("scheme", F.lit(name))
         e = profiles.eta_squared(z, ["scheme"]).groupBy("scheme").agg(F.avg("eta2").alias("eta2"), F.max("eta2").alias("best"))
         out = e if out is None else out.unionByName(e)
-    return out
+    names = spark.createDataFrame([("robust",), ("recalibrated",), ("cohort",), ("pooled",)], "scheme string")
+    return names.join(out, "scheme", "left")  # without tumour cells a scheme has no shares
 
 
 def _sweep_sql() -> str:
