@@ -507,7 +507,7 @@ def e2(spark, sf_dir):
  s AS (SELECT cls, (SELECT sum(n) FROM n WHERE t = cls AND p = cls) AS hit, (SELECT sum(n) FROM n WHERE t = cls) AS nt, (SELECT sum(n) FROM n WHERE p = cls) AS np FROM c)
  SELECT cls, {r('hit / np')} AS precision, {r('hit / nt')} AS recall, {r('2 * (hit / np) * (hit / nt) / (hit / np + hit / nt)')} AS f1 FROM s""")
 def e4(spark, sf_dir):
-    return metrics.per_class(metrics.counts(roi.cells(spark, sf_dir).withColumn("t3", F.col("slice") % 3), "t3", "habitat"))
+    return metrics.per_class(metrics.counts(roi.cells(spark, sf_dir).withColumn("t3", F.col("slice") % 3), "t3", "habitat"), without=None)
 
 
 @query("g11_mann_whitney", f"""+ {SHARES}, k AS (SELECT subject, habitat, share, rank() OVER (PARTITION BY habitat ORDER BY share) + (count(*) OVER (PARTITION BY habitat, share) - 1) / 2 AS rk FROM sh)
