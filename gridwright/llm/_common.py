@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes at most in one Arrow batch handed to Python.
-BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,8 +158,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     )
 
 
-#: Ids are broadcast up to this many; beyond, the tables are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Ids are broadcast up to this many; beyond, the tables are shuffled. A broadcast is on the driver's heap several times: as rows, as a hash table and in blocks.
+BROADCAST_IDS = 200_000
 
 
 def checked(ids: DataFrame, rows: int = BROADCAST_IDS, arrays: str | None = None) -> DataFrame:

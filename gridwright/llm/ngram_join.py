@@ -56,7 +56,8 @@ BLOCK = 512
 ROUNDS = 2
 #: Pairs of one hub that one task verifies.
 HUB_PAIRS = 1000
-_CHUNK = 1 << 18
+#: Signatures that a task holds before they leave it as one batch.
+_CHUNK = 1 << 17
 
 
 def sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -191,9 +192,9 @@ def _signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         sig = signatures(s, band, percent)
                         held.append((sig, id_, band[0]))
                         size += len(sig)
-            if size > _CHUNK:
-                yield combined(held)
-                held, size = [], 0
+                    if size > _CHUNK:  # within a batch too, whose texts may have many times as many signatures
+                        yield combined(held)
+                        held, size = [], 0
         if size:
             yield combined(held)
 
