@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwright.llm import mixing, ngram_join, packing, quality, suffix_dedup
-from gridwright.llm._common import checked, materialize, release, whole_rows
+from gridwright.llm._common import checked, materialize, release, spent, whole_rows
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
@@ -56,23 +56,23 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     rows = suffix_dedup.keyed(whole_rows(docs, "doc_id", "text"))
     spans = suffix_dedup.repeated_spans(rows, name="pipeline-suffix")
-    joined = rows.join(checked(spans, arrays="starts"), ["d", "e"], "left")
+    joined = rows.drop("text").join(spans.hint("merge"), ["d", "e"], "left")  # as in op 7: the spans grow with the documents
 
     @F.arrow_udf("string")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         try:
             for columns in batches:
                 rows = zip(*(c.to_pylist() for c in columns), strict=True)
-                yield pa.array([suffix_dedup.kept_bytes(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in rows], pa.string())
+                yield pa.array([None if s is None else suffix_dedup.kept_bytes(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in rows], pa.string())
         finally:
             release()
 
-    hit = joined.where("starts is not null").withColumn("text", cut("text", "starts", "ends")).where("text <> ''")
-    hit = hit.withColumn("row", F.col("row").withField("text", F.col("text")))
+    hit = F.col("starts").isNotNull()
+    left = joined.withColumn("left", cut(F.when(hit, F.col("row.text")), "starts", "ends")).where("left is null or left <> ''")
+    short = F.col("row").withField("text", F.col("left"))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        hit = hit.withColumn("row", F.col("row").withField("n_chars", F.length("text").cast(kind)))
-    out = joined.where("starts is null").select("d", "e", "row").unionByName(hit.select("d", "e", "row"))
+        short = short.withField("n_chars", F.length("left").cast(docs.schema["n_chars"].dataType))
+    out = left.select("d", "e", F.when(hit, short).otherwise(F.col("row")).alias("row"))
     twice = rows.where(F.octet_length("text") >= suffix_dedup.LENGTH).groupBy("d", "e").count().where("count > 1").select("d", "e")
     twice = materialize(twice, "pipeline-suffix-twice")
     if twice.head(1):  # of rows repeated as a whole, one stays
@@ -112,7 +112,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{i}")
+            if i:
+                spent(before)
     return docs

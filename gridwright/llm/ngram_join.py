@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checked, components, materialize, salted, table, text_batches, tidy
+from ._common import checked, components, materialize, salted, spent, table, text_batches, tidy
 from ._text import mix, shingle_hashes, word_hashes
 
 K, PERCENT = 4, 85
@@ -58,6 +58,8 @@ ROUNDS = 2
 HUB_PAIRS = 1000
 #: Signatures that a task holds before they leave it as one batch.
 _CHUNK = 1 << 17
+#: The bits of a signature that hold its band.
+_BAND = np.uint64(255)
 
 
 def sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -180,7 +182,10 @@ def _fingerprints(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, sig, band, a, b): b null: set ``a`` has ``sig``; else a and b share it, found inside one task."""
+    """(key, a, b, sig): b null: set ``a`` has the signature ``key``; else a and b share ``sig``, found inside one task.
+
+    The last 8 bits of a signature are its band's number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int, int]] = []
@@ -200,18 +205,18 @@ def _signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def combined(held: list) -> pa.RecordBatch:
         n = [len(x[0]) for x in held]
-        sig = np.concatenate([x[0] for x in held])
-        ids, band = np.repeat([x[1] for x in held], n), np.repeat([x[2] for x in held], n)
+        band = np.repeat(np.array([x[2] for x in held], np.uint64), n)
+        sig, ids = np.concatenate([x[0] for x in held]) & ~_BAND | band, np.repeat([x[1] for x in held], n)
         order = np.lexsort((ids, sig))
-        sig, ids, band = sig[order], ids[order], band[order]
+        sig, ids = sig[order], ids[order]
         new = np.concatenate(([True], sig[1:] != sig[:-1]))
         first = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         keep = new | (ids != first)
-        sig, ids, band, new, first = sig[keep], ids[keep], band[keep], new[keep], first[keep]
+        sig, ids, new, first = sig[keep], ids[keep], new[keep], first[keep]
         key = np.where(new, sig, mix(ids.astype(np.uint64)))
-        return _rows(["key", "sig", "band", "a", "b"], [_L, _L, pa.int32(), _L, _L], key.view(np.int64), sig.view(np.int64), band.astype(np.int32), first, pa.array(ids, _L, mask=new))
+        return _rows(["key", "a", "b", "sig"], [_L] * 4, key.view(np.int64), first, pa.array(ids, _L, mask=new), pa.array(sig.view(np.int64), _L, mask=new))
 
-    return docs.select("id", "text").mapInArrow(tidy(run), "key long, sig long, band int, a long, b long")
+    return docs.select("id", "text").mapInArrow(tidy(run), "key long, a long, b long, sig long")
 
 
 def _hub_links(rows: DataFrame) -> DataFrame:
@@ -219,13 +224,16 @@ def _hub_links(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hub = None, None
-        names, kinds = ["sig", "band", "a", "b"], [_L, pa.int32(), _L, _L]
+
+        def out(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return _rows(["sig", "band", "a", "b"], [_L, pa.int32(), _L, _L], sig, (sig.view(np.uint64) & _BAND).astype(np.int32), a, b)
+
         for batch in batches:
-            pair = np.asarray(batch.column(4).is_valid())
+            pair = np.asarray(batch.column(2).is_valid())
             if pair.any():
                 done = batch.filter(pa.array(pair))
-                yield _rows(names, kinds, *done.columns[1:])
-            sig, band, ids = (np.asarray(batch.column(i))[~pair] for i in (1, 2, 3))
+                yield out(*(np.asarray(done.column(i)) for i in (3, 1, 2)))
+            sig, ids = (np.asarray(batch.column(i))[~pair] for i in (0, 1))
             if not len(sig):
                 continue
             new = np.concatenate(([sig[0] != last], sig[1:] != sig[:-1]))
@@ -234,14 +242,17 @@ def _hub_links(rows: DataFrame) -> DataFrame:
             first = np.where(run_of >= 0, ids[heads][run_of] if len(heads) else 0, hub if hub is not None else 0)
             last, hub = sig[-1], first[-1]
             keep = ids != first
-            yield _rows(names, kinds, sig[keep], band[keep].astype(np.int32), first[keep], ids[keep])
+            yield out(sig[keep], first[keep], ids[keep])
 
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "sig", "a")
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "a")
     return sorted_rows.mapInArrow(tidy(run), "sig long, band int, a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link. Texts of the ids in pairs are shuffled once per pair, a hub's once per block."""
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str, most: bool = False) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link. Texts of the ids in pairs are shuffled once per pair, a hub's once per block.
+
+    ``most``: the pairs are about as many as ``docs``, so that a sort-merge join takes them to their texts at every size.
+    """
     blocks = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("blocks")), f"{name}-hubs")
     right = salted(pairs, blocks, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
     left = blocks.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
@@ -263,7 +274,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str
                             b.append(id_)
             yield _rows(["a", "b"], [_L, _L], a, b)
 
-    texts = docs.join(checked(roles), "id").repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
+    texts = docs.join(roles.hint("merge") if most else checked(roles), "id").repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
     return texts.select("hub", "block", "role", "id", "text").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
@@ -398,16 +409,18 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, name: str = "ng
     links = materialize(_hub_links(_signature_rows(unique, k, percent)), f"{name}-links")
     counted = links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     best = counted.groupBy("b").agg(F.max_by("a", F.struct(F.col("shared"), -F.col("a"))).alias("a"))
-    proven = materialize(_verified(unique, materialize(best.select("a", "b"), f"{name}-best"), k, percent, name), f"{name}-proven")
+    proven = materialize(_verified(unique, materialize(best.select("a", "b"), f"{name}-best"), k, percent, name, most=True), f"{name}-proven")
     label = materialize(components(proven, f"{name}-parts"), f"{name}-labels")
     # buckets in which more than one component is left
     la, lb = label.select(F.col("id").alias("a"), F.col("component").alias("ca")), label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     labelled = salted(salted(links, la, "a", "left"), lb, "b", "left").select("sig", "band", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     labelled = materialize(labelled, f"{name}-labelled")
+    spent(links)
     unsettled = materialize(labelled.where("ca <> cb").select("sig").distinct(), f"{name}-unsettled")
     there = salted(labelled, unsettled, "sig", "left_semi")
     members = there.select("sig", "band", F.col("a").alias("id"), F.col("ca").alias("label")).unionByName(there.select("sig", "band", F.col("b").alias("id"), F.col("cb").alias("label"))).distinct()
     members = materialize(members, f"{name}-members")
+    spent(labelled)
     sketch = _sketches(unique, members, k, name)
     # as in Boruvka's algorithm each member first offers its most likely link; buckets without one are done
     for round_ in range(ROUNDS + 1):
@@ -423,6 +436,7 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, name: str = "ng
         members = materialize(_unsettled(left, name), f"{name}-members")
         if not members.head(1):
             break
+    spent(sketch)
     # copies and repeated ids join through their classes
     all_links = proven.unionByName(copies.select(F.col("node").alias("a"), F.col("id").alias("b")))
     groups = materialize(components(all_links, f"{name}-groups"), f"{name}-named")

@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = SE
 def resample(docs: DataFrame, model: Model | None, seed: int = SEED, name: str = "quality", share: float | None = None, temperature: float = 1.0) -> DataFrame:
     """(row, log_weight, perturbed, kept) for each row of ``docs`` (doc_id, text, ...); ``share`` of them stay, or those above the cut.
 
-    Text is weighed once: the rows are written with their weights, so ``docs`` should hold only columns that are needed.
+    Only weights are written; where a row is read, its text is weighed once more, which takes less than a copy of all texts on disk.
     """
     return _chosen(whole_rows(docs, "doc_id", "text"), model, seed, name, "row", share=share, temperature=temperature)
 
@@ -213,10 +213,14 @@ def _chosen(docs: DataFrame, model: Model | None, seed: int, name: str, *cols: s
         return docs.select(*cols, zero.alias("log_weight"), zero.alias("perturbed"), F.lit(True).alias("kept"))
     weigh = _weigh(spark.sparkContext.broadcast(model.ratio))
     noise = -F.log(-F.log(seeded_uniform(seed + 1, F.col("doc_id"))))
-    scored = materialize(docs.select(*cols, weigh("text").alias("log_weight"), noise.alias("noise")), f"{name}-weights")
-    scored = scored.withColumn("perturbed", F.col("log_weight") / temperature + F.col("noise")).drop("noise")
-    k = scored.where(F.col("log_weight") >= float(model.cut)).count() if share is None else round(share * scored.count())
-    return scored.withColumn("kept", _key(F.col("perturbed")) >= kth_largest(scored.select(_key(F.col("perturbed")).alias("key")), k))
+    scored = docs.select(*cols, weigh("text").alias("log_weight"), noise.alias("noise"))
+    whole = "row" in cols
+    weights = materialize(scored.select("log_weight", "noise") if whole else scored, f"{name}-weights")
+    perturbed = F.col("log_weight") / temperature + F.col("noise")
+    k = weights.where(F.col("log_weight") >= float(model.cut)).count() if share is None else round(share * weights.count())
+    least = kth_largest(weights.select(_key(perturbed).alias("key")), k)
+    scored = (scored if whole else weights).withColumn("perturbed", perturbed).drop("noise")
+    return scored.withColumn("kept", _key(F.col("perturbed")) >= least)
 
 
 def _key(score):

@@ -96,16 +96,17 @@ def _rows(names: list[str], kinds: list[pa.DataType], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-_ANCHOR = ["key", "settled", "gram", "run", "d", "e", "pos", "reach"]
-_ANCHOR_T = "key long, settled boolean, gram long, run long, d long, e long, pos long, reach int"
+_ANCHOR = ["key", "settled", "run", "d", "e", "pos", "reach"]
+_ANCHOR_T = "key long, settled boolean, run long, d long, e long, pos long, reach int"
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """Anchors of all texts. ``reach``: 256 * (anchor - first window) + anchor - last window.
+    """Anchors of all texts, their gram as ``key``. ``reach``: 256 * (anchor - first window) + anchor - last window.
 
-    Settled ones repeat an earlier one of the same task.
+    Those that repeat an earlier one of the same task are settled: a row for each stretch of windows that follow each
+    other, from ``pos`` to ``pos`` + ``reach``.
     """
-    kinds = [_L, pa.bool_(), _L, _L, _L, _L, _L, pa.int32()]
+    kinds = [_L, pa.bool_(), _L, _L, _L, _L, pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -128,14 +129,33 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         order = np.lexsort((q, e, d, r))
         g, r, d, e, q, reach = (x[order] for x in (g, r, d, e, q, reach))
         again = np.concatenate(([False], r[1:] == r[:-1]))
-        key = np.where(again, mix(d.view(np.uint64)), g)
-        return _rows(_ANCHOR, kinds, key.view(np.int64), again, g.view(np.int64), r.view(np.int64), d, e, q, reach.astype(np.int32))
+        sd, se, first, more = _stretches(*(x[again] for x in (d, e, q, reach)))
+        g, r, d, e, q, reach = (x[~again] for x in (g, r, d, e, q, reach))
+        done = np.repeat((False, True), (len(d), len(sd)))
+        key, run = np.concatenate((g, mix(sd.view(np.uint64)))), np.concatenate((r, np.zeros(len(sd), np.uint64)))
+        rest = (np.concatenate(x) for x in ((d, sd), (e, se), (q, first)))
+        return _rows(_ANCHOR, kinds, key.view(np.int64), done, run.view(np.int64), *rest, np.concatenate((reach, more)).astype(np.int32))
 
     return docs.select("d", "e", "text").mapInArrow(tidy(run), _ANCHOR_T)
 
 
+def _stretches(d: np.ndarray, e: np.ndarray, pos: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(d, e, first window, number of windows after it) of each stretch of windows that follow each other, of anchors."""
+    first, last = pos - (reach >> 8), pos - (reach & 255)
+    order = np.lexsort((first, e, d))
+    d, e, first, last = (x[order] for x in (d, e, first, last))
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (first[1:] > last[:-1] + 1)
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(d))[: len(start)] - 1
+    return d[start], e[start], first[start], last[end] - first[start]
+
+
 def _settled(rows: DataFrame) -> DataFrame:
-    """(open, gram, d, e, pos, reach): repeats, and as open ones the first of each run of grams with several runs."""
+    """(open, gram, d, e, pos, reach): the first of each run of grams with several runs, as open ones; and repeats.
+
+    Of repeats ``pos`` is the first window and ``reach`` the number of those after it; they need no gram.
+    """
     names, kinds = ["open", "gram", "d", "e", "pos", "reach"], [pa.bool_(), _L, _L, _L, _L, pa.int32()]
 
     def out(is_open: bool, cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -145,16 +165,17 @@ def _settled(rows: DataFrame) -> DataFrame:
         gram_at = run_at = None
         waiting, several = None, False  # the only run so far of the gram at hand; whether it has more
         for batch in batches:
-            c = [np.asarray(batch.column(i)) if i != 1 else batch.column(1).to_numpy(zero_copy_only=False) for i in range(1, 8)]
-            done = c[0]
+            done = batch.column(1).to_numpy(zero_copy_only=False)
+            c = [np.asarray(batch.column(i)) for i in (0, 2, 3, 4, 5, 6)]
             if done.any():
-                yield out(False, [c[i][done] for i in (1, 3, 4, 5, 6)])
-            g, r, d, e, q, reach = (x[~done] for x in c[1:])
+                yield out(False, [np.zeros(int(done.sum()), np.int64), *(x[done] for x in c[2:])])
+            g, r, d, e, q, reach = (x[~done] for x in c)
             if not len(g):
                 continue
             new = np.concatenate(([gram_at != g[0] or run_at != r[0]], (g[1:] != g[:-1]) | (r[1:] != r[:-1])))
             if not new.all():
-                yield out(False, [x[~new] for x in (g, d, e, q, reach)])
+                most, least = reach[~new] >> 8, reach[~new] & 255
+                yield out(False, [np.zeros(len(most), np.int64), d[~new], e[~new], q[~new] - most, most - least])
             run_at = r[-1]
             f = [x[new] for x in (g, d, e, q, reach)]
             if not len(f[0]):
@@ -176,7 +197,7 @@ def _settled(rows: DataFrame) -> DataFrame:
             waiting = None if several else [x[tail] for x in f]
             gram_at = g[-1]
 
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "gram", "run", "d", "e", "pos")
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "run", "d", "e", "pos")
     return sorted_rows.select(*_ANCHOR).mapInArrow(tidy(run), "open boolean, gram long, d long, e long, pos long, reach int")
 
 
@@ -403,8 +424,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, name
     others = docs.where(F.octet_length("text") >= length).join(checked(copies.select("d", "e")), ["d", "e"], "left_anti").dropDuplicates(["d", "e"]) if _repeats(sizes) else docs.where(
         F.octet_length("text") >= length).join(checked(copies.select("d", "e")), ["d", "e"], "left_anti")
     found = materialize(_settled(_anchor_rows(others)), f"{name}-anchors")
-    start, end = F.col("pos") - F.shiftright("reach", 8), F.col("pos") - F.col("reach").bitwiseAND(F.lit(255)) + length
-    spans = found.where("not open").select("d", "e", start.alias("start"), end.alias("end"))
+    spans = found.where("not open").select("d", "e", F.col("pos").alias("start"), (F.col("pos") + F.col("reach") + length).alias("end"))
     is_open = found.where("open")
     hot = materialize(is_open.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), f"{name}-hot")
     parts = max(1, -(-is_open.count() // MERGE))

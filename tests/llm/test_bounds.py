@@ -1,8 +1,9 @@
 """Batches and broadcasts stay small, whatever the input."""
 
 import pyarrow as pa
+import pyarrow.compute
 
-from gridwright.llm import _common, ngram_join
+from gridwright.llm import _common, ngram_join, quality, suffix_dedup
 
 
 class _Mapped:
@@ -28,3 +29,27 @@ def test_large_tables_of_ids_are_not_broadcast(spark):
     ids = _common.materialize(spark.range(250_000), "many-ids")
     plan = spark.range(10).join(_common.checked(ids), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan
+
+
+def test_signatures_cross_the_shuffle_once():
+    """A row that only names its signature has it as the key, and no second time."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([" ".join(f"{i}x{j}" for j in range(60)) for i in range(2)])], names=["id", "text"])
+    for out in ngram_join._signature_rows(_Mapped(), 5, 80)(iter([batch])):
+        one = out.column("b").is_null()
+        assert out.num_columns == 4 and one.to_pylist() == out.column("sig").is_null().to_pylist() and any(one.to_pylist())
+
+
+def test_repeats_inside_a_task_cross_the_shuffle_as_stretches():
+    """A copy of a text of many anchors is one row, not one for each anchor."""
+    text = "".join(f"word{i * i} " for i in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([0, 0], pa.int64()), pa.array([text, text + "end"])], names=["d", "e", "text"])
+    out = pa.Table.from_batches(list(suffix_dedup._anchor_rows(_Mapped())(iter([batch])))).filter(pa.compute.field("settled")).to_pylist()
+    assert len(out) == 1 and out[0]["d"] == 2 and out[0]["pos"] == 0 and len(text) - 250 < out[0]["reach"] <= len(text) - 100
+
+
+def test_whole_rows_are_not_copied_to_weigh_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} " * 5, i % 2 == 0) for i in range(40)], "doc_id long, text string, target boolean")
+    model = quality.fit(docs.select("doc_id", "text"), docs.select("doc_id", "target"))
+    seen = []
+    monkeypatch.setattr(quality, "materialize", lambda df, name: seen.append(df.columns) or _common.materialize(df, name))
+    assert quality.resample(docs, model).columns[0] == "row" and seen == [["log_weight", "noise"]]
