@@ -203,12 +203,30 @@ def scaled_coordinates(rows: DataFrame, n: int, dims: int, steps: int = 50, tol:
             at, move = np.concatenate([at, row[b]]), np.concatenate([move, ratio.sum(0)[:, None] * x[b] - ratio.T @ x[a]])
         return pa.table([pa.array(at, pa.int64()), pa.array(move.tolist(), pa.list_(pa.float64())), pa.array([stress, *[0.0] * (len(at) - 1)], pa.float64())], schema=schema)
 
+    def over(stress: list[float]) -> bool:
+        return len(stress) > 1 and stress[-2] - stress[-1] <= tol * stress[-2] or stress[-1] <= 1e-12 or len(stress) > steps
+
+    def at_once(table: pa.Table) -> pa.Table:
+        """All steps of the only tile there is: (row, coordinates, the stress before each step)."""
+        row, v, x = table.column("row"), table.column("v"), table.column("x")
+        here = {"i": table.column("i"), "j": table.column("j"), "b": table.column("b"), "row": row, "v": v}
+        seen: list[float] = []
+        while True:
+            moved = tile(pa.table({**here, "x": x}))
+            seen.append(float(moved.column("stress").to_numpy().sum()))
+            if over(seen):
+                return pa.table([row, x, pa.array([seen] * len(row), pa.list_(pa.float64()))], names=["row", "x", "stress"])
+            x = pa.array((_matrix(moved.column("m")) / n).tolist(), pa.list_(pa.float64()))
+
+    if 0 < n <= BLOCK:  # one tile: a job a step would take its time for nothing
+        done = written(_tiles(now, n, ["v", "x"]).groupBy("i", "j").applyInArrow(at_once, "row long, x array<double>, stress array<double>"), "scaling")
+        return now.drop("x").join(done.select("row", "x"), "row"), done.first()["stress"]
     stress: list[float] = []
     while len(stress) <= steps:
         moved = _tiles(now, n, ["v", "x"]).groupBy("i", "j").applyInArrow(tile, "row long, m array<double>, stress double")
         moved = written(moved.groupBy("row").agg(F.array(*[F.sum(F.col("m")[d]) / n for d in range(dims)]).alias("to"), F.sum("stress").alias("stress")), "scaling")
         stress.append(float(moved.agg(F.sum("stress")).first()[0] or 0.0))
-        if len(stress) > 1 and stress[-2] - stress[-1] <= tol * stress[-2] or stress[-1] <= 1e-12 or len(stress) > steps:
+        if over(stress):
             break
         now = written(now.drop("x").join(moved.select("row", F.col("to").alias("x")), "row"), "scaling")
     return now, stress

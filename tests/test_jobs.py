@@ -220,6 +220,22 @@ def test_dispersions_and_the_stress_that_never_rises(spark, monkeypatch):
     assert found.p <= 0.02 and found.f > 10 and (20 * (m - d.mean()) ** 2).sum() > 0
 
 
+def test_the_steps_of_one_tile_take_one_job(spark, monkeypatch):
+    """Up to BLOCK rows all steps are made where the only tile is; the coordinates are those of many tiles."""
+    from gridwright.operators import permutations
+
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(20, 3)))], "row long, v array<double>")
+    wrote, write = [], permutations.written
+    monkeypatch.setattr(permutations, "written", lambda df, name: wrote.append(name) or write(df, name))
+    at, stress = permutations.scaled_coordinates(rows, 20, 2, steps=4, tol=0.0)
+    assert len(wrote) == 2
+    monkeypatch.setattr(permutations, "BLOCK", 8)
+    tiled, slow = permutations.scaled_coordinates(rows, 20, 2, steps=4, tol=0.0)
+    same = lambda t: [r.x for r in t.orderBy("row").collect()]
+    assert len(stress) == 5 and np.allclose(stress, slow) and np.allclose(same(at), same(tiled))
+
+
 def test_permutation_tests_of_many_subjects(spark):
     """More rows than any matrix of pairs in the driver could hold comfortably; the location test takes 45 million pairs in tiles."""
     from gridwright.operators import permutations
