@@ -171,18 +171,22 @@ def checked(ids: DataFrame, rows: int = BROADCAST_IDS, arrays: str | None = None
     return F.broadcast(ids) if n <= rows else ids
 
 
-#: Ways in which the rows of a hot key are dealt where its partner can't be broadcast.
-SALTS = 16
+#: Rows of a key that one task takes where its partner can't be broadcast.
+KEY_ROWS = 50_000
 
 
 def salted(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small`` (written; at most one row a key). A key may hold any share of ``big``.
 
-    ``small`` is broadcast if a count proves it small; else it is repeated ``SALTS`` times and the rows of a key in
-    ``big`` are dealt by hash, so that no task gets a whole key.
+    ``small`` is broadcast if a count proves it small. Else the rows of a key that has more than ``KEY_ROWS`` in ``big``
+    are dealt by hash, and only such a key's row of ``small`` is repeated, so that no task gets a whole hot key and the
+    other rows are shuffled once. There is at most one such key in ``KEY_ROWS`` rows; ``big`` is read twice.
     """
     if small.count() <= BROADCAST_IDS:
         return big.join(F.broadcast(small), key, how)
-    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
-    again = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    parts = F.ceil(F.count(F.lit(1)) / KEY_ROWS).cast("int")
+    hot = F.broadcast(materialize(big.groupBy(key).agg(parts.alias("_parts")).where("_parts > 1"), "hot-keys"))
+    n = F.coalesce("_parts", F.lit(1))
+    dealt = big.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), n).cast("int")).drop("_parts")
+    again = small.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
     return dealt.join(again, [key, "_salt"], how).drop("_salt")

@@ -17,10 +17,10 @@ set that even deletions don't cover goes to a bucket of its own kind.
 
 Signatures are pre-aggregated in each task, then sorted runs of equal ones give
 links of each set to one hub: as many candidates as members, not as many as
-pairs. Each set is verified against the hub it shares most with. Buckets that
-then still hold different components are compared inside tasks, in blocks, by
-bitmaps whose difference bounds that of the sets from below (so no link is
-lost); in two rounds each set offers its most likely link only, which merges
+pairs. Each set is verified against the hub it shares most with, if bitmaps leave
+that possible: their difference bounds that of the sets from below, so no link
+is lost. Buckets that then still hold different components are compared inside
+tasks, in blocks, by the same bitmaps; in two rounds each set offers its most likely link only, which merges
 most components, then all that is left is verified on the full sets.
 
 Defined results
@@ -37,7 +37,7 @@ Defined results
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -147,14 +147,23 @@ def signatures(s: np.ndarray, band: tuple[int, int, int], percent: int) -> np.nd
     return np.unique(np.concatenate(out))
 
 
-def parity(s: np.ndarray, hi: int) -> np.ndarray:
-    """A bitmap of about 4 bits per element: bit i tells whether an odd number of elements hash to i.
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The size of a set, then a bitmap of one to two bits per element: bit i tells whether an odd number of elements hash to i.
 
-    The number of bits in which two bitmaps differ is at most the number of elements in which the sets differ.
+    The number of bits in which two bitmaps of one width differ is at most the number of elements in which the sets
+    differ. Unrelated sets differ in half of the bits, far more than the threshold allows; more bits would only tell
+    pairs closely below it, and bitmaps are shuffled once per bucket that the set is in.
     """
-    bits = -(-4 * hi // 64) * 64
+    bits = max(64, 1 << (len(s) - 1).bit_length())
     count = np.bincount((mix(s ^ np.uint64(0x3C3C3C3C3C3C3C3C)) % np.uint64(bits)).astype(np.int64), minlength=bits)
-    return np.packbits((count & 1).astype(np.uint8)).view(np.uint64)
+    return np.concatenate((np.array([len(s)], np.uint64), np.packbits((count & 1).astype(np.uint8)).view(np.uint64)))
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer words; widths are powers of two."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def _rows(names: list[str], kinds: list[pa.DataType], *cols) -> pa.RecordBatch:
@@ -176,9 +185,10 @@ def _prints_of(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def _fingerprints(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _rows(["id", "n", "a", "b"], [_L] * 4, batch.column(0), *_prints_of(sets(batch.column(1), k)))
+            found = sets(batch.column(1), k)
+            yield _rows(["id", "n", "a", "b", "v"], [_L] * 4 + [pa.binary()], batch.column(0), *_prints_of(found), [sketch(s).tobytes() for s in found])
 
-    return docs.select("id", "text").mapInArrow(tidy(run), "id long, n long, a long, b long")
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, n long, a long, b long, v binary")
 
 
 def _signature_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -248,13 +258,19 @@ def _hub_links(rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(tidy(run), "sig long, band int, a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str, most: bool = False) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link. Texts of the ids in pairs are shuffled once per pair, a hub's once per block.
+def _cut(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the number of blocks of their key (``blocks``, written); only keys of several blocks are looked up."""
+    return salted(rows, blocks.where("blocks > 1"), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
 
-    ``most``: the pairs are about as many as ``docs``, so that a sort-merge join takes them to their texts at every size.
+def _met(rows: DataFrame, pairs: DataFrame, read: Callable[[pa.Array], list], link: Callable, name: str, most: bool = False) -> DataFrame:
+    """Those of ``pairs`` (a, b) for which ``link`` holds between what ``read`` makes of their ``rows`` (id, value).
+
+    Values of the ids in pairs are shuffled once per pair, a hub's once per block. ``most``: the pairs are about as
+    many as ``rows``, so that a sort-merge join takes them to their values at every size.
     """
     blocks = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("blocks")), f"{name}-hubs")
-    right = salted(pairs, blocks, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
+    right = _cut(pairs, blocks, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
     left = blocks.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
     roles = materialize(right.unionByName(left), f"{name}-roles")
 
@@ -263,49 +279,54 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str
         for batch in batches:
             a, b = [], []
             hubs, roles_, ids = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            for h, role, id_, s in zip(hubs, roles_, ids, sets(batch.column(4), k), strict=True):
+            for h, role, id_, x in zip(hubs, roles_, ids, read(batch.column(4)), strict=True):
                 if role == 0:
-                    hub, own = h, s
-                elif h == hub:
-                    if 100 * min(len(s), len(own)) >= percent * max(len(s), len(own)):
-                        both = len(np.intersect1d(own, s, assume_unique=True))
-                        if 100 * both >= percent * (len(s) + len(own) - both):
-                            a.append(h)
-                            b.append(id_)
+                    hub, own = h, x
+                elif h == hub and link(own, x):
+                    a.append(h)
+                    b.append(id_)
             yield _rows(["a", "b"], [_L, _L], a, b)
 
-    texts = docs.join(roles.hint("merge") if most else checked(roles), "id").repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
-    return texts.select("hub", "block", "role", "id", "text").mapInArrow(tidy(run), "a long, b long").distinct()
+    values = rows.join(roles.hint("merge") if most else checked(roles), "id").repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
+    return values.select("hub", "block", "role", "id", "value").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _sketches(docs: DataFrame, members: DataFrame, k: int, name: str) -> DataFrame:
-    """(id, band, n, v): size and parity bitmap of each member."""
-    wanted = materialize(members.select("id", "band").distinct(), f"{name}-wanted")
-    tops = []
-    lo = 1
-    while lo < 1 << 40:
-        tops.append(max(lo, int(lo * BAND_RATIO)))
-        lo = tops[-1] + 1
+def _possible(sketches: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) that size and bitmap leave possible."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = sets(batch.column(2), k)
-            v = [parity(s, tops[x]).tobytes() for s, x in zip(found, batch.column(1).to_pylist(), strict=True)]
-            yield _rows(["id", "band", "n", "v"], [_L, pa.int32(), _L, pa.binary()], batch.column(0), batch.column(1), [len(s) for s in found], v)
+    def link(x: np.ndarray, y: np.ndarray) -> bool:
+        n, m = int(x[0]), int(y[0])
+        words = min(len(x), len(y)) - 1
+        apart = int(np.bitwise_count(folded(x[1:], words) ^ folded(y[1:], words)).sum(dtype=np.int64))
+        return 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * apart <= (100 - percent) * (n + m)
 
-    sketch = docs.join(checked(wanted), "id").select("id", "band", "text").mapInArrow(tidy(run), "id long, band int, n long, v binary")
-    return materialize(sketch.dropDuplicates(["id", "band"]), f"{name}-sketch")
+    def read(values: pa.Array) -> list[np.ndarray]:
+        return [np.frombuffer(v, np.uint64) for v in values.to_pylist()]
 
+    return _met(sketches.select("id", F.col("v").alias("value")), pairs, read, link, name, most=True)
 
-def _open_pairs(members: DataFrame, sketch: DataFrame, percent: int, one: bool, name: str) -> DataFrame:
+
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link."""
+
+    def link(x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return _met(docs.select("id", F.col("text").alias("value")), pairs, lambda values: sets(values, k), link, name)
+
+
+def _open_pairs(members: DataFrame, sketches: DataFrame, percent: int, one: bool, name: str) -> DataFrame:
     """(sig, a, b): members of a bucket with different labels that size and bitmap leave possible.
 
     ``one``: of each member's pairs in a block only the most alike.
     """
     blocks = materialize(members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), f"{name}-blocks")
-    rows = salted(members, blocks, "sig").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.select("sig", "band", "id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("sig", "band", "id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = _cut(members, blocks, "sig").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.select("sig", "id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("sig", "id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -313,7 +334,8 @@ def _open_pairs(members: DataFrame, sketch: DataFrame, percent: int, one: bool,
 
         def flush() -> pa.RecordBatch:
             m = np.array([x[:4] for x in held], np.int64)
-            v = np.frombuffer(b"".join(x[4] for x in held), np.uint64).reshape(len(held), -1)
+            words = min(len(x[4]) for x in held)
+            v = np.stack([folded(x[4], words) for x in held])
             a, b = [], []
             for r in range(len(held) - 1):
                 rest = m[r + 1 :]
@@ -334,17 +356,18 @@ def _open_pairs(members: DataFrame, sketch: DataFrame, percent: int, one: bool,
             return _rows(["sig", "a", "b"], [_L] * 3, np.full(len(a), at[0]), low.astype(np.int64), high.astype(np.int64))
 
         for batch in batches:
-            for sig, i, j, id_, label, n, own, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for sig, i, j, id_, label, own, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (sig, i, j) != at:
                     if len(held) > 1:
                         yield flush()
                     held, at = [], (sig, i, j)
-                held.append((id_, label, n, own, v))
+                v = np.frombuffer(v, np.uint64)
+                held.append((id_, label, int(v[0]), own, v[1:]))
         if len(held) > 1:
             yield flush()
 
-    full = rows.join(sketch, ["id", "band"]).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
-    return full.select("sig", "i", "j", "id", "label", "n", "own", "v").mapInArrow(tidy(run), "sig long, a long, b long")
+    full = rows.join(sketches, "id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
+    return full.select("sig", "i", "j", "id", "label", "own", "v").mapInArrow(tidy(run), "sig long, a long, b long")
 
 
 def _unsettled(members: DataFrame, name: str) -> DataFrame:
@@ -409,7 +432,13 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, name: str = "ng
     links = materialize(_hub_links(_signature_rows(unique, k, percent)), f"{name}-links")
     counted = links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     best = counted.groupBy("b").agg(F.max_by("a", F.struct(F.col("shared"), -F.col("a"))).alias("a"))
-    proven = materialize(_verified(unique, materialize(best.select("a", "b"), f"{name}-best"), k, percent, name, most=True), f"{name}-proven")
+    # an id in links has one class only, so that all its rows with words have one sketch
+    sketches = fit.select("id", "v")
+    if mixed:
+        sketches = sketches.unionByName(fit.join(checked(free), key).select(F.col("node").alias("id"), "v"))
+    sketches = materialize(sketches.groupBy("id").agg(F.max("v").alias("v")), f"{name}-sketches")
+    likely = materialize(_possible(sketches, materialize(best.select("a", "b"), f"{name}-best"), percent, name), f"{name}-likely")
+    proven = materialize(_verified(unique, likely, k, percent, name), f"{name}-proven")
     label = materialize(components(proven, f"{name}-parts"), f"{name}-labels")
     # buckets in which more than one component is left
     la, lb = label.select(F.col("id").alias("a"), F.col("component").alias("ca")), label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
@@ -418,13 +447,12 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, name: str = "ng
     spent(links)
     unsettled = materialize(labelled.where("ca <> cb").select("sig").distinct(), f"{name}-unsettled")
     there = salted(labelled, unsettled, "sig", "left_semi")
-    members = there.select("sig", "band", F.col("a").alias("id"), F.col("ca").alias("label")).unionByName(there.select("sig", "band", F.col("b").alias("id"), F.col("cb").alias("label"))).distinct()
-    members = materialize(members, f"{name}-members")
+    both = F.array(*[F.struct(F.col(i).alias("id"), F.col(c).alias("label")) for i, c in (("a", "ca"), ("b", "cb"))])
+    members = materialize(there.select("sig", "band", F.inline(both)).distinct(), f"{name}-members")
     spent(labelled)
-    sketch = _sketches(unique, members, k, name)
     # as in Boruvka's algorithm each member first offers its most likely link; buckets without one are done
     for round_ in range(ROUNDS + 1):
-        pairs = materialize(_open_pairs(members, sketch, percent, round_ < ROUNDS, name), f"{name}-open")
+        pairs = materialize(_open_pairs(members, sketches, percent, round_ < ROUNDS, name), f"{name}-open")
         new = materialize(_verified(unique, materialize(pairs.select("a", "b").distinct(), f"{name}-asked"), k, percent, name), f"{name}-new")
         proven = proven.unionByName(new)
         if round_ == ROUNDS:
@@ -436,7 +464,7 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, name: str = "ng
         members = materialize(_unsettled(left, name), f"{name}-members")
         if not members.head(1):
             break
-    spent(sketch)
+    spent(sketches)
     # copies and repeated ids join through their classes
     all_links = proven.unionByName(copies.select(F.col("node").alias("a"), F.col("id").alias("b")))
     groups = materialize(components(all_links, f"{name}-groups"), f"{name}-named")

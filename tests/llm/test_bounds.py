@@ -1,5 +1,6 @@
 """Batches and broadcasts stay small, whatever the input."""
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
@@ -53,3 +54,33 @@ def test_whole_rows_are_not_copied_to_weigh_them(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality, "materialize", lambda df, name: seen.append(df.columns) or _common.materialize(df, name))
     assert quality.resample(docs, model).columns[0] == "row" and seen == [["log_weight", "noise"]]
+
+
+def test_only_hot_keys_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr(_common, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(_common, "KEY_ROWS", 10)
+    written = []
+    materialize = _common.materialize
+    monkeypatch.setattr(_common, "materialize", lambda df, name: written.append(materialize(df, name)) or written[-1])
+    big = spark.createDataFrame([(1, i) for i in range(35)] + [(i, i) for i in range(2, 20)], "k long, x long")
+    small = spark.createDataFrame([(i, 10 * i) for i in range(10)], "k long, y long")
+    want = {(k, x): 10 * k if k < 10 else None for k, x in big.collect()}
+    assert {(r.k, r.x): r.y for r in _common.salted(big, small, "k", "left").collect()} == want
+    assert _common.salted(big, small, "k").count() == 43 and _common.salted(big, small, "k", "left_semi").count() == 43
+    assert [tuple(r) for r in written[0].collect()] == [(1, 4)]
+
+
+def test_texts_of_pairs_that_cannot_link_are_not_shuffled(spark):
+    """Sketches have at most two bits per element; they drop unrelated pairs and no pair that links."""
+    rng = np.random.default_rng(7)
+    found = []
+    for n in (1, 9, 60, 130, 700):
+        s = rng.integers(1, 1 << 62, 2 * n + n // 2, dtype=np.uint64)
+        found += [s[:n], s[n // 12 : n + n // 12], s[n // 2 : n + n // 2], s[n : n + n + n // 4]]
+    rows = [(i, bytearray(ngram_join.sketch(s).tobytes())) for i, s in enumerate(found)]
+    assert all(8 * len(v) <= 64 + max(64, 2 * len(s)) for (_, v), s in zip(rows, found, strict=True))
+    pairs = [(i, j) for i in range(len(found)) for j in range(i + 1, len(found))]
+    kept = ngram_join._possible(spark.createDataFrame(rows, "id long, v binary"), spark.createDataFrame(pairs, "a long, b long"), 80, "possible")
+    kept = {(r.a, r.b) for r in kept.collect()}
+    alike = {(a, b): len(np.intersect1d(found[a], found[b])) / len(np.union1d(found[a], found[b])) for a, b in pairs}
+    assert {p for p, x in alike.items() if x >= 0.8} <= kept and not {p for p, x in alike.items() if x < 0.4 and len(found[p[0]]) > 50} & kept
