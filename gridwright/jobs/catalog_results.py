@@ -47,7 +47,7 @@ def s12(spark, sf_dir):
     """Result folders of all subjects as one table; the subject comes from the folder."""
     path = results.run_folder(spark, "joint")
     results.write_cells(scaled_cells(spark, sf_dir), PARAMS, path)
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
+    raw = results.raw_cells(spark, path, recursiveFileLookup="true")
     subject = F.regexp_extract(F.col("_metadata.file_path"), r"subject=([^/]+)/", 1).cast("long")
     rows = raw.select(subject.alias("subject"), F.col("Habitat").cast("int").alias("Habitat"), F.col("`DTI-MD`").cast("double").alias("MD"))
     return rows.groupBy("subject", "Habitat").agg(F.count(F.lit(1)).alias("n"), F.avg("MD").alias("MD"))

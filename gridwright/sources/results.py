@@ -57,17 +57,23 @@ def write_cells(cells: DataFrame, params: list[str], path: str, posteriors: str
     cells.sparkSession.createDataFrame([(c,) for c in out.columns if c != "subject"], "name string").coalesce(1).write.text(f"{path}-columns")
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of all subjects below ``path``, with columns typed by name: keys, labels, and else parameters or posteriors."""
-    from ..operators.params import only_parameters
-
+def raw_cells(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """What :func:`write_cells` left below ``path``, as text."""
+    reader = spark.read.options(header="true", **options)
     try:
-        raw = spark.read.option("header", True).csv(path)
+        return reader.csv(path)
     except AnalysisException as error:  # a run without cells has no folder of a subject
         if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
-        names = [r[0] for r in spark.read.text(f"{path}-columns").collect()]  # a row a column
-        raw = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*names, "subject"]]))
+    names = [r[0] for r in spark.read.text(f"{path}-columns").collect()]  # a row a column
+    return reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in [*names, "subject"]])).csv(path)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of all subjects below ``path``, with columns typed by name: keys, labels, and else parameters or posteriors."""
+    from ..operators.params import only_parameters
+
+    raw = raw_cells(spark, path)
     numbers = {*only_parameters(raw.columns), "d_topo_norm"} | {c for c in raw.columns if c.startswith("P_H")}
     kind = {"X": "int", "Y": "int", "Slice": "int", "Habitat": "int", "label_ambiguous": "boolean", "subject": "long"}
     return raw.select(*[F.col(f"`{c}`").cast(kind.get(c, "double" if c in numbers else "string")).alias(c) for c in raw.columns])

@@ -58,3 +58,8 @@ def test_presets_hold_no_arrays_of_seeds(spark):
     assert "lambda" not in plan
     seen = {r.preset: set(r.t) for r in presets.tumour_cells(s).groupBy("preset").agg(F.collect_set("truth").alias("t")).collect()}
     assert all(seen[n] <= {z[0] for z in seeds} for n, (_, _, _, seeds) in presets.PRESETS.items()) and len(seen) == 7
+
+
+def test_joint_results_of_runs_without_cells(spark, bare):
+    found, wanted = catalog.QUERIES["s12_joint_results"](spark, bare[0]), bare[1].execute(catalog.SQL["s12_joint_results"]).df()
+    assert found.columns == list(wanted.columns) and not len(wanted) and not found.collect()
