@@ -25,8 +25,12 @@ from . import inference, mixture, scaling, selection
 BLOCK, SLAB = 32_768, 4_096
 #: Pivots of the first round; each later round doubles them where the rest is too large.
 PIVOTS = 64
-# Fixed value: cells whose distances give a subject's bandwidth of features.
-BANDWIDTH_CELLS = 500
+#: Different features of a block, whose pairs with another block's are counted in a task, and distances worked out at once.
+PAIR_BLOCK, PAIR_SLAB = 4_096, 1 << 15
+# Fixed value: bits of a distance by which one pass counts; three passes see all bits of a positive double.
+PAIR_BITS = 21
+# Fixed value: the bits of infinity; those above are no numbers.
+INFINITE = 0x7FF0000000000000
 
 CELLS = ["subject", "slice", "x", "y"]
 
@@ -58,6 +62,80 @@ def place_bandwidth(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     return float((low + high) / 2)
 
 
+def pair_counts(a: np.ndarray, b: np.ndarray, prefixes: set[int], shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, pairs): how many pairs of a row of ``a`` and one of ``b`` have a positive squared distance whose bits, shifted right, are a key that begins with one of ``prefixes``.
+
+    A row holds features and, last, how often they occur.
+    """
+    hists = {prefix: np.zeros(1 << PAIR_BITS) for prefix in prefixes}
+    step = max(1, PAIR_SLAB // max(1, len(b)))
+    for at in range(0, len(a), step):
+        slab = a[at : at + step]
+        square = np.zeros((len(slab), len(b)))
+        for x, y in zip(slab.T[:-1], b.T[:-1], strict=True):
+            d = x[:, None] - y[None]
+            d *= d
+            square += d
+        bits, times = square.view(np.int64).ravel(), np.outer(slab[:, -1], b[:, -1]).ravel()
+        for prefix, hist in hists.items():
+            low = max(1, prefix << (shift + PAIR_BITS))
+            here = np.flatnonzero((bits >= low) & (bits <= min((prefix + 1 << (shift + PAIR_BITS)) - 1, INFINITE)))
+            np.add.at(hist, (bits[here] >> shift) - (prefix << PAIR_BITS), times[here])
+    found = {prefix: np.flatnonzero(hist) for prefix, hist in hists.items()}
+    return np.concatenate([at + (prefix << PAIR_BITS) for prefix, at in found.items()]), np.concatenate([hists[prefix][at] for prefix, at in found.items()])
+
+
+def feature_bandwidths(points: DataFrame) -> DataFrame:
+    """(subject, sf): median positive distance between the features of all pairs of a subject's cells; 1 if there is none.
+
+    Different features are dealt into blocks with their counts, and two blocks meet in a task. Positive doubles are ordered as the
+    integers of their bits: pairs are counted by the leading bits, those around the middle again by the next, until a key is a number.
+    """
+    rows = written(points.groupBy("subject", "v").agg(F.count(F.lit(1)).cast("double").alias("n")), "bandwidth-rows")
+    sizes = rows.groupBy("subject").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("nb"))
+    pack = _mapped(lambda a: np.asarray(a, float).tobytes(), "binary")
+    dealt = scaling.with_stats(rows, sizes, ["subject"]).withColumn("b", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
+    blocks = dealt.groupBy("subject", "b", "nb").agg(F.first(F.size("v")).alias("d"), F.flatten(F.collect_list(F.concat("v", F.array("n")))).alias("r"))
+    blocks = written(blocks.select("subject", "b", "nb", "d", pack("r").alias("r")), "bandwidth-blocks")
+    middle = sizes.select("subject", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(-1.0).alias("low_rank"), F.lit(-1.0).alias("high_rank"))
+    for shift in (2 * PAIR_BITS, PAIR_BITS, 0):
+        middle = written(_narrowed(blocks, middle, shift), "bandwidth-middle")
+    root = _mapped(lambda bits: float(np.sqrt(np.int64(bits).view(float))), "double")
+    found = middle.select("subject", ((root("low") + root("high")) / 2).alias("sf"))
+    return sizes.join(found, "subject", "left").select("subject", F.coalesce("sf", F.lit(1.0)).alias("sf"))
+
+
+def _narrowed(blocks: DataFrame, middle: DataFrame, shift: int) -> DataFrame:
+    """``middle`` (subject, low, high, low_rank, high_rank), the keys of the two middle pairs and their ranks among the pairs of that key, by keys of the next bits."""
+    names = ["low", "high", "low_rank", "high_rank"]
+
+    def tile(d: pd.DataFrame) -> pd.DataFrame:
+        one = d.iloc[0]
+        a, b = (np.frombuffer(b"".join(d.r[d.b == at])).reshape(-1, one.d + 1) for at in (one.i, one.j))
+        keys, pairs = pair_counts(a, b, {int(one.low), int(one.high)}, shift)
+        return pd.DataFrame({"subject": one.subject, "key": keys, "pairs": pairs / 2 if one.i == one.j else pairs})  # a block meets itself from both sides
+
+    def next_keys(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("key")
+        key, pairs, out = d.key.to_numpy(), d.pairs.to_numpy(), {"subject": [d.subject.iloc[0]]}
+        total = pairs.sum()
+        for side, first in (("low", (total - 1) // 2), ("high", total // 2)):
+            rank = d[f"{side}_rank"].iloc[0]
+            rank = first if rank < 0 else rank
+            here = key >> PAIR_BITS == d[side].iloc[0]
+            upto = pairs[here].cumsum()
+            at = np.searchsorted(upto, rank, "right")
+            out |= {side: [key[here][at]], f"{side}_rank": [rank - (upto[at] - pairs[here][at])]}
+        return pd.DataFrame(out)[["subject", *names]]
+
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
+    tiles = scaling.with_stats(blocks, middle, ["subject"]).select("subject", "b", "d", "r", *names, other)
+    tiles = tiles.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("o")
+    counts = tiles.groupBy("subject", "i", "j").applyInPandas(tile, "subject string, key long, pairs double")
+    counts = written(counts.groupBy("subject", "key").agg(F.sum("pairs").alias("pairs")), "bandwidth-counts")  # at most two prefixes of 2 ** PAIR_BITS keys a subject
+    return scaling.with_stats(counts, middle, ["subject"]).groupBy("subject").applyInPandas(next_keys, "subject string, low long, high long, low_rank double, high_rank double")
+
+
 def factor_rows(u: np.ndarray, pivots: np.ndarray) -> Iterator[np.ndarray]:
     """Rows z, slab by slab, with z z' the kernel exp(-|u - u'|^2 / 2) as far as the pivots span it."""
     square = lambda a, b: np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
@@ -107,15 +185,12 @@ def _over_blocks(blocks: DataFrame, models: DataFrame, run: Callable[[pd.DataFra
 
 
 def prepared(points: DataFrame, weight: float, seed: int) -> DataFrame:
-    """Blocks of cells (subject, b, n_blocks, slice, x, y, h, u): features and places divided by their bandwidths."""
+    """Blocks of cells (subject, b, n_blocks, slice, x, y, h, u): features and places divided by their bandwidths, medians over all pairs of cells."""
     p = points.select(F.col("subject").cast("string").alias("subject"), "slice", "x", "y", "v").withColumn("h", F.xxhash64(F.lit(seed), *CELLS))
-    ranked = Window.partitionBy("subject").orderBy("h", "slice", "x", "y")
-    few = p.withColumn("rn", F.row_number().over(ranked)).where(F.col("rn") <= BANDWIDTH_CELLS)
-    feature = few.groupBy("subject").applyInPandas(lambda d: pd.DataFrame({"subject": [d.subject.iloc[0]], "sf": [bandwidth(_numbers(d.v))]}), "subject string, sf double")
     at = p.groupBy("subject", "x", "y").agg(F.count(F.lit(1)).alias("n"))  # bounded by the scanner's grid
     place = at.groupBy("subject").applyInPandas(lambda d: pd.DataFrame({"subject": [d.subject.iloc[0]], "sp": [place_bandwidth(d.x.to_numpy(), d.y.to_numpy(), d.n.to_numpy())]}), "subject string, sp double")
     n = at.groupBy("subject").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("n_blocks"))
-    scales = written(feature.join(place, "subject").join(n, "subject"), "spectral-scales")
+    scales = written(feature_bandwidths(p).join(place, "subject").join(n, "subject"), "spectral-scales")
     j = scaling.with_stats(p, scales, ["subject"])
     near = [F.col(c) * (weight**0.5) / F.col("sp") for c in ("x", "y")]
     u = F.concat(F.transform("v", lambda z: z / F.col("sf")), F.array(*near))

@@ -478,6 +478,32 @@ def test_place_bandwidth_counts_all_pairs():
     assert spectral.place_bandwidth(np.array([3]), np.array([4]), np.array([9])) == 1.0
 
 
+def test_feature_bandwidth_counts_all_pairs(spark, monkeypatch):
+    from gridwright.operators import spectral
+
+    monkeypatch.setattr(spectral, "PAIR_BLOCK", 100)  # several blocks a subject
+    rng = np.random.default_rng(4)
+    wide = np.vstack([rng.normal(size=(701, 3)), 50 * rng.normal(size=(500, 3))])
+    few = rng.integers(0, 4, (900, 3)) * 0.1
+    x = {"wide": wide, "even": wide[300:900], "few": few, "two": wide[:2], "same": np.ones((600, 3)), "one": wide[:1], "far": np.array([[0.0] * 3, [1e-160] * 3, [1e150] * 3, [3.0] * 3])}
+    rows = [(g, 1, i % 40, i // 40, v.tolist()) for g, vs in x.items() for i, v in enumerate(vs)]
+    points = spark.createDataFrame(rows, "subject string, slice int, x int, y int, v array<double>").repartition(5)
+    found = {r.subject: r.sf for r in spectral.feature_bandwidths(points).collect()}
+    assert found == {g: pytest.approx(spectral.bandwidth(vs), rel=1e-15) for g, vs in x.items()}
+    assert found["same"] == found["one"] == 1.0
+    assert not spectral.pair_counts(np.empty((0, 4)), np.ones((2, 4)), {0}, 42)[0].size and not spectral.pair_counts(np.ones((2, 4)), np.empty((0, 4)), {0}, 42)[0].size
+
+
+def test_prepared_features_are_scaled_by_all_pairs(spark):
+    from gridwright.operators import spectral
+
+    rng = np.random.default_rng(4)
+    v = np.vstack([rng.normal(size=(701, 3)), 50 * rng.normal(size=(500, 3))])
+    points = spark.createDataFrame([("a", 1, i % 40, i // 40, row.tolist()) for i, row in enumerate(v)], "subject string, slice int, x int, y int, v array<double>")
+    u = spectral.prepared(points, 1.0, 35).orderBy("y", "x").limit(2).collect()
+    assert np.isclose(np.linalg.norm(v[1] - v[0]) / np.linalg.norm(np.subtract(u[1].u, u[0].u)[:3]), spectral.bandwidth(v))
+
+
 def test_spectral_clusters_equal_those_of_the_whole_matrix(spark, grown, monkeypatch):
     from gridwright.jobs import modes
     from gridwright.operators import spectral
